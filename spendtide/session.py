@@ -1,5 +1,6 @@
 """Session settings and the shared folder for written intermediate tables."""
 
+import functools
 import tempfile
 import uuid
 
@@ -24,6 +25,11 @@ def build_session(app: str = "spendtide", master: str | None = None, **conf) ->
     return b.getOrCreate()
 
 
+@functools.cache
+def _local_root(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"{application}-")
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder every executor can reach, below `spark.checkpoint.dir`.
 
@@ -33,8 +39,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="spendtide-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_root(spark.sparkContext.applicationId)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spendtide.functions.calendar import iso_week_key, lenient_date
 from spendtide.functions.labels import brand_slug, channel_of_platform, first_platform, title_case
@@ -19,9 +20,8 @@ MAX_PAGES = 16
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Landed page files, one JSON envelope per line: data, paging, brand, page_index."""
-    extra = "brand string, page_index bigint"
-    schema = ARCHIVE_PAGE.simpleString()[len("struct<"):-1]
-    return spark.read.schema(f"{schema}, {extra}").json(path)
+    walk = [T.StructField("brand", T.StringType()), T.StructField("page_index", T.LongType())]
+    return spark.read.schema(T.StructType(ARCHIVE_PAGE.fields + walk)).json(path)
 
 
 def explode_ad_pages(pages: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
