@@ -4,17 +4,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def money(x: Column) -> Column:
-    """Spend as an exact decimal, so sums do not depend on row order.
+# Spend is added up in whole hundred-thousandths: four decimals, and half of one.
+UNITS = 100_000
 
-    Null, NaN and values no decimal can hold count as 0.
+
+def exact(x: Column) -> Column:
+    """Spend as a whole number of units, so that sums do not depend on row order.
+
+    Null and NaN count as 0. A bigint sum stays in generated code, where a decimal
+    made from a double goes through its text form for every row. Amounts beyond a
+    bigint (sums of about 90 trillion) raise an error.
     """
-    return F.coalesce(F.when(~F.isnan(x), x).try_cast("decimal(18,4)"), F.lit(0).cast("decimal(18,4)"))
+    x = F.coalesce(F.nanvl(x.cast("double"), F.lit(0.0)), F.lit(0.0))
+    return F.rint(x * UNITS).cast("bigint")
 
 
-def half_money(x: Column) -> Column:
-    """A stored midpoint (half a cent-fraction more) as an exact decimal."""
-    return F.coalesce(F.when(~F.isnan(x), x).try_cast("decimal(20,5)"), F.lit(0).cast("decimal(20,5)"))
+def amount(units: Column) -> Column:
+    """Units back to a double."""
+    return units / F.lit(float(UNITS))
 
 
 def pct_change(new: Column, base: Column) -> Column:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendtide.functions.numbers import half_money
+from spendtide.functions.numbers import amount, exact
 from spendtide.operators.clean import filter_brand_channels
 
 # Features in order, history needed, forest settings.
@@ -24,7 +24,7 @@ SEED = 42
 def brand_weekly_features(signals: DataFrame, channels: list[str] | None = None) -> DataFrame:
     """Sums over channels and regions; the mean of their shares."""
     return filter_brand_channels(signals, channels=channels).groupBy("brand", "week_key").agg(
-        F.sum(half_money(F.col("spend_midpoint"))).cast("double").alias("spend_midpoint"),
+        amount(F.sum(exact(F.col("spend_midpoint")))).alias("spend_midpoint"),
         F.coalesce(F.sum("active_ad_count"), F.lit(0)).cast("bigint").alias("active_ad_count"),
         F.coalesce(F.sum("impression_upper_sum"), F.lit(0)).cast("bigint").alias("impression_upper_sum"),
         F.avg("channel_share").alias("channel_share"),
@@ -37,10 +37,11 @@ def fill_features(weekly: DataFrame) -> DataFrame:
 
 
 def _flag(scored: DataFrame, odd: Column) -> DataFrame:
-    """brand, week_key, score, n_weeks, is_anomaly. Short histories have no score."""
+    """brand, week_key, spend_midpoint, n_weeks, score, is_anomaly. Short histories
+    have no score."""
     enough = F.col("n_weeks") >= MIN_WEEKS
     return scored.select(
-        "brand", "week_key", "n_weeks",
+        "brand", "week_key", "spend_midpoint", "n_weeks",
         F.when(enough, F.round("score", 4)).alias("score"),
         (enough & F.coalesce(odd, F.lit(False))).alias("is_anomaly"),
     )
@@ -60,7 +61,7 @@ def robust_anomaly(signals: DataFrame, channels: list[str] | None = None,
         z = (F.col(f) - F.avg(f).over(w)) / F.when(std == 0, 1.0).otherwise(std)
         parts.append(z * z)
     scored = weekly.select(
-        "brand", "week_key", F.count("*").over(w).alias("n_weeks"),
+        "brand", "week_key", "spend_midpoint", F.count("*").over(w).alias("n_weeks"),
         sum(parts[1:], parts[0]).alias("score"),
     )
     cut = F.percentile("score", 1 - contamination).over(w)
@@ -131,7 +132,7 @@ def forest_scores(x: np.ndarray, n_trees: int = N_TREES, seed: int = SEED) -> np
 
 def _score_brand(weeks: pd.DataFrame) -> pd.DataFrame:
     weeks = weeks.sort_values("week_key")
-    out = weeks[["brand", "week_key"]].copy()
+    out = weeks[["brand", "week_key", "spend_midpoint"]].copy()
     out["score"] = np.nan
     if len(weeks) >= MIN_WEEKS:
         x = weeks[FEATURES].to_numpy(dtype=float)
@@ -145,7 +146,7 @@ def isolation_scores(signals: DataFrame, channels: list[str] | None = None,
     """Forest score per brand and week, flagged below the contamination percentile."""
     weekly = fill_features(brand_weekly_features(signals, channels))
     scores = weekly.groupBy("brand").applyInPandas(
-        _score_brand, "brand string, week_key string, score double"
+        _score_brand, "brand string, week_key string, spend_midpoint double, score double"
     )
     return contamination_cut(scores, contamination)
 

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendtide.functions.calendar import lenient_date
-from spendtide.functions.numbers import money
+from spendtide.functions.numbers import amount, exact
 from spendtide.functions.text import sanitize
 
 # Columns to fill and what to fill them with.
@@ -44,8 +44,8 @@ def clean_nulls(df: DataFrame) -> DataFrame:
 
 def add_spend_midpoint(df: DataFrame) -> DataFrame:
     """Middle of the spend range per row; a missing bound counts as 0."""
-    lower, upper = money(F.col("spend_lower")), money(F.col("spend_upper"))
-    return df.withColumn("spend_midpoint", (lower + upper).cast("double") / 2)
+    both = exact(F.col("spend_lower")) + exact(F.col("spend_upper"))
+    return df.withColumn("spend_midpoint", amount(both) / 2)
 
 
 def sanitize_texts(df: DataFrame) -> DataFrame:

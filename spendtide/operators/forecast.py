@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendtide.functions.calendar import week_monday
+from spendtide.functions.numbers import amount
 from spendtide.operators.trend import (
     MIN_POINTS, PERIODS, SERIES, _shape, _summary, half_pct, weekly_series,
 )
@@ -87,7 +88,7 @@ def trend_forecast(signals: DataFrame, periods: int = PERIODS) -> DataFrame:
     series = weekly_series(signals).select(
         *SERIES,
         F.unix_date(week_monday(F.col("week_key"))).alias("day"),
-        F.col("spend").cast("double").alias("y"),
+        amount(F.col("spend")).alias("y"),
     )
     fitted = series.groupBy(*SERIES).applyInPandas(
         _forecaster(periods), "brand string, channel string, forecast array<double>"

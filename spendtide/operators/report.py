@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendtide.functions.labels import brand_slug
-from spendtide.functions.numbers import half_money
+from spendtide.functions.numbers import amount, exact
 from spendtide.operators.clean import filter_brand_channels
 from spendtide.operators.trend import recent_weeks, trend
 from spendtide.operators.weekly import top_n_per_key
@@ -17,17 +17,21 @@ PAGE = 100
 MAX_PAGE = 1000
 
 
+def _units() -> Column:
+    return F.sum(exact(F.col("spend_midpoint")))
+
+
 def _spend() -> Column:
-    return F.sum(half_money(F.col("spend_midpoint")))
+    return amount(_units())
 
 
 def channel_mix(signals: DataFrame, n: int = MIX_WEEKS) -> DataFrame:
     """Spend and percentage per channel over each brand's last n weeks."""
-    spent = recent_weeks(signals, n).groupBy("brand", "channel").agg(_spend().alias("spend"))
-    total = F.sum("spend").over(Window.partitionBy("brand")).cast("double")
-    pct = F.col("spend").cast("double") / F.when(total == 0, 1.0).otherwise(total) * 100
+    spent = recent_weeks(signals, n).groupBy("brand", "channel").agg(_units().alias("spend"))
+    total = amount(F.sum("spend").over(Window.partitionBy("brand")))
+    pct = amount(F.col("spend")) / F.when(total == 0, 1.0).otherwise(total) * 100
     return spent.select(
-        "brand", "channel", F.col("spend").cast("double").alias("spend"), F.round(pct, 1).alias("pct")
+        "brand", "channel", amount(F.col("spend")).alias("spend"), F.round(pct, 1).alias("pct")
     )
 
 
@@ -41,7 +45,7 @@ def weekly_totals(signals: DataFrame, n: int = TOTAL_WEEKS) -> DataFrame:
     """Total spend of each of the brand's last n weeks."""
     return (
         recent_weeks(signals, n).groupBy("brand", "week_key")
-        .agg(_spend().cast("double").alias("spend"))
+        .agg(_spend().alias("spend"))
     )
 
 
@@ -49,7 +53,7 @@ def tail_weeks(signals: DataFrame, brand: str, n: int = TOTAL_WEEKS) -> DataFram
     """One brand's last n weekly totals, newest first."""
     return (
         filter_brand_channels(signals, brand).groupBy("week_key")
-        .agg(_spend().cast("double").alias("spend"))
+        .agg(_spend().alias("spend"))
         .orderBy(F.desc("week_key")).limit(n)
     )
 
@@ -80,7 +84,7 @@ def dominant_trend(signals: DataFrame) -> DataFrame:
 def kpis(signals: DataFrame, brands: DataFrame | None = None) -> DataFrame:
     """Spend, ads, weeks and channels per brand; a brand without rows gets zeros."""
     out = signals.groupBy("brand").agg(
-        _spend().cast("double").alias("total_spend"),
+        _spend().alias("total_spend"),
         F.sum("ad_count").alias("total_ads"),
         F.count_distinct("week_key").alias("n_weeks"),
         F.count_distinct("channel").alias("n_channels"),
@@ -96,19 +100,19 @@ def weeks_analysed(signals: DataFrame) -> DataFrame:
 
 def trend_series(signals: DataFrame) -> DataFrame:
     """Points of the trend chart: spend per brand, channel and week."""
-    return signals.groupBy("brand", "channel", "week_key").agg(_spend().cast("double").alias("spend"))
+    return signals.groupBy("brand", "channel", "week_key").agg(_spend().alias("spend"))
 
 
 def trend_wide(signals: DataFrame, channels: list[str]) -> DataFrame:
     """The same points with one column per channel."""
-    return signals.groupBy("brand", "week_key").pivot("channel", channels).agg(_spend().cast("double"))
+    return signals.groupBy("brand", "week_key").pivot("channel", channels).agg(_spend())
 
 
 def wow_delta(signals: DataFrame) -> DataFrame:
     """Newest week against the one before it that has rows. Null without a positive base."""
     w = Window.partitionBy("brand").orderBy(F.desc("week_key"))
     weeks = signals.groupBy("brand", "week_key").agg(
-        _spend().cast("double").alias("spend"), F.sum("ad_count").alias("ads")
+        _spend().alias("spend"), F.sum("ad_count").alias("ads")
     )
     both = (
         weeks.withColumn("_rn", F.row_number().over(w)).filter("_rn <= 2")

@@ -4,24 +4,57 @@ Each part is grouped by brand, so the joins line up on that key. Lists and maps
 are bounded by channels and weeks.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendtide.operators.anomaly import anomaly_result, isolation_scores, robust_anomaly
+from spendtide.operators.anomaly import isolation_scores, robust_anomaly
 from spendtide.operators.clean import filter_brand_channels
 from spendtide.operators.forecast import trend_forecast
-from spendtide.operators.report import (
-    MIX_WEEKS, brand_top_themes, channel_mix, dominant, weekly_totals, weeks_analysed,
-)
-from spendtide.operators.trend import linear_forecast, week_ranks
+from spendtide.operators.report import MIX_WEEKS, TOTAL_WEEKS, brand_top_themes, channel_mix
+from spendtide.operators.trend import linear_forecast
 
 FORECASTERS = {"trend": trend_forecast, "linear": linear_forecast}
 DETECTORS = {"forest": isolation_scores, "robust": robust_anomaly}
 
 
-def _as_map(df: DataFrame, key: str, value: Column, name: str) -> DataFrame:
-    entry = F.struct(F.col(key).alias("key"), value.alias("value"))
-    return df.groupBy("brand").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias(name))
+def _channel_part(forecasts: DataFrame) -> DataFrame:
+    """Forecast details by channel, and the most common direction among them."""
+    details = F.struct(*[c for c in forecasts.columns if c not in ("brand", "channel")])
+    entry = F.struct("channel", details.alias("details"))
+
+    def votes(e, i):
+        way = e["details"]["trend_direction"]
+        same = F.size(F.filter(F.col("entries"), lambda x: x["details"]["trend_direction"] == way))
+        return F.struct(same.alias("n"), (-i).alias("early"), way.alias("way"))
+
+    per_brand = forecasts.groupBy("brand").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    return per_brand.select(
+        "brand",
+        F.map_from_entries("entries").alias("channel_forecasts"),
+        F.array_max(F.transform("entries", votes))["way"].alias("dominant_trend"),
+    )
+
+
+def _week_part(flags: DataFrame) -> DataFrame:
+    """Everything that reads a brand's weeks: totals, flags, scores, newest weeks.
+
+    The flags carry the weekly spend, so the weeks are aggregated only once.
+    """
+    newest = Window.partitionBy("brand").orderBy(F.desc("week_key"))
+    recency = F.col("recency")
+
+    def listed(keep: Column, value: Column) -> Column:
+        return F.array_sort(F.collect_list(F.when(keep, value)))
+
+    week = F.col("week_key")
+    return flags.withColumn("recency", F.row_number().over(newest)).groupBy("brand").agg(
+        F.count("*").alias("weeks_analysed"),
+        F.map_from_entries(listed(recency <= TOTAL_WEEKS, F.struct("week_key", "spend_midpoint"))).alias("weekly_deltas"),
+        listed(recency <= MIX_WEEKS, week).alias("recent_weeks"),
+        listed(F.col("is_anomaly"), week).alias("anomaly_weeks"),
+        F.map_from_entries(listed(F.col("score").isNotNull(), F.struct("week_key", "score"))).alias("anomaly_scores"),
+        F.count_if("is_anomaly").alias("n_anomalies"),
+    )
 
 
 def forecast_all(signals: DataFrame, channels: list[str] | None = None, forecaster: str = "trend") -> DataFrame:
@@ -60,21 +93,17 @@ def signal_summary(
     asked = (signals if brands is None else brands).select("brand").distinct()
     data = filter_brand_channels(signals, channels=channels)
 
-    forecasts = forecast_all(data, channels or None, forecaster)
-    details = F.struct(*[c for c in forecasts.columns if c not in ("brand", "channel")])
-    recent = week_ranks(data).filter(F.col("recency") <= MIX_WEEKS)
+    mix = channel_mix(data).groupBy("brand").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("channel", "pct")))).alias("channel_mix_pct")
+    )
     themes = brand_top_themes(data).groupBy("brand").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "theme"))), lambda e: e["theme"]).alias("top_themes")
     )
     parts = [
-        weeks_analysed(data),
-        dominant(forecasts).drop("n_channels"),
-        _as_map(forecasts, "channel", details, "channel_forecasts"),
-        _as_map(channel_mix(data), "channel", F.col("pct"), "channel_mix_pct"),
-        _as_map(weekly_totals(data), "week_key", F.col("spend"), "weekly_deltas"),
-        anomaly_result(DETECTORS[detector](data)).drop("features_used"),
+        _week_part(DETECTORS[detector](data)),
+        _channel_part(forecast_all(data, channels or None, forecaster)),
+        mix,
         themes,
-        recent.groupBy("brand").agg(F.array_sort(F.collect_list("week_key")).alias("recent_weeks")),
     ]
     out = asked
     for part in parts:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendtide.functions.calendar import week_monday
-from spendtide.functions.numbers import clamp_round, half_money, pct_change
+from spendtide.functions.numbers import amount, clamp_round, exact, pct_change
 
 SERIES = ["brand", "channel"]
 
@@ -27,25 +27,25 @@ def direction(pct: Column) -> Column:
 
 
 def weekly_series(signals: DataFrame) -> DataFrame:
-    """brand, channel, week_key, spend (exact decimal)."""
-    return signals.groupBy(*SERIES, "week_key").agg(F.sum(half_money(F.col("spend_midpoint"))).alias("spend"))
+    """brand, channel, week_key, spend (in exact units)."""
+    return signals.groupBy(*SERIES, "week_key").agg(F.sum(exact(F.col("spend_midpoint"))).alias("spend"))
 
 
 def _shape(signals: DataFrame) -> DataFrame:
     """One row per series: length, ends, the two half sums, the last weeks."""
     newest = Window.partitionBy(*SERIES).orderBy(F.desc("week_key"))
     rn = F.col("rn")
-    recent = F.when(rn <= N_ACTUALS, F.struct("week_key", F.round(F.col("spend").cast("double"), 2).alias("y")))
+    recent = F.when(rn <= N_ACTUALS, F.struct("week_key", F.round(amount(F.col("spend")), 2).alias("y")))
     return (
         weekly_series(signals)
         .withColumn("rn", F.row_number().over(newest))
         .groupBy(*SERIES)
         .agg(
             F.count("*").alias("n_weeks"),
-            F.min_by("spend", "week_key").cast("double").alias("first"),
-            F.max_by("spend", "week_key").cast("double").alias("last"),
-            F.sum(F.when(rn <= HALF, F.col("spend"))).cast("double").alias("recent_sum"),
-            F.sum(F.when((rn > HALF) & (rn <= 2 * HALF), F.col("spend"))).cast("double").alias("prior_sum"),
+            amount(F.min_by("spend", "week_key")).alias("first"),
+            amount(F.max_by("spend", "week_key")).alias("last"),
+            amount(F.sum(F.when(rn <= HALF, F.col("spend")))).alias("recent_sum"),
+            amount(F.sum(F.when((rn > HALF) & (rn <= 2 * HALF), F.col("spend")))).alias("prior_sum"),
             F.array_sort(F.collect_list(recent)).alias("tail"),
         )
     )
@@ -102,7 +102,7 @@ def ols_forecast(signals: DataFrame, periods: int = PERIODS) -> DataFrame:
     fit = (
         weekly_series(signals)
         .withColumn("i", F.row_number().over(w).cast("double"))
-        .withColumn("y", F.col("spend").cast("double"))
+        .withColumn("y", amount(F.col("spend")))
         .groupBy(*SERIES)
         .agg(
             F.count("*").alias("n_weeks"),

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendtide.functions.numbers import half_money, money, share
+from spendtide.functions.numbers import amount, exact, share
 from spendtide.operators.clean import UNKNOWN
 
 GRAIN = ["brand", "week_key", "channel", "region"]
@@ -22,8 +22,8 @@ def _base(creatives: DataFrame) -> DataFrame:
         F.col("is_active"),
         F.coalesce("impression_lower", F.lit(0)).cast("bigint").alias("impression_lower"),
         F.coalesce("impression_upper", F.lit(0)).cast("bigint").alias("impression_upper"),
-        money(F.col("spend_lower")).alias("spend_lower"),
-        money(F.col("spend_upper")).alias("spend_upper"),
+        exact(F.col("spend_lower")).alias("spend_lower"),
+        exact(F.col("spend_upper")).alias("spend_upper"),
     )
 
 
@@ -48,11 +48,11 @@ def _finish(exact: DataFrame, *lists: str) -> DataFrame:
     total = F.sum(both).over(Window.partitionBy(*BRAND_WEEK))
     return exact.select(
         *GRAIN, "ad_count", "active_ad_count", "impression_lower_sum", "impression_upper_sum",
-        F.col("spend_lower_sum").cast("double").alias("spend_lower_sum"),
-        F.col("spend_upper_sum").cast("double").alias("spend_upper_sum"),
-        (both.cast("double") / 2).alias("spend_midpoint"),
+        amount(F.col("spend_lower_sum")).alias("spend_lower_sum"),
+        amount(F.col("spend_upper_sum")).alias("spend_upper_sum"),
+        (amount(both) / 2).alias("spend_midpoint"),
         *lists,
-        share(both.cast("double"), total.cast("double")).alias("channel_share"),
+        share(amount(both), amount(total)).alias("channel_share"),
     )
 
 
@@ -155,9 +155,9 @@ def attach_total(signals: DataFrame) -> DataFrame:
     `channel_share` is the share of one channel in one region;
     `channel_share_total` adds up the channel's regions.
     """
-    spend = half_money(F.col("spend_midpoint"))
-    total = F.sum(spend).over(Window.partitionBy(*BRAND_WEEK)).cast("double")
-    channel = F.sum(spend).over(Window.partitionBy(*BRAND_WEEK, "channel")).cast("double")
+    spend = exact(F.col("spend_midpoint"))
+    total = amount(F.sum(spend).over(Window.partitionBy(*BRAND_WEEK)))
+    channel = amount(F.sum(spend).over(Window.partitionBy(*BRAND_WEEK, "channel")))
     return signals.withColumns({
         "brand_week_spend": total,
         "channel_share_total": share(channel, total),

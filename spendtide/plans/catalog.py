@@ -15,7 +15,7 @@ from spendtide.operators import anomaly, brief, clean, dedup, forecast, report,
 from spendtide.plans.starschema import creatives, table
 from spendtide.plans.weekly_run import weekly_run
 from spendtide.schemas import RAW_CREATIVES, WEEKLY_SIGNALS, conform
-from spendtide.session import shared_dir, staged
+from spendtide.session import shared_dir, spread, staged
 from spendtide.sources import archive, snapshots, tables, textfiles
 from spendtide.sources import creatives as docs
 from spendtide.streaming import feeds
@@ -92,14 +92,14 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 def smuggled(spark: SparkSession, sf: str) -> DataFrame:
     """Documents, whole, with invisible code points behind every comma and full stop."""
     t = F.replace(F.replace(F.col("text"), F.lit(", "), F.lit(f",{ZWSP} ")), F.lit(". "), F.lit(f".{TAG_A} "))
-    return table(spark, sf, "documents").select("doc_id", t.alias("text"))
+    return spread(table(spark, sf, "documents"), "doc_id").select("doc_id", t.alias("text"))
 
 
 def ads(spark: SparkSession, sf: str) -> DataFrame:
     """One archive ad per order line, as JSON, with the gaps and bad dates such ads have."""
     part = F.col("l_partkey")
     lines = (
-        table(spark, sf, "lineitem")
+        spread(table(spark, sf, "lineitem"), "l_orderkey")
         .join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     )
@@ -704,13 +704,13 @@ def isolation_scores(spark, sf):
 
 @query
 def contamination_cut(spark, sf):
-    scores = anomaly.robust_anomaly(signals(spark, sf)).select("brand", "week_key", (-F.col("score")).alias("score"))
+    scores = anomaly.robust_anomaly(signals(spark, sf)).withColumn("score", -F.col("score"))
     return anomaly.contamination_cut(scores).select("brand", "week_key", "is_anomaly")
 
 
 @query
 def robust_anomaly(spark, sf):
-    return anomaly.robust_anomaly(signals(spark, sf))
+    return anomaly.robust_anomaly(signals(spark, sf)).drop("spend_midpoint")
 
 
 def in_cents(totals: Column) -> Column:

@@ -54,3 +54,13 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     path = shared_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores on an input that has fewer splits than there are cores.
+
+    Such an input is small (at most one split per core), so moving it once is cheap
+    against leaving cores idle. Any larger input is returned as it is: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

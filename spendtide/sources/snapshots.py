@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendtide.functions.numbers import half_money, pct_change
+from spendtide.functions.numbers import amount, exact, pct_change
 
 LOG = "snapshot_id bigint, parent_id bigint, committed_at timestamp, operation string, added_records bigint"
 
@@ -91,11 +91,11 @@ def read_as_of(spark: SparkSession, root: str, snapshot_id: int | None = None, r
 def snapshot_diff(previous: DataFrame, current: DataFrame) -> DataFrame:
     """Total spend per brand in both snapshots, change and percent; no rows count as 0."""
     def total(df: DataFrame, prev: int) -> DataFrame:
-        return df.select("brand", F.lit(prev).alias("is_prev"), half_money(F.col("spend_midpoint")).alias("spend"))
+        return df.select("brand", F.lit(prev).alias("is_prev"), exact(F.col("spend_midpoint")).alias("spend"))
 
     both = total(previous, 1).unionAll(total(current, 0)).groupBy("brand").agg(
         *[
-            F.coalesce(F.sum(F.when(F.col("is_prev") == k, F.col("spend"))).cast("double"), F.lit(0.0)).alias(n)
+            F.coalesce(amount(F.sum(F.when(F.col("is_prev") == k, F.col("spend")))), F.lit(0.0)).alias(n)
             for k, n in ((1, "spend_prev"), (0, "spend_cur"))
         ]
     )

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from spendtide.functions.calendar import iso_week_key
-from spendtide.functions.numbers import money
+from spendtide.functions.numbers import amount, exact
 from spendtide.operators.dedup import KEY, new_rows
 from spendtide.operators.weekly import weekly_signals
 from spendtide.session import staged
@@ -38,16 +38,16 @@ def stream_weekly_signals(creatives: DataFrame, event_time: Column, delay: str =
         .agg(
             F.count("*").alias("ad_count"),
             F.count_if("is_active").alias("active_ad_count"),
-            F.sum(money(F.col("spend_lower"))).alias("spend_lower_sum"),
-            F.sum(money(F.col("spend_upper"))).alias("spend_upper_sum"),
+            F.sum(exact(F.col("spend_lower"))).alias("spend_lower_sum"),
+            F.sum(exact(F.col("spend_upper"))).alias("spend_upper_sum"),
         )
         .select(
             F.to_date("window.start").alias("monday"),
             iso_week_key(F.to_date("window.start")).alias("week_key"),
             "brand", "channel", "region", "ad_count", "active_ad_count",
-            F.col("spend_lower_sum").cast("double").alias("spend_lower_sum"),
-            F.col("spend_upper_sum").cast("double").alias("spend_upper_sum"),
-            ((F.col("spend_lower_sum") + F.col("spend_upper_sum")).cast("double") / 2).alias("spend_midpoint"),
+            amount(F.col("spend_lower_sum")).alias("spend_lower_sum"),
+            amount(F.col("spend_upper_sum")).alias("spend_upper_sum"),
+            (amount(F.col("spend_lower_sum") + F.col("spend_upper_sum")) / 2).alias("spend_midpoint"),
         )
     )
 
