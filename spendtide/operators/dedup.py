@@ -29,7 +29,8 @@ def new_rows(batch: DataFrame, target: DataFrame, keys: list[str] = KEY) -> Data
 
     The target is first cut down to the keys the batch also has. That side of the
     join has no more rows than the batch, so when the batch is small the planner
-    broadcasts it and the target is read without a shuffle.
+    broadcasts it and the target is read without a shuffle. The target is taken to
+    hold each key once, as this kind of loading leaves it.
     """
     asked = batch.select(*keys).distinct()
     known = target.select(*keys).join(asked, keys, "left_semi")

@@ -10,11 +10,11 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spendtide import schemas
 from spendtide.functions import calendar, labels, numbers, text
 from spendtide.operators import anomaly, brief, clean, dedup, forecast, report, summary, trend, weekly
 from spendtide.plans.starschema import creatives, table
 from spendtide.plans.weekly_run import weekly_run
-from spendtide.schemas import RAW_CREATIVES, WEEKLY_SIGNALS, conform
 from spendtide.session import shared_dir, spread, staged
 from spendtide.sources import archive, snapshots, tables, textfiles
 from spendtide.sources import creatives as docs
@@ -126,7 +126,7 @@ def ads(spark: SparkSession, sf: str) -> DataFrame:
     )
     return lines.select(
         F.concat(F.initcap("c_mktsegment"), F.lit(" co-op")).alias("brand"),
-        (F.col("l_linenumber") - 1).cast("bigint").alias("page_index"),
+        ((F.col("l_linenumber") - 1) * 3).cast("bigint").alias("page_index"),
         F.to_json(ad).alias("json"),
     )
 
@@ -145,6 +145,11 @@ def new(df: DataFrame) -> DataFrame:
     return df.filter(F.col("week_key") >= SPLIT_WEEK)
 
 
+def stored_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys of a target that was loaded with the old weeks; each once, as loading leaves it."""
+    return old(creatives(spark, sf)).select(*dedup.KEY).distinct()
+
+
 def steps(df: DataFrame) -> DataFrame:
     """Forecast lists as rows."""
     return df.select("brand", "channel", F.posexplode("forecast").alias("pos", "value")).select(
@@ -188,7 +193,7 @@ def explode_ad_pages(spark, sf):
             archive.ARCHIVE_PAGE,
         ).alias("page"),
     ).select("brand", "page_index", "page.data", "page.paging")
-    return archive.explode_ad_pages(pages, max_pages=4).select(
+    return archive.explode_ad_pages(pages).select(
         "brand", "page_index", F.col("ad.id").alias("id"), F.size("ad.publisher_platforms").cast("bigint").alias("n_platforms")
     )
 
@@ -202,13 +207,13 @@ def relabel_search_source(spark, sf):
 @query
 def insert_only_upsert(spark, sf):
     batch = creatives(spark, sf)
-    return shown(dedup.new_rows(batch, old(batch)))
+    return shown(dedup.new_rows(batch, stored_keys(spark, sf)))
 
 
 @query
 def upsert_counts(spark, sf):
     batch = creatives(spark, sf)
-    return dedup.upsert_counts(batch, old(batch))
+    return dedup.upsert_counts(batch, stored_keys(spark, sf))
 
 
 @query
@@ -250,10 +255,21 @@ def overwrite_or_append(spark, sf):
 
 
 @query
-def conform_signals(spark, sf):
+def conform(spark, sf):
     s = signals(spark, sf)
     odd = s.select(F.col("ad_count").cast("string").alias("ad_count"), *reversed([c for c in s.columns if c != "ad_count"]))
-    return rounded(shown(conform(odd, WEEKLY_SIGNALS)))
+    return rounded(shown(schemas.conform(odd, schemas.WEEKLY_SIGNALS)))
+
+
+@query
+def create_table(spark, sf):
+    path = shared_dir(spark, "catalog")
+    name = f"signals_{path[-32:]}"
+    facts = schemas.conform(full_signals(spark, sf), schemas.WEEKLY_SIGNALS)
+    tables.append_rows(facts, path)
+    tables.create_table(spark, name, schemas.WEEKLY_SIGNALS, path, by="year")
+    spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
+    return spark.table(name).groupBy("brand", "yr").agg(F.count("*").alias("n"), F.sum("ad_count").alias("ads"))
 
 
 def committed(spark: SparkSession, sf: str) -> str:
@@ -373,8 +389,7 @@ def recent_weeks_semi(spark, sf):
 
 @query
 def anti_existing(spark, sf):
-    c = creatives(spark, sf)
-    return dedup.new_rows(c, old(c)).select(*dedup.KEY)
+    return dedup.new_rows(creatives(spark, sf), stored_keys(spark, sf)).select(*dedup.KEY)
 
 
 @query
@@ -474,7 +489,7 @@ def sorted_dims(spark, sf):
 
 @query
 def load_counts(spark, sf):
-    counts = weekly_run(conform(documents(spark, sf), RAW_CREATIVES), shared_dir(spark, "raw"), shared_dir(spark, "signals"))
+    counts = weekly_run(docs.load_creatives(documents(spark, sf)), shared_dir(spark, "raw"), shared_dir(spark, "signals"))
     return spark.createDataFrame([tuple(counts.values())], ", ".join(f"{k} bigint" for k in counts))
 
 
@@ -557,7 +572,8 @@ def union_sources(spark, sf):
         c.filter(F.col("source") == "google").drop("currency"),
         c.filter(F.col("source") == "synthetic"),
     ]
-    return dedup.union_sources(*parts).select("source_id", "source", "platform", "currency", "week_key")
+    every = dedup.union_sources(*parts).select(*c.columns)
+    return dedup.first_per_key(every).select("source_id", "source", "platform", "currency", "week_key")
 
 
 # ---- scalar functions -----------------------------------------------------------------

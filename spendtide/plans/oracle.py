@@ -184,7 +184,7 @@ hits AS (
 ADS = """ads AS (
   SELECT l_orderkey || '-' || l_linenumber AS id,
     upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) || ' co-op' AS term, c_name || ' offer' AS ad_text,
-    CAST(l_linenumber - 1 AS BIGINT) AS page_index,
+    CAST((l_linenumber - 1) * 3 AS BIGINT) AS page_index,
     CASE WHEN l_partkey % 7 <> 0 AND l_partkey % 11 <> 0 THEN CAST(o_orderdate AS DATE) ELSE DATE '2001-01-01' END AS started,
     CASE WHEN l_linestatus = 'F' THEN CAST(l_shipdate AS DATE) END AS stopped,
     CASE WHEN l_partkey % 13 <> 0 THEN CAST(l_quantity * 1000 AS BIGINT) ELSE 0 END AS impression_lower,
@@ -249,7 +249,7 @@ ORDER BY ingested_at DESC, source_id, source, {ORDER.replace('NULLS LAST', 'NULL
   stopped IS NULL AS is_active, currency, 'US' AS region, '' AS creative_themes,
   '2001-01-01 00:00:00' AS ingested_at, strftime(started, '%G-W%V') AS week_key FROM ads""",
     "explode_ad_pages": f"""WITH {ADS} SELECT term AS brand, page_index, id,
-  CAST(n_platforms AS BIGINT) AS n_platforms FROM ads, (SELECT unnest([1, 2])) copies WHERE page_index < 4""",
+  CAST(n_platforms AS BIGINT) AS n_platforms FROM ads, (SELECT unnest([1, 2])) copies WHERE page_index < 16""",
     "relabel_search_source": f"""WITH {CREATIVES} SELECT source_id,
   CASE WHEN channel IN ('search', 'video', 'display') THEN 'google' ELSE source END AS source, channel,
   CASE WHEN channel IN ('search', 'video', 'display') THEN
@@ -265,8 +265,10 @@ SELECT count(*) AS upserted, CAST(0 AS BIGINT) AS modified, CAST(0 AS BIGINT) AS
         ad_count="CASE WHEN week_key BETWEEN '1998-W10' AND '1998-W20' THEN ad_count + 1000 ELSE ad_count END AS ad_count")} FROM facts""",
     "overwrite_or_append": f"""WITH {FACTS} SELECT brand, week_key, channel, region, ad_count, spend_midpoint
 FROM facts, (SELECT unnest([1, 2])) copies""",
-    "conform_signals": f"""WITH {FACTS} SELECT {FACT}, CAST(NULL AS VARCHAR) AS top_ctas, CAST(NULL AS VARCHAR) AS top_themes,
+    "conform": f"""WITH {FACTS} SELECT {FACT}, CAST(NULL AS VARCHAR) AS top_ctas, CAST(NULL AS VARCHAR) AS top_themes,
   CAST(NULL AS VARCHAR) AS etl_timestamp FROM facts""",
+    "create_table": f"""WITH {FACTS} SELECT brand, substr(week_key, 1, 4) AS yr, count(*) AS n, CAST(sum(ad_count) AS BIGINT) AS ads
+FROM facts GROUP BY ALL""",
     "list_snapshots": f"""WITH {FACTS} SELECT 'brand_weekly_signals' AS "table", CAST(1 AS BIGINT) AS snapshot_id,
   '978307200000' AS committed_at, 'overwrite' AS operation, count(*) AS added_records FROM facts WHERE week_key < '1998-W01'
 UNION ALL SELECT 'brand_weekly_signals', 2, '978393600000', 'append', count(*) FROM facts WHERE week_key >= '1998-W01'""",
@@ -366,8 +368,8 @@ FROM (SELECT brand, channel, unnest(creative_themes) AS theme FROM creatives) GR
     "mix_desc": f"""WITH {FACTS}, {mix()} SELECT *, row_number() OVER (PARTITION BY brand ORDER BY pct DESC, channel) AS rank FROM mix""",
     "tail_weeks": f"""WITH {FACTS} SELECT week_key, {SPEND} AS spend FROM facts WHERE brand = 'building'
 GROUP BY week_key ORDER BY week_key DESC LIMIT 8""",
-    "union_sources": f"""WITH {CREATIVES} SELECT source_id, source, CASE WHEN source <> 'meta' THEN platform END AS platform,
-  CASE WHEN source <> 'google' THEN currency END AS currency, week_key FROM creatives""",
+    "union_sources": f"""WITH {CREATIVES}, {FIRST} SELECT source_id, source, CASE WHEN source <> 'meta' THEN platform END AS platform,
+  CASE WHEN source <> 'google' THEN currency END AS currency, week_key FROM first_docs""",
     "iso_week_key": "SELECT o_orderkey, strftime(o_orderdate, '%G-W%V') AS week_key FROM orders",
     "week_key_to_monday": "SELECT o_orderkey, strftime(date_trunc('week', o_orderdate), '%Y-%m-%d') AS monday FROM orders",
     "monday_to_key": f"""WITH {CREATIVES} SELECT DISTINCT week_key, strftime(date_trunc('week', started_running), '%Y-%m-%d') AS monday,

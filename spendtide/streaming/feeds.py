@@ -20,9 +20,12 @@ from spendtide.sources.tables import exists, overwrite_weeks, stored_schema, tou
 WEEK, TO_MONDAY = "7 days", "4 days"
 
 
-def landed(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Stream of Parquet files as they land."""
-    return spark.readStream.schema(schema).parquet(path)
+def landed(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
+    """Stream of Parquet files as they land; a large backlog can be cut into batches."""
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(path)
 
 
 def stream_weekly_signals(creatives: DataFrame, event_time: Column, delay: str = "14 days") -> DataFrame:

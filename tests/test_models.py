@@ -9,6 +9,8 @@ from conftest import weeks
 from pyspark.sql import functions as F
 
 from spendtide.operators import anomaly, brief, forecast, summary
+from spendtide.plans.briefs import saved_briefs
+from spendtide.session import shared_dir
 
 
 def history(n, brand="acme", seed=0, spike=None, channels=("display", "video", "social")):
@@ -41,13 +43,25 @@ def test_change_of_slope_is_followed():
     assert got[0] == pytest.approx(500 + 300 - 5 * 30, rel=0.05)
 
 
-def test_fit_is_the_mode_of_its_posterior():
-    """No nearby point of the penalised least squares is better."""
+def test_noise_is_smoothed():
     rng = np.random.default_rng(1)
     t = np.arange(40.0)
-    y = 1000 + 20 * t + rng.normal(0, 80, 40)
-    flat = forecast.fit_trend(t, y, t)
-    assert np.abs(flat - (1000 + 20 * t)).mean() < 60
+    got = forecast.fit_trend(t, 1000 + 20 * t + rng.normal(0, 80, 40), t)
+    assert np.abs(got - (1000 + 20 * t)).mean() < 60
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_sparse_mode_meets_the_optimality_conditions(seed):
+    rng = np.random.default_rng(seed)
+    t = np.linspace(0, 1, 60)
+    x = np.column_stack([np.ones(60), t, np.maximum(0, t[:, None] - t[1:48:2])])
+    a, rhs = x.T @ x + np.diag([1e-3, 1e-3] + [0] * 24), x.T @ (np.cumsum(rng.normal(0, 0.1, 60)) + 1)
+    cost = np.array([0.0, 0.0] + [10 ** rng.uniform(-4, 0)] * 24)
+    theta = forecast._sparse_mode(a, rhs, cost, np.zeros(26))
+    slope = a @ theta - rhs
+    on = theta != 0
+    assert np.abs(slope[on] + cost[on] * np.sign(theta[on])).max() < 1e-6
+    assert (np.abs(slope[~on]) <= cost[~on] + 1e-6).all()
 
 
 def test_constant_zero_and_short_series():
@@ -222,3 +236,19 @@ def test_briefs(summed):
     assert set(rows) == {"acme", "zeta"}
     assert rows["acme"].brief == "A brief." and rows["acme"].weeks_analysed == 20
     assert rows["zeta"].anomaly_weeks == []
+
+
+def test_saved_briefs(spark, summed):
+    path = shared_dir(spark, "briefs")
+
+    def says(text):
+        return lambda prompt, role: text
+
+    def briefs(df):
+        return {r.brand: r.brief for r in df.collect()}
+
+    only_acme = summed.filter("brand = 'acme'")
+    assert briefs(saved_briefs(only_acme, path, 1, says("one"))) == {"acme": "one"}
+    assert briefs(saved_briefs(summed, path, 1, says("two"))) == {"acme": "one", "zeta": "two"}
+    assert briefs(saved_briefs(summed, path, 1, says("three"), refresh=True)) == {"acme": "three", "zeta": "three"}
+    assert briefs(saved_briefs(only_acme, path, 2, says("four"))) == {"acme": "four"}

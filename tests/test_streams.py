@@ -58,13 +58,14 @@ def test_upsert_sink(spark, creatives):
     more = creatives([dict(source_id=str(i), week_key=weeks(8)[i % 8], spend_upper=10.0) for i in range(30, 48)])
 
     def run(checkpoint):
-        feeds.upsert_to_tables(feeds.landed(spark, inbox, first.schema), raw, facts, checkpoint).awaitTermination()
+        feeds.upsert_to_tables(feeds.landed(spark, inbox, first.schema, 1), raw, facts, checkpoint).awaitTermination()
         schema = weekly.weekly_signals(first).schema
         return sorted(map(str, tables.read_table(spark, facts, schema).collect()))
 
     land(first, inbox)
     run(mark)
     land(more, inbox)
+    land(first.limit(5), inbox)
     got = run(mark)
     want = creatives([dict(source_id=str(i), week_key=weeks(8)[i % 8], spend_upper=10.0) for i in range(48)])
     assert got == sorted(map(str, weekly.weekly_signals(want).select(*tables.read_table(spark, facts, weekly.weekly_signals(want).schema).columns).collect()))
