@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spendtide.functions.numbers import amount, exact
 from spendtide.operators.clean import filter_brand_channels
+from spendtide.session import task_count
 
 # Features in order, history needed, forest settings.
 FEATURES = ["spend_midpoint", "channel_share", "active_ad_count", "impression_upper_sum"]
@@ -144,7 +145,9 @@ def _score_brand(weeks: pd.DataFrame) -> pd.DataFrame:
 def isolation_scores(signals: DataFrame, channels: list[str] | None = None,
                      contamination: float = CONTAMINATION) -> DataFrame:
     """Forest score per brand and week, flagged below the contamination percentile."""
-    weekly = fill_features(brand_weekly_features(signals, channels))
+    weekly = fill_features(brand_weekly_features(signals, channels)).repartition(
+        task_count(signals.sparkSession), "brand"
+    )
     scores = weekly.groupBy("brand").applyInPandas(
         _score_brand, "brand string, week_key string, spend_midpoint double, score double"
     )

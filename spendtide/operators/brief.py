@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spendtide.functions.numbers import fixed1
 from spendtide.functions.text import sanitize
+from spendtide.session import task_count
 
 # Labels and stand-in words of the context text.
 CONTEXT = (
@@ -90,7 +91,7 @@ def generate_briefs(contexts: DataFrame, writer: Callable[[str, str], str]) -> D
     """brand, brief: `writer(prompt, role)` called once per brand with data.
 
     A failed call becomes a text that says so. Brands without data keep their notice
-    and cause no call.
+    and cause no call. Calls are slow, so brands are spread over all tasks.
     """
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def one(prompt: str | None, context: str) -> str:
@@ -105,7 +106,8 @@ def generate_briefs(contexts: DataFrame, writer: Callable[[str, str], str]) -> D
             briefs = [one(p, c) for p, c in zip(b["prompt"], b["context"], strict=True)]
             yield pd.DataFrame({"brand": b["brand"], "brief": briefs})
 
-    return contexts.select("brand", "prompt", "context").mapInPandas(write, "brand string, brief string")
+    spaced = contexts.select("brand", "prompt", "context").repartition(task_count(contexts.sparkSession), "brand")
+    return spaced.mapInPandas(write, "brand string, brief string")
 
 
 def brief_response(summary: DataFrame, briefs: DataFrame) -> DataFrame:

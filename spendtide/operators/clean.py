@@ -3,7 +3,6 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendtide.functions.calendar import lenient_date
 from spendtide.functions.numbers import amount, exact
 from spendtide.functions.text import sanitize
 
@@ -16,16 +15,16 @@ UNKNOWN = "unknown"
 def cast_dates(df: DataFrame) -> DataFrame:
     """Text dates to date and timestamp. A bad text becomes null; its row stays."""
     return df.withColumns({
-        "started_running": lenient_date(F.col("started_running").cast("string")),
-        "stopped_running": lenient_date(F.col("stopped_running").cast("string")),
+        "started_running": F.try_to_date(F.col("started_running").cast("string")),
+        "stopped_running": F.try_to_date(F.col("stopped_running").cast("string")),
         "ingested_at": F.try_to_timestamp(F.col("ingested_at").cast("string")),
     })
 
 
 def bad_dates(df: DataFrame) -> DataFrame:
-    """How many non-empty date texts `cast_dates` could not read, per column."""
+    """How many date texts `cast_dates` could not read, per column."""
     unread = [
-        F.count_if(F.col(c).isNotNull() & lenient_date(F.col(c).cast("string")).isNull()).alias(c)
+        F.count_if(F.col(c).isNotNull() & F.try_to_date(F.col(c).cast("string")).isNull()).alias(c)
         for c in ("started_running", "stopped_running")
     ]
     at = F.col("ingested_at")

@@ -37,15 +37,24 @@ def new_rows(batch: DataFrame, target: DataFrame, keys: list[str] = KEY) -> Data
     return first_per_key(batch, keys).join(known, keys, "left_anti")
 
 
-def upsert_counts(batch: DataFrame, target: DataFrame, keys: list[str] = KEY) -> DataFrame:
-    """One row: upserted, modified, errors. Existing keys are never changed;
-    a row that lacks part of its key cannot be stored and counts as an error."""
+def upsert_counts(batch: DataFrame, target: DataFrame, by: list[str] | None = None, keys: list[str] = KEY) -> DataFrame:
+    """upserted, modified, errors: in one row, or one per value of the columns `by`.
+
+    Existing keys are never changed; a row that lacks part of its key cannot be stored
+    and counts as an error.
+    """
+    by = by or []
     whole = F.lit(True)
     for k in keys:
         whole = whole & F.col(k).isNotNull()
-    stored = new_rows(batch.filter(whole), target, keys).select(F.lit(1).alias("up"), F.lit(0).alias("err"))
-    refused = batch.filter(~whole).select(F.lit(0).alias("up"), F.lit(1).alias("err"))
-    return stored.unionAll(refused).agg(
+
+    def marked(df: DataFrame, up: int, err: int) -> DataFrame:
+        return df.select(*by, F.lit(up).alias("up"), F.lit(err).alias("err"))
+
+    outcomes = marked(new_rows(batch.filter(whole), target, keys), 1, 0).unionAll(marked(batch.filter(~whole), 0, 1))
+    if by:  # a group that stored nothing still has its row
+        outcomes = outcomes.unionAll(marked(batch.select(*by).distinct(), 0, 0))
+    return outcomes.groupBy(*by).agg(
         F.coalesce(F.sum("up"), F.lit(0)).cast("bigint").alias("upserted"),
         F.lit(0).cast("bigint").alias("modified"),
         F.coalesce(F.sum("err"), F.lit(0)).cast("bigint").alias("errors"),

@@ -16,6 +16,7 @@ from spendtide.functions.numbers import amount
 from spendtide.operators.trend import (
     MIN_POINTS, PERIODS, SERIES, _shape, _summary, half_pct, weekly_series,
 )
+from spendtide.session import task_count
 
 # Priors, change points, and the day the first step lands on.
 CHANGE_POINTS = 25
@@ -120,7 +121,7 @@ def trend_forecast(signals: DataFrame, periods: int = PERIODS) -> DataFrame:
         *SERIES,
         F.unix_date(week_monday(F.col("week_key"))).alias("day"),
         amount(F.col("spend")).alias("y"),
-    )
+    ).repartition(task_count(signals.sparkSession), *SERIES)
     fitted = series.groupBy(*SERIES).applyInPandas(
         _forecaster(periods), "brand string, channel string, forecast array<double>"
     )

@@ -216,6 +216,11 @@ def upsert_counts(spark, sf):
     return dedup.upsert_counts(batch, stored_keys(spark, sf))
 
 
+@query
+def upsert_counts_by_brand(spark, sf):
+    return dedup.upsert_counts(creatives(spark, sf), stored_keys(spark, sf), ["brand"])
+
+
 @query
 def new_docs_since(spark, sf):
     events = table(spark, sf, "events")

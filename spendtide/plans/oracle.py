@@ -259,6 +259,9 @@ ORDER BY ingested_at DESC, source_id, source, {ORDER.replace('NULLS LAST', 'NULL
     "insert_only_upsert": f"WITH {CREATIVES}, {FIRST}, {NEW} SELECT {SHOWN} FROM added",
     "upsert_counts": f"""WITH {CREATIVES}, {FIRST}, {NEW}
 SELECT count(*) AS upserted, CAST(0 AS BIGINT) AS modified, CAST(0 AS BIGINT) AS errors FROM added""",
+    "upsert_counts_by_brand": f"""WITH {CREATIVES}, {FIRST}, {NEW}
+SELECT brand, (SELECT count(*) FROM added a WHERE a.brand = b.brand) AS upserted, CAST(0 AS BIGINT) AS modified,
+  CAST(0 AS BIGINT) AS errors FROM (SELECT DISTINCT brand FROM creatives) b""",
     "new_docs_since": "SELECT count(*) AS new_docs FROM events",
     "append_raw": f"WITH {CREATIVES} SELECT {SHOWN} FROM creatives",
     "overwrite_partitions": f"""WITH {FACTS} SELECT {FACT_COLS.format(

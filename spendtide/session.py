@@ -56,6 +56,15 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def task_count(spark: SparkSession) -> int:
+    """Tasks for a step whose cost is time per row, not bytes.
+
+    Adaptive execution merges partitions by size, which would leave such a step with
+    few tasks; a stated number is kept.
+    """
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Use all cores on an input that has fewer splits than there are cores.
 

@@ -1,11 +1,12 @@
 """Creative documents as a 20-column frame."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendtide.functions.labels import SEARCH_CHANNELS, brand_slug, search_platform
 from spendtide.schemas import RAW_CREATIVES, conform
+from spendtide.session import task_count
 
 # Fixed value: documents per brand read by default.
 BRAND_LIMIT = 50_000
@@ -35,11 +36,23 @@ def parse_documents(df: DataFrame, json: str) -> DataFrame:
 
 
 def brand_recent_creatives(df: DataFrame, brand: str, limit: int = BRAND_LIMIT) -> DataFrame:
-    """The brand's newest documents, newest first, ties by id."""
+    """The brand's newest documents, newest first, ties by id.
+
+    A plain limit of this size would send that many rows of every input split to one
+    task. So groups of splits are cut to the limit first, in parallel.
+    """
+    first = ("ingested_at", "source_id", "source")
+    order = [F.desc_nulls_last("ingested_at"), F.asc("source_id"), F.asc("source")]
+    order += [F.asc(c) for c in df.columns if c not in first]
+    group = F.pmod(F.spark_partition_id(), F.lit(task_count(df.sparkSession)))
+    w = Window.partitionBy("_group").orderBy(*order)
     return (
         df.filter(F.col("brand") == brand_slug(F.lit(brand)))
-        .orderBy(F.desc_nulls_last("ingested_at"), F.asc("source_id"), F.asc("source"),
-                 *[F.asc(c) for c in df.columns if c not in ("ingested_at", "source_id", "source")])
+        .withColumn("_group", group)
+        .withColumn("_rn", F.row_number().over(w))
+        .filter(F.col("_rn") <= limit)
+        .drop("_group", "_rn")
+        .orderBy(*order)
         .limit(limit)
     )
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendtide.functions.calendar import week_year
-from spendtide.operators.dedup import KEY, new_rows
+from spendtide.operators.dedup import KEY, first_per_key, new_rows
 from spendtide.session import staged
 
 # Partition columns of the two layouts.
@@ -82,14 +82,17 @@ def overwrite_weeks(df: DataFrame, path: str, by: str = "year") -> None:
 
 
 def insert_only(df: DataFrame, path: str, keys: list[str] = KEY, by: str = "year") -> DataFrame:
-    """Append the rows whose key the table lacks; returns them, staged.
+    """Append the rows whose key the table lacks; returns them, as written.
 
-    A second load of the same batch appends nothing.
+    A second load of the same batch appends nothing. A first load is written once,
+    straight into the table.
     """
     spark = df.sparkSession
+    if not exists(spark, path):
+        append_rows(first_per_key(df, keys), path, by)
+        return read_table(spark, path, df.schema, by)
     batch = staged(df, "batch")
-    target = read_table(spark, path, batch.schema, by) if exists(spark, path) else batch.limit(0)
-    added = staged(new_rows(batch, target, keys), "added")
+    added = staged(new_rows(batch, read_table(spark, path, batch.schema, by), keys), "added")
     append_rows(added, path, by)
     return added
 

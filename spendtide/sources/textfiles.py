@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendtide.functions.text import scan_invisible
+from spendtide.session import task_count
 
 # File extensions to scan and folders to leave out.
 TEXT_EXTENSIONS = [
@@ -72,9 +73,10 @@ def text_files(spark: SparkSession, root: str) -> DataFrame:
                     continue
                 yield pd.DataFrame({"file": [os.path.relpath(path, base)], "text": [text]})
 
-    entries = spark.createDataFrame(top, "path string, is_dir boolean").repartition(max(len(top), 1))
-    paths = entries.mapInPandas(walk, "path string")
-    return paths.repartition("path").mapInPandas(read, "file string, text string")
+    n = task_count(spark)
+    entries = spark.createDataFrame(top, "path string, is_dir boolean").repartition(min(len(top) + 1, n))
+    paths = entries.mapInPandas(walk, "path string").repartition(n, "path")
+    return paths.mapInPandas(read, "file string, text string")
 
 
 def scan_text_files(spark: SparkSession, root: str) -> DataFrame:

@@ -39,6 +39,16 @@ def test_recent_documents(creatives):
     assert docs.brand_recent_creatives(df, "acme").count() == 4
 
 
+def test_recent_documents_are_cut_in_parallel(creatives):
+    rng = random.Random(1)
+    days = [f"2024-01-{rng.randint(1, 28):02d}" for _ in range(500)]
+    df = creatives([dict(ingested_at=d) for d in days]).repartition(7)
+    got = docs.brand_recent_creatives(df, "acme", 60)
+    want = sorted(((d, str(i)) for i, d in enumerate(days)), key=lambda e: (-int(e[0][-2:]), e[1]))[:60]
+    assert plan(got).count("WindowGroupLimit") == 2
+    assert [(r.ingested_at, r.source_id) for r in got.collect()] == want
+
+
 def test_relabel(creatives):
     df = creatives([dict(channel=c, platform="p") for c in ("search", "social", "video", "display", "ctv")])
     rows = {r.channel: r for r in docs.relabel_search_source(df).collect()}
@@ -141,6 +151,9 @@ def test_counts(creatives):
     target = creatives([dict(source_id="3"), dict(source_id="3"), dict(source_id="4")])
     assert tuple(dedup.upsert_counts(batch, target).first()) == (2, 0, 1)
     assert tuple(dedup.upsert_counts(batch.limit(0), target).first()) == (0, 0, 0)
+    both = batch.unionAll(creatives([dict(brand="b", source_id="4")]))
+    got = {r.brand: tuple(r)[1:] for r in dedup.upsert_counts(both, target, ["brand"]).collect()}
+    assert got == {"acme": (2, 0, 1), "b": (0, 0, 0)}
 
 
 def test_union_fills_missing_columns(creatives):
@@ -256,6 +269,13 @@ def test_diffs(signals):
 # ---- the run --------------------------------------------------------------------------
 
 
+def test_weekly_run_without_documents(spark, creatives):
+    raw, facts = shared_dir(spark, "raw"), shared_dir(spark, "facts")
+    nothing = creatives([dict()]).limit(0)
+    assert weekly_run(nothing, raw, facts) == dict(docs_read=0, raw_rows=0, signal_rows=0)
+    assert weekly_run(creatives([dict()]), raw, facts) == dict(docs_read=1, raw_rows=1, signal_rows=1)
+
+
 def test_weekly_run_twice_then_more(spark, creatives):
     raw, facts = shared_dir(spark, "raw"), shared_dir(spark, "facts")
     rows = [dict(source_id=str(i % 30), week_key=weeks(6)[i % 6], spend_upper=10.0, ad_text="x\u200b", cta="Go") for i in range(60)]
@@ -263,10 +283,27 @@ def test_weekly_run_twice_then_more(spark, creatives):
     assert weekly_run(batch, raw, facts) == dict(docs_read=60, raw_rows=30, signal_rows=6)
     schema = weekly.weekly_signals(batch).schema
     before = sorted(map(str, tables.read_table(spark, facts, schema).collect()))
-    assert weekly_run(batch, raw, facts)["raw_rows"] == 0
+    assert weekly_run(batch, raw, facts) == dict(docs_read=60, raw_rows=0, signal_rows=6)
     assert sorted(map(str, tables.read_table(spark, facts, schema).collect())) == before
     assert weekly_run(creatives([dict(source_id="new", week_key=weeks(6)[2], spend_upper=90.0)]), raw, facts) == dict(
         docs_read=1, raw_rows=1, signal_rows=1)
     got = {r.week_key: (r.ad_count, r.spend_midpoint) for r in tables.read_table(spark, facts, schema).collect()}
     assert got == {w: (6, 70.0) if i == 2 else (5, 25.0) for i, w in enumerate(weeks(6))}
     assert {r.ad_text for r in spark.read.parquet(raw).select("ad_text").distinct().collect()} == {"x", None}
+
+
+def test_run_cut_short_is_mended(spark, creatives, monkeypatch):
+    import spendtide.plans.weekly_run as run
+
+    raw, facts = shared_dir(spark, "raw"), shared_dir(spark, "facts")
+    batch = creatives([dict(source_id=str(i), week_key=w) for i, w in enumerate(weeks(3))])
+
+    def fail(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(run, "overwrite_weeks", fail)
+        with pytest.raises(RuntimeError):
+            weekly_run(batch, raw, facts)
+    assert weekly_run(batch, raw, facts) == dict(docs_read=3, raw_rows=0, signal_rows=3)
+    assert tables.read_table(spark, facts, weekly.weekly_signals(batch).schema).count() == 3

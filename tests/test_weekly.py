@@ -50,7 +50,7 @@ def test_bad_dates_stay_as_null(creatives):
     df = creatives([
         dict(started_running="garbage", ingested_at=""),
         dict(started_running="", stopped_running="2024-02-30", ingested_at="soon"),
-        dict(started_running="2024-02-03", stopped_running="2024-02-04T10:00:00", ingested_at="2024-02-03T01:02:03"),
+        dict(started_running="2024-2-3", stopped_running="2024-02-04T10:00:00", ingested_at="2024-02-03T01:02:03"),
     ])
     rows = clean.cast_dates(df).orderBy("source_id").collect()
     assert [r.started_running for r in rows] == [None, None, dt.date(2024, 2, 3)]
