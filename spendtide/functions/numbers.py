@@ -11,12 +11,12 @@ UNITS = 100_000
 def exact(x: Column) -> Column:
     """Spend as a whole number of units, so that sums do not depend on row order.
 
-    Null and NaN count as 0. A bigint sum stays in generated code, where a decimal
+    Null, NaN and infinities count as 0. A bigint sum stays in generated code, where a decimal
     made from a double goes through its text form for every row. Amounts beyond a
     bigint (sums of about 90 trillion) raise an error.
     """
-    x = F.coalesce(F.nanvl(x.cast("double"), F.lit(0.0)), F.lit(0.0))
-    return F.rint(x * UNITS).cast("bigint")
+    x = x.cast("double")
+    return F.rint(F.when(F.abs(x) < float("inf"), x).otherwise(0.0) * UNITS).cast("bigint")
 
 
 def amount(units: Column) -> Column:

@@ -74,7 +74,7 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Columns of `schema`, in its order and types; absent ones become null.
 
     Casts are lenient (`try_cast`): one unreadable value must not stop the job.
-    NaN counts as missing.
+    NaN and infinities count as missing.
     """
     have = {f.name: f.dataType for f in df.schema.fields}
     out = []
@@ -84,7 +84,7 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
         else:
             c = F.col(f.name)
             if isinstance(have[f.name], (T.DoubleType, T.FloatType)):
-                c = F.when(~F.isnan(c), c)
+                c = F.when(F.abs(c) < float("inf"), c)
             if have[f.name] != f.dataType:
                 c = c.try_cast(f.dataType)
         out.append(c.alias(f.name))

@@ -31,8 +31,9 @@ def landed(spark: SparkSession, path: str, schema, files_per_batch: int | None =
 def stream_weekly_signals(creatives: DataFrame, event_time: Column, delay: str = "14 days") -> DataFrame:
     """Counts and exact sums per Monday-to-Sunday window, brand, channel and region.
 
-    The channel share needs the whole week, so it is not computed here: see
-    `upsert_to_tables`, which re-reads the touched weeks.
+    A row later than `delay` behind the newest one is no longer counted, as its window
+    is closed by then. `upsert_to_tables` counts rows however late, and also gives the
+    channel share, which needs the whole week.
     """
     return (
         creatives.withColumn("event_time", event_time.cast("timestamp"))

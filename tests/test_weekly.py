@@ -37,6 +37,10 @@ def test_nan_spend_is_missing(creatives):
     assert one(weekly.weekly_signals(creatives([dict(spend_lower=float("nan"), spend_upper=10.0)]))).spend_midpoint == 5.0
 
 
+def test_infinite_spend_is_missing(creatives):
+    assert one(weekly.weekly_signals(creatives([dict(spend_lower=float("inf"), spend_upper=10.0)]))).spend_midpoint == 5.0
+
+
 def test_week_without_spend_has_share_zero(creatives):
     rows = weekly.weekly_signals(creatives([dict(), dict(channel="video")])).collect()
     assert [r.channel_share for r in rows] == [0.0, 0.0]
