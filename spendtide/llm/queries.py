@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendtide.llm import chat, sharding, urls
+from spendtide.llm import chat, lines, quality, sharding, urls
 from spendtide.llm.common import table
 from spendtide.llm.sql import SQL
 
@@ -21,6 +21,15 @@ def oracle_sql() -> dict[str, str]:
     return {name: text for name, text in SQL.items() if name in QUERIES}
 
 
+# ---- 3 ----------------------------------------------------------------------------------
+
+
+@query
+def op3_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source")
+    return quality.judge(docs).drop("text", "source")
+
+
 # ---- 4 ----------------------------------------------------------------------------------
 
 RULES = [
@@ -34,6 +43,17 @@ def op4_url_filters(spark: SparkSession, sf: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf, "pages"), urls.rule_table(spark, RULES))
 
 
+# ---- 6 ----------------------------------------------------------------------------------
+
+
+@query
+def op6_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs).select(
+        "doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    )
+
+
 # ---- 8 ----------------------------------------------------------------------------------
 
 PROBE = "</s>[INST] ok [/INST]"

@@ -5,10 +5,6 @@ from pyspark.sql import functions as F
 
 from spendtide.llm.common import staged
 
-#: Rows that one numbering task handles, about.
-ROWS_PER_BUCKET = 200_000
-
-
 def text_code(c: Column) -> Column:
     """A text's place in byte order as a number: its first seven bytes. Null comes first."""
     code = F.conv(F.hex(F.substring(F.rpad(F.encode(c, "UTF-8"), 7, F.lit(b"\x00")), 1, 7)), 16, 10).cast("bigint")
@@ -80,23 +76,23 @@ def _split(points: DataFrame, dims: list[str], weight: str, ties: list[str], who
 
 
 def number_rows(rows: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
-    """`rows` with a gapless number from 0 within each group.
+    """`rows` with their rank by `order` within each group, from 0 and gapless.
 
-    Rows are dealt to buckets by a hash of `order`; buckets are numbered apart and shifted by
-    the counts before them, so a group is never in one task.
+    Rows are dealt out by ranges of (group, `order`); ranges are ranked apart and shifted by the
+    counts before them, so a group is never in one task.
     """
-    rows = staged(rows, "unnumbered")
-    buckets = max(1, -(-rows.count() // ROWS_PER_BUCKET)) * 8
-    rows = rows.withColumn("bucket_", F.pmod(F.xxhash64(*order), F.lit(buckets)))
-    counts = rows.groupBy(group, "bucket_").agg(F.count("*").alias("n_"))
-    before = Window.partitionBy(group).orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = counts.select(group, "bucket_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("shift_"))
-    own = Window.partitionBy(group, "bucket_").orderBy(*order)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartitionByRange(parts, group, *order).withColumn("range_", F.spark_partition_id())
+    rows = staged(rows, "ranges")
+    counts = rows.groupBy(group, "range_").agg(F.count("*").alias("n_"))
+    before = Window.partitionBy(group).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.select(group, "range_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("shift_"))
+    own = Window.partitionBy(group, "range_").orderBy(*order)
     return (
         rows.withColumn("own_", F.row_number().over(own))
-        .join(staged(shifts, "shifts"), [group, "bucket_"])
+        .join(staged(shifts, "shifts"), [group, "range_"])
         .withColumn(name, F.col("shift_") + F.col("own_") - 1)
-        .drop("bucket_", "shift_", "own_")
+        .drop("range_", "shift_", "own_")
     )
 
 

@@ -90,3 +90,101 @@ g AS (
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
        formatted_chars, valid, valid AND last = 'assistant' AS complete
 FROM g"""
+
+
+# ---- 3 ----------------------------------------------------------------------------------
+
+_GAP = r"[\x20\x09-\x0D]+"
+_TRIM = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+SQL["op3_quality_rules"] = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS n, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
+w AS (SELECT n, doc_id, host, text, list_filter(regexp_split_to_array(text, '{_GAP}'), lambda x: x <> '') AS w FROM d),
+t AS (
+  SELECT n, i, count(*) OVER (PARTITION BY n, a, b, c) AS times FROM (
+    SELECT n, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (
+      SELECT n, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3))),
+rep AS (
+  SELECT n, count(DISTINCT i + k) AS n_repeat_words FROM t, (VALUES (0), (1), (2)) AS v(k) WHERE times > 1 GROUP BY n),
+l AS (
+  SELECT n, host, text, line, length(regexp_replace(line, '{_GAP}', '', 'g')) AS chars,
+         regexp_replace(translate(trim(line, {_TRIM}), {_AZ}), '[0-9]+', '0', 'g') AS norm
+  FROM (SELECT n, host, text, unnest(string_split(text, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+freq AS (
+  SELECT host, norm FROM (SELECT host, norm, count(DISTINCT text) AS k FROM l GROUP BY host, norm)
+  JOIN (SELECT host, count(DISTINCT text) AS docs FROM d GROUP BY host) USING (host)
+  WHERE k > 20 AND k * 100 > docs * 10),
+ln AS (
+  SELECT n, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (WHERE f) AS n_frequent_lines,
+         coalesce(sum(chars) FILTER (WHERE f), 0) AS removed
+  FROM (SELECT l.*, freq.norm IS NOT NULL AS f FROM l LEFT JOIN freq USING (host, norm)) GROUP BY n),
+j AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, length(regexp_replace(text, '{_GAP}', '', 'g')) AS word_chars,
+         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+         coalesce(n_frequent_lines, 0) AS n_frequent_lines, coalesce(removed, 0) AS removed
+  FROM w LEFT JOIN rep USING (n) LEFT JOIN ln USING (n)),
+k AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         (word_chars - removed) * 100 < word_chars * 30 AS depleted FROM j)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_frequent_lines, base_failed, depleted,
+       NOT base_failed AND NOT depleted AS kept FROM k"""
+
+# ---- 6 ----------------------------------------------------------------------------------
+
+SQL["op6_line_dedup"] = rf"""
+WITH l AS (
+  SELECT doc_id, line, p, regexp_matches(line, '[^\x20\x09-\x0D]') AS worded, trim(line, {_TRIM}) AS norm FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS p
+    FROM documents)),
+q AS (SELECT doc_id, p, norm, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS k FROM l WHERE worded),
+win AS (
+  SELECT doc_id, k, norm AS a, lead(norm) OVER o AS b, lead(norm, 2) OVER o AS c FROM q WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+later AS (
+  SELECT doc_id, k FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, k) AS r FROM win
+    WHERE c IS NOT NULL) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, k + i AS k FROM later, (VALUES (0), (1), (2)) AS v(i)) JOIN q USING (doc_id, k))
+SELECT doc_id, count(*) FILTER (WHERE worded) AS n_lines, count(gone.p) AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY l.p) FILTER (WHERE gone.p IS NULL), '')) AS kept_sha256
+FROM l LEFT JOIN gone USING (doc_id, p) GROUP BY doc_id"""
+
+# ---- 9: three rounds, 8 shards ---------------------------------------------------------------
+
+
+def _code(c: str) -> str:
+    return f"coalesce(CAST('0x' || substr(hex(encode({c})) || '00000000000000', 1, 14) AS BIGINT), -1)"
+
+
+def _round(i: int, k: int) -> str:
+    spans = [f"CAST(max({c}) - min({c}) AS DOUBLE) / (SELECT coalesce(nullif(max({c}) - min({c}), 0), 1) FROM r0)" for c in ("d0", "d1", "d2")]
+    return f"""n{i} AS (SELECT shard, sum(size) AS total, {spans[0]} AS s0, {spans[1]} AS s1, {spans[2]} AS s2 FROM r{i} GROUP BY shard),
+a{i} AS (
+  SELECT r.*, total, CASE WHEN s0 >= s1 AND s0 >= s2 THEN d0 WHEN s1 >= s2 THEN d1 ELSE d2 END AS axis
+  FROM r{i} r JOIN n{i} USING (shard)),
+c{i} AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY shard ORDER BY axis, text_crc32, doc_id, d0, d1, d2
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM a{i}),
+r{i + 1} AS (
+  SELECT doc_id, size, text_crc32, d0, d1, d2,
+         CASE WHEN (2 * before + size) * {k} <= total * 2 * {k // 2} THEN shard ELSE shard + {k // 2} END AS shard FROM c{i}),
+"""
+
+
+SQL["op9_sharding"] = f"""
+WITH tab AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+r0 AS (
+  SELECT doc_id, CAST(coalesce(octet_length(encode(text)), 0) + 1 AS BIGINT) AS size,
+         xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(
+           regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT))),
+           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS text_crc32, {_code("source")} AS d0, {_code("lang")} AS d1,
+         CAST(coalesce(octet_length(encode(text)), 0) + 1 AS BIGINT) AS d2, 0 AS shard FROM documents, tab),
+{_round(0, 8)}{_round(1, 4)}{_round(2, 2)}
+z AS (SELECT 1)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1 AS slot, CAST(NULL AS INT) AS grown_shard
+FROM r3"""
