@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendtide.llm import chat, lines, quality, sharding, urls
+from spendtide.llm import chat, lines, minhash, quality, sharding, urls
 from spendtide.llm.common import table
 from spendtide.llm.sql import SQL
 
@@ -21,6 +21,14 @@ def oracle_sql() -> dict[str, str]:
     return {name: text for name, text in SQL.items() if name in QUERIES}
 
 
+# ---- 1 ----------------------------------------------------------------------------------
+
+
+@query
+def op1_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"), size=2)
+
+
 # ---- 3 ----------------------------------------------------------------------------------
 
 
