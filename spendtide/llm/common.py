@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spendtide import session
@@ -12,7 +12,11 @@ SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# While a stage is written: shuffle files go when it is done, and Python gets batches of so many texts.
+WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,14 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def staged(df: DataFrame, name: str = "llm") -> DataFrame:
-    """Written once in the shared folder and read back; its shuffle files go when it is written."""
+    """Written once in the shared folder and read back, so a lost executor loses nothing of it."""
     conf = df.sparkSession.conf
-    before = conf.get(CLEANUP, "false")
-    conf.set(CLEANUP, "true")
+    before = {k: conf.get(k) for k in WRITING}
+    for k, v in WRITING.items():
+        conf.set(k, v)
     try:
         return session.staged(df, name)
     finally:
-        conf.set(CLEANUP, before)
+        for k, v in before.items():
+            conf.set(k, v)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -46,3 +52,23 @@ def words(c: Column) -> Column:
 
 def has_word(c: Column) -> Column:
     return F.translate(c, SPACES, "") != ""
+
+
+def running_total(rows: DataFrame, group: str, order: list[str], value: Column, name: str) -> DataFrame:
+    """`rows` with the sum of `value` over the rows before, by `order` within the group.
+
+    Rows are dealt out by ranges of (group, `order`); ranges are summed apart and shifted by the
+    totals before them, so a group is never in one task.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.withColumn("value_", value.cast("bigint")).repartitionByRange(parts, group, *order)
+    ranged = staged(ranged.withColumn("range_", F.spark_partition_id()), "ranges")
+    totals = ranged.groupBy(group, "range_").agg(F.sum("value_").alias("total_"))
+    def before(w):
+        return w.rowsBetween(Window.unboundedPreceding, -1)
+
+    over = before(Window.partitionBy(group).orderBy("range_"))
+    shifts = staged(totals.select(group, "range_", F.coalesce(F.sum("total_").over(over), F.lit(0)).alias("shift_")), "shifts")
+    own = F.coalesce(F.sum("value_").over(before(Window.partitionBy(group, "range_").orderBy(*order))), F.lit(0))
+    out = ranged.withColumn("own_", own).join(shifts, [group, "range_"])
+    return out.withColumn(name, F.col("shift_") + F.col("own_")).drop("range_", "shift_", "own_", "value_")

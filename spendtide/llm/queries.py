@@ -2,10 +2,11 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendtide.llm import chat, lines, minhash, quality, sharding, urls
+from spendtide.llm import chat, lines, minhash, mixing, packing, quality, sharding, substrings, urls
 from spendtide.llm.common import table
 from spendtide.llm.sql import SQL
 
@@ -29,6 +30,17 @@ def op1_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"), size=2)
 
 
+# ---- 2 ----------------------------------------------------------------------------------
+
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@query
+def op2_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(packing.cut_pieces(table(spark, sf, "documents").select("doc_id", "text"), VOCABULARY, RANKS))
+
+
 # ---- 3 ----------------------------------------------------------------------------------
 
 
@@ -51,6 +63,14 @@ def op4_url_filters(spark: SparkSession, sf: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf, "pages"), urls.rule_table(spark, RULES))
 
 
+# ---- 5 ----------------------------------------------------------------------------------
+
+
+@query
+def op5_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return substrings.repeated_words(table(spark, sf, "documents").select("doc_id", "text"), 50).drop("spans")
+
+
 # ---- 6 ----------------------------------------------------------------------------------
 
 
@@ -109,3 +129,16 @@ def op9_sharding(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         F.col("slot").cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+# ---- 10 ---------------------------------------------------------------------------------
+
+WEIGHTS = {"src0": 4, "src1": 2, "src2": 2}
+
+
+@query
+def op10_source_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs, WEIGHTS).select(
+        "doc_id", "source", F.col("block_").alias("block"), F.col("slot_").alias("slot"), F.col("start_").alias("start")
+    )

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendtide.llm.common import staged
+from spendtide.llm.common import running_total, staged
 
 def text_code(c: Column) -> Column:
     """A text's place in byte order as a number: its first seven bytes. Null comes first."""
@@ -76,24 +76,8 @@ def _split(points: DataFrame, dims: list[str], weight: str, ties: list[str], who
 
 
 def number_rows(rows: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
-    """`rows` with their rank by `order` within each group, from 0 and gapless.
-
-    Rows are dealt out by ranges of (group, `order`); ranges are ranked apart and shifted by the
-    counts before them, so a group is never in one task.
-    """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(parts, group, *order).withColumn("range_", F.spark_partition_id())
-    rows = staged(rows, "ranges")
-    counts = rows.groupBy(group, "range_").agg(F.count("*").alias("n_"))
-    before = Window.partitionBy(group).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = counts.select(group, "range_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("shift_"))
-    own = Window.partitionBy(group, "range_").orderBy(*order)
-    return (
-        rows.withColumn("own_", F.row_number().over(own))
-        .join(staged(shifts, "shifts"), [group, "range_"])
-        .withColumn(name, F.col("shift_") + F.col("own_") - 1)
-        .drop("range_", "shift_", "own_")
-    )
+    """`rows` with their rank by `order` within each group, from 0 and gapless."""
+    return running_total(rows, group, order, F.lit(1), name)
 
 
 def write_shards(rows: DataFrame, path: str) -> None:
