@@ -72,3 +72,13 @@ def running_total(rows: DataFrame, group: str, order: list[str], value: Column,
     own = F.coalesce(F.sum("value_").over(before(Window.partitionBy(group, "range_").orderBy(*order))), F.lit(0))
     out = ranged.withColumn("own_", own).join(shifts, [group, "range_"])
     return out.withColumn(name, F.col("shift_") + F.col("own_")).drop("range_", "shift_", "own_", "value_")
+
+
+def carried(docs: DataFrame, **needed: Column) -> DataFrame:
+    """Each row as one value `row_`, beside the columns an operator works on, so that no name can clash."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row_"), *[v.alias(k) for k, v in needed.items()])
+
+
+def restored(df: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    """The columns of `docs` again, some of them with new values."""
+    return df.select(*[new.get(c, F.col(f"row_.`{c}`")).alias(c) for c in docs.columns])

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendtide.llm.common import SPACES, has_word, let, staged
+from spendtide.llm.common import SPACES, carried, has_word, let, restored, staged
 
 #: Lines in a row that make a run. Also the winnowing window, so that no run of this length is missed.
 MIN_LINES = 3
@@ -112,4 +112,5 @@ def dedup_lines(docs: DataFrame, run: int = MIN_LINES) -> DataFrame:
 def clean(docs: DataFrame, run: int = MIN_LINES) -> DataFrame:
     """Documents without later repeated runs. One that is left without any line, all of it being
     repeats, goes; the columns of `docs`."""
-    return dedup_lines(docs, run).filter("n_removed = 0 or n_removed < n_lines").select(*docs.columns)
+    cut = dedup_lines(carried(docs, doc_id=F.col("doc_id"), text=F.col("text")), run)
+    return restored(cut.filter("n_removed = 0 or n_removed < n_lines"), docs, text=F.col("text"))

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendtide.llm.common import staged
+from spendtide.llm.common import carried, restored, staged
 from spendtide.llm.tokens import U64, WordCodes, code_words, lowered_words, mix
 
 #: Coordinates of a signature, and how many of them two documents must share to be compared.
@@ -57,18 +57,18 @@ def _sign(size: int):
                 keys.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                 signs.append(signature(found).tobytes() if len(found) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.binary())],
-                ["doc_id", "n_shingles", "set_key", "sign"],
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.binary())],
+                ["doc_id", "text_hash", "n_shingles", "set_key", "sign"],
             )
 
     return each
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key, sign) per row; key and signature are null without shingles."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _sign(size), "doc_id bigint, n_shingles bigint, set_key binary, sign binary"
-    )
+    """(doc_id, text_hash, n_shingles, set_key, sign) per row; key and signature are null without shingles."""
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return rows.mapInArrow(_sign(size), "doc_id bigint, text_hash bigint, n_shingles bigint, set_key binary, sign binary")
 
 
 def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +201,7 @@ def _cross_pairs(held: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) per row of `docs`.
+    """(doc_id, text_hash, n_shingles, component_id, kept) per row of `docs`.
 
     Documents whose sets of `size`-word shingles have a Jaccard similarity of `percent` or more are
     linked; a component's id is the least doc_id reachable, `kept` is true for that one.
@@ -254,6 +254,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     classes = staged(own.join(final, "id", "left").select("set_key", F.coalesce("component", "id").alias("component")), "classes")
     out = signed.join(classes, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )
+
+
+def drop_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each component, the one of least doc_id; the columns of `docs`.
+
+    Rows that repeat a doc_id and its text are one document: all or none of them stay.
+    """
+    gone = near_duplicates(docs, size, percent).filter("not kept").select("doc_id", "text_hash").distinct()
+    text = F.col("text").cast("string")
+    rows = carried(docs, doc_id=F.col("doc_id").cast("bigint"), text_hash=F.xxhash64(text))
+    return restored(rows.join(staged(gone, "gone"), ["doc_id", "text_hash"], "left_anti"), docs)

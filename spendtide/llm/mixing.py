@@ -6,7 +6,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendtide.llm.common import running_total, staged
+from spendtide.llm.common import carried, restored, running_total, staged
 
 #: Bytes of a block.
 BLOCK_BYTES = 64 * 1024
@@ -97,6 +97,7 @@ def mix(docs: DataFrame, weights: Mapping[str, int], default: int = 1, source: s
     return joined.select(*own, "block_", slot.cast("bigint").alias("slot_"), "start_")
 
 
-def mixed(docs: DataFrame, weights: Mapping[str, int], **options) -> DataFrame:
+def mixed(docs: DataFrame, weights: Mapping[str, int], source: str = "source", **options) -> DataFrame:
     """The documents in mixed order; the columns of `docs`."""
-    return mix(docs, weights, **options).orderBy("slot_", "start_").select(*docs.columns)
+    rows = carried(docs, doc_id=F.col("doc_id"), text=F.col("text"), source=F.col(source))
+    return restored(mix(rows, weights, **options).orderBy("slot_", "start_"), docs)

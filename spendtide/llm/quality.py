@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendtide.llm.common import SPACES, has_word, let, lower_ascii, staged, words
+from spendtide.llm.common import SPACES, carried, has_word, let, lower_ascii, restored, staged, words
 
 # Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
@@ -132,9 +132,5 @@ def judge(docs: DataFrame, host: str = "source", with_text: bool = False) -> Dat
 
 def clean(docs: DataFrame, host: str = "source") -> DataFrame:
     """The documents that are kept, without their hosts' frequent lines; the columns of `docs`."""
-    kept = judge(docs.withColumn("text_", F.col("text")), host, with_text=True).filter("kept")
-    wanted = docs.columns
-    counted = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_frequent_lines", "base_failed", "depleted", "kept", "clean_text"}
-    if counted & set(wanted):
-        raise ValueError(f"rename these columns first: {sorted(counted & set(wanted))}")
-    return kept.select(*[F.col("clean_text").alias("text") if c == "text" else F.col(c) for c in wanted])
+    judged = judge(carried(docs, text=F.col("text"), host=F.col(host)), "host", with_text=True)
+    return restored(judged.filter("kept"), docs, text=F.col("clean_text"))

@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendtide.llm import chat, lines, minhash, mixing, packing, quality, sharding, substrings, urls
+import corpus_pipeline
+from spendtide.llm import chat, lines, minhash, mixing, packing, quality, sharding, substrings, topk, urls
 from spendtide.llm.common import table
 from spendtide.llm.sql import SQL
 
@@ -27,7 +28,7 @@ def oracle_sql() -> dict[str, str]:
 
 @query
 def op1_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"), size=2)
+    return minhash.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"), size=2).drop("text_hash")
 
 
 # ---- 2 ----------------------------------------------------------------------------------
@@ -82,6 +83,14 @@ def op6_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# ---- 7 ----------------------------------------------------------------------------------
+
+
+@query
+def op7_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    return topk.top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 # ---- 8 ----------------------------------------------------------------------------------
 
 PROBE = "</s>[INST] ok [/INST]"
@@ -142,3 +151,8 @@ def op10_source_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(docs, WEIGHTS).select(
         "doc_id", "source", F.col("block_").alias("block"), F.col("slot_").alias("slot"), F.col("start_").alias("start")
     )
+
+
+@query
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf)
