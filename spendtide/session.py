@@ -1,11 +1,15 @@
-"""Session settings and the shared folder for written intermediate tables."""
+"""Session settings, shipping the package to workers, and written intermediate tables."""
 
 import functools
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+PACKAGE = os.path.dirname(os.path.abspath(__file__))
+
 
 def build_session(app: str = "spendtide", master: str | None = None, **conf) -> SparkSession:
     """A session with the settings the engine relies on.
@@ -22,7 +26,32 @@ def build_session(app: str = "spendtide", master: str | None = None, **conf) ->
         b = b.master(master)
     for key, value in conf.items():
         b = b.config(key.replace("__", "."), value)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    ship(spark)
+    return spark
+
+
+@functools.cache
+def _shipped(application: str) -> str:
+    """An archive of the package's sources, made once per application."""
+    path = os.path.join(tempfile.mkdtemp(prefix="spendtide-"), "spendtide.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(PACKAGE):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(PACKAGE)))
+    return path
+
+
+def ship(spark: SparkSession) -> None:
+    """Give workers the package, so that Python steps run where it is not installed.
+
+    Spark hands the archive from the driver to every executor. Calling it again does nothing.
+    """
+    path = _shipped(spark.sparkContext.applicationId)
+    if not any(f.endswith(os.path.basename(path)) for f in spark.sparkContext.listFiles):
+        spark.sparkContext.addPyFile(path)
 
 
 @functools.cache
@@ -33,11 +62,12 @@ def _local_root(application: str) -> str:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder every executor can reach, below `spark.checkpoint.dir`.
 
-    Only a local session may do without that setting: it gets a scratch folder.
+    Only a local session, one process, may do without that setting: it gets a scratch folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = _local_root(spark.sparkContext.applicationId)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -56,6 +86,47 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Stages:
+    """Staged tables that go when their work is committed.
+
+        with Stages(spark) as stages:
+            batch = stages.write(df, "batch")
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def write(self, df: DataFrame, name: str = "stage") -> DataFrame:
+        path = shared_dir(self.spark, name)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> "Stages":
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            remove(self.spark, path)
+
+
+def _file(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store holds it."""
+    fs, at = _file(spark, path)
+    fs.delete(at, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _file(spark, path)
+    return fs.exists(at)
+
+
 def task_count(spark: SparkSession) -> int:
     """Tasks for a step whose cost is time per row, not bytes.
 
@@ -63,13 +134,3 @@ def task_count(spark: SparkSession) -> int:
     few tasks; a stated number is kept.
     """
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores on an input that has fewer splits than there are cores.
-
-    Such an input is small (at most one split per core), so moving it once is cheap
-    against leaving cores idle. Any larger input is returned as it is: no shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
