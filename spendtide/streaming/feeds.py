@@ -1,9 +1,13 @@
 """Streams of creatives: weekly sums, deduplication, insert-only load, new documents.
 
-Every sink can run a batch twice without harm: it writes below a folder named
-after the batch, replacing it, or replaces whole (brand, week) groups.
+Every sink writes a micro-batch below `feed=<query id>/batch_id=N`, replacing what an interrupted
+run of the same batch left. The id comes from the checkpoint, so neither another feed into the same
+folder nor a feed that starts over can replace stored rows.
 """
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,13 +15,15 @@ from pyspark.sql.streaming import StreamingQuery
 
 from spendtide.functions.calendar import iso_week_key
 from spendtide.functions.numbers import amount, exact
-from spendtide.operators.dedup import KEY, new_rows
+from spendtide.operators.clean import UNKNOWN, clean_creatives
+from spendtide.operators.dedup import KEY, complete, new_rows
 from spendtide.operators.weekly import weekly_signals
-from spendtide.session import staged
-from spendtide.sources.tables import exists, overwrite_weeks, stored_schema, touched_weeks, with_layout
+from spendtide.session import Stages
+from spendtide.sources.tables import exists, overwrite_weeks, rejects, stored_schema, touched_weeks, with_layout
 
 # Seven-day windows; the offset from 1970-01-01, a Thursday, to a Monday.
 WEEK, TO_MONDAY = "7 days", "4 days"
+SUMS = ["impression_lower_sum", "impression_upper_sum", "spend_lower_sum", "spend_upper_sum"]
 
 
 def landed(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
@@ -28,98 +34,156 @@ def landed(spark: SparkSession, path: str, schema, files_per_batch: int | None =
     return reader.parquet(path)
 
 
-def stream_weekly_signals(creatives: DataFrame, event_time: Column, delay: str = "14 days") -> DataFrame:
-    """Counts and exact sums per Monday-to-Sunday window, brand, channel and region.
+def feed_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a stream keeps as long as its checkpoint."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+
+
+def _start(
+    stream: DataFrame, each: Callable[[DataFrame, str, int], None], checkpoint: str, mode: str = "append"
+) -> StreamingQuery:
+    def named(batch: DataFrame, batch_id: int) -> None:
+        each(batch, feed_id(batch.sparkSession, checkpoint), batch_id)
 
-    A row later than `delay` behind the newest one is no longer counted, as its window
-    is closed by then. `upsert_to_tables` counts rows however late, and also gives the
-    channel share, which needs the whole week.
-    """
     return (
-        creatives.withColumn("event_time", event_time.cast("timestamp"))
-        .withWatermark("event_time", delay)
-        .groupBy(F.window("event_time", WEEK, WEEK, TO_MONDAY), "brand", "channel", "region")
-        .agg(
-            F.count("*").alias("ad_count"),
-            F.count_if("is_active").alias("active_ad_count"),
-            F.sum(exact(F.col("spend_lower"))).alias("spend_lower_sum"),
-            F.sum(exact(F.col("spend_upper"))).alias("spend_upper_sum"),
-        )
-        .select(
-            F.to_date("window.start").alias("monday"),
-            iso_week_key(F.to_date("window.start")).alias("week_key"),
-            "brand", "channel", "region", "ad_count", "active_ad_count",
-            amount(F.col("spend_lower_sum")).alias("spend_lower_sum"),
-            amount(F.col("spend_upper_sum")).alias("spend_upper_sum"),
-            (amount(F.col("spend_lower_sum") + F.col("spend_upper_sum")) / 2).alias("spend_midpoint"),
-        )
+        stream.writeStream.foreachBatch(named).outputMode(mode)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
-def stream_dedup(docs: DataFrame, event_time: str, delay: str = "40 days", keys: list[str] = KEY) -> DataFrame:
-    """First copy per key; copies that arrive within `delay` of it are dropped.
+def home(path: str, feed: str, batch_id: int) -> str:
+    return f"{path}/feed={feed}/batch_id={batch_id}"
+
+
+def _grain(event_time: Column) -> list[Column]:
+    window = F.window(event_time.cast("timestamp"), WEEK, WEEK, TO_MONDAY)
+    return [window.alias("window"), F.col("brand"), F.col("channel"), F.coalesce("region", F.lit(UNKNOWN)).alias("region")]
 
-    State is kept per key only until the watermark passes it.
+
+def _partial_sums() -> list[Column]:
+    return [
+        F.count("*").alias("ad_count"),
+        F.count_if("is_active").alias("active_ad_count"),
+        F.sum(F.coalesce("impression_lower", F.lit(0)).cast("bigint")).alias("impression_lower_sum"),
+        F.sum(F.coalesce("impression_upper", F.lit(0)).cast("bigint")).alias("impression_upper_sum"),
+        F.sum(exact(F.col("spend_lower"))).alias("spend_lower_sum"),
+        F.sum(exact(F.col("spend_upper"))).alias("spend_upper_sum"),
+    ]
+
+
+def _measures() -> list[Column]:
+    monday = F.to_date("window.start")
+    return [
+        monday.alias("monday"), iso_week_key(monday).alias("week_key"), F.col("brand"), F.col("channel"), F.col("region"),
+        F.col("ad_count"), F.col("active_ad_count"), F.col("impression_lower_sum"), F.col("impression_upper_sum"),
+        amount(F.col("spend_lower_sum")).alias("spend_lower_sum"),
+        amount(F.col("spend_upper_sum")).alias("spend_upper_sum"),
+        (amount(F.col("spend_lower_sum") + F.col("spend_upper_sum")) / 2).alias("spend_midpoint"),
+    ]
+
+
+def count_weeks(creatives: DataFrame, event_time: Column, path: str, checkpoint: str) -> StreamingQuery:
+    """Add every micro-batch's weekly sums to the folder `path`; read them with `weekly_windows`.
+
+    Sums add up, so no window ever closes and no row is too late; no state is kept either. Each row of
+    the stream counts once, however often a batch is run again. Copies count: load them
+    through `upsert_to_tables` where they must not.
     """
-    return docs.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
+    def each(batch: DataFrame, feed: str, batch_id: int) -> None:
+        sums = batch.groupBy(*_grain(event_time)).agg(*_partial_sums())
+        sums.write.mode("overwrite").parquet(home(path, feed, batch_id))
 
+    return _start(creatives, each, checkpoint)
 
-def _start(stream: DataFrame, each, checkpoint: str, mode: str) -> StreamingQuery:
-    return (
-        stream.writeStream.foreachBatch(each).outputMode(mode)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+
+def weekly_windows(spark: SparkSession, path: str) -> DataFrame:
+    """All that `count_weeks` has added, per Monday-to-Sunday window, brand, channel and region."""
+    parts = spark.read.parquet(path)
+    keys = ["window", "brand", "channel", "region"]
+    totals = [F.sum(c).alias(c) for c in ("ad_count", "active_ad_count", *SUMS)]
+    return parts.groupBy(*keys).agg(*totals).select(*_measures())
+
+
+def stream_weekly_signals(creatives: DataFrame, event_time: Column, delay: str) -> DataFrame:
+    """The same sums as a stateful aggregation that forgets windows `delay` behind the newest row.
+
+    Rows that come later than that are lost, Spark keeps no record of them. `count_weeks` loses none.
+    """
+    rows = creatives.withColumn("event_time", event_time.cast("timestamp")).withWatermark("event_time", delay)
+    return rows.groupBy(*_grain(F.col("event_time"))).agg(*_partial_sums()).select(*_measures())
+
+
+def stream_dedup(docs: DataFrame, event_time: str | None = None, delay: str | None = None, keys: list[str] = KEY) -> DataFrame:
+    """The first row of every key, over all batches.
+
+    Without `delay` every key is remembered for good: no copy passes and nothing is lost. The state
+    grows with the keys; it is partitioned by them, so use a state store on disk (RocksDB) for many.
+    With `delay`, a key is forgotten that long after it was seen: a later copy passes again, and a row,
+    copy or not, that is older than the newest by more than `delay` is lost.
+    """
+    if delay is None:
+        return docs.dropDuplicates(keys)
+    return docs.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
 
 
 def to_changelog(stream: DataFrame, path: str, checkpoint: str, mode: str = "update") -> StreamingQuery:
-    """Write every batch's rows below `batch_id=N`."""
-    def each(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    """Write every batch's rows below the feed's folder of `path`."""
+    def each(batch: DataFrame, feed: str, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(home(path, feed, batch_id))
 
     return _start(stream, each, checkpoint, mode)
 
 
 def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """Newest row per key of a changelog; partial aggregation, no sort of the history."""
+    """Newest row per key of one feed's changelog; partial aggregation, no sort of the history."""
     log = spark.read.parquet(path)
-    values = [c for c in log.columns if c not in keys and c != "batch_id"]
+    if log.select("feed").distinct().limit(2).count() > 1:
+        raise ValueError("rows of two feeds: their aggregates cannot be told apart; keep one folder per feed")
+    values = [c for c in log.columns if c not in keys and c not in ("batch_id", "feed")]
     newest = F.max(F.struct("batch_id", *values)).alias("row")
     return log.groupBy(*keys).agg(newest).select(*keys, *[f"row.{c}" for c in values])
 
 
 def new_docs_since(docs: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Count what arrived since the checkpoint: one row (batch_id, new_docs) per batch.
+    """Count what arrived since the checkpoint: one row (new_docs) per batch.
 
     The checkpoint is the cursor, and it is exact per row: no count is compared, so
     a deletion elsewhere cannot hide new documents.
     """
-    def each(batch: DataFrame, batch_id: int) -> None:
-        batch.agg(F.count("*").alias("new_docs")).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    def each(batch: DataFrame, feed: str, batch_id: int) -> None:
+        batch.agg(F.count("*").alias("new_docs")).write.mode("overwrite").parquet(home(path, feed, batch_id))
 
-    return _start(docs, each, checkpoint, "append")
+    return _start(docs, each, checkpoint)
 
 
-def upsert_to_tables(creatives: DataFrame, raw: str, signals: str, checkpoint: str) -> StreamingQuery:
-    """Insert-only load of every batch, then a refresh of the weeks it touched.
+def upsert_to_tables(
+    creatives: DataFrame, raw: str, signals: str, checkpoint: str, rejected: str | None = None
+) -> StreamingQuery:
+    """Clean every batch, load its new documents, and rebuild the weeks it mentions.
 
-    New rows go below `load_id=N` of the raw table. A batch that runs again ignores
-    what its own first run stored, so it computes the same rows and replaces them.
-    Touched weeks are rebuilt from all their raw rows and replaced whole, which
-    also gives the channel share.
+    New rows go below the batch's folder of the raw table. A batch that runs again ignores what its own
+    first run stored, so it computes the same rows and replaces them. Mentioned weeks are rebuilt
+    from all their raw rows and replaced whole, which also gives the channel share; so a document
+    counts however late it comes. Rows that cannot be stored go to `rejected`, if that is named.
+    Intermediate tables are deleted when the batch is done.
     """
-    def each(batch: DataFrame, batch_id: int) -> None:
+    def each(batch: DataFrame, feed: str, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch = staged(with_layout(batch), "batch")
-        schema = stored_schema(batch.schema).add("load_id", T.LongType())
-        known = batch.limit(0)
-        if exists(spark, raw):
-            known = spark.read.schema(schema).parquet(raw).filter(F.col("load_id") != batch_id)
-        new_rows(batch, known).hint("rebalance", F.col("brand"), F.col("yr")).write.mode("overwrite").partitionBy(
-            "brand", "yr"
-        ).parquet(f"{raw}/load_id={batch_id}")
-        if exists(spark, raw):
+        with Stages(spark) as stages:
+            cleaned = stages.write(with_layout(clean_creatives(batch)), "batch")
+            if rejected is not None:
+                rejects(cleaned).write.mode("overwrite").parquet(home(rejected, feed, batch_id))
+            good = cleaned.filter(complete(["brand", "week_key"]))
+            schema = stored_schema(good.schema).add("feed", T.StringType()).add("batch_id", T.LongType())
+            known = good.limit(0)
+            if exists(spark, raw):
+                own = (F.col("feed") == feed) & (F.col("batch_id") == batch_id)
+                known = spark.read.schema(schema).parquet(raw).filter(~own)
+            new_rows(good, known).hint("rebalance", F.col("brand"), F.col("yr")).write.mode("overwrite").partitionBy(
+                "brand", "yr"
+            ).parquet(home(raw, feed, batch_id))
             stored = spark.read.schema(schema).parquet(raw)
-            touched = touched_weeks(stored, stored.filter(F.col("load_id") == batch_id))
-            overwrite_weeks(weekly_signals(touched), signals)
+            mentioned = stages.write(good.select("brand", "yr", "week_key").distinct(), "weeks")
+            overwrite_weeks(weekly_signals(touched_weeks(stored, mentioned)), signals)
 
-    return _start(creatives, each, checkpoint, "append")
+    return _start(creatives, each, checkpoint)

@@ -1,8 +1,11 @@
 """Streams over several arrivals, replays and reruns, against their batch results."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from conftest import SF, weeks
+from spendtide import session
 from spendtide.operators import weekly
 from spendtide.plans import starschema
 from spendtide.session import shared_dir
@@ -24,6 +27,16 @@ def test_new_documents_are_counted_once(spark, creatives):
     assert sorted(r.new_docs for r in spark.read.parquet(log).collect()) == [3, 5]
 
 
+COLS = [
+    *weekly.GRAIN, "ad_count", "active_ad_count", "impression_lower_sum", "impression_upper_sum", "spend_lower_sum",
+    "spend_upper_sum", "spend_midpoint",
+]
+
+
+def rows_of(df):
+    return sorted(map(str, df.select(*COLS).collect()))
+
+
 def test_weekly_windows_over_three_arrivals(spark):
     c = starschema.creatives(spark, SF)
     inbox, log, mark = (shared_dir(spark, n) for n in ("inbox", "windows", "mark"))
@@ -32,12 +45,34 @@ def test_weekly_windows_over_three_arrivals(spark):
         stream = feeds.stream_weekly_signals(feeds.landed(spark, inbox, c.schema), F.col("started_running"), "4000 days")
         feeds.to_changelog(stream, log, mark).awaitTermination()
     got = feeds.latest(spark, log, weekly.GRAIN)
-    want = weekly.weekly_measures(c)
-    cols = [*weekly.GRAIN, "ad_count", "active_ad_count", "spend_lower_sum", "spend_upper_sum", "spend_midpoint"]
-    assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
+    assert rows_of(got) == rows_of(weekly.weekly_measures(c))
     assert got.filter(F.dayofweek("monday") != 2).count() == 0
 
 
+def test_no_window_closes_on_late_rows(spark):
+    """Newest weeks first, a micro-batch per file, then the same checkpoint again, then a gap in the regions."""
+    c = starschema.creatives(spark, SF)
+    c = c.withColumn("region", F.when(F.col("region") != "ASIA", F.col("region")))
+    inbox, sums, mark = (shared_dir(spark, n) for n in ("inbox", "sums", "mark"))
+    for low, high in (("1996", "9"), ("1994", "1996"), ("0", "1994")):
+        land(c.filter((F.col("week_key") >= low) & (F.col("week_key") < high)), inbox)
+    for _ in range(2):
+        feeds.count_weeks(feeds.landed(spark, inbox, c.schema, 1), F.col("started_running"), sums, mark).awaitTermination()
+    assert rows_of(feeds.weekly_windows(spark, sums)) == rows_of(weekly.weekly_measures(c))
+    assert spark.read.parquet(sums).select("batch_id").distinct().count() > 1
+
+
+def test_distinct_rows_pass_however_late(spark):
+    ev = spark.read.parquet(f"{SF}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    inbox, out, mark = (shared_dir(spark, n) for n in ("inbox", "out", "mark"))
+    day = F.dayofmonth("ts")
+    for part in (day > 20, day <= 5, (day > 3) & (day <= 20)):
+        land(ev.filter(part), inbox)
+    feeds.to_changelog(feeds.stream_dedup(feeds.landed(spark, inbox, ev.schema, 1), keys=["event_id"]), out, mark, "append").awaitTermination()
+    got = spark.read.parquet(out)
+    assert (got.count(), got.select("event_id").distinct().count()) == (ev.count(), ev.count())
+
+
 def test_replayed_slice_is_dropped(spark):
     ev = spark.read.parquet(f"{SF}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     inbox, out, mark = (shared_dir(spark, n) for n in ("inbox", "out", "mark"))
@@ -72,3 +107,30 @@ def test_upsert_sink(spark, creatives):
     assert spark.read.parquet(raw).count() == 48
     # A batch that runs again (here: a lost checkpoint starts over) changes nothing.
     assert run(shared_dir(spark, "mark2")) == got
+
+
+def test_two_feeds_share_a_table(spark, creatives):
+    """Batch ids of both start at 0; neither feed takes away what the other stored."""
+    raw, facts, bad = (shared_dir(spark, n) for n in ("raw", "facts", "bad"))
+    schema = None
+    for source in ("meta", "google"):
+        df = creatives([dict(source_id=str(i), source=source, cta="Go\u200b", spend_upper=10.0) for i in range(6)] + [dict(source_id=None, source=source)])
+        inbox = shared_dir(spark, "inbox")
+        land(df, inbox)
+        feeds.upsert_to_tables(feeds.landed(spark, inbox, df.schema, 1), raw, facts, shared_dir(spark, "mark"), bad).awaitTermination()
+        schema = weekly.weekly_signals(df).schema
+    stored = spark.read.parquet(raw)
+    assert {r.source: r["count"] for r in stored.groupBy("source").count().collect()} == {"meta": 6, "google": 6}
+    row = tables.read_table(spark, facts, schema).collect()
+    assert [(r.ad_count, r.spend_midpoint, r.top_ctas) for r in row] == [(12, 60.0, ["Go"])]
+    assert spark.read.parquet(bad).count() == 2
+
+
+def test_a_batch_leaves_no_intermediate_tables(spark, creatives, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_dir", lambda _, name: str(tmp_path / "shared" / f"{name}-{uuid.uuid4().hex}"))
+    inbox, raw, facts, mark = (str(tmp_path / n) for n in ("inbox", "raw", "facts", "mark"))
+    df = creatives([dict(source_id=str(i)) for i in range(5)])
+    for _ in range(2):
+        land(df, inbox)
+        feeds.upsert_to_tables(feeds.landed(spark, inbox, df.schema), raw, facts, mark).awaitTermination()
+    assert [p.name for p in (tmp_path / "shared").iterdir()] == []
