@@ -5,7 +5,7 @@ group limit that runs before the shuffle, so each map task sends at most one row
 per key however many copies it holds.
 """
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The natural key of a creative.
@@ -24,17 +24,34 @@ def first_per_key(df: DataFrame, keys: list[str] = KEY, order: list | None = Non
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def new_rows(batch: DataFrame, target: DataFrame, keys: list[str] = KEY) -> DataFrame:
-    """Rows of `batch`, first per key, whose key the target does not hold.
+def complete(keys: list[str] = KEY) -> Column:
+    """Whether a row has its whole key; an empty text is no part of one."""
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(k).isNotNull() & (F.col(k).cast("string") != "")
+    return out
 
-    The target is first cut down to the keys the batch also has. That side of the
-    join has no more rows than the batch, so when the batch is small the planner
+
+def new_keys(batch: DataFrame, target: DataFrame, keys: list[str] = KEY) -> DataFrame:
+    """Complete keys of `batch` that the target does not hold, each once.
+
+    Only key columns move. The target is first cut down to the keys the batch also has. That side
+    of the join has no more rows than the batch, so when the batch is small the planner
     broadcasts it and the target is read without a shuffle. The target is taken to
     hold each key once, as this kind of loading leaves it.
     """
-    asked = batch.select(*keys).distinct()
+    asked = batch.filter(complete(keys)).select(*keys).distinct()
     known = target.select(*keys).join(asked, keys, "left_semi")
-    return first_per_key(batch, keys).join(known, keys, "left_anti")
+    return asked.join(known, keys, "left_anti")
+
+
+def new_rows(batch: DataFrame, target: DataFrame, keys: list[str] = KEY) -> DataFrame:
+    """Rows of `batch`, first per key, whose key the target does not hold.
+
+    Only rows of such keys are ranked. A row without its whole key is not among them: it
+    would be new each time. `batch` is read twice, so pass a written table.
+    """
+    return first_per_key(batch.join(new_keys(batch, target, keys), keys, "left_semi").select(*batch.columns), keys)
 
 
 def upsert_counts(batch: DataFrame, target: DataFrame, by: list[str] | None = None, keys: list[str] = KEY) -> DataFrame:
@@ -44,14 +61,12 @@ def upsert_counts(batch: DataFrame, target: DataFrame, by: list[str] | None = No
     and counts as an error.
     """
     by = by or []
-    whole = F.lit(True)
-    for k in keys:
-        whole = whole & F.col(k).isNotNull()
 
     def marked(df: DataFrame, up: int, err: int) -> DataFrame:
         return df.select(*by, F.lit(up).alias("up"), F.lit(err).alias("err"))
 
-    outcomes = marked(new_rows(batch.filter(whole), target, keys), 1, 0).unionAll(marked(batch.filter(~whole), 0, 1))
+    stored = new_rows(batch, target, keys) if set(by) - set(keys) else new_keys(batch, target, keys)
+    outcomes = marked(stored, 1, 0).unionAll(marked(batch.filter(~complete(keys)), 0, 1))
     if by:  # a group that stored nothing still has its row
         outcomes = outcomes.unionAll(marked(batch.select(*by).distinct(), 0, 0))
     return outcomes.groupBy(*by).agg(

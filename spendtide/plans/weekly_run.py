@@ -1,33 +1,54 @@
-"""The whole run: load, clean, insert-only store, fact table."""
+"""The whole run: load, clean, insert-only store, fact table, snapshot."""
+
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from spendtide.operators.clean import clean_creatives
+from spendtide.operators.dedup import complete
 from spendtide.operators.weekly import weekly_signals
-from spendtide.session import staged
-from spendtide.sources.tables import insert_only, overwrite_weeks, stored_schema, touched_weeks, with_layout
+from spendtide.session import Stages
+from spendtide.sources.snapshots import commit
+from spendtide.sources.tables import insert_only, overwrite_weeks, rejects, stored_schema, touched_weeks, with_layout
 
 
-def weekly_run(documents: DataFrame, raw: str, signals: str, batch_ts: Column | None = None) -> dict[str, int]:
+def weekly_run(
+    documents: DataFrame,
+    raw: str,
+    signals: str,
+    batch_ts: Column | None = None,
+    rejected: str | None = None,
+    snapshots: str | None = None,
+    committed_at: datetime | None = None,
+) -> dict[str, int]:
     """Store new documents in table `raw`, refresh their weeks in table `signals`.
 
     Every week the documents mention is rebuilt from all its stored rows, new ones or
     not. So a run that was cut short between its two tables is mended by running it
     again, and running the same documents twice changes nothing.
 
-    Returns documents read, rows stored and fact rows written. They are counted from
+    A document that states no week gets the one of its start date. One without its whole key, brand or week
+    is not stored: it goes to the table `rejected`, if that is named, with the reason, and is counted.
+    With `snapshots` (and `committed_at`), the rebuilt weeks are also committed there as a replacement, before the
+    table itself changes; a reader of that history never sees half a run.
+
+    Returns documents read, rows stored, fact rows written and, with `rejected`, rows rejected. They are counted from
     written tables: metrics observed in passing would count a task's rows again when a
     lost executor's work is redone.
     """
     spark = documents.sparkSession
-    mentioned = staged(documents.groupBy("brand", "week_key").agg(F.count("*").alias("n")), "weeks")
-    added = insert_only(clean_creatives(documents), raw)
-    stored = spark.read.schema(stored_schema(added.schema)).parquet(raw)
-    facts = staged(weekly_signals(touched_weeks(stored, with_layout(mentioned)), batch_ts), "facts")
-    overwrite_weeks(facts, signals)
-    return {
-        "docs_read": mentioned.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0],
-        "raw_rows": added.count(),
-        "signal_rows": facts.count(),
-    }
+    with Stages(spark) as stages:
+        cleaned = stages.write(with_layout(clean_creatives(documents)), "cleaned")
+        bad = rejects(cleaned.drop("yr"))
+        if rejected is not None:
+            bad.write.mode("append").parquet(rejected)
+        good = cleaned.filter(complete(["brand", "week_key"]))
+        added = insert_only(good.drop("yr"), raw, stages=stages).count()
+        stored = spark.read.schema(stored_schema(good.drop("yr").schema)).parquet(raw)
+        mentioned = stages.write(good.select("brand", "yr", "week_key").distinct(), "weeks")
+        facts = stages.write(weekly_signals(touched_weeks(stored, mentioned), batch_ts), "facts")
+        if snapshots is not None:
+            commit(facts, snapshots, "replace", committed_at)
+        overwrite_weeks(facts, signals)
+        counts = {"docs_read": cleaned.count(), "raw_rows": added, "signal_rows": facts.count()}
+        return counts if rejected is None else counts | {"rejected_rows": bad.count()}

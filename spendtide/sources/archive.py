@@ -15,7 +15,6 @@ SOURCE = "meta"
 CTA = "Learn More"
 REGION = "US"
 CURRENCY = "USD"
-MAX_PAGES = 16
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -24,9 +23,11 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(T.StructType(ARCHIVE_PAGE.fields + walk)).json(path)
 
 
-def explode_ad_pages(pages: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
-    """One row per ad from the first `max_pages` pages of each walk."""
-    return pages.filter(F.col("page_index") < max_pages).select(
+def explode_ad_pages(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """One row per ad from all landed pages, or from the first `max_pages` of each walk."""
+    if max_pages is not None:
+        pages = pages.filter(F.col("page_index") < max_pages)
+    return pages.select(
         *[c for c in pages.columns if c not in ("data", "paging")], F.explode("data").alias("ad")
     )
 

@@ -6,10 +6,6 @@ from pyspark.sql import types as T
 
 from spendtide.functions.labels import SEARCH_CHANNELS, brand_slug, search_platform
 from spendtide.schemas import RAW_CREATIVES, conform
-from spendtide.session import task_count
-
-# Fixed value: documents per brand read by default.
-BRAND_LIMIT = 50_000
 
 
 def nullable(schema: T.StructType) -> T.StructType:
@@ -35,26 +31,25 @@ def parse_documents(df: DataFrame, json: str) -> DataFrame:
     return load_creatives(df.select(doc.alias("doc")).select("doc.*"))
 
 
-def brand_recent_creatives(df: DataFrame, brand: str, limit: int = BRAND_LIMIT) -> DataFrame:
-    """The brand's newest documents, newest first, ties by id.
+def brand_recent_creatives(df: DataFrame, brand: str, limit: int) -> DataFrame:
+    """The brand's `limit` newest documents, newest first, ties by id.
 
-    A plain limit of this size would send that many rows of every input split to one
-    task. So groups of splits are cut to the limit first, in parallel.
+    A plain limit would send that many rows of every input split to one task. Here the
+    times alone are counted first, a day at a time, to find the day that the limit ends in;
+    rows of older days are dropped where they are read. Only the rest is sorted.
     """
     first = ("ingested_at", "source_id", "source")
     order = [F.desc_nulls_last("ingested_at"), F.asc("source_id"), F.asc("source")]
     order += [F.asc(c) for c in df.columns if c not in first]
-    group = F.pmod(F.spark_partition_id(), F.lit(task_count(df.sparkSession)))
-    w = Window.partitionBy("_group").orderBy(*order)
-    return (
-        df.filter(F.col("brand") == brand_slug(F.lit(brand)))
-        .withColumn("_group", group)
-        .withColumn("_rn", F.row_number().over(w))
-        .filter(F.col("_rn") <= limit)
-        .drop("_group", "_rn")
-        .orderBy(*order)
-        .limit(limit)
-    )
+    mine = df.filter(F.col("brand") == brand_slug(F.lit(brand)))
+    day = F.substring(F.col("ingested_at").cast("string"), 1, 10)
+    days = mine.groupBy(day.alias("_day")).agg(F.count("*").alias("n"))
+    later = Window.orderBy(F.desc_nulls_last("_day")).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("n").over(later), F.lit(0))
+    wanted = days.withColumn("before", before).filter(F.col("before") < limit).select(F.col("_day").alias("_wanted"))
+    return mine.withColumn("_day", day).join(
+        wanted, F.col("_day").eqNullSafe(F.col("_wanted")), "left_semi"
+    ).drop("_day").orderBy(*order).limit(limit)
 
 
 def relabel_search_source(df: DataFrame, platform: Column | None = None) -> DataFrame:

@@ -1,44 +1,50 @@
 """Snapshots of a table on plain Parquet.
 
     root/data/snapshot_id=N/...   rows of commit N
-    root/log/...                  one row per commit
+    root/log/...                  one row per commit, with the table's columns
 
 A commit writes its rows, then its log row, so readers, who take only logged ids,
 never see half a commit. An append adds to the chain; an overwrite starts a new
-one. One writer at a time is assumed.
+one; a replace stands for all earlier rows of the (brand, week) groups it holds. One
+writer at a time is assumed.
 """
 
+import json
 from datetime import datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spendtide.functions.numbers import amount, exact, pct_change
+from spendtide.session import path_exists
 
-LOG = "snapshot_id bigint, parent_id bigint, committed_at timestamp, operation string, added_records bigint"
+LOG = "snapshot_id bigint, parent_id bigint, committed_at timestamp, operation string, added_records bigint, columns string"
+OPERATIONS = ("append", "overwrite", "replace")
+GROUP = ["brand", "week_key"]
 
 
 def snapshot_log(spark: SparkSession, root: str) -> DataFrame:
     """All commits. Empty before the first one."""
-    try:
+    if path_exists(spark, f"{root}/log"):
         return spark.read.schema(LOG).parquet(f"{root}/log")
-    except AnalysisException:
-        return spark.createDataFrame([], LOG)
+    return spark.createDataFrame([], LOG)
 
 
 def commit(df: DataFrame, root: str, operation: str, committed_at: datetime, by: tuple[str, ...] = ("brand",)) -> int:
     """Store `df` as the next snapshot and return its id."""
-    if operation not in ("append", "overwrite"):
-        raise ValueError("operation must be 'append' or 'overwrite'")
+    if operation not in OPERATIONS:
+        raise ValueError(f"operation must be one of {OPERATIONS}")
     spark = df.sparkSession
     last = snapshot_log(spark, root).agg(F.max("snapshot_id")).first()[0]
     new = (last or 0) + 1
     path = f"{root}/data/snapshot_id={new}"
     # An unlogged folder of an interrupted commit is replaced.
     df.hint("rebalance", *[F.col(c) for c in by]).write.mode("overwrite").partitionBy(*by).parquet(path)
-    added = spark.read.parquet(path).count()
-    spark.createDataFrame([(new, last, committed_at, operation, added)], LOG).coalesce(1).write.mode("append").parquet(
+    # Counted from the files' footers; a metric observed while writing would count redone tasks twice.
+    added = spark.read.schema(df.schema).parquet(path).count()
+    row = (new, last, committed_at, operation, added, df.schema.json())
+    spark.createDataFrame([row], LOG).coalesce(1).write.mode("append").parquet(
         f"{root}/log"
     )
     return new
@@ -71,7 +77,9 @@ def read_as_of(spark: SparkSession, root: str, snapshot_id: int | None = None, r
     """The table as of a snapshot (default: the newest).
 
     The chain runs from the last overwrite up to that id: a range on the folder
-    column, so other snapshots are pruned. The filter reaches the scan as well.
+    column, so other snapshots are pruned. The filter reaches the scan as well. Columns have the
+    types they were written with, so a brand named '007' stays one; a column that an
+    older snapshot lacks is null there.
     """
     log = snapshot_log(spark, root)
     until = log if snapshot_id is None else log.filter(F.col("snapshot_id") <= snapshot_id)
@@ -81,11 +89,22 @@ def read_as_of(spark: SparkSession, root: str, snapshot_id: int | None = None, r
     ).first()
     if last is None or (snapshot_id is not None and last != snapshot_id):
         raise ValueError(f"no snapshot {snapshot_id}")
-    rows = spark.read.parquet(f"{root}/data").filter(F.col("snapshot_id").between(first, last))
+    chain = log.filter(F.col("snapshot_id").between(first, last)).orderBy("snapshot_id").collect()
+    schema = T.StructType()
+    for f in (f for c in chain for f in T.StructType.fromJson(json.loads(c["columns"])).fields):
+        if f.name not in schema.names:
+            schema = schema.add(f.name, f.dataType)
+    columns = list(schema.names)
+    rows = spark.read.schema(schema.add("snapshot_id", T.LongType())).parquet(f"{root}/data")
+    rows = rows.filter(F.col("snapshot_id").isin([c["snapshot_id"] for c in chain]))
     if row_filter is not None:
         rows = rows.filter(row_filter)
-    logged = log.select(F.col("snapshot_id").cast("int").alias("snapshot_id"))
-    return rows.join(logged, "snapshot_id", "left_semi").drop("snapshot_id")
+    replaced = [c["snapshot_id"] for c in chain if c["operation"] == "replace"]
+    if replaced:
+        # Only the keys of replacing snapshots meet; a group's rows count from its newest one on.
+        newest = rows.filter(F.col("snapshot_id").isin(replaced)).groupBy(*GROUP).agg(F.max("snapshot_id").alias("since"))
+        rows = rows.join(newest, GROUP, "left").filter(F.col("since").isNull() | (F.col("snapshot_id") >= F.col("since")))
+    return rows.select(*columns)
 
 
 def snapshot_diff(previous: DataFrame, current: DataFrame) -> DataFrame:

@@ -4,14 +4,13 @@ Layout: partitions (brand, yr), where yr is the ISO year of the week. One
 partition per brand and week gives files of a few rows; `by="week"` selects it.
 """
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendtide.functions.calendar import week_year
-from spendtide.operators.dedup import KEY, first_per_key, new_rows
-from spendtide.session import staged
+from spendtide.operators.dedup import KEY, complete, first_per_key, new_rows
+from spendtide.session import Stages, path_exists
 
 # Partition columns of the two layouts.
 LAYOUTS = {"year": ["brand", "yr"], "week": ["brand", "week_key"]}
@@ -52,11 +51,21 @@ def overwrite_or_append(df: DataFrame, path: str, mode: str = "overwrite", by: s
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    """Whether the folder holds a readable table."""
-    try:
-        return bool(spark.read.parquet(path).columns)
-    except AnalysisException:
-        return False
+    """Whether the folder is there. What else is wrong with it must not look like an empty table."""
+    return path_exists(spark, path)
+
+
+def partitions_of(df: DataFrame, cols: list[str]) -> Column:
+    """A filter of literals on layout columns: no wider than the cross of their values in `df`.
+
+    Partition values are what the driver lists anyway; only these reach it. Literals prune the
+    files of a scan before it starts, which a join can do only where the planner finds it worth it.
+    """
+    values = df.select(*[F.collect_set(c).alias(c) for c in cols]).first()
+    out = F.lit(True)
+    for c in cols:
+        out = out & (F.col(c).isin(values[c]) if values[c] else F.lit(False))
+    return out
 
 
 def overwrite_weeks(df: DataFrame, path: str, by: str = "year") -> None:
@@ -64,46 +73,63 @@ def overwrite_weeks(df: DataFrame, path: str, by: str = "year") -> None:
 
     A partition holds many weeks, so its other weeks are read back and written
     along. The result is staged first: a partition is never read while it is
-    replaced. Semi join and layout column let the scan read touched partitions only.
+    replaced. Only the partitions that `df` names are read.
+
+    Spark moves the new files in one commit, which a crash of the driver can cut short. A table that must
+    survive that is kept as snapshots: `snapshots.commit(df, root, "replace", ...)`.
     """
     spark = df.sparkSession
     cols = LAYOUTS[by]
     fresh = with_layout(df, by)
-    if by == "year" and exists(spark, path):
-        fresh = staged(fresh, "fresh")
-        touched = fresh.select(*cols).distinct()
-        weeks = fresh.select("brand", "week_key").distinct()
-        old = spark.read.schema(fresh.schema).parquet(path)
-        keep = old.join(touched, cols, "left_semi").join(weeks, ["brand", "week_key"], "left_anti")
-        fresh = staged(fresh.unionByName(keep.select(*fresh.columns)), "replace")
-    fresh.hint("rebalance", *[F.col(c) for c in cols]).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy(*cols).parquet(path)
-
-
-def insert_only(df: DataFrame, path: str, keys: list[str] = KEY, by: str = "year") -> DataFrame:
+    with Stages(spark) as stages:
+        if by == "year" and exists(spark, path):
+            fresh = stages.write(fresh, "fresh")
+            touched = fresh.select(*cols).distinct()
+            weeks = fresh.select("brand", "week_key").distinct()
+            old = spark.read.schema(fresh.schema).parquet(path).filter(partitions_of(fresh, cols))
+            keep = old.join(touched, cols, "left_semi").join(weeks, ["brand", "week_key"], "left_anti")
+            fresh = stages.write(fresh.unionByName(keep.select(*fresh.columns)), "replace")
+        fresh.hint("rebalance", *[F.col(c) for c in cols]).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic"
+        ).partitionBy(*cols).parquet(path)
+
+
+def insert_only(
+    df: DataFrame, path: str, keys: list[str] = KEY, by: str = "year", stages: Stages | None = None
+) -> DataFrame:
     """Append the rows whose key the table lacks; returns them, as written.
 
     A second load of the same batch appends nothing. A first load is written once,
-    straight into the table.
+    straight into the table. A row without its whole key cannot be recognised when it comes
+    again, so it is not stored: see `rejects`. The returned rows live as long as `stages`.
     """
     spark = df.sparkSession
     if not exists(spark, path):
-        append_rows(first_per_key(df, keys), path, by)
+        append_rows(first_per_key(df.filter(complete(keys)), keys), path, by)
         return read_table(spark, path, df.schema, by)
-    batch = staged(df, "batch")
-    added = staged(new_rows(batch, read_table(spark, path, batch.schema, by), keys), "added")
+    stages = stages or Stages(spark)
+    batch = stages.write(df, "batch")
+    added = stages.write(new_rows(batch, read_table(spark, path, batch.schema, by), keys), "added")
     append_rows(added, path, by)
     return added
 
 
+def rejects(df: DataFrame, keys: list[str] = KEY) -> DataFrame:
+    """The rows that no load stores, with the reason: an incomplete key, no brand, no week."""
+    reason = (
+        F.when(~complete(keys), "key").when(~complete(["brand"]), "brand").when(~complete(["week_key"]), "week")
+    )
+    return df.withColumn("reason", reason).filter(F.col("reason").isNotNull())
+
+
 def touched_weeks(stored: DataFrame, added: DataFrame) -> DataFrame:
-    """All stored rows of the (brand, week) groups that `added` has rows in.
+    """All stored rows of the (brand, week) groups that `added` (a written table) has rows in.
 
-    The layout columns are part of the join, so untouched partitions are pruned.
+    Only the partitions that `added` names are read.
     """
     keys = ["brand", "yr", "week_key"]
-    return stored.join(added.select(*keys).distinct(), keys, "left_semi")
+    some = stored.filter(partitions_of(added, keys[:2]))
+    return some.join(added.select(*keys).distinct(), keys, "left_semi")
 
 
 def create_table(spark: SparkSession, name: str, schema: T.StructType, location: str, by: str = "week") -> None:

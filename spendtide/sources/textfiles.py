@@ -1,9 +1,9 @@
 """Scan a tree of text files for invisible code points.
 
 Spark's own file sources skip names that begin with `_` or `.`, which would hide
-such files from a safety scan. So the tree is listed by tasks, one per entry below
-the root, and the files are then spread over the cluster by path and read there.
-Only names pass through the listing; contents never leave their task.
+such files from a safety scan. So tasks list the tree, one level at a time, and the files are then
+dealt over the cluster by path and read there, in parts. Neither names nor contents pass
+through the driver.
 """
 
 import os
@@ -14,8 +14,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendtide.functions.text import scan_invisible
-from spendtide.session import task_count
+from spendtide.functions.text import INVISIBLE
+from spendtide.session import Stages, staged, task_count
 
 # File extensions to scan and folders to leave out.
 TEXT_EXTENSIONS = [
@@ -27,6 +27,12 @@ IGNORED_DIRS = [
     ".mypy_cache", ".pytest_cache", ".ruff_cache", "dist", ".dagster", "assets",
 ]
 
+#: Bytes read at a time.
+PART = 1 << 20
+
+ENTRY = "path string, kind string, error string"
+HIT = "file string, line bigint, col bigint, code_point string, error string"
+
 
 def _open(root: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (
@@ -37,50 +43,111 @@ def _wanted(path: str) -> bool:
     return os.path.splitext(path)[1].lower() in TEXT_EXTENSIONS
 
 
-def text_files(spark: SparkSession, root: str) -> DataFrame:
-    """file (path below the root), text: every readable UTF-8 text file of the tree."""
-    fs, base = _open(root)
-    base = base.rstrip("/")
-    top = [
-        (i.path, i.type == pafs.FileType.Directory)
-        for i in fs.get_file_info(pafs.FileSelector(base))
-        if i.base_name not in IGNORED_DIRS or i.type != pafs.FileType.Directory
-    ]
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _lister(root: str):
+    """A row per entry of each folder: kind dir, file, or error where it could not be listed."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, _ = _open(root)
+        local = isinstance(fs, pafs.LocalFileSystem)
         for b in batches:
-            for path, is_dir in b.itertuples(index=False):
-                open_dirs = [path] if is_dir else []
-                found = [] if is_dir else [path]
-                while open_dirs:
-                    for i in fs.get_file_info(pafs.FileSelector(open_dirs.pop())):
-                        if i.type == pafs.FileType.File:
-                            found.append(i.path)
-                        elif i.base_name not in IGNORED_DIRS:
-                            open_dirs.append(i.path)
-                yield pd.DataFrame({"path": [p for p in found if _wanted(p)]}, dtype="object")
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for folder in b["path"]:
+                try:
+                    entries = fs.get_file_info(pafs.FileSelector(folder))
+                except OSError as e:
+                    yield pd.DataFrame([(folder, "error", str(e)[:500])], columns=["path", "kind", "error"])
+                    continue
+                for at in range(0, len(entries), 1000):
+                    out = []
+                    for i in entries[at : at + 1000]:
+                        is_dir = i.type == pafs.FileType.Directory
+                        # A folder that is a link would be walked again, or for ever.
+                        if is_dir and i.base_name not in IGNORED_DIRS and not (local and os.path.islink(i.path)):
+                            out.append((i.path, "dir", None))
+                        elif not is_dir and _wanted(i.path):
+                            out.append((i.path, "file", None))
+                    if out:
+                        yield pd.DataFrame(out, columns=["path", "kind", "error"])
+
+    return run
+
+
+def _scanner(root: str, found: str):
+    """Hits of each file, read in parts; a file that cannot be read or decoded gives an error row."""
+    import codecs
+    import re
+
+    pattern = re.compile(found)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = _open(root)
         base = base.rstrip("/")
         for b in batches:
             for path in b["path"]:
+                name, rows = os.path.relpath(path, base), []
+                line, col, after_cr = 1, 0, False
                 try:
+                    decode = codecs.getincrementaldecoder("utf-8")()
                     with fs.open_input_stream(path) as f:
-                        text = f.read().decode("utf-8")
-                except (OSError, UnicodeDecodeError):
-                    continue
-                yield pd.DataFrame({"file": [os.path.relpath(path, base)], "text": [text]})
-
+                        while True:
+                            data = f.read(PART)
+                            text = decode.decode(data, final=not data)
+                            if after_cr and text:
+                                text, after_cr = text.removeprefix("\n"), False
+                            after_cr = after_cr or text.endswith("\r")
+                            # An editor ends a line at CR, LF or both.
+                            parts = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+                            for k, part in enumerate(parts):
+                                if k:
+                                    line, col = line + 1, 0
+                                rows += [(name, line, col + m.start() + 1, f"U+{ord(m[0]):04X}", None) for m in pattern.finditer(part)]
+                                col += len(part)
+                            if not data:
+                                break
+                except (OSError, UnicodeDecodeError) as e:
+                    rows.append((name, None, None, None, f"{type(e).__name__}: {e}"[:500]))
+                for at in range(0, len(rows), 10_000):
+                    yield pd.DataFrame(rows[at : at + 10_000], columns=["file", "line", "col", "code_point", "error"])
+
+    return run
+
+
+def text_paths(spark: SparkSession, root: str, stages: Stages | None = None) -> DataFrame:
+    """(path, kind, error): every file to scan, and every folder that could not be listed.
+
+    One job per level of folders, each folder listed by some task. Links to folders are not followed.
+    """
+    write = stages.write if stages else staged
+    _, base = _open(root)
     n = task_count(spark)
-    entries = spark.createDataFrame(top, "path string, is_dir boolean").repartition(min(len(top) + 1, n))
-    paths = entries.mapInPandas(walk, "path string").repartition(n, "path")
-    return paths.mapInPandas(read, "file string, text string")
+    folders = spark.createDataFrame([(base.rstrip("/"),)], "path string")
+    out = None
+    while True:
+        level = write(folders.repartition(n, "path").mapInPandas(_lister(root), ENTRY), "listing")
+        leaves = level.filter("kind <> 'dir'")
+        out = leaves if out is None else out.unionByName(leaves)
+        folders = level.filter("kind = 'dir'").select("path")
+        if folders.isEmpty():
+            return out
+
+
+def scan_all_text(spark: SparkSession, root: str) -> DataFrame:
+    """file, line, col, code_point, error: hits, and one row with `error` for what could not be read."""
+    paths = text_paths(spark, root)
+    base = _open(root)[1].rstrip("/")
+    failed = paths.filter("kind = 'error'").select(
+        F.expr(f"substring(path, {len(base) + 2})").alias("file"), F.lit(None).cast("bigint").alias("line"),
+        F.lit(None).cast("bigint").alias("col"), F.lit(None).cast("string").alias("code_point"), "error",
+    )
+    files = paths.filter("kind = 'file'").select("path").repartition(task_count(spark), "path")
+    return files.mapInPandas(_scanner(root, _as_python(INVISIBLE)), HIT).unionByName(failed)
+
+
+def _as_python(pattern: str) -> str:
+    """The class of code points in Python's spelling."""
+    import re
+
+    return re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\U{int(m[1], 16):08X}", pattern)
 
 
 def scan_text_files(spark: SparkSession, root: str) -> DataFrame:
-    """One row per hit: file, line, col, code_point."""
-    # Text mode turns CR and CRLF into a line feed, so a line ends where an editor ends it.
-    files = text_files(spark, root).withColumn("text", F.regexp_replace("text", "\r\n?", "\n"))
-    return scan_invisible(files, "text", "file")
+    """One row per hit: file, line, col, code_point. `scan_all_text` also tells what could not be read."""
+    return scan_all_text(spark, root).filter("error is null").drop("error")
