@@ -4,24 +4,30 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-# Spend is added up in whole hundred-thousandths: four decimals, and half of one.
-UNITS = 100_000
+# Spend is added up in whole millionths.
+UNITS = 1_000_000
+# Amounts of one row that are believed; what lies beyond counts as missing.
+MOST = 1e12
+
+
+def believed(x: Column) -> Column:
+    """The amount, or null where it is NaN, infinite or beyond +-MOST."""
+    x = x.cast("double")
+    return F.when(F.abs(x) <= MOST, x)
 
 
 def exact(x: Column) -> Column:
     """Spend as a whole number of units, so that sums do not depend on row order.
 
-    Null, NaN and infinities count as 0. A bigint sum stays in generated code, where a decimal
-    made from a double goes through its text form for every row. Amounts beyond a
-    bigint (sums of about 90 trillion) raise an error.
+    Missing amounts (see `believed`) count as 0. A row's units fit a bigint; as a decimal
+    of no places their sum holds any number of rows.
     """
-    x = x.cast("double")
-    return F.rint(F.when(F.abs(x) < float("inf"), x).otherwise(0.0) * UNITS).cast("bigint")
+    return F.rint(F.coalesce(believed(x), F.lit(0.0)) * UNITS).cast("bigint").cast("decimal(19,0)")
 
 
 def amount(units: Column) -> Column:
     """Units back to a double."""
-    return units / F.lit(float(UNITS))
+    return units.cast("double") / F.lit(float(UNITS))
 
 
 def pct_change(new: Column, base: Column) -> Column:

@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendtide.functions.numbers import amount, exact
+from spendtide.functions.calendar import iso_week_key
+from spendtide.functions.numbers import amount, believed, exact
 from spendtide.functions.text import sanitize
 
 # Columns to fill and what to fill them with.
@@ -48,17 +49,39 @@ def add_spend_midpoint(df: DataFrame) -> DataFrame:
 
 
 def sanitize_texts(df: DataFrame) -> DataFrame:
-    """Remove invisible code points from ad text, call to action and themes."""
+    """Remove invisible code points from ad text, call to action and themes.
+
+    A call to action of which nothing is left is none.
+    """
+    cta = sanitize(F.col("cta"))
     return df.withColumns({
         "ad_text": sanitize(F.col("ad_text")),
-        "cta": sanitize(F.col("cta")),
+        "cta": F.when(F.trim(cta) != "", cta),
         "creative_themes": F.transform("creative_themes", sanitize),
     })
 
 
+def derive_week(df: DataFrame) -> DataFrame:
+    """The ISO week of the start date where a document states no week."""
+    stated = F.when(F.trim("week_key") != "", F.col("week_key"))
+    return df.withColumn("week_key", F.coalesce(stated, iso_week_key(F.col("started_running"))))
+
+
+def drop_absurd_amounts(df: DataFrame) -> DataFrame:
+    """Amounts that cannot be meant become null; `bad_amounts` counts them."""
+    return df.withColumns({c: believed(F.col(c)) for c in ("spend_lower", "spend_upper")})
+
+
+def bad_amounts(df: DataFrame) -> DataFrame:
+    """How many amounts are NaN, infinite or out of range, per column."""
+    return df.agg(*[
+        F.count_if(F.col(c).isNotNull() & believed(F.col(c)).isNull()).alias(c) for c in ("spend_lower", "spend_upper")
+    ])
+
+
 def clean_creatives(df: DataFrame) -> DataFrame:
     """All row-level steps, in the order that makes a missing bound count as 0."""
-    return add_spend_midpoint(clean_nulls(sanitize_texts(cast_dates(df))))
+    return add_spend_midpoint(clean_nulls(sanitize_texts(derive_week(drop_absurd_amounts(cast_dates(df))))))
 
 
 def filter_brand_channels(df: DataFrame, brand: str | None = None, channels: list[str] | None = None) -> DataFrame:

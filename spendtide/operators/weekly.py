@@ -8,6 +8,10 @@ from spendtide.operators.clean import UNKNOWN
 
 GRAIN = ["brand", "week_key", "channel", "region"]
 BRAND_WEEK = ["brand", "week_key"]
+# What the fact table is made from.
+INPUT = [
+    *GRAIN, "is_active", "impression_lower", "impression_upper", "spend_lower", "spend_upper", "cta", "creative_themes",
+]
 
 # Lengths of the top lists.
 N_CTAS = 3
@@ -74,7 +78,7 @@ def _top_values(creatives: DataFrame) -> DataFrame:
         *group, F.lit(1).alias("kind"), F.col("cta").alias("value"))
     themes = creatives.select(
         *group, F.lit(2).alias("kind"), F.explode("creative_themes").alias("value")
-    ).filter(F.col("value").isNotNull())
+    ).filter(F.col("value") != UNKNOWN)
 
     def counted(df: DataFrame) -> DataFrame:
         return df.groupBy(*GRAIN, "kind", "value").agg(F.count("*").alias("n"))
@@ -138,7 +142,8 @@ def top_ctas(creatives: DataFrame, n: int = N_CTAS) -> DataFrame:
 
 
 def top_themes(creatives: DataFrame, n: int = N_THEMES) -> DataFrame:
-    return top_n_per_key(_at_grain(creatives, F.explode("creative_themes"), "theme"), GRAIN, "theme", n)
+    themes = _at_grain(creatives, F.explode("creative_themes"), "theme").filter(F.col("theme") != UNKNOWN)
+    return top_n_per_key(themes, GRAIN, "theme", n)
 
 
 def active_count(creatives: DataFrame) -> DataFrame:

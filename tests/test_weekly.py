@@ -8,7 +8,7 @@ from conftest import SF, plan
 from pyspark.sql import functions as F
 
 from spendtide.operators import clean, weekly
-from spendtide.plans import starschema
+from spendtide.plans import catalog, starschema
 from spendtide.schemas import RAW_CREATIVES, WEEKLY_SIGNALS, conform
 
 
@@ -41,6 +41,27 @@ def test_infinite_spend_is_missing(creatives):
     assert one(weekly.weekly_signals(creatives([dict(spend_lower=float("inf"), spend_upper=10.0)]))).spend_midpoint == 5.0
 
 
+def test_absurd_and_tiny_spend(creatives):
+    rows = [dict(spend_lower=1e300, spend_upper=10.0), dict(spend_lower=0.000001, spend_upper=0.000003)]
+    assert one(weekly.weekly_signals(creatives(rows))).spend_midpoint == 5.000002
+    assert one(clean.bad_amounts(creatives(rows))).asDict() == dict(spend_lower=1, spend_upper=0)
+    many = [dict(source_id=str(i), spend_upper=1e12) for i in range(60)]  # 6e19 units: past a bigint
+    assert one(weekly.weekly_signals(creatives(many))).spend_midpoint == 3e13
+
+
+def test_unknown_and_emptied_labels_are_left_out(creatives):
+    df = clean.clean_creatives(creatives([dict(creative_themes=["unknown"], cta="\u200b "), dict(creative_themes=["a"], cta="Go")]))
+    row = one(weekly.weekly_signals(df))
+    assert (row.top_themes, row.top_ctas) == (["a"], ["Go"])
+    assert [r.theme for r in weekly.top_themes(df).collect()] == ["a"]
+
+
+def test_week_is_derived_from_the_start(creatives):
+    rows = [dict(week_key=None, started_running="2024-12-30"), dict(week_key="", started_running="x"), dict(week_key="2020-W01", started_running="2024-01-01")]
+    got = [r.week_key for r in clean.clean_creatives(creatives(rows)).orderBy("source_id").collect()]
+    assert got == ["2025-W01", None, "2020-W01"]
+
+
 def test_week_without_spend_has_share_zero(creatives):
     rows = weekly.weekly_signals(creatives([dict(), dict(channel="video")])).collect()
     assert [r.channel_share for r in rows] == [0.0, 0.0]
@@ -175,5 +196,7 @@ def test_plan_reduces_before_each_shuffle(spark):
     assert p.count("WindowGroupLimit") == 2          # before and after the ranking shuffle
     assert "partial_sum(spend_lower" in p
     assert "PartialMerge" not in p
+    registered = plan(catalog.full_signals(spark, SF))
+    assert "l_orderkey" not in registered and registered.count("FileScan") == 3  # of the written input
     scans = [line for line in p.splitlines() if "FileScan" in line and "l_orderkey" in line]
     assert all("l_tax" not in line for line in scans)
