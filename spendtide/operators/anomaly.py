@@ -88,16 +88,17 @@ def _mean_path(n: np.ndarray) -> np.ndarray:
     return out
 
 
-def forest_scores(x: np.ndarray, n_trees: int = N_TREES, seed: int = SEED) -> np.ndarray:
+def forest_scores(x: np.ndarray, n_trees: int = N_TREES, seed: int = SEED, max_samples: int = MAX_SAMPLES) -> np.ndarray:
     """Isolation forest (Liu, Ting & Zhou 2008): minus the anomaly score per row.
 
     All trees grow together, one level per step: `node` holds the cell of every
     row in every tree, and a cell splits at a random value of a random feature
-    that still varies among its sampled rows.
+    that still varies among its sampled rows. As published, a tree grows on at most
+    `max_samples` rows; every row is scored by every tree.
     """
     rng = np.random.default_rng(seed)
     n, n_feat = x.shape
-    size = min(MAX_SAMPLES, n)
+    size = min(max_samples, n)
     depth_limit = int(np.ceil(np.log2(max(size, 2))))
     chosen = np.zeros((n_trees, n), dtype=bool)
     np.put_along_axis(chosen, rng.random((n_trees, n)).argsort(axis=1)[:, :size], True, axis=1)
@@ -131,25 +132,33 @@ def forest_scores(x: np.ndarray, n_trees: int = N_TREES, seed: int = SEED) -> np
     return -np.exp2(-depth.mean(axis=0) / _mean_path(np.array([size]))[0])
 
 
-def _score_brand(weeks: pd.DataFrame) -> pd.DataFrame:
-    weeks = weeks.sort_values("week_key")
-    out = weeks[["brand", "week_key", "spend_midpoint"]].copy()
-    out["score"] = np.nan
-    if len(weeks) >= MIN_WEEKS:
-        x = weeks[FEATURES].to_numpy(dtype=float)
-        std = x.std(axis=0)
-        out["score"] = forest_scores((x - x.mean(axis=0)) / np.where(std == 0, 1.0, std))
-    return out
+def _scorer(n_trees: int, max_samples: int):
+    def score(weeks: pd.DataFrame) -> pd.DataFrame:
+        weeks = weeks.sort_values("week_key")
+        out = weeks[["brand", "week_key", "spend_midpoint"]].copy()
+        out["score"] = np.nan
+        if len(weeks) >= MIN_WEEKS:
+            x = weeks[FEATURES].to_numpy(dtype=float)
+            std = x.std(axis=0)
+            out["score"] = forest_scores((x - x.mean(axis=0)) / np.where(std == 0, 1.0, std), n_trees, SEED, max_samples)
+        return out
+
+    return score
 
 
-def isolation_scores(signals: DataFrame, channels: list[str] | None = None,
-                     contamination: float = CONTAMINATION) -> DataFrame:
+def isolation_scores(
+    signals: DataFrame,
+    channels: list[str] | None = None,
+    contamination: float = CONTAMINATION,
+    n_trees: int = N_TREES,
+    max_samples: int = MAX_SAMPLES,
+) -> DataFrame:
     """Forest score per brand and week, flagged below the contamination percentile."""
     weekly = fill_features(brand_weekly_features(signals, channels)).repartition(
         task_count(signals.sparkSession), "brand"
     )
     scores = weekly.groupBy("brand").applyInPandas(
-        _score_brand, "brand string, week_key string, spend_midpoint double, score double"
+        _scorer(n_trees, max_samples), "brand string, week_key string, spend_midpoint double, score double"
     )
     return contamination_cut(scores, contamination)
 

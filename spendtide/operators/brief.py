@@ -11,30 +11,16 @@ from spendtide.functions.numbers import fixed1
 from spendtide.functions.text import sanitize
 from spendtide.session import task_count
 
-# Labels and stand-in words of the context text.
-CONTEXT = (
-    "SIGNAL DATA (%d weeks of observations):\n"
-    "- Overall spend trend: %s\n"
-    "- Channel mix (recent 4 weeks): %s\n"
-    "- Per-channel trends: %s\n"
-    "- Anomalous weeks detected: %s\n"
-    "- Dominant creative themes: %s"
-)
+# Headings that readers look for, and the texts of failures.
+HEAD = "SIGNAL DATA (%d weeks of observations):"
+REQUIREMENTS_HEAD = "BRIEF REQUIREMENTS:"
 NO_ANOMALY = "none detected"
-NO_TREND = "insufficient data"
-NO_THEME = "unavailable"
 NO_DATA = "Insufficient data for %s: %s"
 WRITER_ERROR = "[LLM Error: {}]"
-N_LAST_ANOMALIES = 3
 
-# What the writer is asked for around the context; replace as needed.
-ROLE = "You are a media analyst. Write short, specific briefs that cite the figures given."
-TASK = "Write a brief on the advertising signals of %s."
-REQUIREMENTS = (
-    "BRIEF REQUIREMENTS: three sentences, as plain prose. First the overall spend posture, "
-    "with channel figures. Then the largest shift or unusual week, with its week or "
-    "percentage. Last, what a media buyer who competes with this brand should conclude."
-)
+CONTEXT = HEAD + "\n* direction: %s\n* Channel mix, last weeks: %s\n* by channel: %s\n* unusual weeks: %s\n* themes: %s"
+NO_TREND = NO_THEME = "not enough rows"
+N_LAST_ANOMALIES = 3
 
 
 def _or(text: Column, missing: str) -> Column:
@@ -67,8 +53,12 @@ def last_weeks_text(weeks: Column) -> Column:
     return F.array_join(F.slice(weeks, start, N_LAST_ANOMALIES), ", ")
 
 
-def brief_context(summary: DataFrame) -> DataFrame:
-    """brand, status, context, prompt. A brand without data gets its notice instead."""
+def brief_context(summary: DataFrame, task: str = "%s", requirements: str = "") -> DataFrame:
+    """brand, status, context, prompt. A brand without data gets its notice instead.
+
+    What a writer is asked for is the caller's: `task`, with %s for the brand in capitals, opens the
+    prompt, and `requirements` close it.
+    """
     ok = F.col("status") == "ok"
     context = F.format_string(
         CONTEXT,
@@ -82,12 +72,12 @@ def brief_context(summary: DataFrame) -> DataFrame:
     notice = F.format_string(NO_DATA, F.col("brand"), F.col("status"))
     text = F.when(ok, context).otherwise(notice)
     prompt = F.concat_ws(
-        "\n\n", F.format_string(TASK, F.upper("brand")), context, F.lit(REQUIREMENTS)
+        "\n\n", F.format_string(task, F.upper("brand")), context, F.lit(f"{REQUIREMENTS_HEAD} {requirements}".strip())
     )
     return summary.select("brand", "status", text.alias("context"), F.when(ok, prompt).alias("prompt"))
 
 
-def generate_briefs(contexts: DataFrame, writer: Callable[[str, str], str]) -> DataFrame:
+def generate_briefs(contexts: DataFrame, writer: Callable[[str, str], str], role: str = "") -> DataFrame:
     """brand, brief: `writer(prompt, role)` called once per brand with data.
 
     A failed call becomes a text that says so. Brands without data keep their notice
@@ -98,7 +88,7 @@ def generate_briefs(contexts: DataFrame, writer: Callable[[str, str], str]) -> D
             if prompt is None:
                 return context
             try:
-                return (writer(prompt, ROLE) or "").strip()
+                return (writer(prompt, role) or "").strip()
             except Exception as e:  # any failure of a caller's function
                 return WRITER_ERROR.format(e)
 

@@ -67,7 +67,7 @@ def forecast_all(signals: DataFrame, channels: list[str] | None = None, forecast
         "brand", F.explode(F.array(*[F.lit(c) for c in sorted(set(channels))])).alias("channel")
     )
     full = grid.join(out, ["brand", "channel"], "left")
-    none = {"n_weeks": F.lit(0), "trend_direction": F.lit("flat"), "trend_pct_change": F.lit(0.0)}
+    none = {"n_weeks": F.lit(0), "trend_direction": F.lit("flat"), "trend_pct_change": F.lit(0.0), "converged": F.lit(None)}
     filled = []
     for f in out.schema.fields:
         if f.name in ("brand", "channel"):

@@ -8,7 +8,7 @@ as the data.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendtide.functions.calendar import week_monday
+from spendtide.functions.calendar import iso_week_key, week_monday
 from spendtide.functions.numbers import amount, clamp_round, exact, pct_change
 
 SERIES = ["brand", "channel"]
@@ -51,8 +51,8 @@ def _shape(signals: DataFrame) -> DataFrame:
     )
 
 
-def _summary(shape: DataFrame, pct: Column, forecast: Column) -> DataFrame:
-    """The typed result. A short series keeps its row, with empty lists and flat."""
+def _summary(shape: DataFrame, pct: Column, forecast: Column, *more: str) -> DataFrame:
+    """The typed result, with columns `more` of the shape. A short series keeps its row, with empty lists and flat."""
     enough = F.col("n_weeks") >= MIN_POINTS
     pct = F.when(enough, pct).otherwise(0.0)
 
@@ -66,6 +66,7 @@ def _summary(shape: DataFrame, pct: Column, forecast: Column) -> DataFrame:
         listed(forecast, "double").alias("forecast"),
         listed(F.transform("tail", lambda e: e["y"]), "double").alias("weekly_actuals"),
         listed(F.transform("tail", lambda e: e["week_key"]), "string").alias("weekly_dates"),
+        *more,
     )
 
 
@@ -132,6 +133,20 @@ def history_guard(signals: DataFrame, min_weeks: int = 8) -> DataFrame:
     )
 
 
+def fill_weeks(signals: DataFrame) -> DataFrame:
+    """The weekly series (brand, channel, week_key, spend) with the weeks between a series' ends that have no rows, at 0.
+
+    The other operators take the weeks that are present; this is for those who want all of them.
+    """
+    series = weekly_series(signals)
+    monday = week_monday(F.col("week_key"))
+    ends = series.groupBy(*SERIES).agg(F.min(monday).alias("a"), F.max(monday).alias("b")).filter("a is not null")
+    days = F.explode(F.expr("sequence(a, b, interval 7 days)"))
+    grid = ends.select(*SERIES, days.alias("monday")).select(*SERIES, iso_week_key(F.col("monday")).alias("week_key"))
+    spend = F.coalesce(amount(F.col("spend")), F.lit(0.0))
+    return grid.join(series, [*SERIES, "week_key"], "left").select(*SERIES, "week_key", spend.alias("spend"))
+
+
 def week_ranks(signals: DataFrame) -> DataFrame:
     """Every week of every brand, newest first: brand, week_key, recency (1 = newest)."""
     w = Window.partitionBy("brand").orderBy(F.desc("week_key"))

@@ -11,7 +11,14 @@ from spendtide.sources.tables import exists
 
 
 def saved_briefs(
-    summary: DataFrame, path: str, snapshot_id: int, writer: Callable[[str, str], str], refresh: bool = False
+    summary: DataFrame,
+    path: str,
+    snapshot_id: int,
+    writer: Callable[[str, str], str],
+    refresh: bool = False,
+    task: str = "%s",
+    requirements: str = "",
+    role: str = "",
 ) -> DataFrame:
     """Response rows of every brand of `summary`, from the saved table where it has them.
 
@@ -27,7 +34,7 @@ def saved_briefs(
         run = kept.agg(F.max("run")).first()[0] + 1
         if not refresh:
             todo = summary.join(kept.select("brand").distinct(), "brand", "left_anti")
-    new = brief_response(todo, generate_briefs(brief_context(todo), writer))
+    new = brief_response(todo, generate_briefs(brief_context(todo, task, requirements), writer, role))
     new.write.mode("overwrite").parquet(f"{home}/run={run}")
     rows = spark.read.parquet(home)
     answer = [c for c in rows.columns if c not in ("brand", "run")]

@@ -64,6 +64,17 @@ def test_sparse_mode_meets_the_optimality_conditions(seed):
     assert (np.abs(slope[~on]) <= cost[~on] + 1e-6).all()
 
 
+def test_a_fit_that_is_cut_short_says_so(monkeypatch, signals):
+    rng = np.random.default_rng(4)
+    days, y = np.arange(60) * 7.0, 100 + np.cumsum(rng.normal(0, 30, 60))
+    assert forecast.fit_trend_checked(days, y, days[-1:])[1] is True
+    monkeypatch.setattr(forecast, "FIT_ROUNDS", 1)
+    assert forecast.fit_trend_checked(days, y, days[-1:])[1] is False
+    monkeypatch.undo()
+    got = {r.brand: r.converged for r in forecast.trend_forecast(signals(history(20) + history(3, "tiny"))).collect()}
+    assert got == {"acme": True, "tiny": None}
+
+
 def test_constant_zero_and_short_series():
     assert forecast.fit_trend(np.arange(4.0), np.zeros(4), np.array([5.0])) == pytest.approx([0.0])
     assert forecast.fit_trend(np.arange(5) * 7.0, np.full(5, 9.0), np.array([40.0])) == pytest.approx([9.0], rel=1e-2)
@@ -209,7 +220,8 @@ def test_context(summed):
     assert "Channel mix" in a.context and "\u200b" not in a.context and "lifestyle" in a.context
     assert "none detected" in rows["zeta"].context
     assert (rows["nobody"].context, rows["nobody"].prompt) == ("Insufficient data for nobody: no_data", None)
-    assert "analyst" in brief.ROLE.lower()
+    asked = brief.brief_context(summed, "Tell of %s!", "short").filter("brand = 'acme'").first().prompt
+    assert asked.startswith("Tell of ACME!") and asked.endswith("BRIEF REQUIREMENTS: short")
 
 
 def test_last_three_anomalies_in_order(spark):

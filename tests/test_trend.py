@@ -132,3 +132,10 @@ def test_signals_page(signals):
     assert report.signals_query(s, "acme").columns == ["brand", "channel", "week_key", "spend_midpoint", "ad_count", "channel_share"]
     with pytest.raises(ValueError):
         report.signals_query(s, "acme", limit=1001)
+
+
+def test_weeks_without_rows_are_filled(signals):
+    w = weeks(6)
+    s = signals([dict(week_key=w[0], spend_midpoint=5.0), dict(week_key=w[4], spend_midpoint=7.0), dict(channel="tv", week_key=w[2])])
+    got = sorted((r.channel, r.week_key, r.spend) for r in trend.fill_weeks(s).collect())
+    assert got == [("social", k, 5.0 if i == 0 else 7.0 if i == 4 else 0.0) for i, k in enumerate(w[:5])] + [("tv", w[2], 0.0)]
