@@ -7,15 +7,16 @@ dates and timestamps as text, so that two engines can be compared by value.
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spendtide import schemas
 from spendtide.functions import calendar, labels, numbers, text
 from spendtide.operators import anomaly, brief, clean, dedup, forecast, report, summary, trend, weekly
-from spendtide.plans.starschema import creatives, table
+from spendtide.plans.briefs import saved_briefs as briefs_of_snapshot
+from spendtide.plans.starschema import CHANNEL, creatives, table
 from spendtide.plans.weekly_run import weekly_run
-from spendtide.session import shared_dir, spread, staged
+from spendtide.session import shared_dir, staged
 from spendtide.sources import archive, snapshots, tables, textfiles
 from spendtide.sources import creatives as docs
 from spendtide.streaming import feeds
@@ -26,6 +27,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 BRAND = "building"
 CHANNELS = ["search", "video"]
 SPLIT_WEEK = "1998-W01"
+RECENT = 1000
 AS_OF = "2001-01-01"
 BATCH_TS = "2001-01-01 00:00:00"
 COMMITS = [datetime(2001, 1, 1), datetime(2001, 1, 2)]
@@ -77,7 +79,14 @@ def signals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def full_signals(spark: SparkSession, sf: str) -> DataFrame:
-    return weekly.weekly_signals(creatives(spark, sf))
+    """The fact table reads its input three times, so that is written first."""
+    return weekly.weekly_signals(staged(creatives(spark, sf).select(*weekly.INPUT), "creatives"))
+
+
+def placed(df: DataFrame) -> DataFrame:
+    """With each row's place, so that the order of a sorted result is compared too."""
+    by_row = Window.orderBy(F.monotonically_increasing_id())
+    return df.withColumn("place", F.row_number().over(by_row).cast("bigint"))
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -92,14 +101,14 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 def smuggled(spark: SparkSession, sf: str) -> DataFrame:
     """Documents, whole, with invisible code points behind every comma and full stop."""
     t = F.replace(F.replace(F.col("text"), F.lit(", "), F.lit(f",{ZWSP} ")), F.lit(". "), F.lit(f".{TAG_A} "))
-    return spread(table(spark, sf, "documents"), "doc_id").select("doc_id", t.alias("text"))
+    return table(spark, sf, "documents").select("doc_id", t.alias("text"))
 
 
 def ads(spark: SparkSession, sf: str) -> DataFrame:
     """One archive ad per order line, as JSON, with the gaps and bad dates such ads have."""
     part = F.col("l_partkey")
     lines = (
-        spread(table(spark, sf, "lineitem"), "l_orderkey")
+        table(spark, sf, "lineitem")
         .join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     )
@@ -145,9 +154,10 @@ def new(df: DataFrame) -> DataFrame:
     return df.filter(F.col("week_key") >= SPLIT_WEEK)
 
 
-def stored_keys(spark: SparkSession, sf: str) -> DataFrame:
-    """Keys of a target that was loaded with the old weeks; each once, as loading leaves it."""
-    return old(creatives(spark, sf)).select(*dedup.KEY).distinct()
+def batch_and_target(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """All creatives, written, and the keys of a target that was loaded with the old weeks; each once, as loading leaves it."""
+    batch = staged(creatives(spark, sf), "batch")
+    return batch, old(batch).select(*dedup.KEY).distinct()
 
 
 def steps(df: DataFrame) -> DataFrame:
@@ -176,7 +186,7 @@ def scan_all(spark, sf):
 
 @query
 def brand_recent_creatives(spark, sf):
-    return shown(docs.brand_recent_creatives(creatives(spark, sf), BRAND))
+    return placed(shown(docs.brand_recent_creatives(creatives(spark, sf), BRAND, RECENT)))
 
 
 @query
@@ -184,8 +194,8 @@ def normalise_ads(spark, sf):
     return shown(normalised(spark, sf))
 
 
-@query
-def explode_ad_pages(spark, sf):
+def ad_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Every ad twice, in a page of its own."""
     pages = ads(spark, sf).select(
         "brand", "page_index",
         F.from_json(
@@ -193,11 +203,33 @@ def explode_ad_pages(spark, sf):
             archive.ARCHIVE_PAGE,
         ).alias("page"),
     ).select("brand", "page_index", "page.data", "page.paging")
-    return archive.explode_ad_pages(pages).select(
+    return pages
+
+
+def ads_of(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
+    return archive.explode_ad_pages(pages, max_pages).select(
         "brand", "page_index", F.col("ad.id").alias("id"), F.size("ad.publisher_platforms").cast("bigint").alias("n_platforms")
     )
 
 
+@query
+def explode_ad_pages(spark, sf):
+    return ads_of(ad_pages(spark, sf))
+
+
+@query
+def explode_first_pages(spark, sf):
+    return ads_of(ad_pages(spark, sf), 16)
+
+
+@query
+def read_pages(spark, sf):
+    """Landed as JSON files, one envelope per line, and read back."""
+    path = shared_dir(spark, "pages")
+    ad_pages(spark, sf).write.json(path)
+    return ads_of(archive.read_pages(spark, path))
+
+
 @query
 def relabel_search_source(spark, sf):
     out = docs.relabel_search_source(creatives(spark, sf))
@@ -206,19 +238,59 @@ def relabel_search_source(spark, sf):
 
 @query
 def insert_only_upsert(spark, sf):
-    batch = creatives(spark, sf)
-    return shown(dedup.new_rows(batch, stored_keys(spark, sf)))
+    return shown(dedup.new_rows(*batch_and_target(spark, sf)))
+
+
+def with_keyless(spark: SparkSession, sf: str) -> DataFrame:
+    """Creatives of which some lack an id, some a week, and some state absurd amounts."""
+    n = F.col("impression_lower")
+    return creatives(spark, sf).withColumns({
+        "source_id": F.when(n % 9000 != 0, F.col("source_id")),
+        "week_key": F.when(n % 5000 != 0, F.col("week_key")),
+        "started_running": F.when(n % 25000 != 0, F.col("started_running")),
+        "spend_upper": F.when(n % 11000 == 0, 1e300).otherwise(F.col("spend_upper")),
+    })
+
+
+@query
+def insert_only_rerun(spark, sf):
+    """The same documents, some without id, loaded twice."""
+    path = shared_dir(spark, "raw")
+    batch = staged(with_keyless(spark, sf).drop("week_key").withColumn("week_key", F.lit("2001-W01")))
+    for _ in range(2):
+        tables.insert_only(batch, path)
+    return tables.read_table(spark, path, batch.schema).groupBy("source").agg(F.count("*").alias("stored"))
+
+
+@query
+def load_rejects(spark, sf):
+    return tables.rejects(clean.clean_creatives(with_keyless(spark, sf))).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query
+def week_key_derived(spark, sf):
+    cleaned = clean.clean_creatives(with_keyless(spark, sf))
+    return shown(cleaned.select("source_id", "source", "impression_lower", "week_key", "spend_upper", "spend_midpoint"))
+
+
+@query
+def bad_amounts(spark, sf):
+    return clean.bad_amounts(with_keyless(spark, sf))
+
+
+@query
+def bad_dates(spark, sf):
+    return clean.bad_dates(with_bad_dates(spark, sf))
 
 
 @query
 def upsert_counts(spark, sf):
-    batch = creatives(spark, sf)
-    return dedup.upsert_counts(batch, stored_keys(spark, sf))
+    return dedup.upsert_counts(*batch_and_target(spark, sf))
 
 
 @query
 def upsert_counts_by_brand(spark, sf):
-    return dedup.upsert_counts(creatives(spark, sf), stored_keys(spark, sf), ["brand"])
+    return dedup.upsert_counts(*batch_and_target(spark, sf), ["brand"])
 
 
 @query
@@ -288,7 +360,7 @@ def committed(spark: SparkSession, sf: str) -> str:
 
 @query
 def list_snapshots(spark, sf):
-    return snapshots.list_snapshots(spark, committed(spark, sf), "brand_weekly_signals")
+    return placed(snapshots.list_snapshots(spark, committed(spark, sf), "brand_weekly_signals"))
 
 
 @query
@@ -314,8 +386,9 @@ def snapshot_full_outer(spark, sf):
 @query
 def scan_text_files(spark, sf):
     path = shared_dir(spark, "tree")
-    smuggled(spark, sf).select("text").write.option("maxRecordsPerFile", 200).text(path)
-    return textfiles.scan_text_files(spark, path).groupBy("code_point").agg(F.count("*").alias("hits"))
+    smuggled(spark, sf).select("doc_id", "text").write.partitionBy("doc_id").text(path)
+    hits = textfiles.scan_text_files(spark, path)
+    return hits.withColumn("doc_id", F.regexp_extract("file", "doc_id=([0-9]+)", 1).cast("bigint")).drop("file")
 
 
 # ---- projections and filters ----------------------------------------------------------
@@ -325,15 +398,17 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.withColumn("channel_share", F.round("channel_share", 6))
 
 
-@query
-def cast_dates(spark, sf):
-    d = documents(spark, sf)
+def with_bad_dates(spark: SparkSession, sf: str) -> DataFrame:
     bad = F.col("impression_lower") % 7000 == 0
-    d = d.withColumns({
+    return documents(spark, sf).withColumns({
         "started_running": F.when(bad, "garbage").otherwise(F.col("started_running")),
         "ingested_at": F.when(bad, "").otherwise(F.col("ingested_at")),
     })
-    return shown(clean.cast_dates(d).select("source_id", "source", "started_running", "stopped_running", "ingested_at"))
+
+
+@query
+def cast_dates(spark, sf):
+    return shown(clean.cast_dates(with_bad_dates(spark, sf)).select("source_id", "source", "started_running", "stopped_running", "ingested_at"))
 
 
 def with_gaps(spark: SparkSession, sf: str) -> DataFrame:
@@ -394,7 +469,7 @@ def recent_weeks_semi(spark, sf):
 
 @query
 def anti_existing(spark, sf):
-    return dedup.new_rows(creatives(spark, sf), stored_keys(spark, sf)).select(*dedup.KEY)
+    return dedup.new_keys(*batch_and_target(spark, sf))
 
 
 @query
@@ -413,9 +488,23 @@ def checked_summary(spark: SparkSession, sf: str, **options) -> DataFrame:
     return summary.signal_summary(staged(full_signals(spark, sf)), forecaster="linear", detector="robust", **options)
 
 
+def asked_brands(spark: SparkSession, sf: str) -> DataFrame:
+    """Every brand, and one that has no rows."""
+    nobody = spark.createDataFrame([("nobody",)], "brand string")
+    return table(spark, sf, "customer").select(F.lower("c_mktsegment").alias("brand")).unionAll(nobody)
+
+
 @query
 def summary_assemble(spark, sf):
-    s = checked_summary(spark, sf, channels=CHANNELS, brands=table(spark, sf, "customer").select(F.lower("c_mktsegment").alias("brand")))
+    return assembled(checked_summary(spark, sf, brands=asked_brands(spark, sf)))
+
+
+@query
+def summary_filtered(spark, sf):
+    return assembled(checked_summary(spark, sf, channels=CHANNELS, brands=asked_brands(spark, sf)))
+
+
+def assembled(s: DataFrame) -> DataFrame:
     return s.select(
         "brand", "status", "dominant_trend", "n_anomalies", "weeks_analysed",
         F.size("channel_forecasts").cast("bigint").alias("n_channels"),
@@ -473,8 +562,12 @@ def dominant_trend(spark, sf):
 
 @query
 def kpis(spark, sf):
-    brands = table(spark, sf, "customer").select(F.lower("c_mktsegment").alias("brand"))
-    return report.kpis(clean.filter_brand_channels(signals(spark, sf), channels=CHANNELS), brands)
+    return report.kpis(signals(spark, sf), asked_brands(spark, sf))
+
+
+@query
+def kpis_filtered(spark, sf):
+    return report.kpis(clean.filter_brand_channels(signals(spark, sf), channels=CHANNELS), asked_brands(spark, sf))
 
 
 @query
@@ -487,9 +580,21 @@ def trend_series(spark, sf):
     return report.trend_series(signals(spark, sf))
 
 
+@query
+def trend_wide(spark, sf):
+    return report.trend_wide(signals(spark, sf), sorted(CHANNEL.values()))
+
+
+@query
+def fill_weeks(spark, sf):
+    """On a series that lacks every third week."""
+    some = signals(spark, sf).filter(F.substring("week_key", 7, 2).cast("int") % 3 != 0)
+    return trend.fill_weeks(some)
+
+
 @query
 def sorted_dims(spark, sf):
-    return report.sorted_dims(signals(spark, sf))
+    return placed(report.sorted_dims(signals(spark, sf)))
 
 
 @query
@@ -498,6 +603,16 @@ def load_counts(spark, sf):
     return spark.createDataFrame([tuple(counts.values())], ", ".join(f"{k} bigint" for k in counts))
 
 
+@query
+def snapshot_run(spark, sf):
+    """Two runs, the second over later documents; the newest state of the history they leave."""
+    raw, facts, history = (shared_dir(spark, n) for n in ("raw", "signals", "history"))
+    every = staged(creatives(spark, sf))
+    for part, at in ((old(every), COMMITS[0]), (every, COMMITS[1])):
+        weekly_run(part, raw, facts, snapshots=history, committed_at=at)
+    return rounded(shown(snapshots.read_as_of(spark, history)))
+
+
 # ---- windows --------------------------------------------------------------------------
 
 
@@ -550,7 +665,7 @@ def dedup_first(spark, sf):
 
 @query
 def signals_query(spark, sf):
-    return rounded(report.signals_query(signals(spark, sf), BRAND))
+    return placed(rounded(report.signals_query(signals(spark, sf), BRAND)))
 
 
 @query
@@ -566,7 +681,7 @@ def mix_desc(spark, sf):
 
 @query
 def tail_weeks(spark, sf):
-    return report.tail_weeks(signals(spark, sf), BRAND)
+    return placed(report.tail_weeks(signals(spark, sf), BRAND))
 
 
 @query
@@ -707,6 +822,36 @@ def trend_forecast(spark, sf):
     return steps(forecast.trend_forecast(staged(signals(spark, sf))))
 
 
+@query
+def trend_forecast_shape(spark, sf):
+    """All of the fitted forecast that does not depend on fitted numbers."""
+    out = forecast.trend_forecast(staged(signals(spark, sf)))
+    return out.select(
+        "brand", "channel", "n_weeks", "trend_direction", "trend_pct_change", "converged",
+        F.size("forecast").cast("bigint").alias("n_steps"), F.forall("forecast", lambda v: v >= 0).alias("none_below_0"),
+        F.array_join("weekly_dates", "|").alias("weeks"),
+        F.array_join(F.transform("weekly_actuals", lambda v: F.round(v * 100).cast("bigint").cast("string")), "|").alias("cents"),
+    )
+
+
+@query
+def isolation_counts(spark, sf):
+    """Per brand: weeks scored, weeks flagged, and whether scores lie in their range."""
+    return anomaly.isolation_scores(signals(spark, sf)).groupBy("brand").agg(
+        F.count("score").alias("n_scored"), F.count_if("is_anomaly").alias("n_flagged"),
+        F.bool_and((F.col("score") < 0) & (F.col("score") >= -1)).alias("in_range"),
+    )
+
+
+@query
+def anomaly_result(spark, sf):
+    out = anomaly.anomaly_result(anomaly.robust_anomaly(signals(spark, sf)))
+    return out.select(
+        "brand", F.array_join("anomaly_weeks", "|").alias("anomaly_weeks"), "n_anomalies",
+        F.size("anomaly_scores").cast("bigint").alias("n_scores"), F.array_join("features_used", "|").alias("features_used"),
+    )
+
+
 @query
 def ols_forecast(spark, sf):
     return steps(trend.ols_forecast(signals(spark, sf)))
@@ -714,7 +859,7 @@ def ols_forecast(spark, sf):
 
 @query
 def forecast_all(spark, sf):
-    out = summary.forecast_all(staged(signals(spark, sf)), ["search", "radio", "video"], "linear")
+    out = summary.forecast_all(staged(signals(spark, sf)), [*CHANNEL.values(), "radio"], "linear")
     return out.select("brand", "channel", "n_weeks", "trend_direction", "trend_pct_change", F.size("forecast").cast("bigint").alias("n_steps"))
 
 
@@ -766,9 +911,23 @@ def signal_summary_models(spark, sf):
     )
 
 
+@query
+def signal_summary_models_shape(spark, sf):
+    """The same without fitted numbers: with the fit's own trends, and the forest's counts."""
+    s = summary.signal_summary(staged(full_signals(spark, sf)), brands=asked_brands(spark, sf))
+    return s.select(
+        "brand", "status", "dominant_trend", "n_anomalies", "weeks_analysed",
+        brief.trends_text(F.col("channel_forecasts")).alias("trends"),
+        F.size("anomaly_weeks").cast("bigint").alias("n_weeks_listed"),
+    )
+
+
+TASK = "On %s, in brief."
+
+
 @query
 def brief_context(spark, sf):
-    return brief.brief_context(checked_summary(spark, sf)).select("brand", "status", "context")
+    return brief.brief_context(checked_summary(spark, sf), TASK).select("brand", "status", "context")
 
 
 def stub_writer(prompt: str, role: str) -> str:
@@ -781,46 +940,80 @@ def stub_writer(prompt: str, role: str) -> str:
 
 @query
 def generate_briefs(spark, sf):
-    return brief.generate_briefs(brief.brief_context(checked_summary(spark, sf)), stub_writer)
+    return brief.generate_briefs(brief.brief_context(checked_summary(spark, sf), TASK), stub_writer)
 
 
 @query
 def brief_response(spark, sf):
     s = staged(checked_summary(spark, sf), "summary")
-    out = brief.brief_response(s, brief.generate_briefs(brief.brief_context(s), stub_writer))
+    out = brief.brief_response(s, brief.generate_briefs(brief.brief_context(s, TASK), stub_writer))
     return shown(out)
 
 
+@query
+def saved_briefs(spark, sf):
+    """Written once; a second call for the same snapshot asks no writer, so nothing fails."""
+    s = staged(checked_summary(spark, sf), "summary")
+    path = shared_dir(spark, "briefs")
+    briefs_of_snapshot(s, path, 1, stub_writer, task=TASK)
+    return shown(briefs_of_snapshot(s, path, 1, broken_writer, task=TASK))
+
+
+def broken_writer(prompt: str, role: str) -> str:
+    raise RuntimeError("not to be called")
+
+
 # ---- streams --------------------------------------------------------------------------
 
 
-def creative_stream(spark: SparkSession, sf: str) -> DataFrame:
-    lines = feeds.landed(spark, LANDED.format(sf, "lineitem"), table(spark, sf, "lineitem").schema)
-    return creatives(spark, sf, lines)
+def arrivals(df: DataFrame, key: str, n: int = 4) -> str:
+    """The rows as `n` files in an order that has nothing to do with their dates."""
+    path = shared_dir(df.sparkSession, "arrivals")
+    df.withColumn("_k", F.pmod(F.xxhash64(key), F.lit(n))).repartition(n, "_k").drop("_k").write.parquet(path)
+    return path
+
+
+def creative_stream(spark: SparkSession, sf: str, part: Column | None = None) -> DataFrame:
+    """Order lines arriving in several micro-batches, shuffled; or the lines that `part` picks."""
+    lines = table(spark, sf, "lineitem")
+    path = arrivals(lines if part is None else lines.filter(part), "l_orderkey")
+    return creatives(spark, sf, feeds.landed(spark, path, lines.schema, 1))
 
 
 @query
 def stream_weekly_signals(spark, sf):
     path, mark = shared_dir(spark, "windows"), shared_dir(spark, "windows-mark")
-    out = feeds.stream_weekly_signals(creative_stream(spark, sf), F.col("started_running"))
-    feeds.to_changelog(out, path, mark).awaitTermination()
-    return feeds.latest(spark, path, weekly.GRAIN).withColumn("monday", day_text(F.col("monday")))
+    feeds.count_weeks(creative_stream(spark, sf), F.col("started_running"), path, mark).awaitTermination()
+    return feeds.weekly_windows(spark, path).withColumn("monday", day_text(F.col("monday")))
 
 
 @query
 def stream_dedup(spark, sf):
+    """Every event twice, in other micro-batches."""
     events = table(spark, sf, "events")
-    stream = feeds.landed(spark, LANDED.format(sf, "events"), events.schema).withColumn("ts", F.col("ts").cast("timestamp"))
     path, mark = shared_dir(spark, "dedup"), shared_dir(spark, "dedup-mark")
-    replayed = stream.unionAll(stream)
-    once = feeds.stream_dedup(replayed, "ts", keys=["event_id", "event_type"])
+    twice = events.unionAll(events).withColumn("_n", F.monotonically_increasing_id())
+    stream = feeds.landed(spark, arrivals(twice, "_n"), events.schema, 1)
+    once = feeds.stream_dedup(stream, keys=["event_id", "event_type"])
     feeds.to_changelog(once, path, mark, mode="append").awaitTermination()
     return spark.read.parquet(path).select("event_id", "event_type", "user_id", "value")
 
 
 @query
 def stream_upsert_sink(spark, sf):
-    raw, sink, mark = (shared_dir(spark, n) for n in ("raw", "signals", "sink-mark"))
-    feeds.upsert_to_tables(creative_stream(spark, sf), raw, sink, mark).awaitTermination()
-    facts = tables.read_table(spark, sink, full_signals(spark, sf).schema)
+    return upserted(spark, sf, [None])
+
+
+@query
+def stream_two_feeds(spark, sf):
+    """Two feeds with checkpoints of their own into the same tables, one after the other."""
+    odd = F.col("l_orderkey") % 2 == 1
+    return upserted(spark, sf, [odd, ~odd])
+
+
+def upserted(spark: SparkSession, sf: str, parts: list) -> DataFrame:
+    raw, sink = shared_dir(spark, "raw"), shared_dir(spark, "signals")
+    for part in parts:
+        feeds.upsert_to_tables(creative_stream(spark, sf, part), raw, sink, shared_dir(spark, "sink-mark")).awaitTermination()
+    facts = tables.read_table(spark, sink, weekly.weekly_signals(creatives(spark, sf)).schema)
     return rounded(shown(facts))

@@ -82,6 +82,10 @@ ORDER = """ingested_at NULLS LAST, brand NULLS LAST, brand_display NULLS LAST, a
 FIRST = f"""first_docs AS (
   SELECT * FROM creatives
   QUALIFY row_number() OVER (PARTITION BY source_id, source ORDER BY {ORDER}) = 1)"""
+# Loaded in two runs, old weeks first: the first document of an old week wins over any of a later one.
+FIRST_BY_LOAD = f"""first_docs AS (
+  SELECT * FROM creatives
+  QUALIFY row_number() OVER (PARTITION BY source_id, source ORDER BY week_key >= '1998-W01', {ORDER}) = 1)"""
 OLD_KEYS = "SELECT source_id, source FROM creatives WHERE week_key < '1998-W01'"
 NEW = f"""added AS (
   SELECT f.* FROM first_docs f ANTI JOIN ({OLD_KEYS}) o ON f.source_id = o.source_id AND f.source = o.source)"""
@@ -221,15 +225,17 @@ trends AS (SELECT brand, string_agg(channel || ': ' || {DIRECTION} || ' (' || pr
 PARTS = """seen LEFT JOIN dominant USING (brand) LEFT JOIN odd USING (brand) LEFT JOIN top USING (brand)
   LEFT JOIN mixed USING (brand) LEFT JOIN trends USING (brand)"""
 
+NOBODY = "UNION ALL SELECT 'nobody', 'no_data', NULL, NULL, NULL, NULL, NULL"
+
 CONTEXT = """'SIGNAL DATA (' || weeks_analysed || ' weeks of observations):' || chr(10)
-  || '- Overall spend trend: ' || dominant_trend || chr(10)
-  || '- Channel mix (recent 4 weeks): ' || mix || chr(10)
-  || '- Per-channel trends: ' || trends || chr(10)
-  || '- Anomalous weeks detected: ' || CASE WHEN n_anomalies = 0 THEN 'none detected'
+  || '* direction: ' || dominant_trend || chr(10)
+  || '* Channel mix, last weeks: ' || mix || chr(10)
+  || '* by channel: ' || trends || chr(10)
+  || '* unusual weeks: ' || CASE WHEN n_anomalies = 0 THEN 'none detected'
        ELSE array_to_string(list_slice(weeks, greatest(len(weeks) - 2, 1), len(weeks)), ', ') END || chr(10)
-  || '- Dominant creative themes: ' || coalesce(array_to_string(themes, ', '), 'unavailable')"""
+  || '* themes: ' || coalesce(array_to_string(themes, ', '), 'not enough rows')"""
 BRIEF = """CASE WHEN brand = 'machinery' THEN '[LLM Error: refused]'
-  ELSE 'Brief: Write a brief on the advertising signals of ' || upper(brand) || '.' END"""
+  ELSE 'Brief: On ' || upper(brand) || ', in brief.' END"""
 
 SNAP_1 = "(SELECT * FROM facts WHERE week_key < '1998-W01')"
 
@@ -240,8 +246,9 @@ SQL: dict[str, str] = {
     "load_creatives": f"""WITH {CREATIVES} SELECT * REPLACE (CAST(NULL AS VARCHAR) AS brand_display, CAST(NULL AS VARCHAR) AS currency)
 FROM (SELECT {SHOWN} FROM creatives)""",
     "scan_all": f"WITH {CREATIVES} SELECT {SHOWN} FROM creatives",
-    "brand_recent_creatives": f"""WITH {CREATIVES} SELECT {SHOWN} FROM (SELECT * FROM creatives WHERE brand = 'building'
-ORDER BY ingested_at DESC, source_id, source, {ORDER.replace('NULLS LAST', 'NULLS FIRST').split(',', 1)[1]} LIMIT 50000)""",
+    "brand_recent_creatives": f"""WITH {CREATIVES} SELECT {SHOWN}, place FROM (
+SELECT *, row_number() OVER (ORDER BY ingested_at DESC, source_id, source, {ORDER.replace('NULLS LAST', 'NULLS FIRST').split(',', 1)[1]}) AS place
+FROM creatives WHERE brand = 'building' ORDER BY ingested_at DESC, source_id, source, {ORDER.replace('NULLS LAST', 'NULLS FIRST').split(',', 1)[1]} LIMIT 1000)""",
     "normalise_ads": f"""WITH {ADS} SELECT id AS source_id, 'meta' AS source, replace(lower(term), ' ', '-') AS brand,
   replace(term, 'co-op', 'Co-Op') AS brand_display, ad_text, 'Learn More' AS cta, channel, platform,
   impression_lower, impression_upper, CAST(spend_lower AS DOUBLE) AS spend_lower, CAST(spend_upper AS DOUBLE) AS spend_upper,
@@ -249,13 +256,30 @@ ORDER BY ingested_at DESC, source_id, source, {ORDER.replace('NULLS LAST', 'NULL
   stopped IS NULL AS is_active, currency, 'US' AS region, '' AS creative_themes,
   '2001-01-01 00:00:00' AS ingested_at, strftime(started, '%G-W%V') AS week_key FROM ads""",
     "explode_ad_pages": f"""WITH {ADS} SELECT term AS brand, page_index, id,
+  CAST(n_platforms AS BIGINT) AS n_platforms FROM ads, (SELECT unnest([1, 2])) copies""",
+    "explode_first_pages": f"""WITH {ADS} SELECT term AS brand, page_index, id,
   CAST(n_platforms AS BIGINT) AS n_platforms FROM ads, (SELECT unnest([1, 2])) copies WHERE page_index < 16""",
+    "read_pages": f"""WITH {ADS} SELECT term AS brand, page_index, id,
+  CAST(n_platforms AS BIGINT) AS n_platforms FROM ads, (SELECT unnest([1, 2])) copies""",
     "relabel_search_source": f"""WITH {CREATIVES} SELECT source_id,
   CASE WHEN channel IN ('search', 'video', 'display') THEN 'google' ELSE source END AS source, channel,
   CASE WHEN channel IN ('search', 'video', 'display') THEN
     CASE CAST('0x' || substr(md5(source_id), 1, 8) AS UBIGINT) % 3
       WHEN 0 THEN 'google_search' WHEN 1 THEN 'youtube' ELSE 'google_display' END
   ELSE platform END AS platform, week_key FROM creatives""",
+    "insert_only_rerun": f"""WITH {CREATIVES} SELECT source, count(DISTINCT source_id) AS stored FROM creatives
+WHERE impression_lower % 9000 <> 0 GROUP BY source""",
+    "load_rejects": f"""WITH {CREATIVES} SELECT CASE WHEN impression_lower % 9000 = 0 THEN 'key' ELSE 'week' END AS reason, count(*) AS n
+FROM creatives WHERE impression_lower % 9000 = 0 OR impression_lower % 25000 = 0 GROUP BY reason""",
+    "week_key_derived": f"""WITH {CREATIVES} SELECT CASE WHEN impression_lower % 9000 <> 0 THEN source_id END AS source_id, source,
+  impression_lower, CASE WHEN impression_lower % 25000 <> 0 THEN week_key END AS week_key,
+  CASE WHEN impression_lower % 11000 = 0 THEN 0 ELSE CAST(spend_upper AS DOUBLE) END AS spend_upper,
+  CAST(spend_lower + CASE WHEN impression_lower % 11000 = 0 THEN 0 ELSE spend_upper END AS DOUBLE) / 2 AS spend_midpoint
+FROM creatives""",
+    "bad_amounts": f"""WITH {CREATIVES} SELECT CAST(0 AS BIGINT) AS spend_lower, count(*) AS spend_upper FROM creatives
+WHERE impression_lower % 11000 = 0""",
+    "bad_dates": f"""WITH {CREATIVES} SELECT count(*) AS started_running, CAST(0 AS BIGINT) AS stopped_running, count(*) AS ingested_at
+FROM creatives WHERE impression_lower % 7000 = 0""",
     "insert_only_upsert": f"WITH {CREATIVES}, {FIRST}, {NEW} SELECT {SHOWN} FROM added",
     "upsert_counts": f"""WITH {CREATIVES}, {FIRST}, {NEW}
 SELECT count(*) AS upserted, CAST(0 AS BIGINT) AS modified, CAST(0 AS BIGINT) AS errors FROM added""",
@@ -273,8 +297,8 @@ FROM facts, (SELECT unnest([1, 2])) copies""",
     "create_table": f"""WITH {FACTS} SELECT brand, substr(week_key, 1, 4) AS yr, count(*) AS n, CAST(sum(ad_count) AS BIGINT) AS ads
 FROM facts GROUP BY ALL""",
     "list_snapshots": f"""WITH {FACTS} SELECT 'brand_weekly_signals' AS "table", CAST(1 AS BIGINT) AS snapshot_id,
-  '978307200000' AS committed_at, 'overwrite' AS operation, count(*) AS added_records FROM facts WHERE week_key < '1998-W01'
-UNION ALL SELECT 'brand_weekly_signals', 2, '978393600000', 'append', count(*) FROM facts WHERE week_key >= '1998-W01'""",
+  '978307200000' AS committed_at, 'overwrite' AS operation, count(*) AS added_records, 2 AS place FROM facts WHERE week_key < '1998-W01'
+UNION ALL SELECT 'brand_weekly_signals', 2, '978393600000', 'append', count(*), 1 FROM facts WHERE week_key >= '1998-W01'""",
     "read_as_of": f"WITH {FACTS} SELECT {FACT} FROM facts WHERE week_key < '1998-W01'",
     "snapshot_diff": f"""WITH {FACTS}, sums AS (SELECT brand,
     coalesce({SPEND.replace(') AS DOUBLE)', ") FILTER (WHERE week_key < '1998-W01') AS DOUBLE)")}, 0) AS spend_prev, {SPEND} AS spend_cur
@@ -284,7 +308,7 @@ SELECT *, round(spend_cur - spend_prev, 4) AS delta, round((spend_cur - spend_pr
   b.spend_midpoint AS spend_cur, CASE WHEN a.spend_midpoint IS NULL THEN 'added' WHEN b.spend_midpoint IS NULL THEN 'removed'
     WHEN a.spend_midpoint <> b.spend_midpoint THEN 'changed' ELSE 'kept' END AS state
 FROM {SNAP_1} a FULL JOIN facts b USING (brand, week_key, channel, region)""",
-    "scan_text_files": f"WITH {SMUGGLED}, {HITS} SELECT code_point, count(*) AS hits FROM hits GROUP BY code_point",
+    "scan_text_files": f"WITH {SMUGGLED}, {HITS} SELECT * FROM hits",
     "cast_dates": f"""WITH {CREATIVES} SELECT source_id, source,
   CASE WHEN impression_lower % 7000 <> 0 THEN strftime(started_running, '%Y-%m-%d') END AS started_running,
   strftime(stopped_running, '%Y-%m-%d') AS stopped_running,
@@ -321,9 +345,12 @@ WHERE (source_id, source) NOT IN ({OLD_KEYS})""",
 FROM facts WINDOW w AS (PARTITION BY brand, week_key), c AS (PARTITION BY brand, week_key, channel)""",
     "anomaly_flag_join": f"""WITH {FACTS}, {FEATURES}, {FLAGS} SELECT brand, week_key, spend_midpoint, active_ad_count,
   impression_upper_sum, round(channel_share, 6) AS channel_share, score, is_anomaly FROM features JOIN flags USING (brand, week_key)""",
-    "summary_assemble": f"""WITH {summary(channels="'search', 'video'")}
+    "summary_assemble": f"""WITH {summary()}
+SELECT brand, 'ok' AS status, dominant_trend, n_anomalies, weeks_analysed, (SELECT count(DISTINCT channel) FROM ends e WHERE e.brand = seen.brand) AS n_channels,
+  array_to_string(themes, '|') AS top_themes FROM {PARTS} {NOBODY}""",
+    "summary_filtered": f"""WITH {summary(channels="'search', 'video'")}
 SELECT brand, 'ok' AS status, dominant_trend, n_anomalies, weeks_analysed, CAST(2 AS BIGINT) AS n_channels,
-  array_to_string(themes, '|') AS top_themes FROM {PARTS}""",
+  array_to_string(themes, '|') AS top_themes FROM {PARTS} {NOBODY}""",
     "weekly_signals": f"""WITH {FULL} SELECT {FACT}, array_to_string(top_ctas, '|') AS top_ctas,
   array_to_string(top_themes, '|') AS top_themes FROM full_facts""",
     "top_ctas": f"WITH {FULL} SELECT * FROM cta_counts WHERE rank <= 3",
@@ -337,11 +364,25 @@ SELECT brand, 'ok' AS status, dominant_trend, n_anomalies, weeks_analysed, CAST(
     "dominant_trend": f"WITH {FACTS}, {SERIES}, {dominant('halves')} SELECT * FROM dominant",
     "kpis": f"""WITH {FACTS} SELECT brand, {SPEND} AS total_spend, CAST(sum(ad_count) AS BIGINT) AS total_ads,
   count(DISTINCT week_key) AS n_weeks, count(DISTINCT channel) AS n_channels
-FROM facts WHERE channel IN ('search', 'video') GROUP BY brand""",
+FROM facts GROUP BY brand UNION ALL SELECT 'nobody', 0, 0, 0, 0""",
+    "kpis_filtered": f"""WITH {FACTS} SELECT brand, {SPEND} AS total_spend, CAST(sum(ad_count) AS BIGINT) AS total_ads,
+  count(DISTINCT week_key) AS n_weeks, count(DISTINCT channel) AS n_channels
+FROM facts WHERE channel IN ('search', 'video') GROUP BY brand UNION ALL SELECT 'nobody', 0, 0, 0, 0""",
+    "trend_wide": f"""WITH {FACTS} SELECT * FROM (
+  PIVOT (SELECT brand, week_key, channel, CAST(spend_midpoint AS DECIMAL(20,5)) AS s FROM facts)
+  ON channel IN ('ctv', 'display', 'search', 'social', 'video') USING CAST(sum(s) AS DOUBLE) GROUP BY brand, week_key)""",
+    "fill_weeks": f"""WITH {FACTS}, part AS (
+  SELECT brand, channel, week_key, {SPEND} AS spend FROM facts WHERE CAST(substr(week_key, 7, 2) AS INT) % 3 <> 0 GROUP BY ALL),
+mondays AS (SELECT DISTINCT strftime(o_orderdate, '%G-W%V') AS week_key, CAST(date_trunc('week', o_orderdate) AS DATE) AS monday FROM orders),
+ends AS (SELECT brand, channel, min(monday) AS a, max(monday) AS b FROM part JOIN mondays USING (week_key) GROUP BY ALL),
+grid AS (SELECT brand, channel, unnest(generate_series(a, b, INTERVAL 7 DAY)) AS monday FROM ends)
+SELECT g.brand, g.channel, strftime(monday, '%G-W%V') AS week_key, coalesce(spend, 0) AS spend FROM grid g
+LEFT JOIN part p ON p.brand = g.brand AND p.channel = g.channel AND p.week_key = strftime(monday, '%G-W%V')""",
     "weeks_analysed": f"WITH {FACTS} SELECT brand, count(DISTINCT week_key) AS weeks_analysed FROM facts GROUP BY brand",
     "trend_series": f"WITH {FACTS} SELECT brand, channel, week_key, {SPEND} AS spend FROM facts GROUP BY ALL",
-    "sorted_dims": f"""WITH {CREATIVES} SELECT DISTINCT 'brand' AS dim, brand AS value FROM creatives
-UNION ALL SELECT DISTINCT 'channel', channel FROM creatives""",
+    "sorted_dims": f"""WITH {CREATIVES}, dims AS (SELECT DISTINCT 'brand' AS dim, brand AS value FROM creatives
+UNION ALL SELECT DISTINCT 'channel', channel FROM creatives)
+SELECT *, row_number() OVER (ORDER BY dim, value) AS place FROM dims""",
     "load_counts": f"""WITH {CREATIVES} SELECT (SELECT count(*) FROM creatives) AS docs_read,
   (SELECT count(DISTINCT (source_id, source)) FROM creatives) AS raw_rows,
   (SELECT count(DISTINCT (brand, week_key, channel, region)) FROM creatives) AS signal_rows""",
@@ -363,13 +404,14 @@ FROM (SELECT DISTINCT brand, week_key FROM facts) QUALIFY recency <= 12""",
     "last_anomalies": f"""WITH {FACTS}, {FEATURES}, {FLAGS} SELECT brand, row_number() OVER (PARTITION BY brand ORDER BY week_key DESC) AS rank,
   week_key FROM flags WHERE is_anomaly QUALIFY rank <= 5""",
     "dedup_first": f"WITH {CREATIVES}, {FIRST} SELECT {SHOWN} FROM first_docs",
-    "signals_query": f"""WITH {FACTS} SELECT brand, channel, week_key, spend_midpoint, ad_count, round(channel_share, 6) AS channel_share
-FROM facts WHERE brand = 'building' ORDER BY week_key DESC, channel, region LIMIT 100""",
+    "signals_query": f"""WITH {FACTS} SELECT brand, channel, week_key, spend_midpoint, ad_count, round(channel_share, 6) AS channel_share,
+  row_number() OVER (ORDER BY week_key DESC, channel, region) AS place
+FROM facts WHERE brand = 'building' ORDER BY place LIMIT 100""",
     "top_n_per_key": f"""WITH {CREATIVES} SELECT brand, channel, theme, count(*) AS n_ads,
   row_number() OVER (PARTITION BY brand, channel ORDER BY count(*) DESC, theme) AS rank
 FROM (SELECT brand, channel, unnest(creative_themes) AS theme FROM creatives) GROUP BY brand, channel, theme QUALIFY rank <= 3""",
     "mix_desc": f"""WITH {FACTS}, {mix()} SELECT *, row_number() OVER (PARTITION BY brand ORDER BY pct DESC, channel) AS rank FROM mix""",
-    "tail_weeks": f"""WITH {FACTS} SELECT week_key, {SPEND} AS spend FROM facts WHERE brand = 'building'
+    "tail_weeks": f"""WITH {FACTS} SELECT week_key, {SPEND} AS spend, row_number() OVER (ORDER BY week_key DESC) AS place FROM facts WHERE brand = 'building'
 GROUP BY week_key ORDER BY week_key DESC LIMIT 8""",
     "union_sources": f"""WITH {CREATIVES}, {FIRST} SELECT source_id, source, CASE WHEN source <> 'meta' THEN platform END AS platform,
   CASE WHEN source <> 'google' THEN currency END AS currency, week_key FROM first_docs""",
@@ -407,10 +449,32 @@ SELECT brand, channel, CAST(step AS BIGINT) AS step, round(greatest(0, a + b * (
     "forecast_all": f"""WITH {FACTS}, {SERIES} SELECT brand, channel, coalesce(n_weeks, 0) AS n_weeks,
   CASE WHEN pct IS NULL THEN 'flat' ELSE {DIRECTION} END AS trend_direction, coalesce(round(pct, 2), 0) AS trend_pct_change,
   CAST(CASE WHEN n_weeks >= 4 THEN 4 ELSE 0 END AS BIGINT) AS n_steps
-FROM (SELECT DISTINCT brand, unnest(['search', 'radio', 'video']) AS channel FROM facts) LEFT JOIN ends USING (brand, channel)""",
+FROM (SELECT DISTINCT brand, unnest(['social', 'search', 'video', 'display', 'ctv', 'radio']) AS channel FROM facts) LEFT JOIN ends USING (brand, channel)""",
     "contamination_cut": f"""WITH {FACTS}, {FEATURES}, {FLAGS} SELECT brand, week_key,
   n_weeks >= 8 AND -score < quantile_cont(-score, 0.15) OVER (PARTITION BY brand) AS is_anomaly FROM flags""",
     "robust_anomaly": f"WITH {FACTS}, {FEATURES}, {FLAGS} SELECT * FROM flags",
+    "snapshot_run": f"""WITH {CREATIVES}, {FIRST_BY_LOAD}, {facts('first_docs')}, {tops('first_docs')}
+SELECT {FACT}, array_to_string(top_ctas, '|') AS top_ctas, array_to_string(top_themes, '|') AS top_themes FROM full_facts""",
+    "trend_forecast_shape": f"""WITH {FACTS}, {SERIES} SELECT brand, channel, n_weeks, {DIRECTION} AS trend_direction,
+  round(pct, 2) AS trend_pct_change, CASE WHEN n_weeks >= 4 THEN true END AS converged,
+  CASE WHEN n_weeks >= 4 THEN 4 ELSE 0 END AS n_steps, true AS none_below_0,
+  coalesce((SELECT string_agg(week_key, '|' ORDER BY week_key) FROM series s WHERE s.brand = h.brand AND s.channel = h.channel AND rn <= 12 AND n_weeks >= 4), '') AS weeks,
+  coalesce((SELECT string_agg(CAST(round(round(CAST(spend AS DOUBLE), 2) * 100) AS BIGINT), '|' ORDER BY week_key) FROM series s
+    WHERE s.brand = h.brand AND s.channel = h.channel AND rn <= 12 AND n_weeks >= 4), '') AS cents FROM halves h""",
+    "isolation_counts": f"""WITH {FACTS} SELECT brand, CASE WHEN n >= 8 THEN n ELSE 0 END AS n_scored,
+  CASE WHEN n >= 8 THEN CAST(ceil(0.15 * (n - 1)) AS BIGINT) ELSE 0 END AS n_flagged, true AS in_range
+FROM (SELECT brand, count(DISTINCT week_key) AS n FROM facts GROUP BY brand)""",
+    "anomaly_result": f"""WITH {FACTS}, {FEATURES}, {FLAGS} SELECT brand,
+  coalesce(string_agg(week_key, '|' ORDER BY week_key) FILTER (WHERE is_anomaly), '') AS anomaly_weeks,
+  count(*) FILTER (WHERE is_anomaly) AS n_anomalies, count(score) AS n_scores,
+  'spend_midpoint|channel_share|active_ad_count|impression_upper_sum' AS features_used FROM flags GROUP BY brand""",
+    "signal_summary_models_shape": f"""WITH {FULL}, {SERIES}, {dominant('halves')},
+seen AS (SELECT brand, count(DISTINCT week_key) AS weeks_analysed FROM facts GROUP BY brand),
+trends AS (SELECT brand, string_agg(channel || ': ' || {DIRECTION} || ' (' || printf('%+.1f', round(pct, 2)) || '%)', ' | ' ORDER BY channel) AS trends
+  FROM halves GROUP BY brand)
+SELECT brand, 'ok' AS status, dominant_trend, CAST(ceil(0.15 * (weeks_analysed - 1)) AS BIGINT) AS n_anomalies, weeks_analysed, trends,
+  CAST(ceil(0.15 * (weeks_analysed - 1)) AS BIGINT) AS n_weeks_listed FROM seen JOIN dominant USING (brand) JOIN trends USING (brand)
+UNION ALL SELECT 'nobody', 'no_data', NULL, NULL, NULL, NULL, NULL""",
     "signal_summary": f"""WITH {summary()},
 spent AS (SELECT brand, string_agg(week_key || '=' || CAST(round(spend * 100) AS BIGINT), '|' ORDER BY week_key) AS totals FROM totals GROUP BY brand),
 recent AS (SELECT brand, list(week_key ORDER BY week_key) AS weeks4 FROM (
@@ -422,9 +486,14 @@ SELECT brand, 'ok' AS status, dominant_trend, n_anomalies, weeks_analysed, mix,
     "generate_briefs": f"WITH {CREATIVES} SELECT brand, {BRIEF} AS brief FROM (SELECT DISTINCT brand FROM creatives)",
     "brief_response": f"""WITH {summary()} SELECT brand, {BRIEF} AS brief, dominant_trend,
   coalesce(array_to_string(weeks, '|'), '') AS anomaly_weeks, array_to_string(themes, '|') AS top_themes, weeks_analysed FROM {PARTS}""",
+    "saved_briefs": f"""WITH {summary()} SELECT brand, {BRIEF} AS brief, dominant_trend,
+  coalesce(array_to_string(weeks, '|'), '') AS anomaly_weeks, array_to_string(themes, '|') AS top_themes, weeks_analysed FROM {PARTS}""",
+    "stream_two_feeds": f"""WITH {CREATIVES}, {FIRST}, {facts('first_docs')}, {tops('first_docs')}
+SELECT {FACT}, array_to_string(top_ctas, '|') AS top_ctas, array_to_string(top_themes, '|') AS top_themes FROM full_facts""",
     "stream_weekly_signals": f"""WITH {CREATIVES} SELECT brand, channel, region, week_key,
   strftime(date_trunc('week', started_running), '%Y-%m-%d') AS monday, count(*) AS ad_count,
-  count(*) FILTER (WHERE is_active) AS active_ad_count, CAST(sum(spend_lower) AS DOUBLE) AS spend_lower_sum,
+  count(*) FILTER (WHERE is_active) AS active_ad_count, CAST(sum(impression_lower) AS BIGINT) AS impression_lower_sum,
+  CAST(sum(impression_upper) AS BIGINT) AS impression_upper_sum, CAST(sum(spend_lower) AS DOUBLE) AS spend_lower_sum,
   CAST(sum(spend_upper) AS DOUBLE) AS spend_upper_sum, CAST(sum(spend_lower) + sum(spend_upper) AS DOUBLE) / 2 AS spend_midpoint
 FROM creatives GROUP BY ALL""",
     "stream_dedup": "SELECT event_id, event_type, user_id, value FROM events",
