@@ -1,6 +1,8 @@
 """What several operators of this package share."""
 
+import threading
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,17 +25,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def staged(df: DataFrame, name: str = "llm") -> DataFrame:
+_running = threading.local()
+
+
+def scratch(operator: Callable) -> Callable:
+    """Deletes the tables that the operator has staged, when it returns, but for those it keeps.
+
+    Its result may read kept tables only. Within another such operator those go when that one returns.
+    """
+    @wraps(operator)
+    def run(*args, **options):
+        scopes = _running.__dict__.setdefault("scopes", [])
+        scopes.append(([], []))
+        try:
+            return operator(*args, **options)
+        finally:
+            temporary, kept = scopes.pop()
+            if scopes:
+                scopes[-1][0].extend(kept)
+            for fs, path in temporary:
+                fs.delete(path, True)
+
+    return run
+
+
+def staged(df: DataFrame, name: str = "llm", keep: bool = False) -> DataFrame:
     """Written once in the shared folder and read back, so a lost executor loses nothing of it."""
-    conf = df.sparkSession.conf
+    spark = df.sparkSession
+    at = session.shared_dir(spark, name)
+    if scopes := getattr(_running, "scopes", []):
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        scopes[-1][keep].append((path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path))
+    conf = spark.conf
     before = {k: conf.get(k) for k in WRITING}
     for k, v in WRITING.items():
         conf.set(k, v)
     try:
-        return session.staged(df, name)
+        df.write.parquet(at)
     finally:
         for k, v in before.items():
             conf.set(k, v)
+    return spark.read.schema(df.schema).parquet(at)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -62,13 +94,13 @@ def running_total(rows: DataFrame, group: str, order: list[str], value: Column,
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = rows.withColumn("value_", value.cast("bigint")).repartitionByRange(parts, group, *order)
-    ranged = staged(ranged.withColumn("range_", F.spark_partition_id()), "ranges")
+    ranged = staged(ranged.withColumn("range_", F.spark_partition_id()), "ranges", keep=True)
     totals = ranged.groupBy(group, "range_").agg(F.sum("value_").alias("total_"))
     def before(w):
         return w.rowsBetween(Window.unboundedPreceding, -1)
 
     over = before(Window.partitionBy(group).orderBy("range_"))
-    shifts = staged(totals.select(group, "range_", F.coalesce(F.sum("total_").over(over), F.lit(0)).alias("shift_")), "shifts")
+    shifts = staged(totals.select(group, "range_", F.coalesce(F.sum("total_").over(over), F.lit(0)).alias("shift_")), "shifts", keep=True)
     own = F.coalesce(F.sum("value_").over(before(Window.partitionBy(group, "range_").orderBy(*order))), F.lit(0))
     out = ranged.withColumn("own_", own).join(shifts, [group, "range_"])
     return out.withColumn(name, F.col("shift_") + F.col("own_")).drop("range_", "shift_", "own_", "value_")

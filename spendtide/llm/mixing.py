@@ -6,7 +6,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendtide.llm.common import carried, restored, running_total, staged
+from spendtide.llm.common import carried, restored, running_total
 
 #: Bytes of a block.
 BLOCK_BYTES = 64 * 1024
@@ -81,7 +81,7 @@ def mix(docs: DataFrame, weights: Mapping[str, int], default: int = 1, source: s
         *own, F.coalesce(F.col(source).cast("string"), F.lit("")).alias("of_"), size.cast("bigint").alias("size_"),
         F.xxhash64("doc_id", "text").alias("order_"),
     )
-    rows = staged(running_total(rows, "of_", ["order_"], F.col("size_"), "start_"), "blocks")
+    rows = running_total(rows, "of_", ["order_"], F.col("size_"), "start_")
     rows = rows.withColumn("block_", F.floor(F.col("start_") / block_bytes).cast("bigint"))
     ends = rows.groupBy("of_").agg(F.max("block_").alias("last")).limit(MAX_SOURCES + 1).collect()
     blocks = {r["of_"]: r["last"] + 1 for r in ends}

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendtide.llm.common import staged
+from spendtide.llm.common import scratch, staged
 
 CAPACITY = 2048
 #: Id that ends a document.
@@ -138,6 +138,7 @@ def _merge(capacity: int, level: int, last: bool):
     return each
 
 
+@scratch
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """`pieces` with sequence_id and offset: as few sequences of at most `capacity` as best fit finds.
 
@@ -162,7 +163,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     while True:
         level += 1
         parts = max(1, -(-count // ITEMS_PER_TASK))
-        packed = staged(items.repartition(parts, "bin").mapInArrow(_merge(capacity, level, parts == 1), items.schema), "packed")
+        packed = staged(items.repartition(parts, "bin").mapInArrow(_merge(capacity, level, parts == 1), items.schema), "packed", keep=True)
         closed = packed.filter("not open")
         done = closed if done is None else done.unionByName(closed)
         if parts == 1:

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendtide.llm.common import SPACES, carried, has_word, let, lower_ascii, restored, staged, words
+from spendtide.llm.common import SPACES, carried, has_word, let, lower_ascii, restored, scratch, staged, words
 
 # Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
@@ -52,6 +52,7 @@ def n_repeat_words(w: Column) -> Column:
     return F.when(F.size(w) < 4, 0).otherwise(let(F.sort_array(triples), lambda s: let(repeated(s), covered)))
 
 
+@scratch
 def frequent_lines(docs: DataFrame, host: str = "source") -> DataFrame:
     """One row per host that has boilerplate: host_, frequent (hashes of lines).
 
@@ -73,7 +74,7 @@ def frequent_lines(docs: DataFrame, host: str = "source") -> DataFrame:
     hosts = found.select("host_", "doc_", "doc2_").distinct().groupBy("host_").agg(F.count("*").alias("docs_"))
     counts = found.filter("line_ is not null").groupBy("host_", "line_").agg(F.count("*").alias("n_")).filter(F.col("n_") > MIN_DOCS)
     over = staged(counts, "counts").join(hosts, "host_").filter(F.col("n_") * 100 > F.col("docs_") * MAX_SHARE_PERCENT)
-    return staged(over.groupBy("host_").agg(F.collect_set("line_").alias("frequent")), "frequent")
+    return staged(over.groupBy("host_").agg(F.collect_set("line_").alias("frequent")), "frequent", keep=True)
 
 
 def judge(docs: DataFrame, host: str = "source", with_text: bool = False) -> DataFrame:

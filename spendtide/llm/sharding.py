@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendtide.llm.common import running_total, staged
+from spendtide.llm.common import running_total, scratch, staged
 
 def text_code(c: Column) -> Column:
     """A text's place in byte order as a number: its first seven bytes. Null comes first."""
@@ -11,6 +11,7 @@ def text_code(c: Column) -> Column:
     return F.coalesce(code, F.lit(-1).cast("bigint"))
 
 
+@scratch
 def kd_shards(rows: DataFrame, dims: list[str], weight: str, ties: list[str], shards: int) -> DataFrame:
     """`rows` with a column `shard` in 0..shards-1 of about equal total weight.
 
@@ -35,8 +36,8 @@ def kd_shards(rows: DataFrame, dims: list[str], weight: str, ties: list[str], sh
     spans = [(F.max(c) - F.min(c)).cast("double") for c in dims]
     whole = points.agg(*[s.alias(f"all_{i}") for i, s in enumerate(spans)]).first()
     rounds = max(0, (shards - 1).bit_length())
-    for _ in range(rounds):
-        points = staged(_split(points, dims, weight, ties, list(whole)), "kd")
+    for i in range(rounds):
+        points = staged(_split(points, dims, weight, ties, list(whole)), "kd", keep=i == rounds - 1)
     return points.select(*names, F.col("shard_").alias("shard"))
 
 

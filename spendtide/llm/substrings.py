@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendtide.llm.common import staged
+from spendtide.llm.common import scratch, staged
 from spendtide.llm.tokens import U64, WordCodes, code_words, mix, split_words
 
 #: Words that Python handles at a time, about; a longer document is handled alone.
@@ -182,6 +182,7 @@ def _cut(length: int):
     return each
 
 
+@scratch
 def repeated_words(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """Per row of `docs`: doc_id, n_words, n_removed, spans (begin, end) of the words to remove, kept_sha256.
 
@@ -216,7 +217,7 @@ def repeated_words(docs: DataFrame, min_words: int = 50) -> DataFrame:
         "doc_id bigint, id bigint, key int, n_words bigint, whole binary, sha256 string, places array<int>, hashes array<bigint>",
     ), "level")
     owners = level.filter(F.col("n_words") >= min_words).groupBy("whole").agg(F.min("id").alias("owner"))
-    owners = staged(owners, "owners")
+    owners = staged(owners, "owners", keep=True)
 
     first = level.select("id", "key", "whole", "places", "hashes").join(owners, "whole").filter("id = owner")
     prints = first.select("id", "key", F.explode(F.arrays_zip("places", "hashes")).alias("p"))
@@ -232,9 +233,10 @@ def repeated_words(docs: DataFrame, min_words: int = 50) -> DataFrame:
     cut = texts.join(starts, ["id", "key"]).mapInArrow(
         _cut(min_words), "id bigint, key int, n_removed bigint, cut_sha256 string, spans array<struct<begin:bigint,end:bigint>>"
     )
-    cut = staged(cut, "cut").dropDuplicates(["id", "key"])
+    cut = staged(cut, "cut", keep=True).dropDuplicates(["id", "key"])
 
-    out = level.select("doc_id", "id", "key", "n_words", "whole", "sha256").join(owners, "whole", "left").join(cut, ["id", "key"], "left")
+    told = staged(level.select("doc_id", "id", "key", "n_words", "whole", "sha256"), "told", keep=True)
+    out = told.join(owners, "whole", "left").join(cut, ["id", "key"], "left")
     copy = F.coalesce(F.col("id") > F.col("owner"), F.lit(False))
     none, zero = F.array().cast("array<struct<begin:bigint,end:bigint>>"), F.lit(0).cast("bigint")
     return out.select(

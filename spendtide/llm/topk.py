@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendtide.llm.common import staged
+from spendtide.llm.common import scratch, staged
 
 #: Pivots, annuli of each pivot, and rows of the sample that pivots are fitted on: bounds of what the driver holds.
 PIVOTS, RINGS, SAMPLE = 16, 12, 4096
@@ -141,6 +141,7 @@ def _score(dim: int, k: int):
     return each
 
 
+@scratch
 def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest integer inner products of each query.
 
@@ -203,7 +204,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256) -> DataFra
     def seen(routes: DataFrame, of: DataFrame) -> DataFrame:
         met = chunks.join(routes.join(of, ["cell", "ring"]), "chunk").drop("chunk", "cell", "ring", "split")
         found = met.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(_score(dim, k), "row bigint, query_id bigint, vec_id bigint, score bigint")
-        return staged(found, "found")
+        return staged(found, "found", keep=True)
 
     def best(found: DataFrame) -> DataFrame:
         order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")

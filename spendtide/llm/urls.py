@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendtide.llm.common import lower_ascii, staged
+from spendtide.llm.common import lower_ascii, scratch, staged
 
 #: One whole seed, in the units that propagation adds up. Whole numbers: no order of additions matters.
 UNIT = 1_000_000_000
@@ -97,6 +97,7 @@ def propagate(seeds: DataFrame, edges: DataFrame, rounds: int, damping: tuple[in
     return scores
 
 
+@scratch
 def judge_urls(pages: DataFrame, rules: DataFrame, rounds: int = 8, threshold: int = UNIT // 20) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust: one row per row of `pages`.
 
@@ -110,7 +111,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, rounds: int = 8, threshold: i
     so they may be null. Other columns are dropped. An empty table gives no rows.
     """
     found = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    ruled = staged(match_rules(found, rules), "ruled")
+    ruled = staged(match_rules(found, rules), "ruled", keep=True)
     edges = staged(host_edges(pages.select(host_of(F.col("url")).alias("host"), "html")), "edges")
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "links")
 
@@ -121,7 +122,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, rounds: int = 8, threshold: i
 
     trust = propagate(seeds("allow"), edges, rounds).withColumnRenamed("score", "trust")
     distrust = propagate(seeds("block"), back, rounds).withColumnRenamed("score", "distrust")
-    scores = staged(trust.join(distrust, "host", "full"), "scores")
+    scores = staged(trust.join(distrust, "host", "full"), "scores", keep=True)
     zero = F.lit(0).cast("bigint")
     known, bad = F.coalesce("trust", zero), F.coalesce("distrust", zero)
     own = F.when(bad - known > threshold, "block").otherwise("allow")
