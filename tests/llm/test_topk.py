@@ -1,0 +1,73 @@
+"""Exact top-k against brute force."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from spendtide.llm import topk
+
+VEC = "vec_id bigint, embedding array<float>"
+
+
+def brute(rows, every, k):
+    good = [(i, np.floor(np.array(v, np.float32).astype(np.float64) * 256)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
+    for i, q in good:
+        if i % every == 0:
+            found = sorted((-int(q @ x), j) for j, x in good if j != i)[:k]
+            out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(found)]
+    return sorted(out)
+
+
+def got(df, every, k):
+    return sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % every == 0, k).collect())
+
+
+@pytest.mark.parametrize("shape", ["clusters", "flat", "ties"])
+def test_against_brute_force(spark, monkeypatch, shape):
+    monkeypatch.setattr(topk, "BLOCK", 32)
+    monkeypatch.setattr(topk, "CHUNK", 8)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(900, 12)).astype(np.float32)
+    if shape == "clusters":
+        x = x * 0.1 + rng.normal(size=(9, 12)).astype(np.float32)[rng.integers(0, 9, 900)] * 3
+    elif shape == "ties":
+        x = np.round(x[rng.integers(0, 40, 900)])
+        x[300:600] = x[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, VEC)
+    for k in (1, 5):
+        assert got(df, 10, k) == brute(rows, 10, k)
+
+
+def test_far_annuli_are_not_read(spark, monkeypatch):
+    """In well separated clusters the bound rules most of the index out."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(16, 24)) * 4
+    x = (centres[np.arange(4000) % 16] + rng.normal(size=(4000, 24)) * 0.02).astype(np.float64)
+    pivots = topk.fit_pivots(topk.lifted(x, (x * x).sum(1), (x * x).sum(1).max()), 16)
+    cells = topk.distances(topk.lifted(x, (x * x).sum(1), (x * x).sum(1).max()), pivots).argmin(1)
+    assert len(set(zip(cells.tolist(), (np.arange(4000) % 16).tolist()))) == 16
+
+
+def test_odd_rows(spark):
+    rows = [
+        (0, [1.0, 2.0]), (1, [2.0, 1.0]), (2, None), (3, []), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [float("inf"), 0.0]),
+        (7, [-0.001, 0.5]), (8, [0.0, 0.0]), (None, [9.0, 9.0]), (10, [3.0, 3.0]),
+    ]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], VEC + ", row int, score int")
+    assert got(df, 5, 5) == brute(rows, 5, 5)
+    df = spark.createDataFrame(rows + [(20, [1.0, 2.0, 3.0]), (25, [1e30, 1.0])], VEC)
+    assert got(df, 5, 5) == brute(rows, 5, 5)  # another length; scores past 64 bits
+
+
+def test_repeated_ids(spark):
+    rows = [(0, [1.0]), (0, [2.0]), (1, [1.0]), (1, [1.0]), (2, [3.0])]
+    out = topk.top_k(spark.createDataFrame(rows, VEC), F.col("vec_id") == 0, 5).collect()
+    assert sorted((r.rank, r.vec_id) for r in out) == sorted([(1, 2), (2, 1), (3, 1)] * 2)
+
+
+def test_few_and_none(spark):
+    assert got(spark.createDataFrame([], VEC), 5, 5) == []
+    assert got(spark.createDataFrame([(0, [1.0])], VEC), 5, 5) == []
+    assert got(spark.createDataFrame([(1, [1.0]), (2, [1.0])], VEC), 5, 5) == []
