@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendtide.llm.common import SPACES, carried, has_word, let, restored, staged
+from spendtide.llm.common import SPACES, carried, has_word, let, restored, scratch, staged
 
 #: Lines in a row that make a run. Also the winnowing window, so that no run of this length is missed.
 MIN_LINES = 3
@@ -26,6 +26,7 @@ def _pick(h: Column, i: Column, run: int) -> Column:
     return (i + F.array_position(window, F.array_min(window)) - 1).cast("int")
 
 
+@scratch
 def later_runs(docs: DataFrame, run: int = MIN_LINES) -> DataFrame:
     """(doc_id, text_, starts): where in a document runs of `run` lines begin that occurred before.
 
@@ -69,7 +70,7 @@ def later_runs(docs: DataFrame, run: int = MIN_LINES) -> DataFrame:
     firsts = windows.groupBy("a", "b").agg(F.min(place).alias("first_"), F.count("*").alias("n_")).filter("n_ > 1")
     firsts = staged(firsts.select("a", "b", "first_"), "firsts")
     later = windows.join(firsts, ["a", "b"]).filter(place > F.col("first_"))
-    return staged(later.groupBy("id_", "text_").agg(F.collect_set("at").alias("starts")), "later")
+    return staged(later.groupBy("id_", "text_").agg(F.collect_set("at").alias("starts")), "later", keep=True)
 
 
 def dedup_lines(docs: DataFrame, run: int = MIN_LINES) -> DataFrame:
@@ -104,7 +105,8 @@ def dedup_lines(docs: DataFrame, run: int = MIN_LINES) -> DataFrame:
         F.col("text"), F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), has_word)).cast("bigint").alias("n_lines"),
         F.lit(0).cast("bigint").alias("n_removed"),
     )
-    joined = keyed.join(found, ["id_", "text_"], "left")
+    # Both sides grow with the documents, so neither is broadcast, also where it is still small.
+    joined = keyed.join(found.hint("merge"), ["id_", "text_"], "left")
     out = joined.withColumn("cut_", F.when(F.col("starts").isNull(), plain).otherwise(let(F.split("text", "\n"), cut)))
     return out.select(*[F.col("cut_.text").alias("text") if c == "text" else F.col(c) for c in own], "cut_.n_lines", "cut_.n_removed")
 
