@@ -21,6 +21,7 @@ SLACK = 8
 #: Items that one packing task handles, about.
 ITEMS_PER_TASK = 100_000
 #: Underfull bins that one task hands on at most, the emptiest first; the others are sequences as they are.
+#: No more than a quarter of a task's items, so that every round of the tree is smaller.
 CARRY = 25_000
 
 # Letters up to here are classified alike by all Unicode versions that the two tokenizer libraries know.
@@ -127,7 +128,7 @@ def _merge(capacity: int, level: int, last: bool):
         open_ = np.zeros(len(used), bool)
         if not last:
             under = np.flatnonzero(used < capacity - SLACK)
-            open_[under[np.argsort(used[under], kind="stable")][:CARRY]] = True
+            open_[under[np.argsort(used[under], kind="stable")][: min(CARRY, ITEMS_PER_TASK // 4)]] = True
         mine = bins[item]
         name = (np.int64(level) << np.int64(56)) + (np.int64(TaskContext.get().partitionId()) << np.int64(32)) + mine
         for name_, values in (("bin", name), ("held", used[mine]), ("offset", offsets[item] + inner), ("open", open_[mine])):
