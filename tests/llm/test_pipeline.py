@@ -47,4 +47,4 @@ def test_run_and_odd_tables(spark, tmp_path):
         df = spark.createDataFrame([(d, t, None, None, None, 1, "s", "r") for d, t in part], schema)
         df.write.parquet(str(tmp_path / n / "documents.parquet"))
         out = corpus_pipeline.run(spark, str(tmp_path / n))
-        assert {r.doc_id for r in out.collect()} == ({None, 3, 4} if part else set())
+        assert {r.doc_id for r in out.collect()} == ({None, 3} if part else set())  # 4 repeats itself
