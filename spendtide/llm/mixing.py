@@ -6,7 +6,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendtide.llm.common import carried, restored, running_total
+from spendtide.llm.common import carried, restored, running_total, staged
 
 #: Bytes of a block.
 BLOCK_BYTES = 64 * 1024
@@ -70,18 +70,21 @@ def mix(docs: DataFrame, weights: Mapping[str, int], default: int = 1, source: s
 
     The schedule of one period is made on the driver, from the number of blocks of each source; it does not
     grow with the documents. What a document needs of it is computed in its row. Prefix sums go
-    by ranges, so a source with a third of all rows is no task of its own.
+    by ranges of narrow rows, so a source with a third of all rows is no task of its own, and texts move once.
 
-    A null source is the source '', a null text has one byte. Null ids and repeated rows are documents like
-    others. An empty table gives no rows. Columns of `docs` named block_, slot_, start_ are replaced.
+    A null source is the source '', a null text has one byte. A null id is an id like others. Rows that agree in
+    id, text and source stand at one place, one behind the other. An empty table gives no rows. Columns of `docs` named block_, slot_, start_ are replaced.
     """
     own = [c for c in docs.columns if c not in ("block_", "slot_", "start_")]
-    size = F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)) + 1
-    rows = docs.select(
-        *own, F.coalesce(F.col(source).cast("string"), F.lit("")).alias("of_"), size.cast("bigint").alias("size_"),
-        F.xxhash64("doc_id", "text").alias("order_"),
-    )
-    rows = running_total(rows, "of_", ["order_"], F.col("size_"), "start_")
+    text = F.col("text").cast("string")
+    keys = {
+        "of_": F.coalesce(F.col(source).cast("string"), F.lit("")),
+        "order_": F.xxhash64("doc_id", text), "key_": F.xxhash64(F.lit(1), text, "doc_id"),
+    }
+    size = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("bigint")
+    rows = docs.select(*[v.alias(k) for k, v in keys.items()], size.alias("size_"))
+    rows = rows.groupBy(*keys).agg(F.sum("size_").alias("size_"))
+    rows = running_total(rows, "of_", ["order_", "key_"], F.col("size_"), "start_")
     rows = rows.withColumn("block_", F.floor(F.col("start_") / block_bytes).cast("bigint"))
     ends = rows.groupBy("of_").agg(F.max("block_").alias("last")).limit(MAX_SOURCES + 1).collect()
     blocks = {r["of_"]: r["last"] + 1 for r in ends}
@@ -93,8 +96,10 @@ def mix(docs: DataFrame, weights: Mapping[str, int], default: int = 1, source: s
     k = F.col("block_") - F.col("p_.first")
     turn = F.floor(k / F.col("p_.weight")).cast("bigint")
     slot = F.col("p_.offset") + turn * F.col("p_.period") + F.get(F.col("p_.slots"), (k - turn * F.col("p_.weight")).cast("int"))
-    joined = rows.join(plan, "of_").withColumn("p_", now)
-    return joined.select(*own, "block_", slot.cast("bigint").alias("slot_"), "start_")
+    placed = rows.join(plan, "of_").withColumn("p_", now).select(*keys, "block_", slot.cast("bigint").alias("slot_"), "start_")
+    # Both sides grow with the documents, so neither is broadcast, also where it is still small.
+    wide = docs.select(*own, *[v.alias(k) for k, v in keys.items()])
+    return wide.join(staged(placed, "placed").hint("merge"), list(keys)).select(*own, "block_", "slot_", "start_")
 
 
 def mixed(docs: DataFrame, weights: Mapping[str, int], source: str = "source", **options) -> DataFrame:
