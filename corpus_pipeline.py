@@ -7,7 +7,7 @@ columns of `documents`.
 2. line dedup: runs of lines that occurred before go, and documents that were nothing else
 3. near duplicates on five-word shingles: one document of each group stays
 4. mixing: all documents, in the order that keeps the sources at their target weights
-5. packing: token pieces in sequences of 2048
+5. packing: token pieces in sequences of 2048; by sequence_id they follow the mix
 
 A row without doc_id passes as any other; it comes after all others where order matters and is linked
 with nothing. A null text has no words and fails the first stage. An empty table gives no rows.
@@ -41,7 +41,10 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     vocabulary, ranks = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken"))
-    return packing.pack(packing.cut_pieces(docs, vocabulary, ranks))
+    # Files keep no order, so the places in the mix are worked out again from the rows that it has kept.
+    placed = mixing.mix(docs.select("doc_id", "text", "source"), WEIGHTS)
+    pieces = packing.cut_pieces(placed, vocabulary, ranks, also=("slot_", "start_"))
+    return packing.pack(pieces, order=("slot_", "start_", "doc_id", "piece")).drop("slot_", "start_")
 
 
 STAGES = [

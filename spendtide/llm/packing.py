@@ -2,7 +2,7 @@
 
 import base64
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import cache
 
 import numpy as np
@@ -23,6 +23,8 @@ ITEMS_PER_TASK = 100_000
 #: Underfull bins that one task hands on at most, the emptiest first; the others are sequences as they are.
 #: No more than a quarter of a task's items, so that every round of the tree is smaller.
 CARRY = 25_000
+#: Neighbouring items that are packed together first where the order counts, and how much wider each next window is.
+WINDOW, WIDER = 512, 8
 
 # Letters up to here are classified alike by all Unicode versions that the two tokenizer libraries know.
 _SETTLED = "ɐ"
@@ -54,7 +56,7 @@ def token_ids(text: str, vocabulary: str, ranks: str | None = None) -> list[int]
     return _tokenizer(vocabulary).encode(text, add_special_tokens=False).ids
 
 
-def _cut(vocabulary: str, ranks: str | None, capacity: int, keep_ids: bool):
+def _cut(vocabulary: str, ranks: str | None, capacity: int, keep_ids: bool, also: list[str]):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, piece, start, length, crc, kept = [], [], [], [], [], []
@@ -72,20 +74,23 @@ def _cut(vocabulary: str, ranks: str | None, capacity: int, keep_ids: bool):
             }
             if keep_ids:
                 columns["ids"] = pa.array(kept, pa.binary())
+            columns |= {c: batch.column(c).take(pa.array(row, pa.int64())) for c in also}
             yield pa.RecordBatch.from_pydict(columns)
 
     return each
 
 
-def cut_pieces(docs: DataFrame, vocabulary: str, ranks: str | None = None, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
+def cut_pieces(docs: DataFrame, vocabulary: str, ranks: str | None = None, capacity: int = CAPACITY, keep_ids: bool = False, also: Sequence[str] = ()) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): documents as token ids, cut only where longer than `capacity`.
 
     A document's ids end with id 0. The first piece may be shorter, all others are full. `ids` are
-    unsigned 32-bit little-endian numbers. A null or empty text is the end id alone.
+    unsigned 32-bit little-endian numbers. A null or empty text is the end id alone. Columns of `docs` named
+    in `also` stand behind, the same in each piece of a document.
     """
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * keep_ids
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_cut(vocabulary, ranks, capacity, keep_ids), schema)
+    schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in also)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *also)
+    return rows.mapInArrow(_cut(vocabulary, ranks, capacity, keep_ids, list(also)), schema)
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,7 +119,36 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
     return bins, offsets, np.array(used, np.int64)
 
 
-def _merge(capacity: int, level: int, last: bool):
+def best_fit_near(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As `best_fit`, but items that stand near each other share a bin; also the least item of every bin, ascending.
+
+    Windows of WINDOW neighbours are packed apart; bins left underfull are the items of windows WIDER times as wide.
+    """
+    home, offsets, used = np.arange(len(sizes)), np.zeros(len(sizes), np.int64), np.array(sizes, np.int64)
+    live, window = home.copy(), WINDOW
+    while True:
+        into, shift = np.arange(len(sizes)), np.zeros(len(sizes), np.int64)
+        leads = []
+        for a in range(0, len(live), window):
+            near = live[a : a + window]
+            bins, at, held = best_fit(used[near], capacity)
+            lead = np.full(len(held), len(sizes))
+            np.minimum.at(lead, bins, near)
+            into[near], shift[near] = lead[bins], at
+            used[lead] = held
+            leads.append(lead)
+        offsets += shift[home]
+        home = into[home]
+        if len(live) <= window:
+            break
+        live = np.sort(np.concatenate(leads))
+        live = live[used[live] < capacity - SLACK]
+        window *= WIDER
+    least, bins = np.unique(home, return_inverse=True)
+    return bins, offsets, used[least], least
+
+
+def _merge(capacity: int, level: int, last: bool, ordered: bool):
     """One task's round: its bins are the items; a piece moves with its bin."""
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
@@ -123,14 +157,20 @@ def _merge(capacity: int, level: int, last: bool):
         old = table.column("bin").to_numpy()
         held = table.column("held").to_numpy()
         inner = table.column("offset").to_numpy()
-        _, first, item = np.unique(old, return_index=True, return_inverse=True)
-        bins, offsets, used = best_fit(held[first], capacity)
+        names, first, item = np.unique(old, return_index=True, return_inverse=True)
+        if ordered:
+            bins, offsets, used, least = best_fit_near(held[first], capacity)
+        else:
+            bins, offsets, used = best_fit(held[first], capacity)
         open_ = np.zeros(len(used), bool)
         if not last:
             under = np.flatnonzero(used < capacity - SLACK)
             open_[under[np.argsort(used[under], kind="stable")][: min(CARRY, ITEMS_PER_TASK // 4)]] = True
         mine = bins[item]
-        name = (np.int64(level) << np.int64(56)) + (np.int64(TaskContext.get().partitionId()) << np.int64(32)) + mine
+        if ordered:
+            name = names[least[mine]]
+        else:
+            name = (np.int64(level) << np.int64(56)) + (np.int64(TaskContext.get().partitionId()) << np.int64(32)) + mine
         for name_, values in (("bin", name), ("held", used[mine]), ("offset", offsets[item] + inner), ("open", open_[mine])):
             values = pa.array(values)
             table = table.set_column(table.schema.get_field_index(name_), name_, values) if name_ in table.schema.names else table.append_column(name_, values)
@@ -140,7 +180,7 @@ def _merge(capacity: int, level: int, last: bool):
 
 
 @scratch
-def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, order: Sequence[str] = ()) -> DataFrame:
     """`pieces` with sequence_id and offset: as few sequences of at most `capacity` as best fit finds.
 
     1. Pieces are dealt to tasks and packed there by best fit, largest first.
@@ -152,6 +192,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     Every round is written to the shared folder. A piece travels with its bin's name, what the bin
     holds and its offset there, so no join puts sequences together. `length` over `capacity` is an
     error. Repeated rows are pieces of their own. An empty table gives no rows.
+
+    With `order`, columns of `pieces`, the sequences follow it: pieces are numbered in that order, a task takes a
+    range of them, neighbours are packed first (`best_fit_near`), and sequence_id is the number of the sequence's
+    first piece. So the sequences up to any one hold all pieces up to its first, and what best fit put beside them.
     """
     too_long = F.raise_error(F.lit("a piece is longer than a sequence"))
     items = pieces.withColumns({
@@ -159,12 +203,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         "offset": F.lit(0).cast("bigint"), "bin": F.monotonically_increasing_id(), "open": F.lit(True),
     })
     items = staged(items, "pieces")
+    if order:
+        items = staged(items.orderBy(*order).withColumn("bin", F.monotonically_increasing_id()), "ordered")
     done, level = None, 0
     count = items.count()
     while True:
         level += 1
         parts = max(1, -(-count // ITEMS_PER_TASK))
-        packed = staged(items.repartition(parts, "bin").mapInArrow(_merge(capacity, level, parts == 1), items.schema), "packed", keep=True)
+        dealt = items.repartitionByRange(parts, "bin") if order else items.repartition(parts, "bin")
+        packed = staged(dealt.mapInArrow(_merge(capacity, level, parts == 1, bool(order)), items.schema), "packed", keep=True)
         closed = packed.filter("not open")
         done = closed if done is None else done.unionByName(closed)
         if parts == 1:

@@ -1,12 +1,14 @@
 """The stages one by one, and the whole run."""
 
+import random
+
 import corpus_pipeline
 from conftest import SF
 from test_lines import brute as lines_brute
 from test_near_duplicates import brute as near_brute
 from test_packing import check
 
-from spendtide.llm import quality
+from spendtide.llm import mixing, packing, quality
 from spendtide.llm.common import staged, table
 
 
@@ -48,3 +50,33 @@ def test_run_and_odd_tables(spark, tmp_path):
         df.write.parquet(str(tmp_path / n / "documents.parquet"))
         out = corpus_pipeline.run(spark, str(tmp_path / n))
         assert {r.doc_id for r in out.collect()} == ({None, 3} if part else set())  # 4 repeats itself
+
+
+def test_sequences_follow_the_mix(spark, monkeypatch):
+    """Every prefix of the packed sequences holds the target weights while no source is used up."""
+    monkeypatch.setattr(packing, "ITEMS_PER_TASK", 1500)
+    rng = random.Random(3)
+    sources = {"src0": 4, "src1": 2, "other": 1}
+    names = list(sources)
+    rows = [(i, " ".join(f"w{rng.randrange(1000)}" for _ in range(rng.randrange(40, 200))), names[i % 3]) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(5)
+    packed = corpus_pipeline.best_fit_packing(spark, corpus_pipeline.source_mixing(spark, docs, SF), SF).collect()
+    assert check(packed, 2048) <= sum(r.length for r in packed) / 2048 * 1.01 + 1
+    of = {i: s for i, _, s in rows}
+    left, given, by = dict.fromkeys(sources, 0), dict.fromkeys(sources, 0), {}
+    for r in packed:
+        left[of[r.doc_id]] += r.length
+        by.setdefault(r.sequence_id, []).append(r)
+    block = max(left.values()) * mixing.BLOCK_BYTES / sum(len(t) + 1 for _, t, s in rows if s == "src0")
+    near = packing.WINDOW * sum(r.length for r in packed) / len(packed)
+    checked = 0
+    for s in sorted(by):
+        for r in by[s]:
+            given[of[r.doc_id]] += r.length
+        if given["src0"] > left["src0"] - block - near:
+            break
+        checked += 1
+        total = sum(given.values())
+        # A block from its share, as the mix itself, and what best fit moves within a window.
+        assert all(abs(given[x] - total * w / 7) < block + near / 2 for x, w in sources.items())
+    assert checked > len(by) / 4
