@@ -71,3 +71,43 @@ def test_repeated_rows_are_one_document(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], DOC)
     assert lines.dedup_lines(df).count() == 0 and lines.clean(df).count() == 0
+
+
+def brute_words(rows, run, words):
+    """All runs of lines of every length, each against all places before it."""
+    seen, out = set(), []
+    for d, text in sorted(rows):
+        every = text.split("\n")
+        worded = [i for i, x in enumerate(every) if x.strip(SPACES)]
+        norm = [every[i].strip(SPACES) for i in worded]
+        gone = set()
+        for k in range(len(norm)):
+            for n in range(1, run + 1):
+                part = tuple(norm[k : k + n])
+                if len(part) < n or n < run and sum(len(x.split()) for x in part) < words:
+                    continue
+                if part in seen:
+                    gone |= set(worded[k : k + n])
+                seen.add(part)
+        if 0 < len(norm) < run:
+            if ("whole", *norm) in seen:
+                gone |= set(worded)
+            seen.add(("whole", *norm))
+        out.append((d, len(norm), len(gone), "\n".join(x for i, x in enumerate(every) if i not in gone)))
+    return sorted(out, key=str)
+
+
+def test_few_lines_of_many_words(spark):
+    rng = random.Random(12)
+    pool = [" ".join(rng.choice("abc") + str(k) for _ in range(rng.choice([1, 2, 4, 8]))) for k in range(30)]
+    rows = [(i, "\n".join(rng.choice(["", "\t"]) + rng.choice(pool) for _ in range(rng.choice([0, 1, 2, 3, 5, 9])))) for i in range(150)]
+    rng.shuffle(rows)
+    for run, words in ((3, 6), (2, 8), (4, 9)):
+        assert got(lines.dedup_lines(spark.createDataFrame(rows, DOC), run, words)) == brute_words(rows, run, words)
+
+
+def test_a_long_line_and_copies_of_few_lines_go(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, f"{long}\nx"), (2, f"y\n {long}\nz"), (3, "short\nlines"), (4, "short\nlines"), (5, "short"), (6, "a\nshort\nb")]
+    out = lines.clean(spark.createDataFrame(rows, DOC), words=lines.MIN_WORDS)
+    assert {r.doc_id: r.text for r in out.collect()} == {1: rows[0][1], 2: "y\nz", 3: "short\nlines", 5: "short", 6: "a\nshort\nb"}
