@@ -3,7 +3,8 @@
 Five stages; each reads what the one before has kept, as Parquet. All but the last return the
 columns of `documents`.
 
-1. quality rules: documents that fail go, frequent lines of a host go from the others
+1. quality rules: documents that fail go, frequent lines of a host go from the others; a long line is frequent
+   in a hundredth of the documents, others in a tenth
 2. line dedup: runs of lines that occurred before go, and documents that were nothing else
 3. near duplicates on five-word shingles: one document of each group stays
 4. mixing: all documents, in the order that keeps the sources at their target weights
@@ -24,7 +25,7 @@ WEIGHTS = {"src0": 4, "src1": 2, "src2": 2}
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.clean(docs)
+    return quality.clean(docs, long_lines=True)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

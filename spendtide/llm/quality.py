@@ -13,6 +13,9 @@ MAX_REPEAT_PERCENT = 50
 #: A line is boilerplate of its host if more distinct documents hold it than both of these.
 MIN_DOCS = 20
 MAX_SHARE_PERCENT = 10
+#: Where the caller asks for it, this share suffices for a line with so many characters: long lines do not recur by chance.
+LONG_SHARE_PERCENT = 1
+LONG_LINE_CHARS = 40
 #: A document of which fewer characters than this remain without such lines is depleted.
 MIN_KEPT_PERCENT = 30
 
@@ -25,9 +28,13 @@ def lines_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), has_word)
 
 
+def normal_line(line: Column) -> Column:
+    """The line without white space at its ends, A-Z in lower case, digits run together as 0."""
+    return F.regexp_replace(lower_ascii(F.btrim(line, F.lit(SPACES))), "[0-9]+", "0")
+
+
 def line_hash(line: Column) -> Column:
-    """Of the line without white space at its ends, A-Z in lower case, digits run together as 0."""
-    return F.xxhash64(F.regexp_replace(lower_ascii(F.btrim(line, F.lit(SPACES))), "[0-9]+", "0"))
+    return F.xxhash64(normal_line(line))
 
 
 def n_repeat_words(w: Column) -> Column:
@@ -53,44 +60,54 @@ def n_repeat_words(w: Column) -> Column:
 
 
 @scratch
-def frequent_lines(docs: DataFrame, host: str = "source") -> DataFrame:
+def frequent_lines(docs: DataFrame, host: str = "source", long_lines: bool = False) -> DataFrame:
     """One row per host that has boilerplate: host_, frequent (hashes of lines).
 
     Distinct documents of a host are its distinct texts, so exact copies count once. A line of a
     frequent list is in over a tenth of its host's documents: a list has at most ten times as many entries
-    as the host's documents have lines on average.
+    as the host's documents have lines on average. With `long_lines`, a hundredth is enough for a line of
+    LONG_LINE_CHARS characters (normalised, without white space), and a list may be ten times as long.
 
     Pairs of document and line are made distinct first, so counting starts from pre-aggregated rows and
     a line that very many documents share reaches its reducer as one count per task.
     """
+    def line(c: Column) -> Column:
+        if not long_lines:
+            return F.struct(line_hash(c).alias("line_"), F.lit(False).alias("long_"))
+        return let(normal_line(c), lambda x: F.struct(F.xxhash64(x).alias("line_"), (word_chars(x) >= LONG_LINE_CHARS).alias("long_")))
+
     keyed = docs.select(
         F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host_"),
         F.xxhash64("text").alias("doc_"), F.xxhash64(F.lit(1), "text").alias("doc2_"),
-        F.array_distinct(F.transform(lines_of(F.col("text")), line_hash)).alias("lines_"),
+        F.array_distinct(F.transform(lines_of(F.col("text")), line)).alias("lines_"),
     )
-    pairs = keyed.select("host_", "doc_", "doc2_", F.explode_outer("lines_").alias("line_")).distinct()
+    pairs = keyed.select("host_", "doc_", "doc2_", F.explode_outer("lines_").alias("l_"))
+    pairs = pairs.select("host_", "doc_", "doc2_", "l_.line_", *["l_.long_"] * long_lines).distinct()
     # A document without lines still counts for its host, as one line that is null.
     found = staged(pairs, "lines")
     hosts = found.select("host_", "doc_", "doc2_").distinct().groupBy("host_").agg(F.count("*").alias("docs_"))
-    counts = found.filter("line_ is not null").groupBy("host_", "line_").agg(F.count("*").alias("n_")).filter(F.col("n_") > MIN_DOCS)
-    over = staged(counts, "counts").join(hosts, "host_").filter(F.col("n_") * 100 > F.col("docs_") * MAX_SHARE_PERCENT)
+    by = ["host_", "line_", *["long_"] * long_lines]
+    counts = found.filter("line_ is not null").groupBy(*by).agg(F.count("*").alias("n_")).filter(F.col("n_") > MIN_DOCS)
+    percent = F.when(F.col("long_"), LONG_SHARE_PERCENT).otherwise(MAX_SHARE_PERCENT) if long_lines else F.lit(MAX_SHARE_PERCENT)
+    over = staged(counts, "counts").join(hosts, "host_").filter(F.col("n_") * 100 > F.col("docs_") * percent)
     return staged(over.groupBy("host_").agg(F.collect_set("line_").alias("frequent")), "frequent", keep=True)
 
 
-def judge(docs: DataFrame, host: str = "source", with_text: bool = False) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", with_text: bool = False, long_lines: bool = False) -> DataFrame:
     """`docs` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_frequent_lines,
     base_failed, depleted, kept; with `with_text` also clean_text.
 
     The base rules fail a document of fewer than 50 words, or over half of whose words stand in
     repeated three-word windows. The method: lines that are frequent among the host's documents are
     removed, and a document that keeps under 30 % of its characters is depleted. `kept` is neither.
-    clean_text is the text without frequent lines, unchanged if it has none.
+    clean_text is the text without frequent lines, unchanged if it has none. With `long_lines`, a long
+    line is frequent in a hundredth of the host's documents already.
 
     A null text has no words: it fails. A null host counts as an empty one. Every row is judged for
     itself, so repeated rows and null ids stay as they are. Columns of `docs` that have one of the
     new names are replaced. An empty table gives no rows.
     """
-    lists = frequent_lines(docs, host)
+    lists = frequent_lines(docs, host, long_lines)
     none = F.array().cast("array<bigint>")
     joined = docs.withColumn("host_", F.coalesce(F.col(host).cast("string"), F.lit(""))).join(lists, "host_", "left")
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -131,7 +148,7 @@ def judge(docs: DataFrame, host: str = "source", with_text: bool = False) -> Dat
     ).drop("removed_chars")
 
 
-def clean(docs: DataFrame, host: str = "source") -> DataFrame:
+def clean(docs: DataFrame, host: str = "source", long_lines: bool = False) -> DataFrame:
     """The documents that are kept, without their hosts' frequent lines; the columns of `docs`."""
-    judged = judge(carried(docs, text=F.col("text"), host=F.col(host)), "host", with_text=True)
+    judged = judge(carried(docs, text=F.col("text"), host=F.col(host)), "host", with_text=True, long_lines=long_lines)
     return restored(judged.filter("kept"), docs, text=F.col("clean_text"))

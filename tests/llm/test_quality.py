@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+import corpus_pipeline
 from spendtide.llm import quality
 
 DOC = "doc_id bigint, text string, source string"
@@ -101,3 +102,18 @@ def test_edges_of_the_base_rules(spark, n, failed):
     # 25 of 50 words repeat: not over half
     half = " ".join(["a b c d e"] * 5 + [f"z{i}" for i in range(25)])
     assert judged(spark, [(1, half, "s")])[1].base_failed is False
+
+
+def test_the_pipeline_finds_boilerplate_in_a_few_percent_of_a_large_host(spark):
+    rng = random.Random(5)
+    licence = "Copyright %d by the authors, all rights to this text are reserved"
+    rows = []
+    for i in range(2000):
+        text = [unique(rng, 60)]
+        text += [licence % i] if i % 33 == 0 else []  # 61 documents, 3 %
+        text += ["Read more"] if i % 20 == 0 else []  # 5 %, but short
+        text += ["This line is as long as the licence, but few documents hold it"] if i % 100 == 0 else []  # 20 documents
+        rows.append((i, "\n".join(text), "large"))
+    docs = spark.createDataFrame(rows, DOC)
+    cleaned = {r.doc_id: r.text for r in corpus_pipeline.quality_rules(spark, docs, "").collect()}
+    assert cleaned == {i: "\n".join(x for x in t.split("\n") if "Copyright" not in x) for i, t, _ in rows}
