@@ -135,7 +135,7 @@ def judge(docs: DataFrame, host: str = "source", with_text: bool = False, long_l
         "removed_chars": F.col("lines_.removed_chars"),
     }
     if with_text:
-        new["clean_text"] = F.when(F.size(bad) == 0, F.col("text")).otherwise(F.array_join(
+        new["clean_text"] = F.when(F.col("lines_.n_frequent_lines") == 0, F.col("text")).otherwise(F.array_join(
             F.filter(F.split("text", "\n"), lambda line: ~(has_word(line) & F.array_contains(bad, line_hash(line)))), "\n"
         ))
     own = [c for c in docs.columns if c not in new and c not in ("base_failed", "depleted", "kept")]
