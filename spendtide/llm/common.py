@@ -49,13 +49,19 @@ def scratch(operator: Callable) -> Callable:
     return run
 
 
-def staged(df: DataFrame, name: str = "llm", keep: bool = False) -> DataFrame:
-    """Written once in the shared folder and read back, so a lost executor loses nothing of it."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new folder that every executor reaches; it goes as `scratch` says."""
     at = session.shared_dir(spark, name)
     if scopes := getattr(_running, "scopes", []):
         path = spark._jvm.org.apache.hadoop.fs.Path(at)
         scopes[-1][keep].append((path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path))
+    return at
+
+
+def staged(df: DataFrame, name: str = "llm", keep: bool = False) -> DataFrame:
+    """Written once in the shared folder and read back, so a lost executor loses nothing of it."""
+    spark = df.sparkSession
+    at = shared_folder(spark, name, keep)
     conf = spark.conf
     before = {k: conf.get(k) for k in WRITING}
     for k, v in WRITING.items():

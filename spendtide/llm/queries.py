@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spendtide.llm import chat, lines, minhash, mixing, packing, quality, sharding, substrings, topk, urls
+from spendtide.llm import chat, lexical, lines, minhash, mixing, packing, quality, sampling, sharding, substrings, topk, urls, warc
 from spendtide.llm.common import table
 from spendtide.llm.sql import SQL
 
@@ -153,6 +153,24 @@ def op10_source_mixing(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# ---- 11 to 13 ---------------------------------------------------------------------------
+
+
+@query
+def op11_warc(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.archived(table(spark, sf, "pages"), "2024-01-01T00:00:00Z").drop("uri")
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    return sampling.resampled(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op13_ranked_search(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, sf, "documents"), table(spark, sf, "benchmark"), F.col("item_id"))
+
+
 @query
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf)

@@ -242,3 +242,65 @@ s AS (
   FROM v q JOIN v x ON q.vec_id <> x.vec_id WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
 SELECT query_id, CAST(k AS INT) AS rank, vec_id, score FROM r WHERE k <= 5"""
+
+# ---- 11 ---------------------------------------------------------------------------------
+
+SQL["op11_warc"] = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+h AS (SELECT *, max(page_id) OVER (PARTITION BY b) AS head, octet_length(b) >= 1000 AS long FROM p)
+SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS payload_digest,
+       CASE WHEN long AND page_id IS DISTINCT FROM head THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN long AND page_id IS DISTINCT FROM head THEN head END AS refers_to, CAST(NULL AS VARCHAR) AS error
+FROM h"""
+
+# ---- 12, 13: words of ASCII letters, digits and all from U+0080 on -------------------------------
+
+
+def _alnum(c: str) -> str:
+    return rf"regexp_extract_all(translate(coalesce({c}, ''), {_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+_FEATURES = """unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+    list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS f"""
+
+SQL["op12_importance_resampling"] = f"""
+WITH tab AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (SELECT row_number() OVER () AS n, doc_id, {_alnum("text")} AS w FROM documents),
+df AS (SELECT n, f, count(*) AS k FROM (SELECT n, {_FEATURES} FROM d) GROUP BY n, f),
+bf AS (SELECT f, count(*) AS k FROM (SELECT {_FEATURES} FROM (SELECT {_alnum("text")} AS w FROM benchmark)) GROUP BY f),
+crc AS (
+  SELECT f, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(
+    regexp_extract_all(hex(encode(f)), '..'), lambda x: CAST('0x' || x AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 10000 AS bucket
+  FROM (SELECT f FROM df UNION SELECT f FROM bf), tab),
+s AS (SELECT bucket, sum(k) AS s FROM df JOIN crc USING (f) GROUP BY bucket),
+t AS (SELECT bucket, sum(k) AS t FROM bf JOIN crc USING (f) GROUP BY bucket),
+g AS (
+  SELECT bucket, CAST(floor(1000 * ln((CAST(coalesce(t, 0) + 1 AS DOUBLE) * CAST((SELECT coalesce(sum(s), 0) FROM s) + 10000 AS DOUBLE))
+    / (CAST(s + 1 AS DOUBLE) * CAST((SELECT coalesce(sum(t), 0) FROM t) + 10000 AS DOUBLE)))) AS BIGINT) AS gain
+  FROM s LEFT JOIN t USING (bucket)),
+w AS (SELECT n, CAST(sum(k) AS BIGINT) AS n_features, CAST(sum(k * gain) AS BIGINT) AS weight FROM df JOIN crc USING (f) JOIN g USING (bucket) GROUP BY n),
+h AS (SELECT *, CAST('0x' || substr(sha256('42:' || doc_id), 1, 8) AS BIGINT) AS h FROM d),
+r AS (
+  SELECT n, doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM h LEFT JOIN w USING (n)),
+e AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS k, count(*) OVER () AS m FROM r WHERE n_words >= 20)
+SELECT r.doc_id, r.n_features, r.weight, r.score, CASE WHEN k <= 5 * m // 100 THEN k END AS rank, r.n_words
+FROM r LEFT JOIN e USING (n)"""
+
+SQL["op13_ranked_search"] = f"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, {_alnum("text")} AS w FROM documents),
+c AS (SELECT *, CAST(len(w) AS BIGINT) AS len FROM d WHERE len(w) > 0),
+a AS (SELECT count(*) AS docs, CAST(sum(len) AS BIGINT) AS words FROM c),
+p AS (SELECT n, term, count(*) AS tf FROM (SELECT n, unnest(w) AS term FROM c) GROUP BY n, term),
+v AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS weight FROM p, a GROUP BY term, docs),
+q AS (SELECT DISTINCT item, item_id, term FROM (
+  SELECT row_number() OVER () AS item, item_id, unnest({_alnum("text")}) AS term FROM benchmark)),
+s AS (
+  SELECT item, item_id, c.n, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len * docs) // words)))) AS BIGINT) AS score
+  FROM q JOIN v USING (term) JOIN p USING (term) JOIN c ON c.n = p.n, a GROUP BY item, item_id, c.n, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS k FROM s WHERE score > 0)
+SELECT item_id, CAST(k AS INT) AS rank, doc_id, score FROM r WHERE k <= 10"""

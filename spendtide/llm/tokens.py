@@ -37,3 +37,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 def lowered_words(text: str | None) -> list[bytes]:
     """The same with A-Z in lower case; bytes.lower() touches no other letter."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+# ASCII letters and digits, and all bytes of other code points, make words; A-Z count as a-z.
+_ALNUM = bytes(
+    b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
+)
+
+
+def alnum_words(text: str | None) -> list[bytes]:
+    """Runs of ASCII letters, digits and code points from U+0080 on, A-Z in lower case."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(_ALNUM).split()

@@ -9,7 +9,7 @@ from spendtide.llm import queries
 
 def test_names():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n != "pipeline")
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(queries.QUERIES) - set(queries.oracle_sql()) == {"op2_best_fit_packing", "op10_source_mixing", "pipeline"}
 
 
