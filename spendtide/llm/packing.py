@@ -20,9 +20,8 @@ END = 0
 SLACK = 8
 #: Items that one packing task handles, about.
 ITEMS_PER_TASK = 100_000
-#: Underfull bins that one task hands on at most, the emptiest first; the others are sequences as they are.
-#: No more than a quarter of a task's items, so that every round of the tree is smaller.
-CARRY = 25_000
+#: A round that lowers the number of underfull bins by less than one in so many is the last.
+LEAST_GAIN = 1000
 #: Neighbouring items that are packed together first where the order counts, and how much wider each next window is.
 WINDOW, WIDER = 512, 8
 
@@ -50,9 +49,15 @@ def _fast(ranks: str):
 
 
 def token_ids(text: str, vocabulary: str, ranks: str | None = None) -> list[int]:
-    """Ids by the vocabulary file. With `ranks`, texts of settled letters take the faster library; ids are equal."""
+    """Ids by the vocabulary file. With `ranks`, texts of settled letters take the faster library; ids are equal.
+
+    That library gives up on runs of some hundred thousand blanks (its pattern looks ahead); those texts take the other.
+    """
     if ranks and (text.isascii() or max(text) < _SETTLED):
-        return _fast(ranks).encode(text, allowed_special="all")
+        try:
+            return _fast(ranks).encode(text, allowed_special="all")
+        except ValueError:
+            pass
     return _tokenizer(vocabulary).encode(text, add_special_tokens=False).ids
 
 
@@ -162,10 +167,7 @@ def _merge(capacity: int, level: int, last: bool, ordered: bool):
             bins, offsets, used, least = best_fit_near(held[first], capacity)
         else:
             bins, offsets, used = best_fit(held[first], capacity)
-        open_ = np.zeros(len(used), bool)
-        if not last:
-            under = np.flatnonzero(used < capacity - SLACK)
-            open_[under[np.argsort(used[under], kind="stable")][: min(CARRY, ITEMS_PER_TASK // 4)]] = True
+        open_ = (used < capacity - SLACK) & (not last)
         mine = bins[item]
         if ordered:
             name = names[least[mine]]
@@ -186,8 +188,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, order: Sequence[str] = ())
     1. Pieces are dealt to tasks and packed there by best fit, largest first.
     2. Bins with at most SLACK left are sequences. Underfull bins become the items of the next round, in
        a task for every ITEMS_PER_TASK, and are packed by best fit again.
-    3. This repeats up the tree until one task takes all that is left. A task hands on at most CARRY bins, the
-       emptiest, which are the ones that can still merge; it closes the others. So the last task is bounded.
+    3. This repeats up the tree, each round with all underfull bins, until one task takes all that is left or a round
+       has merged fewer than one bin in LEAST_GAIN: what is left then is sequences as it is (bins over half full, say,
+       of which no two fit together). No task ever takes more than ITEMS_PER_TASK bins, about.
 
     Every round is written to the shared folder. A piece travels with its bin's name, what the bin
     holds and its offset there, so no join puts sequences together. `length` over `capacity` is an
@@ -216,8 +219,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, order: Sequence[str] = ())
         done = closed if done is None else done.unionByName(closed)
         if parts == 1:
             break
-        items = packed.filter("open")
+        items, before = packed.filter("open"), count
         count = items.select("bin").distinct().count()
+        if before - count < before / LEAST_GAIN:
+            done = done.unionByName(items)
+            break
     return done.select(*pieces.columns, F.col("bin").alias("sequence_id"), "offset")
 
 

@@ -93,13 +93,56 @@ def test_merging_up_the_tree(spark, monkeypatch):
     assert check(rows, 100) <= one * 1.03 + 2
 
 
-def test_bins_over_the_carry_close_where_they_are(spark, monkeypatch):
+def test_bins_that_cannot_merge_end_the_rounds(spark, monkeypatch):
     monkeypatch.setattr(packing, "ITEMS_PER_TASK", 40)
-    monkeypatch.setattr(packing, "CARRY", 3)
     df = spark.createDataFrame([(i, 0, 0, 60, 0) for i in range(300)], PIECE)
     assert check(packing.pack(df, 100).collect(), 100) == 300
 
 
+def test_every_underfull_bin_is_merged_on(spark, monkeypatch):
+    """Tasks left with many underfull bins each hand all of them up: pairs that fill a bin are found in later rounds."""
+    monkeypatch.setattr(packing, "ITEMS_PER_TASK", 64)
+    monkeypatch.setattr(packing, "SLACK", 0)
+    sizes = [51] * 400 + [49] * 400
+    df = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(sizes)], PIECE)
+    assert check(packing.pack(df, 100).collect(), 100) <= 400 * 1.02
+
+
+@pytest.mark.parametrize("unit, tail", [(" ", "a"), ("\t", "a"), ("\n", "a"), ("\r\n", "a"), (" ", ""), ("a", ""), ("!", "")])
+def test_very_long_runs(unit, tail):
+    text = "go " + unit * (2_000_000 // len(unit)) + tail
+    ids = packing.token_ids(text, VOCABULARY, RANKS)
+    assert packing._tokenizer(VOCABULARY).decode(ids, skip_special_tokens=False) == text
+
+
+@pytest.mark.parametrize("capacity", [7, 10, 16])
+def test_few_items_against_the_least_number(capacity):
+    rng = random.Random(capacity)
+    for _ in range(60):
+        sizes = [rng.randrange(1, capacity + 1) for _ in range(rng.randrange(1, 8))]
+        used = packing.best_fit(np.array(sizes, np.int64), capacity)[2]
+        assert len(used) <= -(-11 * least_bins(sizes, capacity) // 9) + 1
+
+
+def least_bins(sizes, capacity):
+    """The optimum, by trying each item in every bin."""
+    best = [len(sizes)]
+
+    def place(rest, bins):
+        if len(bins) >= best[0] and rest:
+            return
+        if not rest:
+            best[0] = min(best[0], len(bins))
+            return
+        for i in range(len(bins)):
+            if bins[i] + rest[0] <= capacity:
+                place(rest[1:], [*bins[:i], bins[i] + rest[0], *bins[i + 1 :]])
+        place(rest[1:], [*bins, rest[0]])
+
+    place(sorted(sizes, reverse=True), [])
+    return best[0]
+
+
 def test_odd_documents(spark):
     rows = [(1, None), (2, ""), (None, "a"), (3, "b"), (3, "b"), (4, "word " * 5000)]
     df = spark.createDataFrame([(*r, 7, 8) for r in rows], DOC + ", length int, bin int")
