@@ -1,0 +1,152 @@
+"""Archives: framing, digests, damage, and pages through the sink and back."""
+
+import hashlib
+import io
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from spendtide.llm import warc
+
+PAGES = "page_id bigint, url string, html string"
+DATE = "2024-01-01T00:00:00Z"
+
+
+def row(i, payload, kind="response", refers=None):
+    return {
+        "record_id": f"urn:x:{i}", "record_type": kind, "uri": f"http://h/{i}", "date": DATE, "refers_to": refers,
+        "payload_bytes": len(payload), "payload_digest": hashlib.sha1(payload).hexdigest(), "payload": payload,
+    }
+
+
+def member(raw):
+    pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return pack.compress(raw) + pack.flush()
+
+
+def plain(body, length=None, kind=b"resource"):
+    n = len(body) if length is None else length
+    return b"WARC/1.0\r\nWARC-Type: " + kind + b"\r\nContent-Length: %d\r\n\r\n" % n + body + b"\r\n\r\n"
+
+
+def read(data, keep=True):
+    return list(warc.read_stream(io.BytesIO(data), keep))
+
+
+@pytest.mark.parametrize("piece", [1, 7, 1 << 16])
+def test_records_come_back_whatever_the_pieces(monkeypatch, piece):
+    monkeypatch.setattr(warc, "PIECE", piece)
+    payloads = [b"", b"a", b"x" * 5000, bytes(range(256)) * 9, b"\r\n\r\nWARC/1.1\r\n\r\n", "ä一".encode()]
+    out = read(b"".join(warc.record_bytes(row(i, p)) for i, p in enumerate(payloads)))
+    assert [r["payload"] for r in out] == payloads and not any(r["error"] for r in out)
+    assert [r["payload_digest"] for r in out] == [hashlib.sha1(p).hexdigest() for p in payloads]
+    assert [r["payload_bytes"] for r in out] == list(map(len, payloads))
+    assert [r["record_id"] for r in out] == [f"urn:x:{i}" for i in range(6)]
+    offsets = [r["offset"] for r in out]
+    assert offsets[0] == 0 and offsets == sorted(set(offsets))
+
+
+def test_revisit_keeps_length_and_digest_without_the_payload():
+    data = warc.record_bytes(row(1, b"y" * 3000, "revisit", "urn:x:2"))
+    (out,) = read(data)
+    assert (out["record_type"], out["refers_to"], out["payload_bytes"], out["payload"], out["error"]) == ("revisit", "urn:x:2", 3000, None, None)
+    assert out["payload_digest"] == hashlib.sha1(b"y" * 3000).hexdigest()
+
+
+@pytest.mark.parametrize("piece", [5, 1 << 16])
+def test_damage_is_told_and_the_rest_is_read(monkeypatch, piece):
+    monkeypatch.setattr(warc, "PIECE", piece)
+    a, b, c = (warc.record_bytes(row(i, bytes([65 + i]) * 4000)) for i in range(3))
+    broken = bytearray(b)
+    broken[len(b) // 2] ^= 0xFF
+    out = read(a + bytes(broken) + c)
+    assert [r["record_id"] for r in out if not r["error"]] == ["urn:x:0", "urn:x:2"]
+    assert sum(bool(r["error"]) for r in out) == 1
+    cut = read(a + b[:-9])
+    assert cut[0]["error"] is None and "ends within" in cut[-1]["error"] and len(cut) == 2
+    assert read(b"") == []
+
+
+@pytest.mark.parametrize("raw, error", [
+    (plain(b"abc", 5), "longer|before"), (plain(b"abc", 900), "before"), (plain(b"abcdef", 3), "longer"),
+    (b"WARC/1.0\r\nWARC-Type: resource\r\n\r\nabc\r\n\r\n", "no Content-Length"),
+    (b"WARC/1.0\r\nContent-Length: -3\r\n\r\nabc\r\n\r\n", "no Content-Length"), (b"hello\r\n\r\n", "not a WARC"), (b"", "before"),
+])
+def test_framing_errors(raw, error):
+    import re
+
+    good = warc.record_bytes(row(7, b"fine"))
+    out = read(member(raw) + good)
+    assert len(out) == 2 and re.search(error, out[0]["error"]) and out[1]["error"] is None and out[1]["payload"] == b"fine"
+
+
+def test_digests_are_checked():
+    bad = row(1, b"abc") | {"payload_digest": "0" * 40}
+    (out,) = read(warc.record_bytes(bad))
+    assert out["error"] == "payload digest differs" and out["payload_digest"] == hashlib.sha1(b"abc").hexdigest()
+    head = b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Block-Digest: sha1:" + b"A" * 32 + b"\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    assert read(member(head))[0]["error"] == "block digest differs"
+
+
+def test_several_records_in_one_member_and_other_types():
+    out = read(member(plain(b"one") + plain(b"two", kind=b"metadata")))
+    assert [(r["payload"], r["record_type"], r["error"]) for r in out] == [(b"one", "resource", None), (b"two", "metadata", None)]
+
+
+def want(pages):
+    out = []
+    for page, _, html in pages:
+        data = (html or "").encode()
+        same = [p for p, _, h in pages if (h or "").encode() == data]
+        head = max((p for p in same if p is not None), default=None)
+        again = len(data) >= 1000 and page != head
+        out.append((page, len(data), hashlib.sha1(data).hexdigest(), "revisit" if again else "response", head if again else None))
+    return sorted(out, key=repr)
+
+
+def test_pages_through_archives(spark):
+    big, other = "ä" * 700, "z" * 1000
+    pages = [
+        (1, "http://a/1", big), (2, None, big), (3, "http://a/3\n x", big), (4, "u", "short"), (5, "u", "short"), (6, "u", other),
+        (7, "u", "z" * 999), (8, "u", "z" * 999), (9, "u", None), (10, "u", ""), (None, "u", other), (3, "http://a/3", big),
+        (11, "u", "p" * 300_000), (12, "u", "a\r\n\r\nWARC/1.1\r\n" * 100),
+    ]
+    df = spark.createDataFrame([(*p, 1, "x", "y") for p in pages], PAGES + ", head_ int, payload string, record_id string")
+    out = warc.archived(df, DATE)
+    assert out.filter("error is not null").count() == 0
+    got = [tuple(r) for r in out.drop("uri", "error").collect()]
+    assert sorted(got, key=repr) == want(pages)
+    assert "http://a/3%0A%20x" in {r.uri for r in out.collect()}
+
+
+def test_empty_table_and_empty_folder(spark, tmp_path):
+    assert warc.archived(spark.createDataFrame([], PAGES), DATE).collect() == []
+    assert warc.read_archives(spark, str(tmp_path)).collect() == []
+
+
+def test_payloads_of_revisits_are_resolved(spark, tmp_path):
+    big = "w" * 2000
+    df = spark.createDataFrame([(1, "u", big), (2, "u", big), (3, "u", "s")], PAGES)
+    rows = warc.captures(df, F.col("page_id"), F.col("url"), F.encode("html", "UTF-8"), DATE)
+    warc.write_archives(rows, f"{tmp_path}/w")
+    back = warc.read_archives(spark, f"{tmp_path}/w", payload=True)
+    assert back.filter("record_type = 'revisit'").first().payload is None
+    out = {warc_id(r): bytes(r.payload) for r in warc.resolved(back).collect() if r.record_type != "warcinfo"}
+    assert out == {"1": big.encode(), "2": big.encode(), "3": b"s"}
+    alone = warc.resolved(back.filter("record_type = 'revisit'")).collect()
+    assert alone[0].payload is None and "missing" in alone[0].error
+
+
+def warc_id(r):
+    return r.record_id.split(":")[2]
+
+
+def test_overwrite_and_roll(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(i, "u", f"{i}") for i in range(20)], PAGES)
+    rows = warc.captures(df, F.col("page_id"), F.col("url"), F.encode("html", "UTF-8"), DATE)
+    warc.write_archives(rows, str(tmp_path))
+    columns = [c.split()[0] for c in warc.TO_WRITE.split(", ")]
+    rows.select(*columns).limit(3).write.format("warc").mode("overwrite").save(str(tmp_path))
+    assert warc.read_archives(spark, str(tmp_path)).filter("record_type = 'response'").count() == 3
+    assert not [p for p in tmp_path.iterdir() if p.name.startswith("_")]
