@@ -18,9 +18,10 @@ N_CTAS = 3
 N_THEMES = 5
 
 
-def _base(creatives: DataFrame) -> DataFrame:
+def _base(creatives: DataFrame, also: list[str] = []) -> DataFrame:  # noqa: B006
     """Only the columns the measures need, nulls filled."""
     return creatives.select(
+        *also,
         "brand", "week_key", "channel",
         F.coalesce("region", F.lit(UNKNOWN)).alias("region"),
         F.col("is_active"),
@@ -65,27 +66,29 @@ def weekly_measures(creatives: DataFrame) -> DataFrame:
     return _finish(_base(creatives).groupBy(*GRAIN).agg(*_measures()))
 
 
-def _top_values(creatives: DataFrame) -> DataFrame:
-    """Most frequent calls to action (kind 1) and themes (kind 2) of each group.
-
-    Counting comes before ranking, so no group ever gathers its values in a list,
-    and the rank filter cuts each task's output to a few rows per group before the
-    second shuffle.
-    """
+def _value_counts(creatives: DataFrame, kinds: tuple[int, ...] = (1, 2), also: list[str] = []) -> DataFrame:  # noqa: B006
+    """How often each call to action (kind 1) and theme (kind 2) occurs in each group."""
     group = [F.col("brand"), F.col("week_key"), F.col("channel"),
-             F.coalesce("region", F.lit(UNKNOWN)).alias("region")]
+             F.coalesce("region", F.lit(UNKNOWN)).alias("region"), *also]
     ctas = creatives.filter(F.col("cta") != UNKNOWN).select(
-        *group, F.lit(1).alias("kind"), F.col("cta").alias("value"))
+        *group, F.lit(1).alias("kind"), F.col("cta").alias("value")) if 1 in kinds else None
     themes = creatives.select(
         *group, F.lit(2).alias("kind"), F.explode("creative_themes").alias("value")
-    ).filter(F.col("value") != UNKNOWN)
+    ).filter(F.col("value") != UNKNOWN) if 2 in kinds else None
+    counted = [df.groupBy(*GRAIN, *also, "kind", "value").agg(F.count("*").alias("n")) for df in (ctas, themes) if df is not None]
+    return counted[0] if len(counted) == 1 else counted[0].unionAll(counted[1])
 
-    def counted(df: DataFrame) -> DataFrame:
-        return df.groupBy(*GRAIN, "kind", "value").agg(F.count("*").alias("n"))
 
+def _top_values(counts: DataFrame) -> DataFrame:
+    """Most frequent calls to action (kind 1) and themes (kind 2) of each group.
+
+    Counting comes before ranking, so no group ever gathers its values in a list,
+    and the rank filter cuts each task's output to a few rows per group before the
+    second shuffle.
+    """
     w = Window.partitionBy(*GRAIN, "kind").orderBy(F.desc("n"), F.asc("value"))
     return (
-        counted(ctas).unionAll(counted(themes))
+        counts
         .withColumn("rank", F.row_number().over(w))
         .filter(F.col("rank") <= N_THEMES)
         .filter((F.col("kind") == 2) | (F.col("rank") <= N_CTAS))
@@ -101,15 +104,41 @@ def weekly_signals(creatives: DataFrame, batch_ts: Column | None = None) -> Data
     every facet next to the measures was three times slower. Feed it a written
     table (as `plans.weekly_run` does), so that no work above it is repeated.
     """
+    measures = _base(creatives).groupBy(*GRAIN).agg(*_measures())
+    return _assembled(measures, _top_values(_value_counts(creatives)), batch_ts)
+
+
+def partial_signals(creatives: DataFrame, also: list[str] = []) -> DataFrame:  # noqa: B006
+    """Partial aggregates that add up: a row of measures per group (kind 0), and a row of counts per call to action and theme.
+
+    `also` names further columns to group by, as that of the load. Feed it a written table: it is read three times.
+    """
+    measures = _base(creatives, also).groupBy(*GRAIN, *also).agg(*_measures())
+    measures = measures.withColumns({c: F.col(c).cast("decimal(38,0)") for c in ("spend_lower_sum", "spend_upper_sum")})
+    sums = [c for c in measures.columns if c not in GRAIN and c not in also]
+    none = [F.lit(None).cast(measures.schema[c].dataType).alias(c) for c in sums]
+    counts = _value_counts(creatives, also=also).select(*GRAIN, "kind", "value", "n", *none, *also)
+    return measures.select(*GRAIN, F.lit(0).alias("kind"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("bigint").alias("n"), *sums, *also).unionAll(counts)
+
+
+def merged_signals(partials: DataFrame, batch_ts: Column | None = None) -> DataFrame:
+    """The fact table from partial aggregates of any number of loads, in any order."""
+    sums = ["ad_count", "active_ad_count", "impression_lower_sum", "impression_upper_sum"]
+    money = [F.sum(c).cast("decimal(38,0)").alias(c) for c in ("spend_lower_sum", "spend_upper_sum")]
+    measures = partials.filter("kind = 0").groupBy(*GRAIN).agg(*[F.sum(c).alias(c) for c in sums], *money)
+    counts = partials.filter("kind > 0").groupBy(*GRAIN, "kind", "value").agg(F.sum("n").alias("n"))
+    return _assembled(measures, _top_values(counts), batch_ts)
+
+
+def _assembled(measures: DataFrame, tops: DataFrame, batch_ts: Column | None) -> DataFrame:
     def top(kind: int, name: str) -> Column:
         entry = F.when(F.col("kind") == kind, F.struct("rank", "value"))
         return F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["value"]).alias(name)
 
-    measures = _base(creatives).groupBy(*GRAIN).agg(*_measures())
     # One measure row and at most 8 list rows per group, laid out by brand and week
     # once: the grouping and the share window both fit that layout.
     exact = (
-        measures.unionByName(_top_values(creatives), allowMissingColumns=True)
+        measures.unionByName(tops, allowMissingColumns=True)
         .repartition(*BRAND_WEEK)
         .groupBy(*GRAIN)
         .agg(

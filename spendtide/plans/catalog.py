@@ -17,7 +17,7 @@ from spendtide.plans.briefs import saved_briefs as briefs_of_snapshot
 from spendtide.plans.starschema import CHANNEL, creatives, table
 from spendtide.plans.weekly_run import weekly_run
 from spendtide.session import shared_dir, staged
-from spendtide.sources import archive, snapshots, tables, textfiles
+from spendtide.sources import archive, loads, pagewalk, snapshots, tables, textfiles
 from spendtide.sources import creatives as docs
 from spendtide.streaming import feeds
 
@@ -230,6 +230,49 @@ def read_pages(spark, sf):
     return ads_of(archive.read_pages(spark, path))
 
 
+def landed_walks(spark: SparkSession, sf: str) -> DataFrame:
+    """A page per order and a walk per segment and nation; some chains are broken, lead back, or were landed twice."""
+    key = F.col("o_orderkey")
+    orders = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    walk = F.concat_ws("/", F.lower("c_mktsegment"), F.col("c_nationkey").cast("string")).alias("brand")
+    along = Window.partitionBy("brand").orderBy("o_orderkey")
+    def named(c):
+        return F.concat(F.lit("c"), c.cast("string"))
+
+    pages = orders.select(walk, "o_orderkey").select(
+        "brand", "o_orderkey", F.when(F.lag(key).over(along).isNotNull(), named(key)).alias("cursor"),
+        F.when(key % 997 == 0, F.concat(F.lit("lost-"), key.cast("string")))
+        .when(key % 1499 == 0, named(F.lag(key, 3).over(along))).otherwise(named(F.lead(key).over(along))).alias("next"),
+    )
+    ads = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
+        F.sort_array(F.collect_list(F.struct(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id")))).alias("data")
+    )
+    landed = pages.join(ads, key == F.col("l_orderkey"), "left")
+    times = F.when(key % 251 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return landed.select("brand", "cursor", F.struct("next").alias("paging"), "data", F.explode(times).alias("time")).drop("time")
+
+
+@query
+def walk_pages(spark, sf):
+    """Pages in the order of their cursors, with what becomes of those off the walks."""
+    ordered, _ = pagewalk.ordered_pages(landed_walks(spark, sf), F.col("paging.next"))
+    return ordered.select(
+        "brand", "cursor", "page_index", "state", F.coalesce(F.size("data"), F.lit(0)).cast("bigint").alias("n_ads")
+    )
+
+
+@query
+def walk_report(spark, sf):
+    return pagewalk.ordered_pages(landed_walks(spark, sf), F.col("paging.next"))[1]
+
+
+@query
+def explode_walked_pages(spark, sf):
+    """The ads of each walk's first 16 pages."""
+    ads = archive.explode_ad_pages(pagewalk.walked_pages(landed_walks(spark, sf), 16))
+    return ads.select("brand", "page_index", F.col("ad.id").alias("id"))
+
+
 @query
 def relabel_search_source(spark, sf):
     out = docs.relabel_search_source(creatives(spark, sf))
@@ -258,7 +301,7 @@ def insert_only_rerun(spark, sf):
     path = shared_dir(spark, "raw")
     batch = staged(with_keyless(spark, sf).drop("week_key").withColumn("week_key", F.lit("2001-W01")))
     for _ in range(2):
-        tables.insert_only(batch, path)
+        loads.insert_only(batch, path)
     return tables.read_table(spark, path, batch.schema).groupBy("source").agg(F.count("*").alias("stored"))
 
 

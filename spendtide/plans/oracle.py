@@ -237,6 +237,21 @@ CONTEXT = """'SIGNAL DATA (' || weeks_analysed || ' weeks of observations):' ||
 BRIEF = """CASE WHEN brand = 'machinery' THEN '[LLM Error: refused]'
   ELSE 'Brief: On ' || upper(brand) || ', in brief.' END"""
 
+# Pages of orders in walks of a segment and nation, followed by a recursion; a page that leads back is met at most
+# as often as there are pages.
+WALKS = """keyed AS (
+  SELECT lower(c_mktsegment) || '/' || c_nationkey AS brand, o_orderkey AS k FROM orders JOIN customer ON o_custkey = c_custkey),
+pages AS (
+  SELECT brand, k, CASE WHEN lag(k) OVER w IS NOT NULL THEN 'c' || k END AS cursor,
+    CASE WHEN k % 997 = 0 THEN 'lost-' || k WHEN k % 1499 = 0 THEN 'c' || lag(k, 3) OVER w ELSE 'c' || lead(k) OVER w END AS next,
+    count(*) OVER (PARTITION BY brand) AS n
+  FROM keyed WINDOW w AS (PARTITION BY brand ORDER BY k)),
+steps AS (
+  SELECT brand, k, next, n, 0 AS at FROM pages WHERE cursor IS NULL
+  UNION ALL
+  SELECT p.brand, p.k, p.next, p.n, s.at + 1 FROM steps s JOIN pages p ON p.brand = s.brand AND p.cursor = s.next WHERE s.at < s.n),
+placed AS (SELECT brand, k, min(steps.at) AS page_index FROM steps GROUP BY brand, k)"""
+
 SNAP_1 = "(SELECT * FROM facts WHERE week_key < '1998-W01')"
 
 
@@ -261,6 +276,19 @@ FROM creatives WHERE brand = 'building' ORDER BY ingested_at DESC, source_id, so
   CAST(n_platforms AS BIGINT) AS n_platforms FROM ads, (SELECT unnest([1, 2])) copies WHERE page_index < 16""",
     "read_pages": f"""WITH {ADS} SELECT term AS brand, page_index, id,
   CAST(n_platforms AS BIGINT) AS n_platforms FROM ads, (SELECT unnest([1, 2])) copies""",
+    "walk_pages": f"""WITH RECURSIVE {WALKS}
+SELECT brand, cursor, CASE WHEN copy = 1 THEN page_index END AS page_index,
+  CASE WHEN copy = 2 THEN 'copy' WHEN page_index IS NULL THEN 'unreached' ELSE 'walked' END AS state,
+  (SELECT count(*) FROM lineitem WHERE l_orderkey = p.k) AS n_ads
+FROM pages p LEFT JOIN placed USING (brand, k), (SELECT unnest([1, 2]) AS copy) WHERE copy = 1 OR k % 251 = 0""",
+    "walk_report": f"""WITH RECURSIVE {WALKS}, ends AS (SELECT brand, count(*) AS n_walked FROM placed GROUP BY brand)
+SELECT brand AS walk, (SELECT count(*) + count(*) FILTER (WHERE k % 251 = 0) FROM pages p WHERE p.brand = e.brand) AS n_pages, n_walked,
+  CASE WHEN next IS NULL THEN 'end' WHEN next LIKE 'lost-%' THEN 'gap' ELSE 'cycle' END AS ended,
+  CASE WHEN next LIKE 'lost-%' THEN next END AS missing
+FROM (SELECT brand, n_walked, (SELECT next FROM placed JOIN pages USING (brand, k) WHERE brand = g.brand ORDER BY page_index DESC LIMIT 1) AS next
+  FROM ends g) e""",
+    "explode_walked_pages": f"""WITH RECURSIVE {WALKS}
+SELECT brand, page_index, l_orderkey || '-' || l_linenumber AS id FROM placed JOIN lineitem ON l_orderkey = k WHERE page_index < 16""",
     "relabel_search_source": f"""WITH {CREATIVES} SELECT source_id,
   CASE WHEN channel IN ('search', 'video', 'display') THEN 'google' ELSE source END AS source, channel,
   CASE WHEN channel IN ('search', 'video', 'display') THEN

@@ -127,6 +127,28 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    """Give a folder another name; the folders above it are made. The store decides whether that is one step."""
+    fs, at = _file(spark, old)
+    to = spark._jvm.org.apache.hadoop.fs.Path(new)
+    fs.mkdirs(to.getParent())
+    if not fs.rename(at, to):
+        raise OSError(f"cannot rename {old} to {new}")
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """An empty file."""
+    fs, at = _file(spark, path)
+    fs.create(at, True).close()
+
+
+def children(spark: SparkSession, path: str, *patterns: str) -> list[list[str]]:
+    """Names below a folder, level by level as the patterns ask; none where there is no such folder."""
+    fs, at = _file(spark, "/".join([path, *patterns]))
+    found = fs.globStatus(at)
+    return [str(f.getPath().toString()).rsplit("/", len(patterns))[1:] for f in (found or [])]
+
+
 def task_count(spark: SparkSession) -> int:
     """Tasks for a step whose cost is time per row, not bytes.
 

@@ -18,8 +18,11 @@ CURRENCY = "USD"
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Landed page files, one JSON envelope per line: data, paging, brand, page_index."""
-    walk = [T.StructField("brand", T.StringType()), T.StructField("page_index", T.LongType())]
+    """Landed page files, one JSON envelope per line: data, paging, brand, page_index, and the cursor it was asked for by.
+
+    `pagewalk.walked_pages` numbers pages by their cursors, whatever page_index says.
+    """
+    walk = [T.StructField("brand", T.StringType()), T.StructField("page_index", T.LongType()), T.StructField("cursor", T.StringType())]
     return spark.read.schema(T.StructType(ARCHIVE_PAGE.fields + walk)).json(path)
 
 

@@ -1,20 +1,23 @@
-"""Partitioned tables on plain Parquet: append, replace, insert-only load.
+"""Partitioned tables on plain Parquet: append and replace. Insert-only loading is in `loads`.
 
 Layout: partitions (brand, yr), where yr is the ISO year of the week. One
 partition per brand and week gives files of a few rows; `by="week"` selects it.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendtide.functions.calendar import week_year
-from spendtide.operators.dedup import KEY, complete, first_per_key, new_rows
+from spendtide.operators.dedup import KEY, complete
 from spendtide.session import Stages, path_exists
 
 # Partition columns of the two layouts.
 LAYOUTS = {"year": ["brand", "yr"], "week": ["brand", "week_key"]}
 
+#: Partitions that are named one by one to a scan.
+MOST_PARTITIONS = 1000
+
 
 def with_layout(df: DataFrame, by: str = "year") -> DataFrame:
     return df.withColumn("yr", week_year(F.col("week_key"))) if by == "year" else df
@@ -55,21 +58,25 @@ def exists(spark: SparkSession, path: str) -> bool:
     return path_exists(spark, path)
 
 
-def partitions_of(df: DataFrame, cols: list[str]) -> Column:
-    """A filter of literals on layout columns: no wider than the cross of their values in `df`.
+def only_partitions(stored: DataFrame, wanted: DataFrame, cols: list[str]) -> DataFrame:
+    """Rows of `stored` in the partitions that `wanted`, a written table, has rows in.
 
-    Partition values are what the driver lists anyway; only these reach it. Literals prune the
-    files of a scan before it starts, which a join can do only where the planner finds it worth it.
+    Up to MOST_PARTITIONS value pairs become literals of the scan's partition filter: they prune files before the scan
+    starts, which a join does only where the planner finds it worth it. More stay in Spark, as a semi join.
     """
-    values = df.select(*[F.collect_set(c).alias(c) for c in cols]).first()
-    out = F.lit(True)
-    for c in cols:
-        out = out & (F.col(c).isin(values[c]) if values[c] else F.lit(False))
-    return out
+    pairs = wanted.select(*cols).distinct()
+    some = pairs.limit(MOST_PARTITIONS + 1).collect()
+    if len(some) > MOST_PARTITIONS:
+        return stored.join(pairs, cols, "left_semi")
+    def text(c):
+        return F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+
+    names = ["\x00".join("" if v is None else f"={v}" for v in r) for r in some]
+    return stored.filter(F.concat_ws("\x00", *[text(c) for c in cols]).isin(names) if names else F.lit(False))
 
 
-def overwrite_weeks(df: DataFrame, path: str, by: str = "year") -> None:
-    """Replace the (brand, week) groups that `df` holds; every other row stays.
+def overwrite_weeks(df: DataFrame, path: str, by: str = "year") -> int:
+    """Replace the (brand, week) groups that `df` holds; every other row stays. Returns how many rows `df` has.
 
     A partition holds many weeks, so its other weeks are read back and written
     along. The result is staged first: a partition is never read while it is
@@ -82,36 +89,17 @@ def overwrite_weeks(df: DataFrame, path: str, by: str = "year") -> None:
     cols = LAYOUTS[by]
     fresh = with_layout(df, by)
     with Stages(spark) as stages:
+        fresh = stages.write(fresh, "fresh")
+        weeks = stages.write(fresh.groupBy("brand", "week_key", *[c for c in cols if c == "yr"]).agg(F.count("*").alias("n")), "weeks")
+        n = weeks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         if by == "year" and exists(spark, path):
-            fresh = stages.write(fresh, "fresh")
-            touched = fresh.select(*cols).distinct()
-            weeks = fresh.select("brand", "week_key").distinct()
-            old = spark.read.schema(fresh.schema).parquet(path).filter(partitions_of(fresh, cols))
-            keep = old.join(touched, cols, "left_semi").join(weeks, ["brand", "week_key"], "left_anti")
+            old = only_partitions(spark.read.schema(fresh.schema).parquet(path), weeks, cols)
+            keep = old.join(weeks.select("brand", "week_key"), ["brand", "week_key"], "left_anti")
             fresh = stages.write(fresh.unionByName(keep.select(*fresh.columns)), "replace")
         fresh.hint("rebalance", *[F.col(c) for c in cols]).write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic"
         ).partitionBy(*cols).parquet(path)
-
-
-def insert_only(
-    df: DataFrame, path: str, keys: list[str] = KEY, by: str = "year", stages: Stages | None = None
-) -> DataFrame:
-    """Append the rows whose key the table lacks; returns them, as written.
-
-    A second load of the same batch appends nothing. A first load is written once,
-    straight into the table. A row without its whole key cannot be recognised when it comes
-    again, so it is not stored: see `rejects`. The returned rows live as long as `stages`.
-    """
-    spark = df.sparkSession
-    if not exists(spark, path):
-        append_rows(first_per_key(df.filter(complete(keys)), keys), path, by)
-        return read_table(spark, path, df.schema, by)
-    stages = stages or Stages(spark)
-    batch = stages.write(df, "batch")
-    added = stages.write(new_rows(batch, read_table(spark, path, batch.schema, by), keys), "added")
-    append_rows(added, path, by)
-    return added
+        return n
 
 
 def rejects(df: DataFrame, keys: list[str] = KEY) -> DataFrame:
@@ -128,7 +116,7 @@ def touched_weeks(stored: DataFrame, added: DataFrame) -> DataFrame:
     Only the partitions that `added` names are read.
     """
     keys = ["brand", "yr", "week_key"]
-    some = stored.filter(partitions_of(added, keys[:2]))
+    some = only_partitions(stored, added, keys[:2])
     return some.join(added.select(*keys).distinct(), keys, "left_semi")
 
 

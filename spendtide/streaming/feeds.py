@@ -10,16 +10,16 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from spendtide.functions.calendar import iso_week_key
 from spendtide.functions.numbers import amount, exact
 from spendtide.operators.clean import UNKNOWN, clean_creatives
-from spendtide.operators.dedup import KEY, complete, new_rows
-from spendtide.operators.weekly import weekly_signals
+from spendtide.operators.dedup import KEY, complete
 from spendtide.session import Stages
-from spendtide.sources.tables import exists, overwrite_weeks, rejects, stored_schema, touched_weeks, with_layout
+from spendtide.sources import loads
+from spendtide.sources.loads import home
+from spendtide.sources.tables import overwrite_weeks, rejects
 
 # Seven-day windows; the offset from 1970-01-01, a Thursday, to a Monday.
 WEEK, TO_MONDAY = "7 days", "4 days"
@@ -51,10 +51,6 @@ def _start(
     )
 
 
-def home(path: str, feed: str, batch_id: int) -> str:
-    return f"{path}/feed={feed}/batch_id={batch_id}"
-
-
 def _grain(event_time: Column) -> list[Column]:
     window = F.window(event_time.cast("timestamp"), WEEK, WEEK, TO_MONDAY)
     return [window.alias("window"), F.col("brand"), F.col("channel"), F.coalesce("region", F.lit(UNKNOWN)).alias("region")]
@@ -159,31 +155,25 @@ def new_docs_since(docs: DataFrame, path: str, checkpoint: str) -> StreamingQuer
 def upsert_to_tables(
     creatives: DataFrame, raw: str, signals: str, checkpoint: str, rejected: str | None = None
 ) -> StreamingQuery:
-    """Clean every batch, load its new documents, and rebuild the weeks it mentions.
+    """Clean every batch, load its new documents, and refresh the weeks that they are in.
 
-    New rows go below the batch's folder of the raw table. A batch that runs again ignores what its own
-    first run stored, so it computes the same rows and replaces them. Mentioned weeks are rebuilt
-    from all their raw rows and replaced whole, which also gives the channel share; so a document
+    A batch is a load of the raw table (`sources.loads`), beside those of runs (`weekly_run`) and of other feeds, which are
+    to run one after the other. A batch that runs again ignores what its own
+    first run stored, so it computes the same rows and replaces them. Weeks with new rows are made anew
+    from the partial aggregates of all loads, which also gives the channel share; so a document
     counts however late it comes. Rows that cannot be stored go to `rejected`, if that is named.
     Intermediate tables are deleted when the batch is done.
     """
     def each(batch: DataFrame, feed: str, batch_id: int) -> None:
         spark = batch.sparkSession
         with Stages(spark) as stages:
-            cleaned = stages.write(with_layout(clean_creatives(batch)), "batch")
+            cleaned = stages.write(clean_creatives(batch), "batch")
             if rejected is not None:
                 rejects(cleaned).write.mode("overwrite").parquet(home(rejected, feed, batch_id))
             good = cleaned.filter(complete(["brand", "week_key"]))
-            schema = stored_schema(good.schema).add("feed", T.StringType()).add("batch_id", T.LongType())
-            known = good.limit(0)
-            if exists(spark, raw):
-                own = (F.col("feed") == feed) & (F.col("batch_id") == batch_id)
-                known = spark.read.schema(schema).parquet(raw).filter(~own)
-            new_rows(good, known).hint("rebalance", F.col("brand"), F.col("yr")).write.mode("overwrite").partitionBy(
-                "brand", "yr"
-            ).parquet(home(raw, feed, batch_id))
-            stored = spark.read.schema(schema).parquet(raw)
-            mentioned = stages.write(good.select("brand", "yr", "week_key").distinct(), "weeks")
-            overwrite_weeks(weekly_signals(touched_weeks(stored, mentioned)), signals)
+            touched = loads.store(good, raw, (feed, batch_id), loads.buckets_in(good))
+            weeks = stages.write(loads.partial_rows(spark, raw, touched).select("brand", "yr", "week_key").distinct(), "weeks")
+            overwrite_weeks(loads.facts_of(spark, raw, weeks), signals)
+            loads.finish(spark, raw, touched)
 
     return _start(creatives, each, checkpoint)

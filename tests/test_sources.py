@@ -13,7 +13,7 @@ from spendtide.operators import dedup, weekly
 from spendtide.plans.weekly_run import weekly_run
 from spendtide.schemas import RAW_CREATIVES, WEEKLY_SIGNALS
 from spendtide.session import shared_dir
-from spendtide.sources import archive, snapshots, tables, textfiles
+from spendtide.sources import archive, loads, snapshots, tables, textfiles
 from spendtide.sources import creatives as docs
 
 
@@ -218,7 +218,7 @@ def test_reads_are_pruned(spark, signals):
 def test_keyless_rows_are_rejected_every_time(spark, creatives):
     path = shared_dir(spark, "raw")
     batch = creatives([dict(source_id=s, week_key="2024-W02", ad_text=str(i)) for i, s in enumerate(["1", None, None, "", "2"])])
-    assert [tables.insert_only(batch, path).count() for _ in range(3)] == [2, 0, 0]
+    assert [loads.insert_only(batch, path).count() for _ in range(3)] == [2, 0, 0]
     assert tables.read_table(spark, path, batch.schema).count() == 2
     assert tuple(dedup.upsert_counts(batch, batch.limit(0)).first()) == (2, 0, 3)
     bad = tables.rejects(creatives([dict(source_id=None), dict(brand=None), dict(week_key=None), dict()]))
@@ -238,8 +238,8 @@ def test_replacing_reads_only_the_partitions_it_touches(spark, signals):
 def test_second_load_inserts_nothing(spark, creatives):
     path = shared_dir(spark, "raw")
     batch = creatives([dict(source_id=str(i % 7), week_key=w) for i, w in enumerate(weeks(20))])
-    assert tables.insert_only(batch, path).count() == 7
-    assert tables.insert_only(batch, path).count() == 0
+    assert loads.insert_only(batch, path).count() == 7
+    assert loads.insert_only(batch, path).count() == 0
     assert tables.read_table(spark, path, batch.schema).count() == 7
 
 
