@@ -1,7 +1,11 @@
 """Brief texts: the context per brand, the call of a caller-supplied writer, the
 flat response row."""
 
+import hashlib
+import time
+import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,7 +13,7 @@ from pyspark.sql import functions as F
 
 from spendtide.functions.numbers import fixed1
 from spendtide.functions.text import sanitize
-from spendtide.session import task_count
+from spendtide.session import open_store, task_count
 
 # Headings that readers look for, and the texts of failures.
 HEAD = "SIGNAL DATA (%d weeks of observations):"
@@ -100,6 +104,50 @@ def generate_briefs(contexts: DataFrame, writer: Callable[[str, str], str], role
     return spaced.mapInPandas(write, "brand string, brief string")
 
 
+def answered_briefs(
+    contexts: DataFrame, answers: str, writer: Callable[[str, str], str], role: str = "", attempts: int = 3, parallel: int = 4, pause: float = 1.0
+) -> DataFrame:
+    """As `generate_briefs`, with each answer kept in the folder `answers` as soon as it is there.
+
+    A task asks for up to `parallel` brands at a time and for each up to `attempts` times, waiting `pause` seconds, then twice
+    as long, and so on. An answer is a file of its own, named by a hash of brand, role and prompt, and appears whole; whoever is
+    asked for it again, be it a task that runs a second time or a run after a crash, reads it and calls nobody. A
+    brand for which every attempt failed gets the text that says so, which is not kept.
+    """
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = open_store(answers)
+        fs.create_dir(base, recursive=True)
+
+        def one(brand: str, prompt: str | None, context: str) -> str:
+            if prompt is None:
+                return context
+            at = f"{base}/{hashlib.sha256(chr(0).join([str(brand), role, prompt]).encode()).hexdigest()}"
+            if fs.get_file_info(at).is_file:
+                with fs.open_input_stream(at) as f:
+                    return f.read().decode("utf-8", "surrogatepass")
+            for k in range(attempts):
+                try:
+                    text = (writer(prompt, role) or "").strip()
+                    break
+                except Exception as e:  # any failure of a caller's function
+                    text = WRITER_ERROR.format(e)
+                    if k + 1 == attempts:
+                        return text
+                    time.sleep(pause * 2**k)
+            with fs.open_output_stream(hidden := f"{base}/_{uuid.uuid4().hex}") as f:
+                f.write(text.encode("utf-8", "surrogatepass"))
+            fs.move(hidden, at)
+            return text
+
+        with ThreadPoolExecutor(parallel) as pool:
+            for b in batches:
+                briefs = list(pool.map(one, b["brand"], b["prompt"], b["context"]))
+                yield pd.DataFrame({"brand": b["brand"], "brief": briefs})
+
+    spaced = contexts.select("brand", "prompt", "context").repartition(task_count(contexts.sparkSession), "brand")
+    return spaced.mapInPandas(ask, "brand string, brief string")
+
+
 def brief_response(summary: DataFrame, briefs: DataFrame) -> DataFrame:
     """The flat public row of every brand with data."""
     empty = F.array().cast("array<string>")

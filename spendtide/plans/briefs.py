@@ -5,8 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendtide.operators.brief import brief_context, brief_response, generate_briefs
-from spendtide.session import staged
+from spendtide.operators.brief import answered_briefs, brief_context, brief_response
+from spendtide.session import remove, staged
 from spendtide.sources.tables import exists
 
 
@@ -19,11 +19,15 @@ def saved_briefs(
     task: str = "%s",
     requirements: str = "",
     role: str = "",
+    attempts: int = 3,
+    parallel: int = 4,
+    pause: float = 1.0,
 ) -> DataFrame:
     """Response rows of every brand of `summary`, from the saved table where it has them.
 
     Only brands without a row for this snapshot reach the writer; `refresh` writes all
-    again. Each call's rows go to a run folder of their own, and the newest run counts.
+    again. Each call's rows go to a run folder of their own, and the newest run counts. Answers are kept one by one as they
+    come (`brief.answered_briefs`); a call that crashed is taken up by the next, which asks only for what is missing.
     """
     spark = summary.sparkSession
     home = f"{path}/snapshot_id={int(snapshot_id)}"
@@ -34,8 +38,10 @@ def saved_briefs(
         run = kept.agg(F.max("run")).first()[0] + 1
         if not refresh:
             todo = summary.join(kept.select("brand").distinct(), "brand", "left_anti")
-    new = brief_response(todo, generate_briefs(brief_context(todo, task, requirements), writer, role))
-    new.write.mode("overwrite").parquet(f"{home}/run={run}")
+    answers = f"{path}_answers/snapshot_id={int(snapshot_id)}/run={run}"
+    texts = answered_briefs(brief_context(todo, task, requirements), answers, writer, role, attempts, parallel, pause)
+    brief_response(todo, texts).write.mode("overwrite").parquet(f"{home}/run={run}")
+    remove(spark, answers)
     rows = spark.read.parquet(home)
     answer = [c for c in rows.columns if c not in ("brand", "run")]
     newest = rows.groupBy("brand").agg(F.max(F.struct("run", *answer)).alias("row"))

@@ -184,6 +184,38 @@ def scan_all(spark, sf):
     return shown(docs.scan_all(spark, path))
 
 
+def cut_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as JSON lines, of which some were cut off and some have a word for a number."""
+    d = documents(spark, sf)
+    n = F.col("impression_lower")
+    line = F.to_json(F.struct(*d.columns))
+    odd = F.regexp_replace(line, '"impression_lower":[0-9]+', '"impression_lower":"many"')
+    return d.select(F.when(n % 7000 == 0, F.substring(line, 1, 60)).when(n % 11000 == 0, odd).otherwise(line).alias("value"))
+
+
+def told(good: DataFrame, bad: DataFrame) -> DataFrame:
+    id_ = F.regexp_extract("text", '"source_id":"([^"]*)"', 1)
+    return good.select("source_id", "impression_lower", F.lit("kept").alias("state")).unionByName(
+        bad.select(id_.alias("source_id"), F.lit(None).cast("bigint").alias("impression_lower"), F.col("reason").alias("state"))
+    )
+
+
+@query
+def quarantine(spark, sf):
+    """Documents of a landing folder with unreadable lines, and the lines."""
+    path = shared_dir(spark, "landing")
+    cut_lines(spark, sf).write.text(path)
+    return told(*docs.scan_documents(spark, path))
+
+
+@query
+def quarantine_column(spark, sf):
+    """The same of a column of JSON texts."""
+    lines = staged(cut_lines(spark, sf), "lines")
+    good = docs.parse_documents(lines, "value").filter("source_id is not null")
+    return told(good, docs.unreadable_documents(lines, "value").withColumnRenamed("value", "text"))
+
+
 @query
 def brand_recent_creatives(spark, sf):
     return placed(shown(docs.brand_recent_creatives(creatives(spark, sf), BRAND, RECENT)))
@@ -426,6 +458,20 @@ def snapshot_full_outer(spark, sf):
     return snapshots.snapshot_full_outer(snapshots.read_as_of(spark, root, 1), snapshots.read_as_of(spark, root, 2))
 
 
+@query
+def snapshot_changes(spark, sf):
+    """What three commits changed: new weeks appended, a brand's weeks replaced, and a compaction in between."""
+    s = staged(signals(spark, sf))
+    root = shared_dir(spark, "snapshots")
+    snapshots.commit(old(s), root, "overwrite", COMMITS[0])
+    snapshots.commit(new(s), root, "append", COMMITS[1])
+    snapshots.compact(spark, root, COMMITS[1])
+    some = s.filter((F.col("brand") == BRAND) & F.col("week_key").between("1997-W10", "1997-W20"))
+    some = some.filter(F.col("channel") != "ctv").withColumn("spend_midpoint", F.col("spend_midpoint") + 100)
+    snapshots.commit(some, root, "replace", COMMITS[1])
+    return snapshots.changes(spark, root, 1, 4)
+
+
 @query
 def scan_text_files(spark, sf):
     path = shared_dir(spark, "tree")
@@ -998,7 +1044,7 @@ def saved_briefs(spark, sf):
     """Written once; a second call for the same snapshot asks no writer, so nothing fails."""
     s = staged(checked_summary(spark, sf), "summary")
     path = shared_dir(spark, "briefs")
-    briefs_of_snapshot(s, path, 1, stub_writer, task=TASK)
+    briefs_of_snapshot(s, path, 1, stub_writer, task=TASK, attempts=1)
     return shown(briefs_of_snapshot(s, path, 1, broken_writer, task=TASK))
 
 
@@ -1042,6 +1088,74 @@ def stream_dedup(spark, sf):
     return spark.read.parquet(path).select("event_id", "event_type", "user_id", "value")
 
 
+def in_order(batches: DataFrame, number: str) -> str:
+    """One file per number, landed in that order, so that a stream of one file a batch takes them as they are numbered."""
+    spark = batches.sparkSession
+    path = shared_dir(spark, "arrivals")
+    rows = staged(batches, "numbered")
+    for (k,) in rows.select(number).distinct().orderBy(number).collect():
+        rows.filter(F.col(number) == k).drop(number).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+# Days that an arrival slot spans, and how far behind the newest row a window or key is given up.
+EVENT_SLOT, EVENT_DELAY = 5, 6
+ORDER_SLOT, ORDER_DELAY = 800, 300
+
+
+def resent_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event twice, in numbered batches: late ones, copies a batch later, and events sent again with a time 20 days on."""
+    events = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    lag = F.when(F.col("event_id") % 10 == 1, 1).when(F.col("event_id") % 10 == 2, 3).otherwise(0)
+    slot = F.floor((F.dayofmonth("ts") - 1) / EVENT_SLOT)
+    first = events.select("event_id", "ts", F.lit(1).alias("time"), (slot + lag).alias("batch"))
+    again = F.col("event_id") % 3 == 0
+    second = events.select(
+        "event_id", F.when(again, F.col("ts") + F.expr("INTERVAL 20 DAYS")).otherwise(F.col("ts")).alias("ts"), F.lit(2).alias("time"),
+        F.when(again, slot + 4).otherwise(slot + lag + 1).alias("batch"),
+    )
+    return first.unionAll(second)
+
+
+@query
+def stream_dedup_within(spark, sf):
+    """Ten micro-batches and a delay that bites: what passes, once or again, and what is lost as late."""
+    path, mark = shared_dir(spark, "dedup"), shared_dir(spark, "dedup-mark")
+    events = resent_events(spark, sf)
+    stream = feeds.landed(spark, in_order(events, "batch"), events.drop("batch").schema, 1)
+    once = feeds.stream_dedup(stream, "ts", f"{EVENT_DELAY} days", ["event_id"])
+    feeds.to_changelog(once, path, mark, mode="append").awaitTermination()
+    return spark.read.parquet(path).select("event_id", F.col("time").cast("bigint").alias("time"))
+
+
+def late_creatives(spark: SparkSession, sf: str) -> DataFrame:
+    """Order lines as a stream of some batches in the order of their dates, but for a fifth that comes one or three batches later."""
+    lines = table(spark, sf, "lineitem")
+    days = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date"))
+    lag = F.when(F.col("l_orderkey") % 10 == 1, 1).when(F.col("l_orderkey") % 10 == 2, 3).otherwise(0)
+    numbered = lines.join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(
+        *lines.columns, (F.floor(days / ORDER_SLOT) + lag).alias("batch")
+    )
+    return creatives(spark, sf, feeds.landed(spark, in_order(numbered, "batch"), lines.schema, 1))
+
+
+@query
+def stream_windows_closed(spark, sf):
+    """Spark's own event-time windows: each given once, when the watermark has passed it, without the rows that came after."""
+    path, mark = shared_dir(spark, "windows"), shared_dir(spark, "windows-mark")
+    sums = feeds.stream_weekly_signals(late_creatives(spark, sf), F.col("started_running"), f"{ORDER_DELAY} days")
+    feeds.to_changelog(sums, path, mark, mode="append").awaitTermination()
+    return spark.read.parquet(path).drop("feed", "batch_id").withColumn("monday", day_text(F.col("monday")))
+
+
+@query
+def stream_windows_corrected(spark, sf):
+    """Windows that close, and corrections for what came after: together every row, late ones counted."""
+    path = shared_dir(spark, "weeks")
+    feeds.close_weeks(late_creatives(spark, sf), F.col("started_running"), ORDER_DELAY, path, shared_dir(spark, "weeks-mark")).awaitTermination()
+    return feeds.corrected_weeks(spark, path).withColumn("monday", day_text(F.col("monday")))
+
+
 @query
 def stream_upsert_sink(spark, sf):
     return upserted(spark, sf, [None])
@@ -1054,6 +1168,34 @@ def stream_two_feeds(spark, sf):
     return upserted(spark, sf, [odd, ~odd])
 
 
+def third(spark: SparkSession, sf: str, k: int) -> DataFrame:
+    return creatives(spark, sf, table(spark, sf, "lineitem").filter(F.col("l_orderkey") % 3 == k))
+
+
+def run_and_stream(spark: SparkSession, sf: str, first: str) -> DataFrame:
+    """A run over a third of the documents and a stream of the rest in four batches, then a run over all, into one raw table."""
+    raw, sink, mark = (shared_dir(spark, n) for n in ("raw", "signals", "sink-mark"))
+    rest = creative_stream(spark, sf, F.col("l_orderkey") % 3 > 0)
+    steps = [
+        lambda: weekly_run(third(spark, sf, 0), raw, sink),
+        lambda: feeds.upsert_to_tables(rest, raw, sink, mark).awaitTermination(),
+    ]
+    for step in steps if first == "run" else reversed(steps):
+        step()
+    weekly_run(creatives(spark, sf), raw, sink)
+    return rounded(shown(tables.read_table(spark, sink, weekly.weekly_signals(creatives(spark, sf)).schema)))
+
+
+@query
+def run_then_stream(spark, sf):
+    return run_and_stream(spark, sf, "run")
+
+
+@query
+def stream_then_run(spark, sf):
+    return run_and_stream(spark, sf, "stream")
+
+
 def upserted(spark: SparkSession, sf: str, parts: list) -> DataFrame:
     raw, sink = shared_dir(spark, "raw"), shared_dir(spark, "signals")
     for part in parts:

@@ -237,6 +237,32 @@ CONTEXT = """'SIGNAL DATA (' || weeks_analysed || ' weeks of observations):' ||
 BRIEF = """CASE WHEN brand = 'machinery' THEN '[LLM Error: refused]'
   ELSE 'Brief: On ' || upper(brand) || ', in brief.' END"""
 
+# Arrivals in numbered batches: `before` is the newest time of all earlier batches, `older` that of all but the last of them.
+RESENT = """ev AS (
+  SELECT event_id, ts, (extract(day FROM ts) - 1) // 5 AS slot, CASE event_id % 10 WHEN 1 THEN 1 WHEN 2 THEN 3 ELSE 0 END AS lag FROM events),
+sent AS (
+  SELECT event_id, ts, 1 AS time, slot + lag AS batch FROM ev UNION ALL
+  SELECT event_id, CASE WHEN event_id % 3 = 0 THEN ts + INTERVAL 20 DAYS ELSE ts END, 2, CASE WHEN event_id % 3 = 0 THEN slot + 4 ELSE slot + lag + 1 END FROM ev),
+marks AS (
+  SELECT batch, date_trunc('millisecond', max(newest) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING)) - INTERVAL 6 DAYS AS older
+  FROM (SELECT batch, max(ts) AS newest FROM sent GROUP BY batch)),
+passing AS (SELECT s.*, older FROM sent s JOIN marks USING (batch) WHERE older IS NULL OR ts > older)"""
+
+LATE = f"""{CREATIVES},
+sent AS (
+  SELECT *, CAST(date_trunc('week', started_running) AS DATE) AS monday,
+    (CAST(started_running - DATE '1992-01-01' AS BIGINT)) // 800
+      + CASE CAST(split_part(source_id, '-', 1) AS BIGINT) % 10 WHEN 1 THEN 1 WHEN 2 THEN 3 ELSE 0 END AS batch FROM creatives),
+marks AS (
+  SELECT batch, max(newest) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 300 AS before,
+    max(newest) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) - 300 AS older,
+    max(newest) OVER () - 300 AS after
+  FROM (SELECT batch, max(started_running) AS newest FROM sent GROUP BY batch))"""
+WINDOW_SUMS = """strftime(monday, '%Y-%m-%d') AS monday, strftime(monday, '%G-W%V') AS week_key, count(*) AS ad_count,
+  count(*) FILTER (WHERE is_active) AS active_ad_count, CAST(sum(impression_lower) AS BIGINT) AS impression_lower_sum,
+  CAST(sum(impression_upper) AS BIGINT) AS impression_upper_sum, CAST(sum(spend_lower) AS DOUBLE) AS spend_lower_sum,
+  CAST(sum(spend_upper) AS DOUBLE) AS spend_upper_sum, CAST(sum(spend_lower) + sum(spend_upper) AS DOUBLE) / 2 AS spend_midpoint"""
+
 # Pages of orders in walks of a segment and nation, followed by a recursion; a page that leads back is met at most
 # as often as there are pages.
 WALKS = """keyed AS (
@@ -525,6 +551,30 @@ SELECT {FACT}, array_to_string(top_ctas, '|') AS top_ctas, array_to_string(top_t
   CAST(sum(spend_upper) AS DOUBLE) AS spend_upper_sum, CAST(sum(spend_lower) + sum(spend_upper) AS DOUBLE) / 2 AS spend_midpoint
 FROM creatives GROUP BY ALL""",
     "stream_dedup": "SELECT event_id, event_type, user_id, value FROM events",
+    "stream_dedup_within": f"""WITH {RESENT}
+SELECT event_id, time FROM (
+  SELECT *, lag(ts) OVER (PARTITION BY event_id ORDER BY batch) AS held FROM passing)
+WHERE held IS NULL OR older >= held + INTERVAL 6 DAYS""",
+    "stream_windows_closed": f"""WITH {LATE}
+SELECT brand, channel, region, {WINDOW_SUMS} FROM sent JOIN marks USING (batch)
+WHERE (older IS NULL OR monday + 7 > older) AND monday + 7 <= after GROUP BY brand, channel, region, sent.monday""",
+    "stream_windows_corrected": f"""WITH {LATE}
+SELECT brand, channel, region, {WINDOW_SUMS}, sent.monday + 7 <= any_value(after) AS closed,
+  count(*) FILTER (WHERE sent.monday + 7 <= before) AS late_ads
+FROM sent JOIN marks USING (batch) GROUP BY brand, channel, region, sent.monday""",
     "stream_upsert_sink": f"""WITH {CREATIVES}, {FIRST}, {facts('first_docs')}, {tops('first_docs')}
 SELECT {FACT}, array_to_string(top_ctas, '|') AS top_ctas, array_to_string(top_themes, '|') AS top_themes FROM full_facts""",
 }
+SQL["quarantine"] = SQL["quarantine_column"] = f"""WITH {CREATIVES}, d AS (SELECT source_id, impression_lower AS n FROM creatives)
+SELECT source_id, CASE WHEN n % 11000 <> 0 THEN n END AS impression_lower, 'kept' AS state FROM d WHERE n % 7000 <> 0
+UNION ALL SELECT source_id, NULL, CASE WHEN n % 7000 = 0 THEN 'document' ELSE 'value' END FROM d WHERE n % 7000 = 0 OR n % 11000 = 0"""
+
+SQL["snapshot_changes"] = f"""WITH {FACTS}, b AS (
+  SELECT *, brand = 'building' AND week_key BETWEEN '1997-W10' AND '1997-W20' AS replaced FROM facts)
+SELECT brand, week_key, channel, region, CASE WHEN week_key < '1998-W01' THEN spend_midpoint END AS spend_prev,
+  CASE WHEN replaced AND channel = 'ctv' THEN NULL WHEN replaced THEN spend_midpoint + 100 ELSE spend_midpoint END AS spend_cur,
+  CASE WHEN week_key >= '1998-W01' THEN 'added' WHEN channel = 'ctv' THEN 'removed' ELSE 'changed' END AS state
+FROM b WHERE week_key >= '1998-W01' OR replaced"""
+
+for _name in ("run_then_stream", "stream_then_run"):
+    SQL[_name] = SQL["stream_two_feeds"]

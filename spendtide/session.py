@@ -6,6 +6,7 @@ import tempfile
 import uuid
 import zipfile
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = os.path.dirname(os.path.abspath(__file__))
@@ -127,6 +128,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
+def open_store(root: str) -> tuple[pafs.FileSystem, str]:
+    """The store of a path, for tasks that read or write single files, and the path in it."""
+    if "://" in root or root.startswith("file:"):
+        return pafs.FileSystem.from_uri(root)
+    return pafs.LocalFileSystem(), root
+
+
 def rename(spark: SparkSession, old: str, new: str) -> None:
     """Give a folder another name; the folders above it are made. The store decides whether that is one step."""
     fs, at = _file(spark, old)

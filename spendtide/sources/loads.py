@@ -23,7 +23,7 @@ from spendtide.session import Stages, children, path_exists, remove, rename, tou
 from spendtide.sources.tables import LAYOUTS, only_partitions, stored_schema, with_layout
 
 #: Buckets of the key index. A table keeps the number that it was made with.
-BUCKETS = 256
+BUCKETS = 64
 
 LOAD = ["feed", "batch_id"]
 Load = tuple[str, int]

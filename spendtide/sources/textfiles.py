@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendtide.functions.text import INVISIBLE
-from spendtide.session import Stages, staged, task_count
+from spendtide.session import Stages, open_store, staged, task_count
 
 # File extensions to scan and folders to leave out.
 TEXT_EXTENSIONS = [
@@ -34,11 +34,6 @@ ENTRY = "path string, kind string, error string"
 HIT = "file string, line bigint, col bigint, code_point string, error string"
 
 
-def _open(root: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (
-        pafs.LocalFileSystem(), root)
-
-
 def _wanted(path: str) -> bool:
     return os.path.splitext(path)[1].lower() in TEXT_EXTENSIONS
 
@@ -46,7 +41,7 @@ def _wanted(path: str) -> bool:
 def _lister(root: str):
     """A row per entry of each folder: kind dir, file, or error where it could not be listed."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fs, _ = _open(root)
+        fs, _ = open_store(root)
         local = isinstance(fs, pafs.LocalFileSystem)
         for b in batches:
             for folder in b["path"]:
@@ -78,7 +73,7 @@ def _scanner(root: str, found: str):
     pattern = re.compile(found)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fs, base = _open(root)
+        fs, base = open_store(root)
         base = base.rstrip("/")
         for b in batches:
             for path in b["path"]:
@@ -116,7 +111,7 @@ def text_paths(spark: SparkSession, root: str, stages: Stages | None = None) ->
     One job per level of folders, each folder listed by some task. Links to folders are not followed.
     """
     write = stages.write if stages else staged
-    _, base = _open(root)
+    _, base = open_store(root)
     n = task_count(spark)
     folders = spark.createDataFrame([(base.rstrip("/"),)], "path string")
     out = None
@@ -132,7 +127,7 @@ def text_paths(spark: SparkSession, root: str, stages: Stages | None = None) ->
 def scan_all_text(spark: SparkSession, root: str) -> DataFrame:
     """file, line, col, code_point, error: hits, and one row with `error` for what could not be read."""
     paths = text_paths(spark, root)
-    base = _open(root)[1].rstrip("/")
+    base = open_store(root)[1].rstrip("/")
     failed = paths.filter("kind = 'error'").select(
         F.expr(f"substring(path, {len(base) + 2})").alias("file"), F.lit(None).cast("bigint").alias("line"),
         F.lit(None).cast("bigint").alias("col"), F.lit(None).cast("string").alias("code_point"), "error",

@@ -264,3 +264,51 @@ def test_saved_briefs(spark, summed):
     assert briefs(saved_briefs(summed, path, 1, says("two"))) == {"acme": "one", "zeta": "two"}
     assert briefs(saved_briefs(summed, path, 1, says("three"), refresh=True)) == {"acme": "three", "zeta": "three"}
     assert briefs(saved_briefs(only_acme, path, 2, says("four"))) == {"acme": "four"}
+
+
+def test_a_crash_does_not_ask_again_for_what_is_answered(spark, summed, tmp_path):
+    """The process of the writer dies at the second brand; over two runs each brand is asked for once."""
+    calls, path = tmp_path / "calls", str(tmp_path / "briefs")
+    calls.mkdir()
+    contexts = brief.brief_context(summed)
+
+    def writer(prompt, role):
+        import os
+
+        asked = sorted(calls.iterdir())
+        if len(asked) == 1 and not (tmp_path / "died").exists():
+            (tmp_path / "died").touch()
+            raise SystemExit("gone")  # no Exception: the task goes with it
+        name = "acme" if "ACME" in prompt else "zeta"
+        (calls / f"{name}-{len(os.listdir(calls))}").touch()
+        return f" text of {name} "
+
+    def run():
+        return saved_briefs(summed, path, 1, writer, task="On %s", attempts=1, parallel=1)
+
+    try:
+        run()
+    except Exception:
+        pass
+    assert {r.brand: r.brief for r in run().collect()} == {"acme": "text of acme", "zeta": "text of zeta"}
+    assert sorted(p.name.split("-")[0] for p in calls.iterdir()) == ["acme", "zeta"] and (tmp_path / "died").exists()
+    assert contexts.filter("prompt is not null").count() == 2
+
+
+def test_failed_calls_are_tried_again_and_not_kept(spark, summed, tmp_path):
+    def flaky(prompt, role):
+        mark = tmp_path / ("a" if "ACME" in prompt else "z")
+        tries = len(mark.read_text()) if mark.exists() else 0
+        mark.write_text("x" * (tries + 1))
+        if "ACME" in prompt and tries < 2 or "ZETA" in prompt and tries < 4:
+            raise ValueError("busy")
+        return "done"
+
+    contexts = brief.brief_context(summed, "On %s")
+    def run():
+        out = brief.answered_briefs(contexts, str(tmp_path / "answers"), flaky, attempts=3, pause=0.01)
+        return {r.brand: r.brief for r in out.collect() if r.brand in ("acme", "zeta")}
+
+    assert run() == {"acme": "done", "zeta": "[LLM Error: busy]"}
+    assert run() == {"acme": "done", "zeta": "done"}
+    assert (len((tmp_path / "a").read_text()), len((tmp_path / "z").read_text())) == (3, 5)

@@ -326,6 +326,78 @@ def test_diffs(signals):
     assert states == {"2024-W01": "changed", "2024-W02": "removed", "2024-W03": "kept", "2024-W04": "added"}
 
 
+def test_a_long_chain_is_written_anew(spark, signals, monkeypatch):
+    monkeypatch.setattr(snapshots, "CHAIN", 3)
+    root = shared_dir(spark, "snap")
+    for day in range(1, 9):
+        snapshots.commit(signals([dict(brand="a", week_key=weeks(8)[day % 3], ad_count=day)]), root, "replace", dt.datetime(2024, 1, day))
+    assert sorted(r.ad_count for r in snapshots.read_as_of(spark, root).collect()) == [6, 7, 8]
+    listed = snapshots.list_snapshots(spark, root, "t").collect()
+    assert sum(r.operation == "compact" for r in listed) == 2
+    assert snapshots._chain(spark, root, None).count() <= 4
+    assert sorted(r.ad_count for r in snapshots.read_as_of(spark, root, 2).collect()) == [1, 2]
+
+
+def test_expired_snapshots_go_and_kept_ones_stay_whole(spark, signals, tmp_path):
+    root = str(tmp_path / "snap")
+    day = [dt.datetime(2024, 1, d) for d in range(1, 8)]
+    s = spread(signals, 4)
+    snapshots.commit(s, root, "overwrite", day[0])
+    snapshots.commit(s.limit(1), root, "append", day[1])
+    snapshots.commit(s.filter("brand = 'a'"), root, "overwrite", day[2])
+    snapshots.commit(s.filter("brand <> 'a'"), root, "append", day[3])
+    assert snapshots.expire(spark, root, dt.datetime(2023, 1, 1)) == []
+    before = [snapshots.read_as_of(spark, root, i).count() for i in (3, 4)]
+    assert snapshots.expire(spark, root, dt.datetime(2024, 1, 4, 12)) == [1, 2]
+    assert [snapshots.read_as_of(spark, root, i).count() for i in (3, 4)] == before
+    assert sorted(p.name for p in (tmp_path / "snap" / "data").iterdir()) == ["snapshot_id=3", "snapshot_id=4"]
+    with pytest.raises(ValueError):
+        snapshots.read_as_of(spark, root, 2)
+    assert [r.snapshot_id for r in snapshots.list_snapshots(spark, root, "t").collect()] == [4, 3]
+    assert snapshots.commit(s, root, "append", day[5]) == 5
+
+
+def test_changes_equal_the_full_comparison_and_read_only_what_changed(spark, signals):
+    root = shared_dir(spark, "snap")
+    day = [dt.datetime(2024, 1, d) for d in range(1, 8)]
+    s = spread(signals, 6, spend_midpoint=5.0)
+    snapshots.commit(s, root, "overwrite", day[0])
+    snapshots.commit(signals([dict(brand="a", week_key=weeks(6)[1], channel="tv", spend_midpoint=9.0)]), root, "replace", day[1])
+    snapshots.commit(signals([dict(brand="a", week_key="2025-W01", spend_midpoint=1.0)]), root, "append", day[2])
+
+    def both(a, b):
+        whole = snapshots.snapshot_full_outer(snapshots.read_as_of(spark, root, a), snapshots.read_as_of(spark, root, b))
+        return sorted(map(str, whole.filter("state <> 'kept'").collect()))
+
+    for a, b in ((1, 2), (2, 3), (1, 3), (3, 3)):
+        assert sorted(map(str, snapshots.changes(spark, root, a, b).collect())) == both(a, b)
+    p = plan(snapshots.changes(spark, root, 2, 3))
+    assert p.count("=a") >= 2 and "snapshot_id" in p
+    snapshots.commit(s.limit(2), root, "overwrite", day[3])
+    assert sorted(map(str, snapshots.changes(spark, root, 2, 4).collect())) == both(2, 4)
+
+
+# ---- documents that cannot be read -------------------------------------------------------
+
+
+def test_unreadable_lines_are_kept_with_their_file(spark, tmp_path):
+    good = json.dumps({"source_id": "1", "source": "meta", "brand": "b", "impression_lower": 5})
+    lines = [good, good[:20], "", "not json", '"text"', '{"source_id": "2", "impression_lower": "many"}', '{"other": 1}', "{}"]
+    (tmp_path / "a.json").write_text("\n".join(lines))
+    (tmp_path / "b.json").write_text(good[:30] + "\n")
+    rows, bad = docs.scan_documents(spark, str(tmp_path))
+    assert rows.columns == RAW_CREATIVES.names
+    assert sorted(str(r.source_id) for r in rows.collect()) == ["1", "2", "None", "None"]
+    got = sorted((r.file.rsplit("/", 1)[1], r.text, r.reason) for r in bad.collect())
+    assert got == sorted([
+        ("a.json", good[:20], "document"), ("a.json", "not json", "document"), ("a.json", '"text"', "document"),
+        ("a.json", lines[5], "value"), ("b.json", good[:30], "document"),
+    ])
+    texts = spark.createDataFrame([(x, 1) for x in lines if x], "j string, reason int").drop("reason")
+    bad = docs.unreadable_documents(texts, "j")
+    assert sorted((r.j, r.reason) for r in bad.collect()) == sorted((t, k) for f, t, k in got if f == "a.json")
+
+
 # ---- the run --------------------------------------------------------------------------
 
 

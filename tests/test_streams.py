@@ -134,3 +134,70 @@ def test_a_batch_leaves_no_intermediate_tables(spark, creatives, tmp_path, monke
         land(df, inbox)
         feeds.upsert_to_tables(feeds.landed(spark, inbox, df.schema), raw, facts, mark).awaitTermination()
     assert [p.name for p in (tmp_path / "shared").iterdir()] == []
+
+
+def test_a_watermark_bounds_the_state_of_dedup(spark):
+    """Ten days in ten batches, each key twice: the state holds the keys of two delays and a batch, not all."""
+    inbox, out, mark = (shared_dir(spark, n) for n in ("inbox", "out", "mark"))
+    for day in range(1, 11):
+        rows = spark.range(100).selectExpr(f"id + {day * 100} AS k", f"timestamp'2024-01-{day:02d} 12:00:00' AS ts")
+        land(rows.unionAll(rows), inbox)
+    stream = feeds.landed(spark, inbox, rows.schema, 1)
+    query = feeds.to_changelog(feeds.stream_dedup(stream, "ts", "2 days", ["k"]), out, mark, "append")
+    query.awaitTermination()
+    got = spark.read.parquet(out)
+    assert (got.count(), got.select("k").distinct().count()) == (1000, 1000)
+    held = [op["numRowsTotal"] for p in query.recentProgress for op in p["stateOperators"]]
+    assert max(held) <= 500 and "rocksdb" in str(query.lastProgress).lower()
+    # A copy within the delay is dropped, one past it passes again, a row behind the watermark is lost.
+    late = spark.createDataFrame([(1001, "2024-01-10 13:00:00"), (105, "2024-01-10 14:00:00"), (5000, "2024-01-03 00:00:00")], "k bigint, t string")
+    land(late.selectExpr("k", "cast(t AS timestamp) AS ts"), inbox)
+    feeds.to_changelog(feeds.stream_dedup(feeds.landed(spark, inbox, rows.schema, 1), "ts", "2 days", ["k"]), out, mark, "append").awaitTermination()
+    again = spark.read.parquet(out).groupBy("k").count().filter("count > 1 or k = 5000").collect()
+    assert [(r.k, r["count"]) for r in again] == [(105, 2)]
+
+
+def test_spark_forgets_windows_behind_the_watermark(spark, creatives):
+    inbox, log, mark = (shared_dir(spark, n) for n in ("inbox", "log", "mark"))
+    for w in range(8):
+        land(creatives([dict(source_id=str(w), started_running=f"2024-0{1 + w // 4}-{1 + 7 * (w % 4):02d}")]).withColumn("started_running", F.to_date("started_running")), inbox)
+    schema = spark.read.parquet(inbox).schema
+    stream = feeds.stream_weekly_signals(feeds.landed(spark, inbox, schema, 1), F.col("started_running"), "7 days")
+    query = feeds.to_changelog(stream, log, mark, "append")
+    query.awaitTermination()
+    assert max(op["numRowsTotal"] for p in query.recentProgress for op in p["stateOperators"]) <= 4
+    assert 0 < spark.read.parquet(log).count() < 8
+
+
+def test_closed_weeks_do_not_change_and_late_rows_are_counted(spark, creatives, monkeypatch):
+    path, inbox, mark = (shared_dir(spark, n) for n in ("weeks", "inbox", "mark"))
+    def ad(i, day):
+        return dict(source_id=str(i), started_running=day, spend_upper=4.0)
+
+    def step(*rows):
+        land(creatives(list(rows)).withColumn("started_running", F.to_date("started_running")), inbox)
+        schema = spark.read.parquet(inbox).schema
+        feeds.close_weeks(feeds.landed(spark, inbox, schema, 1), F.col("started_running"), 7, path, mark).awaitTermination()
+        return {str(r.monday): (r.ad_count, r.late_ads, r.closed) for r in feeds.corrected_weeks(spark, path).collect()}
+
+    assert step(ad(1, "2024-01-01"), ad(2, "2024-01-09"), ad(3, None)) == {"2024-01-01": (1, 0, False), "2024-01-08": (1, 0, False), "None": (1, 1, False)}
+    assert step(ad(4, "2024-01-02"), ad(5, "2024-01-16")) == {"2024-01-01": (2, 0, True), "2024-01-08": (1, 0, False), "2024-01-15": (1, 0, False), "None": (1, 1, False)}
+    closed = sorted(map(str, spark.read.parquet(f"{path}/closed").collect()))
+    got = step(ad(6, "2024-01-03"), ad(7, "2024-01-09"))
+    assert got["2024-01-01"] == (3, 1, True) and got["2024-01-08"] == (2, 0, False)
+    assert sorted(map(str, spark.read.parquet(f"{path}/closed").collect())) == closed
+    feed = feeds.feed_id(spark, mark)
+    assert sorted(w for (w,) in session.children(spark, f"{path}/open/feed={feed}", "week=*")) == ["week=2024-01-08", "week=2024-01-15"]
+
+    def fail(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:  # a batch that dies after it has written its sums, and runs again
+        m.setattr(feeds, "_summed", fail)
+        try:
+            step(ad(8, "2024-03-01"))
+        except Exception:
+            pass
+    got = step(ad(9, "2024-01-03"))
+    assert got["2024-01-01"] == (4, 2, True) and got["2024-02-26"] == (1, 0, False) and got["2024-01-15"] == (1, 0, True)
+    assert sum(v[0] for v in got.values()) == 9
