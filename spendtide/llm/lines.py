@@ -38,6 +38,20 @@ def _pick(h: Column, i: Column, run: int) -> Column:
     return (i + F.array_position(window, F.array_min(window)) - 1).cast("int")
 
 
+def _fingerprints(h: Column, run: int) -> Column:
+    """Every fingerprint once: its place, and the first and last window that it is the fingerprint of.
+
+    A later window has no earlier fingerprint, so the windows of one are neighbours; all of it takes time in proportion to the lines.
+    """
+    def cut(picks: Column) -> Column:
+        fresh = F.filter(F.sequence(F.lit(0), F.size(picks) - 1), lambda i: (i == 0) | (F.get(picks, i) != F.get(picks, i - 1)))
+        return let(fresh, lambda f: F.transform(f, lambda i, k: F.struct(
+            F.get(picks, i).alias("at"), i.alias("lo"), (F.coalesce(F.get(f, k + 1), F.size(picks)) - 1).alias("hi"))))
+
+    none = F.array().cast("array<struct<at:int,lo:int,hi:int>>")
+    return F.when(F.size(h) >= run, let(F.transform(_starts(h, run), lambda i: _pick(h, i, run)), cut)).otherwise(none)
+
+
 def _few_lines(key: Callable[..., Column], run: int, words: int) -> Column:
     """Windows of under `run` lines that have `words` words, and the whole of a document that has under `run` lines."""
     def window(n: int, seed: int) -> Callable[[Column], Column]:
@@ -79,24 +93,18 @@ def later_runs(docs: DataFrame, run: int = MIN_LINES, words: int | None = None)
         _hashes(F.col("text")).alias("h_"), *([_n_words(F.col("text")).alias("c_")] if words else []),
     ).filter(F.size("h_") >= (1 if words else run))
     lines = staged(lines.distinct(), "lines")
-    picks = lambda h: F.transform(_starts(h, run), lambda i: _pick(h, i, run))
-    posted = lines.select("id_", "text_", F.explode(F.array_distinct(picks(F.col("h_")))).alias("at_"), "h_")
-    posted = staged(posted.select("id_", "text_", "at_", F.get("h_", F.col("at_")).alias("print_")), "prints")
+    posted = lines.select("id_", "text_", F.explode(_fingerprints(F.col("h_"), run)).alias("f_"), "h_")
+    posted = staged(posted.select("id_", "text_", "f_.lo", "f_.hi", F.get("h_", F.col("f_.at")).alias("print_")), "prints")
     shared = staged(posted.groupBy("print_").agg(F.count("*").alias("n_")).filter("n_ > 1").select("print_"), "shared")
-    places = posted.join(shared, "print_").groupBy("id_", "text_").agg(F.collect_set("at_").alias("places"))
+    places = posted.join(shared, "print_").groupBy("id_", "text_").agg(F.collect_list(F.struct("lo", "hi")).alias("places"))
 
     def key(i: Column, seed: int, n: int = run) -> Column:
         return F.xxhash64(F.lit(seed), F.slice("h_", i + 1, n))
 
-    windows = lines.join(places, ["id_", "text_"]).select(
-        "id_", "text_",
-        F.explode(F.filter(
-            F.transform(_starts(F.col("h_"), run), lambda i: F.struct(
-                i.alias("at"), _pick(F.col("h_"), i, run).alias("pick"), key(i, 1).alias("a"), key(i, 2).alias("b"))),
-            lambda w: F.array_contains("places", w["pick"]),
-        )).alias("w"),
-    )
-    windows = windows.select("id_", "text_", "w.at", F.lit(run).alias("n"), "w.a", "w.b")
+    starts = F.flatten(F.transform("places", lambda r: F.sequence(r["lo"], r["hi"])))
+    windows = lines.join(places, ["id_", "text_"]).select("id_", "text_", F.explode(F.transform(starts, lambda i: F.struct(
+        i.cast("int").alias("at"), F.lit(run).alias("n"), key(i, 1).alias("a"), key(i, 2).alias("b")))).alias("w"))
+    windows = windows.select("id_", "text_", "w.at", "w.n", "w.a", "w.b")
     if words:
         few = lines.select("id_", "text_", F.explode(_few_lines(key, run, words)).alias("w"))
         windows = windows.unionByName(few.select("id_", "text_", "w.at", "w.n", "w.a", "w.b"))
@@ -117,6 +125,7 @@ def dedup_lines(docs: DataFrame, run: int = MIN_LINES, words: int | None = None)
     With `words`, neighbouring lines of that many words are a run too, however few they are, and so are all
     lines of a document that has fewer than `run`, if an earlier document has just these lines.
 
+    Very long texts: a document is a row, its lines arrays in it; work and memory are in proportion to its lines.
     A null text stays null and has no lines. Rows without doc_id come after all others. Rows
     with equal doc_id and text are one document and get the same result; rows with equal doc_id
     and other texts are documents of their own. An empty table gives no rows. Columns named

@@ -78,7 +78,7 @@ def op5_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op6_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return lines.dedup_lines(docs).select(
+    return lines.dedup_lines(docs, words=lines.MIN_WORDS).select(
         "doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
     )
 

@@ -140,13 +140,18 @@ WITH l AS (
   SELECT doc_id, line, p, regexp_matches(line, '[^\x20\x09-\x0D]') AS worded, trim(line, {_TRIM}) AS norm FROM (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS p
     FROM documents)),
-q AS (SELECT doc_id, p, norm, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS k FROM l WHERE worded),
+q AS (
+  SELECT doc_id, p, norm, len(regexp_split_to_array(norm, '{_GAP}')) AS words,
+         row_number() OVER (PARTITION BY doc_id ORDER BY p) AS k, count(*) OVER (PARTITION BY doc_id) AS m FROM l WHERE worded),
+o AS (
+  SELECT *, lead(norm) OVER o AS b, lead(norm, 2) OVER o AS c, lead(words) OVER o AS more FROM q WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
 win AS (
-  SELECT doc_id, k, norm AS a, lead(norm) OVER o AS b, lead(norm, 2) OVER o AS c FROM q WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
-later AS (
-  SELECT doc_id, k FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, k) AS r FROM win
-    WHERE c IS NOT NULL) WHERE r > 1),
-gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, k + i AS k FROM later, (VALUES (0), (1), (2)) AS v(i)) JOIN q USING (doc_id, k))
+  SELECT doc_id, k, 3 AS n, false AS whole, [norm, b, c] AS key FROM o WHERE c IS NOT NULL UNION ALL
+  SELECT doc_id, k, 2, false, [norm, b] FROM o WHERE b IS NOT NULL AND words + more >= 50 UNION ALL
+  SELECT doc_id, k, 1, false, [norm] FROM o WHERE words >= 50 UNION ALL
+  SELECT doc_id, k, m, true, [norm, b] FROM o WHERE m < 3 AND k = 1),
+later AS (SELECT doc_id, k, n FROM (SELECT *, row_number() OVER (PARTITION BY n, whole, key ORDER BY doc_id, k) AS r FROM win) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, k + i AS k FROM later, (VALUES (0), (1), (2)) AS v(i) WHERE i < n) JOIN q USING (doc_id, k))
 SELECT doc_id, count(*) FILTER (WHERE worded) AS n_lines, count(gone.p) AS n_removed,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY l.p) FILTER (WHERE gone.p IS NULL), '')) AS kept_sha256
 FROM l LEFT JOIN gone USING (doc_id, p) GROUP BY doc_id"""

@@ -111,3 +111,10 @@ def test_a_long_line_and_copies_of_few_lines_go(spark):
     rows = [(1, f"{long}\nx"), (2, f"y\n {long}\nz"), (3, "short\nlines"), (4, "short\nlines"), (5, "short"), (6, "a\nshort\nb")]
     out = lines.clean(spark.createDataFrame(rows, DOC), words=lines.MIN_WORDS)
     assert {r.doc_id: r.text for r in out.collect()} == {1: rows[0][1], 2: "y\nz", 3: "short\nlines", 5: "short", 6: "a\nshort\nb"}
+
+
+def test_a_document_of_very_many_lines_takes_time_in_proportion(spark):
+    """Two copies of 200,000 lines; the second goes whole."""
+    big = "\n".join(f"row {i}" for i in range(200_000))
+    df = spark.createDataFrame([(1, big), (2, big + "\nend")], DOC)
+    assert [(r.doc_id, r.n_lines, r.n_removed) for r in lines.dedup_lines(df).orderBy("doc_id").collect()] == [(1, 200_000, 0), (2, 200_001, 200_000)]

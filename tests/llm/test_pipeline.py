@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline
 from conftest import SF
-from test_lines import brute as lines_brute
+from test_lines import brute_words as lines_brute
 from test_near_duplicates import brute as near_brute
 from test_packing import check
 
@@ -26,7 +26,7 @@ def test_stages_on_the_smallest_tables(spark):
     assert {r.doc_id: r.text for r in good.collect()} == {i: r.clean_text for i, r in judged.items() if r.kept}
 
     rows = [(r.doc_id, r.text) for r in good.collect()]
-    want = {d: t for d, n, gone, t in lines_brute(rows) if not gone or gone < n}
+    want = {d: t for d, n, gone, t in lines_brute(rows, 3, 50) if not gone or gone < n}
     assert {r.doc_id: r.text for r in lined.collect()} == want
 
     rows = [(r.doc_id, r.text) for r in lined.collect()]
