@@ -5,7 +5,7 @@ columns of `documents`.
 
 1. quality rules: documents that fail go, frequent lines of a host go from the others; a long line is frequent
    in a hundredth of the documents, others in a tenth
-2. line dedup: runs of lines that occurred before go, and documents that were nothing else
+2. line dedup: runs of three lines or of fifty words that occurred before go, and documents that were nothing else
 3. near duplicates on five-word shingles: one document of each group stays
 4. mixing: all documents, in the order that keeps the sources at their target weights
 5. packing: token pieces in sequences of 2048; by sequence_id they follow the mix
@@ -29,7 +29,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return lines.clean(docs)
+    return lines.clean(docs, words=lines.MIN_WORDS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,7 +60,11 @@ def tail_weeks(signals: DataFrame, brand: str, n: int = TOTAL_WEEKS) -> DataFram
 
 def brand_top_themes(signals: DataFrame, n: int = N_THEMES) -> DataFrame:
     """Themes by the number of fact rows that list them; ties by name."""
-    listed = signals.select("brand", F.explode("top_themes").alias("theme"))
+    return brand_listed_themes(signals.select("brand", F.explode("top_themes").alias("theme")), n)
+
+
+def brand_listed_themes(listed: DataFrame, n: int = N_THEMES) -> DataFrame:
+    """The same from `weekly.listed_themes`, where the fact table is not at hand."""
     return top_n_per_key(listed, ["brand"], "theme", n, "n_rows")
 
 

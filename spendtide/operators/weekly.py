@@ -175,6 +175,11 @@ def top_themes(creatives: DataFrame, n: int = N_THEMES) -> DataFrame:
     return top_n_per_key(themes, GRAIN, "theme", n)
 
 
+def listed_themes(creatives: DataFrame) -> DataFrame:
+    """The themes that each fact row lists, as rows, without making the fact rows."""
+    return _top_values(_value_counts(creatives, (2,))).select(*GRAIN, F.col("value").alias("theme"))
+
+
 def active_count(creatives: DataFrame) -> DataFrame:
     """Ads and active ads per group; a missing flag is not active."""
     return (

@@ -641,7 +641,7 @@ def weekly_totals(spark, sf):
 
 @query
 def brand_top_themes(spark, sf):
-    return report.brand_top_themes(full_signals(spark, sf))
+    return report.brand_listed_themes(weekly.listed_themes(creatives(spark, sf)))
 
 
 @query
