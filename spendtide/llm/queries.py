@@ -129,9 +129,9 @@ def op9_sharding(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("bigint").alias("size"),
         F.coalesce(F.crc32(data), F.lit(0)).cast("bigint").alias("text_crc32"),
-        sharding.text_code(F.col("source")).alias("source_code"),
-        sharding.text_code(F.col("lang")).alias("lang_code"),
+        "source", "lang",
     ).withColumn("length", F.col("size"))
+    rows = sharding.ranked_codes(rows, ["source", "lang"]).drop("source", "lang")
     placed = sharding.kd_shards(rows, ["source_code", "lang_code", "length"], "size", ["text_crc32", "doc_id"], SHARDS)
     placed = placed.select("doc_id", "size", "text_crc32", "shard")
     return sharding.number_rows(placed, "shard", ["doc_id", "text_crc32", "size"], "slot").select(

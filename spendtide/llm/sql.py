@@ -160,7 +160,7 @@ FROM l LEFT JOIN gone USING (doc_id, p) GROUP BY doc_id"""
 
 
 def _code(c: str) -> str:
-    return f"coalesce(CAST('0x' || substr(hex(encode({c})) || '00000000000000', 1, 14) AS BIGINT), -1)"
+    return f"CASE WHEN {c} IS NULL THEN -1 ELSE dense_rank() OVER (ORDER BY {c}) - 1 END"
 
 
 def _round(i: int, k: int) -> str:

@@ -53,13 +53,29 @@ def test_one_value_for_most_rows_is_cut_through(spark):
 
 def test_odd_rows(spark):
     rows = [(1, None, None, 5), (None, 1, 2, 5), (2, 3, 4, 5), (2, 3, 4, 5), (3, 10**15, -(10**15), 10**9)]
-    df = spark.createDataFrame([(*r, "s") for r in rows], ROW + ", shard string").drop("shard")
+    df = spark.createDataFrame([(*r, "s", 1, 2, 3, 4) for r in rows], ROW + ", shard string, shard_ int, k_ int, row_ int, `axis value` int")
     out = sharding.kd_shards(df, ["x", "y"], "size", ["id"], 4)
-    assert out.count() == 5
+    assert out.columns == [c for c in df.columns if c != "shard"] + ["shard"]
+    assert sorted((r.id or 0, r.shard_, r.k_, r.row_, r["axis value"]) for r in out.collect()) == [(i, 1, 2, 3, 4) for i in (0, 1, 2, 2, 3)]
+    plain_ = {r.id: r.shard for r in shards(spark, rows, 4).collect() if r.id in (1, 3)}
+    assert {r.id: r.shard for r in out.collect() if r.id in (1, 3)} == plain_
     assert shards(spark, [], 8).count() == 0
     assert shards(spark, [(1, 1, 1, 1)], 8).count() == 1
 
 
+@pytest.mark.parametrize("target", [1, 300, 1000, 10**9])
+def test_leaves_reach_the_target_bytes(spark, target):
+    rng = random.Random(target)
+    rows = [(i, rng.randrange(1000), rng.choice([0, 0, 5]), rng.randrange(1, 40)) for i in range(300 if target > 1 else 9)]
+    df = spark.createDataFrame(rows, ROW)
+    out = sharding.kd_shards(df, ["x", "y"], "size", ["id"], target_bytes=target).groupBy("shard").sum("size").collect()
+    assert max(r[1] for r in out) <= target + 40 * 2
+    assert max(r.shard for r in out) < -(-sum(r[3] for r in rows) // target)
+    assert sharding.kd_shards(df.limit(0), ["x", "y"], "size", ["id"], target_bytes=target).count() == 0
+    with pytest.raises(ValueError):
+        sharding.kd_shards(df, ["x"], "size", ["id"], 2, target)
+
+
 def test_numbers_are_gapless(spark):
     df = spark.range(3000).withColumn("g", F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id") % 7)).withColumn("v", F.floor(-F.col("id") / 2))
     by = {}
@@ -70,11 +86,21 @@ def test_numbers_are_gapless(spark):
         assert [s for s, _ in rows] == list(range(len(rows))) and [v for _, v in rows] == sorted(v for _, v in rows)
 
 
-def test_codes_keep_byte_order(spark):
-    names = ["", "a", "aa", "b", "src1", "src10", "src2", "é"]
-    df = spark.createDataFrame([(n,) for n in [*names, None]], "n string").withColumn("c", sharding.text_code(F.col("n")))
-    codes = {r.n: r.c for r in df.collect()}
-    assert codes[None] < codes[""] and sorted(names, key=lambda n: n.encode()) == sorted(names, key=codes.get)
+def test_numbering_beside_columns_of_any_name(spark):
+    df = spark.range(20).selectExpr("id", "id % 2 AS g", "'a' AS range_", "'b' AS own_", "'c' AS value_", "7 AS slot")
+    out = sharding.number_rows(df, "g", ["id"], "slot")
+    assert out.columns == ["id", "g", "range_", "own_", "value_", "slot"]
+    assert sorted((r.id, r.slot, r.range_ + r.own_ + r.value_) for r in out.collect()) == [(i, i // 2, "abc") for i in range(20)]
+
+
+def test_codes_are_ranks_in_byte_order(spark):
+    """Also of texts that agree in many first letters."""
+    names = ["", "a", "aa", "b", "commoncrawl-a", "commoncrawl-b", "https://x/1", "https://x/2", "src1", "src10", "src2", "é"]
+    rows = [(n, None) for n in [*names, None, "src1", "src1"]]
+    out = sharding.ranked_codes(spark.createDataFrame(rows, "n string, m string"), ["n", "m"])
+    codes = {r.n: r.n_code for r in out.collect()}
+    assert [codes[n] for n in sorted(names, key=lambda n: n.encode())] == list(range(len(names))) and codes[None] == -1
+    assert out.count() == len(rows) and {r.m_code for r in out.collect()} == {-1}
 
 
 def test_shards_as_folders(spark, tmp_path):
