@@ -13,6 +13,8 @@ from spendtide.llm.common import scratch, staged
 PIVOTS, RINGS, SAMPLE = 16, 12, 4096
 #: Vectors of a block and queries of a chunk, about.
 BLOCK, CHUNK = 2048, 256
+#: Results that a scoring task holds before it hands some on.
+HELD = 500_000
 
 
 def _quantise(scale: int):
@@ -95,7 +97,7 @@ def _route(pivots: np.ndarray, rings: list, dim: int, most: float, nearest: int
             q = _matrix(batch.column("vec"), dim)
             norm2 = batch.column("norm2").to_numpy().astype(np.float64)
             far = distances(np.hstack([q, np.zeros((len(q), 1))]), pivots)[:, cells]
-            bound = np.maximum(0.0, np.maximum(far - outer, inner - far))
+            bound = gap(far, inner, outer)
             if nearest:
                 order = np.argsort(bound + 1e-9 * np.abs(far - (inner + outer) / 2), axis=1, kind="stable")[:, :nearest]
                 need = np.zeros(bound.shape, bool)
@@ -114,29 +116,76 @@ def _route(pivots: np.ndarray, rings: list, dim: int, most: float, nearest: int
     return each
 
 
-def _score(dim: int, k: int):
-    """The k best of each block for each query of each chunk."""
+def gap(far: np.ndarray, inner: float, outer: float) -> np.ndarray:
+    """By the triangle inequality: how far at least all vectors of an annulus are from points so `far` from its pivot."""
+    return np.maximum(0.0, np.maximum(far - outer, inner - far))
+
+
+def within_reach(q: np.ndarray, norm2: np.ndarray, least: np.ndarray, pivot: np.ndarray, inner: float, outer: float, most: float) -> np.ndarray:
+    """Which queries a block can hold a candidate of, given each one's k-th score so far (NaN: none)."""
+    far = distances(np.hstack([q, np.zeros((len(q), 1))]), pivot[None])[:, 0]
+    reach = np.sqrt(np.maximum(norm2 + most - 2 * np.nan_to_num(least), 0.0)) + 1e-6 * (np.sqrt(most) + 1)
+    return np.isnan(least) | (gap(far, inner, outer) <= reach)
+
+
+class _Best:
+    """The k best of each query over the blocks that a task has met, so that this much and no more leaves it."""
+
+    def __init__(self, k: int):
+        self.k, self.parts, self.size, self.kept = k, [], 0, 0
+
+    def add(self, *columns: np.ndarray) -> None:
+        self.parts.append(columns)
+        self.size += len(columns[0])
+
+    def merged(self) -> list[np.ndarray]:
+        if not self.parts:
+            return [np.zeros(0, np.int64)] * 4
+        row, ids, vec, score = (np.concatenate(c) for c in zip(*self.parts))
+        order = np.lexsort((vec, -score, row))
+        row = row[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row, "left")
+        top = order[rank < self.k]
+        out = [np.concatenate(c)[top] for c in zip(*self.parts)]
+        self.parts, self.size, self.kept = [tuple(out)], len(top), len(top)
+        return out
+
+    def batch(self) -> pa.RecordBatch:
+        out = self.merged()
+        self.parts, self.size, self.kept = [], 0, 0
+        return pa.RecordBatch.from_arrays([pa.array(o.astype(np.int64)) for o in out], ["row", "query_id", "vec_id", "score"])
+
+
+def _score(dim: int, k: int, pivots: np.ndarray, most: float):
+    """The k best of all blocks that a task meets, for each query that the block's bound does not rule out."""
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Best(k)
         for batch in batches:
             for one in batch.to_pylist():
                 rows, ids = np.array(one["rows"], np.int64), np.array(one["query_ids"], np.int64)
                 vec_ids = np.array(one["vec_ids"], np.int64)
                 q, x = (np.frombuffer(b"".join(one[c]), "<i4").reshape(-1, dim) for c in ("queries", "vecs"))
+                least = np.array([np.nan if v is None else float(v) for v in one["leasts"]])
+                need = within_reach(q.astype(np.float64), np.array(one["norms"], np.float64), least, pivots[one["cell"]], one["inner"], one["outer"], most)
+                if not need.any():
+                    continue
+                rows, ids, q = rows[need], ids[need], q[need]
                 exact = dim * float(np.abs(q.astype(np.int64)).max()) * float(np.abs(x.astype(np.int64)).max()) < 2.0**53
                 kind = np.float64 if exact else np.int64
                 scores = (q.astype(kind) @ x.astype(kind).T).astype(np.int64)
-                out: list[list[np.ndarray]] = [[], [], [], []]
                 for i in range(len(rows)):
                     mine = np.flatnonzero(vec_ids != ids[i])
                     s = scores[i, mine]
                     if len(s) > k:
                         edge = np.partition(s, len(s) - k)[len(s) - k]
                         mine, s = mine[s >= edge], s[s >= edge]
-                    best = mine[np.lexsort((vec_ids[mine], -s))[:k]]
-                    for o, v in zip(out, (np.full(len(best), rows[i]), np.full(len(best), ids[i]), vec_ids[best], scores[i, best])):
-                        o.append(v)
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["row", "query_id", "vec_id", "score"])
+                    top = mine[np.lexsort((vec_ids[mine], -s))[:k]]
+                    best.add(np.full(len(top), rows[i]), np.full(len(top), ids[i]), vec_ids[top], scores[i, top])
+                if best.size > HELD + 2 * best.kept:
+                    best.merged()
+                    if best.kept > HELD:
+                        yield best.batch()
+        yield best.batch()
 
     return each
 
@@ -157,7 +206,9 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256) -> DataFra
        distance to the pivot and the annulus. It sees all blocks of the annuli whose gap is within reach of its k-th score,
        and no others: the result is exact. A margin covers the rounding of distances; scores are whole numbers.
 
-    Queries travel in chunks of about CHUNK, blocks as one row each; a task holds one of both at a time.
+    Queries travel in chunks of about CHUNK, blocks as one row each; a task holds one of both at a time. Where a chunk meets
+    a block, the bound is taken again for each of its queries and the block's own distances, and only those within reach are
+    scored. A task merges what it finds and hands on at most k results of each query.
 
     Vectors that are null or empty, hold a null, NaN or infinite component, are so large that scores pass 64 bits, or have
     another length than most (the smaller length at a tie), and rows without vec_id, take no part.
@@ -191,19 +242,23 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256) -> DataFra
 
     split = F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / BLOCK)).cast("int")
     blocks = ringed.join(rings.select("cell", "ring", "n"), ["cell", "ring"]).withColumn("split", split)
-    blocks = blocks.groupBy("cell", "ring", "split").agg(F.collect_list(F.struct("vec_id", "vec")).alias("m"))
-    blocks = staged(blocks.select("cell", "ring", "split", F.col("m.vec_id").alias("vec_ids"), F.col("m.vec").alias("vecs")), "blocks")
+    blocks = blocks.groupBy("cell", "ring", "split").agg(
+        F.collect_list(F.struct("vec_id", "vec")).alias("m"), F.min("far").alias("inner"), F.max("far").alias("outer")
+    )
+    blocks = staged(blocks.select("cell", "ring", "split", "inner", "outer", F.col("m.vec_id").alias("vec_ids"), F.col("m.vec").alias("vecs")), "blocks")
 
     asked = ringed.filter(is_query).select("row", F.col("vec_id").alias("query_id"), "norm2", "vec", "cell")
     counts = asked.groupBy("cell").agg(F.count("*").alias("n"))
     chunk = F.col("cell") * F.lit(1 << 40) + F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / CHUNK))
     asked = staged(asked.join(counts, "cell").select("row", "query_id", "norm2", "vec", chunk.alias("chunk")), "queries")
-    chunks = asked.groupBy("chunk").agg(F.collect_list(F.struct("row", "query_id", "vec")).alias("q"))
-    chunks = staged(chunks.select("chunk", F.col("q.row").alias("rows"), F.col("q.query_id").alias("query_ids"), F.col("q.vec").alias("queries")), "chunks")
 
-    def seen(routes: DataFrame, of: DataFrame) -> DataFrame:
-        met = chunks.join(routes.join(of, ["cell", "ring"]), "chunk").drop("chunk", "cell", "ring", "split")
-        found = met.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(_score(dim, k), "row bigint, query_id bigint, vec_id bigint, score bigint")
+    def seen(routes: DataFrame, of: DataFrame, queries: DataFrame) -> DataFrame:
+        chunks = queries.groupBy("chunk").agg(F.collect_list(F.struct("row", "query_id", "norm2", "vec", "least")).alias("q"))
+        names = {"rows": "row", "query_ids": "query_id", "norms": "norm2", "queries": "vec", "leasts": "least"}
+        chunks = staged(chunks.select("chunk", *[F.col(f"q.{c}").alias(n) for n, c in names.items()]), "chunks")
+        met = chunks.join(routes.join(of, ["cell", "ring"]), "chunk").drop("chunk", "ring", "split")
+        score = _score(dim, k, pivots, most)
+        found = met.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(score, "row bigint, query_id bigint, vec_id bigint, score bigint")
         return staged(found, "found", keep=True)
 
     def best(found: DataFrame) -> DataFrame:
@@ -212,8 +267,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256) -> DataFra
 
     routed = "chunk bigint, cell int, ring int"
     near = staged(asked.mapInArrow(_route(pivots, directory, dim, most, 2), routed).distinct(), "near")
-    first = best(seen(near, blocks.filter("split = 0")))
+    first = best(seen(near, blocks.filter("split = 0"), asked.withColumn("least", F.lit(None).cast("bigint"))))
     least = first.groupBy("row").agg(F.min("score").alias("least"), F.count("*").alias("n")).filter(F.col("n") == k)
-    known = asked.join(staged(least.select("row", "least"), "least"), "row", "left")
+    known = staged(asked.join(staged(least.select("row", "least"), "least"), "row", "left"), "known")
     routes = staged(known.mapInArrow(_route(pivots, directory, dim, most, None), routed).distinct(), "routes")
-    return best(seen(routes, blocks)).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return best(seen(routes, blocks, known)).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -1,6 +1,7 @@
 """Exact top-k against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,14 +41,55 @@ def test_against_brute_force(spark, monkeypatch, shape):
         assert got(df, 10, k) == brute(rows, 10, k)
 
 
-def test_far_annuli_are_not_read(spark, monkeypatch):
-    """In well separated clusters the bound rules most of the index out."""
-    rng = np.random.default_rng(5)
+def clustered(rng, n=4000):
     centres = rng.normal(size=(16, 24)) * 4
-    x = (centres[np.arange(4000) % 16] + rng.normal(size=(4000, 24)) * 0.02).astype(np.float64)
-    pivots = topk.fit_pivots(topk.lifted(x, (x * x).sum(1), (x * x).sum(1).max()), 16)
-    cells = topk.distances(topk.lifted(x, (x * x).sum(1), (x * x).sum(1).max()), pivots).argmin(1)
-    assert len(set(zip(cells.tolist(), (np.arange(4000) % 16).tolist()))) == 16
+    return np.floor((centres[np.arange(n) % 16] + rng.normal(size=(n, 24)) * 0.02) * 256)
+
+
+def test_far_annuli_are_not_scored():
+    """In well separated clusters the bound rules most of the index out, per chunk and per query; counted in pairs."""
+    x = clustered(np.random.default_rng(5))
+    norm2 = (x * x).sum(1)
+    most = norm2.max()
+    lifted = topk.lifted(x, norm2, most)
+    pivots = topk.fit_pivots(lifted, 16)
+    far = topk.distances(lifted, pivots)
+    cell = far.argmin(1)
+    assert len(set(zip(cell.tolist(), (np.arange(len(x)) % 16).tolist()))) == 16
+    own = far[np.arange(len(x)), cell]
+    queries = np.arange(0, 320)
+    least = np.sort(x[queries] @ x.T, axis=1)[:, -6].astype(float)  # itself is the best
+    pairs = 0
+    for c in range(16):
+        mine = np.flatnonzero(cell == c)
+        need = topk.within_reach(x[queries], norm2[queries], least, pivots[c], own[mine].min(), own[mine].max(), most)
+        hits = (x[queries] @ x[mine].T >= least[:, None]).any(1)
+        assert need[hits].all()  # nothing that counts is ruled out
+        pairs += need.sum() * len(mine)
+    assert pairs < len(queries) * len(x) / 3
+    unknown = topk.within_reach(x[:3], norm2[:3], np.full(3, np.nan), pivots[0], 1e9, 2e9, most)
+    assert unknown.all()
+
+
+def test_a_task_hands_on_k_results_a_query_and_skips_blocks_out_of_reach():
+    rng = np.random.default_rng(6)
+    x = rng.integers(-50, 50, size=(60, 4))
+    most = float((x * x).sum(1).max())
+    pivots = np.zeros((1, 5))
+    def block(lo, hi, inner, outer, least):
+        return {
+            "rows": [0, 1], "query_ids": [900, 901], "norms": [int((x[i] ** 2).sum()) for i in (0, 1)], "leasts": least,
+            "queries": [x[i].astype("<i4").tobytes() for i in (0, 1)], "cell": 0, "inner": inner, "outer": outer,
+            "vec_ids": list(range(lo, hi)), "vecs": [v.astype("<i4").tobytes() for v in x[lo:hi]],
+        }
+
+    parts = [block(0, 30, 0.0, 1e9, [None, None]), block(30, 60, 0.0, 1e9, [None, None]), block(0, 60, 1e9, 2e9, [1, 1])]
+    batches = [pa.RecordBatch.from_pylist([p]) for p in parts]
+    out = pa.Table.from_batches(list(topk._score(4, 5, pivots, most)(iter(batches)))).to_pylist()
+    assert len(out) == 10
+    for q in (0, 1):
+        want = sorted((-int(x[q] @ v), i) for i, v in enumerate(x))[:5]
+        assert sorted((-r["score"], r["vec_id"]) for r in out if r["row"] == q) == want
 
 
 def test_odd_rows(spark):
