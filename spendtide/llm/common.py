@@ -2,6 +2,7 @@
 
 import threading
 from collections.abc import Callable
+from contextlib import contextmanager
 from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -62,18 +63,34 @@ def staged(df: DataFrame, name: str = "llm", keep: bool = False) -> DataFrame:
     """Written once in the shared folder and read back, so a lost executor loses nothing of it."""
     spark = df.sparkSession
     at = shared_folder(spark, name, keep)
-    conf = spark.conf
-    before = {k: conf.get(k) for k in WRITING}
-    for k, v in WRITING.items():
-        conf.set(k, v)
-    try:
+    with _while_writing(spark):
         df.write.parquet(at)
-    finally:
-        for k, v in before.items():
-            conf.set(k, v)
     return spark.read.schema(df.schema).parquet(at)
 
 
+_lock, _writers, _before = threading.Lock(), 0, {}
+
+
+@contextmanager
+def _while_writing(spark: SparkSession):
+    """The settings of WRITING while anybody writes; the last of several threads restores what the first has found."""
+    global _writers
+    with _lock:
+        if not _writers:
+            _before.update({k: spark.conf.get(k) for k in WRITING})
+            for k, v in WRITING.items():
+                spark.conf.set(k, v)
+        _writers += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _writers -= 1
+            if not _writers:
+                for k, v in _before.items():
+                    spark.conf.set(k, v)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body` of a value that is computed once per row, also where a lambda reads it for each element."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -48,7 +48,9 @@ def op2_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op3_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text", "source")
-    return quality.judge(docs).drop("text", "source")
+    return quality.judge(docs, long_lines=True).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_frequent_lines", "depleted"
+    )
 
 
 # ---- 4 ----------------------------------------------------------------------------------

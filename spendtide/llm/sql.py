@@ -116,7 +116,7 @@ l AS (
 freq AS (
   SELECT host, norm FROM (SELECT host, norm, count(DISTINCT text) AS k FROM l GROUP BY host, norm)
   JOIN (SELECT host, count(DISTINCT text) AS docs FROM d GROUP BY host) USING (host)
-  WHERE k > 20 AND k * 100 > docs * 10),
+  WHERE k > 20 AND k * 100 > docs * CASE WHEN length(regexp_replace(norm, '{_GAP}', '', 'g')) >= 40 THEN 1 ELSE 10 END),
 ln AS (
   SELECT n, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (WHERE f) AS n_frequent_lines,
          coalesce(sum(chars) FILTER (WHERE f), 0) AS removed

@@ -117,3 +117,14 @@ def test_the_pipeline_finds_boilerplate_in_a_few_percent_of_a_large_host(spark):
     docs = spark.createDataFrame(rows, DOC)
     cleaned = {r.doc_id: r.text for r in corpus_pipeline.quality_rules(spark, docs, "").collect()}
     assert cleaned == {i: "\n".join(x for x in t.split("\n") if "Copyright" not in x) for i, t, _ in rows}
+
+
+def test_two_writers_at_once_leave_the_settings_as_they_were(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from spendtide.llm.common import WRITING, staged
+
+    before = {k: spark.conf.get(k) for k in WRITING}
+    with ThreadPoolExecutor(4) as pool:
+        sizes = list(pool.map(lambda i: staged(spark.range(i * 10)).count(), range(8)))
+    assert sizes == [i * 10 for i in range(8)] and {k: spark.conf.get(k) for k in WRITING} == before
