@@ -71,7 +71,23 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = _local_root(spark.sparkContext.applicationId)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+_made: dict[str, list[str]] = {}
+
+
+def release(spark: SparkSession) -> int:
+    """Delete every folder that this application has taken from `shared_dir`, when its results are no longer needed.
+
+    What a query returns may read written tables, which live until then. Returns how many folders there were.
+    """
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        remove(spark, path)
+    return len(paths)
 
 
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:
