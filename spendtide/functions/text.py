@@ -17,8 +17,12 @@ INVISIBLE = (
 
 
 def sanitize(text: Column) -> Column:
-    """The text without its invisible code points. Null and empty stay as they are."""
-    return F.regexp_replace(text, F.lit(INVISIBLE), F.lit(""))
+    """The text without its invisible code points. Null and empty stay as they are.
+
+    A text of as many bytes as code points is all ASCII and has none: no pattern is run over it.
+    """
+    cleaned = F.regexp_replace(text, F.lit(INVISIBLE), F.lit(""))
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(cleaned)
 
 
 def has_invisible(text: Column) -> Column:

@@ -137,11 +137,10 @@ def wow_delta(signals: DataFrame) -> DataFrame:
 
 
 def sorted_dims(signals: DataFrame) -> DataFrame:
-    """Distinct brands and channels: dim, value."""
-    def dim(c: str) -> DataFrame:
-        return signals.select(F.lit(c).alias("dim"), F.col(c).alias("value")).distinct()
-
-    return dim("brand").unionAll(dim("channel")).orderBy("dim", "value")
+    """Distinct brands and channels: dim, value. The facts are evaluated once, for their distinct pairs."""
+    pairs = signals.select("brand", "channel").distinct()
+    dims = F.array(*[F.struct(F.lit(c).alias("dim"), F.col(c).alias("value")) for c in ("brand", "channel")])
+    return pairs.select(F.inline(dims)).distinct().orderBy("dim", "value")
 
 
 def signal_projection(signals: DataFrame) -> DataFrame:
