@@ -66,6 +66,25 @@ def op4_url_filters(spark: SparkSession, sf: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf, "pages"), urls.rule_table(spark, RULES))
 
 
+def linked_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages that link to the hosts of two other pages each, so that there is a graph of hosts."""
+    pages = table(spark, sf, "pages").select("page_id", "url", "html")
+    n = F.lit(pages.count())
+    hosts = pages.select(F.col("page_id").alias("to"), urls.host_of(F.col("url")).alias("host")).filter("host <> ''")
+    ends = pages.select("page_id", F.explode(F.array_distinct(F.array((F.col("page_id") * 7 + 3) % n, (F.col("page_id") * 13 + 5) % n))).alias("to"))
+    links = ends.join(hosts, "to").groupBy("page_id").agg(
+        F.array_join(F.collect_list(F.concat(F.lit('<a href="http://'), F.col("host"), F.lit('/">'))), "").alias("links")
+    )
+    more = F.concat(F.coalesce("html", F.lit("")), F.coalesce("links", F.lit("")))
+    return pages.join(links, "page_id", "left").select("page_id", "url", more.alias("html"))
+
+
+@query
+def linked_url_filters(spark: SparkSession, sf: str) -> DataFrame:
+    """Operator 4 on pages of linked hosts: scores travel over eight rounds, and decide pages without a rule."""
+    return urls.judge_urls(linked_pages(spark, sf), urls.rule_table(spark, RULES))
+
+
 # ---- 5 ----------------------------------------------------------------------------------
 
 

@@ -55,6 +55,16 @@ SELECT page_id, host, path, rule,
        trust, distrust
 FROM scored"""
 
+_LINKED = f"""
+WITH named AS (SELECT page_id, {HOST} AS host FROM pages),
+linked AS (
+  SELECT page_id, url, coalesce(html, '') || coalesce((
+    SELECT string_agg('<a href="http://' || host || '/">', '') FROM named t
+    WHERE host <> '' AND t.page_id IN ((p.page_id * 7 + 3) % n, (p.page_id * 13 + 5) % n)), '') AS html
+  FROM pages p, (SELECT count(*) AS n FROM pages)),
+rules("""
+SQL["linked_url_filters"] = SQL["op4_url_filters"].replace("\nWITH rules(", _LINKED).replace("AS path FROM pages)", "AS path FROM linked)")
+
 # ---- 8 ----------------------------------------------------------------------------------
 
 _ESCAPES = [
