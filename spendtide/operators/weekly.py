@@ -121,6 +121,13 @@ def partial_signals(creatives: DataFrame, also: list[str] = []) -> DataFrame:  #
     return measures.select(*GRAIN, F.lit(0).alias("kind"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("bigint").alias("n"), *sums, *also).unionAll(counts)
 
 
+def added_up(partials: DataFrame) -> DataFrame:
+    """Partial aggregates with one row per group, kind and value: those of any number of loads as those of one."""
+    sums = ["n", "ad_count", "active_ad_count", "impression_lower_sum", "impression_upper_sum"]
+    money = [F.sum(c).cast("decimal(38,0)").alias(c) for c in ("spend_lower_sum", "spend_upper_sum")]
+    return partials.groupBy(*GRAIN, "yr", "kind", "value").agg(*[F.sum(c).alias(c) for c in sums], *money)
+
+
 def merged_signals(partials: DataFrame, batch_ts: Column | None = None) -> DataFrame:
     """The fact table from partial aggregates of any number of loads, in any order."""
     sums = ["ad_count", "active_ad_count", "impression_lower_sum", "impression_upper_sum"]

@@ -2,13 +2,13 @@
 
     raw/feed=F/batch_id=N/brand=B/yr=Y/...        rows of a load; a load appears whole, by one rename
     raw_keys/bucket=K/feed=F/batch_id=N/...       its keys, by bucket of their hash
-    raw_partials/feed=F/batch_id=N/brand=B/yr=Y/  its partial aggregates (`weekly.partial_signals`)
+    raw_partials/gen=G/feed=F/batch_id=N/brand=B/yr=Y/  its partial aggregates (`weekly.partial_signals`)
     raw_done/feed=F/batch_id=N                    an empty file, written last
 
 A load asks the index, not the table, which keys are stored: it reads the buckets that its own keys fall into.
 Facts of a week are the sum of its partial aggregates, so no raw row is read again. What a crash leaves
 between the first of these steps and the last is told by the missing mark; the next load, of whatever feed, does
-the rest. Loads into one table run one after the other: two at once may store one key twice (`doubled_keys` finds those).
+the rest. `merge_partials` adds up those of many loads, as maintenance. Loads into one table run one after the other: two at once may store one key twice (`doubled_keys` finds those).
 """
 
 import uuid
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendtide.operators.dedup import KEY, complete, new_rows
-from spendtide.operators.weekly import merged_signals, partial_signals
+from spendtide.operators.weekly import added_up, merged_signals, partial_signals
 from spendtide.session import Stages, children, path_exists, remove, rename, touch
 from spendtide.sources.tables import LAYOUTS, only_partitions, stored_schema, with_layout
 
@@ -26,6 +26,8 @@ from spendtide.sources.tables import LAYOUTS, only_partitions, stored_schema, wi
 BUCKETS = 64
 
 LOAD = ["feed", "batch_id"]
+#: Names of runs begin so; the feed of merged partial aggregates.
+RUN, MERGED = "run-", "merged"
 Load = tuple[str, int]
 
 
@@ -98,7 +100,7 @@ def _index(rows: DataFrame, raw: str, keys: list[str], partials: bool) -> None:
     if partials:
         by = [*LOAD, *LAYOUTS["year"]]
         sums = with_layout(partial_signals(rows, LOAD))
-        sums.hint("rebalance", *[F.col(c) for c in by]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{raw}_partials")
+        sums.hint("rebalance", *[F.col(c) for c in by]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(_partials(rows.sparkSession, raw))
 
 
 def store(batch: DataFrame, raw: str, load: Load, buckets: list[int], keys: list[str] = KEY, partials: bool = True) -> set[Load]:
@@ -122,7 +124,40 @@ def store(batch: DataFrame, raw: str, load: Load, buckets: list[int], keys: list
 
 def partial_rows(spark: SparkSession, raw: str, loads: set[Load] | None = None) -> DataFrame:
     """Partial aggregates of all loads, or of some."""
-    return _read(spark, f"{raw}_partials", PARTIALS, loads)
+    return _read(spark, _partials(spark, raw), PARTIALS, loads)
+
+
+def _partials(spark: SparkSession, raw: str) -> str:
+    """The folder of the newest generation: the highest that is marked, or the first."""
+    marked = [int(g.removeprefix("gen=")) for g, _ in children(spark, f"{raw}_partials", "gen=*", "_current")]
+    return f"{raw}_partials/gen={max(marked, default=0)}"
+
+
+def merge_partials(spark: SparkSession, raw: str) -> int:
+    """Add the partial aggregates of finished loads together; returns how many loads that were.
+
+    They grow with the loads, the sums do not. A stream's newest batch stays apart, as it may be run again; runs never are. The
+    sums are a new generation of the folder, which counts from the moment of its mark; then the old one goes. A crash before
+    the mark leaves the old one in force, one after it an old folder that nobody reads.
+    """
+    loads_now = loads_of(spark, old := _partials(spark, raw))
+    newest = {f: max(b for g, b in loads_now if g == f) for f, _ in loads_now}
+    done = loads_of(spark, f"{raw}_done")
+    apart = {(f, b) for f, b in loads_now if f != MERGED and ((f, b) not in done or b == newest[f] and not f.startswith(RUN))}
+    merging = loads_now - apart
+    if len(merging) < 2:
+        return 0
+    number = int(old.rsplit("=", 1)[1]) + 1
+    new = f"{raw}_partials/gen={number}"
+    remove(spark, new)
+    kept = _read(spark, old, PARTIALS, apart).unionByName(
+        added_up(_read(spark, old, PARTIALS, merging)).withColumns({"feed": F.lit(MERGED), "batch_id": F.lit(number).cast("bigint")})
+    )
+    by = [*LOAD, *LAYOUTS["year"]]
+    kept.hint("rebalance", *[F.col(c) for c in by]).write.partitionBy(*by).parquet(new)
+    touch(spark, f"{new}/_current")
+    remove(spark, old)
+    return len(merging)
 
 
 def facts_of(spark: SparkSession, raw: str, weeks: DataFrame, batch_ts: Column | None = None) -> DataFrame:
@@ -161,7 +196,7 @@ def buckets_in(batch: DataFrame, keys: list[str] = KEY) -> list[int]:
 
 def run_load() -> Load:
     """The name of a run's load; no other has it."""
-    return f"run-{uuid.uuid4().hex}", 0
+    return f"{RUN}{uuid.uuid4().hex}", 0
 
 
 PARTIALS = T.StructType([
