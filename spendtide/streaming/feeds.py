@@ -141,11 +141,8 @@ def close_weeks(creatives: DataFrame, event_time: Column, delay_days: int, path:
         with Stages(spark) as stages:
             day = F.to_date(event_time)
             monday = F.date_trunc("week", day).cast("date")
-            end = F.date_add(monday, 7)
-            in_time = F.lit(True) if shut is None else end > F.lit(shut)
-            grain = [monday.alias("monday"), "brand", "channel", F.coalesce("region", F.lit(UNKNOWN)).alias("region"), F.coalesce(in_time, F.lit(False)).alias("in_time")]
-            if shut is None:
-                grain[-1] = monday.isNotNull().alias("in_time")
+            in_time = monday.isNotNull() if shut is None else F.coalesce(F.date_add(monday, 7) > F.lit(shut), F.lit(False))
+            grain = [monday.alias("monday"), "brand", "channel", F.coalesce("region", F.lit(UNKNOWN)).alias("region"), in_time.alias("in_time")]
             sums = stages.write(batch.groupBy(*grain).agg(*_partial_sums(), F.max(day).alias("newest")), "sums")
             now = sums.agg(F.max("newest")).first()[0]
             newest = max((t for t in (was, now) if t is not None), default=None)
@@ -189,13 +186,17 @@ def corrected_weeks(spark: SparkSession, path: str) -> DataFrame:
     clock = spark.read.parquet(f"{path}/clock").groupBy("feed").agg(F.max_by("shut", "batch_id").alias("shut"))
     shut = clock.agg(F.min("shut"), F.count_if(F.col("shut").isNull())).first()
     until = None if shut[1] else shut[0]
+    done = spark.read.parquet(f"{path}/closed")
+    own = [*WEEK_GRAIN, "ad_count", "active_ad_count", *SUMS]
+    # Declared, as a folder of open weeks may hold no file.
+    schema = T.StructType([*done.select(*own).schema.fields, T.StructField("feed", T.StringType()), T.StructField("batch_id", T.LongType())])
     parts = None
     for name in ("closed", "open", "late"):
-        rows = spark.read.parquet(f"{path}/{name}").withColumn("late", F.lit(name == "late"))
+        whole = T.StructType(list(schema.fields)).add("week", T.StringType()) if name == "open" else schema
+        rows = spark.read.schema(whole).parquet(f"{path}/{name}").withColumn("late", F.lit(name == "late"))
         if name == "open":  # a closed week's folder stays for a batch
-            done = spark.read.parquet(f"{path}/closed").select("feed", "monday").distinct()
-            rows = rows.join(done, ["feed", "monday"], "left_anti")
-        rows = rows.select(*WEEK_GRAIN, "ad_count", "active_ad_count", *SUMS, "late")
+            rows = rows.join(done.select("feed", "monday").distinct(), ["feed", "monday"], "left_anti")
+        rows = rows.select(*own, "late")
         parts = rows if parts is None else parts.unionByName(rows)
     totals = [F.sum(c).alias(c) for c in ("ad_count", "active_ad_count", *SUMS)]
     late = F.coalesce(F.sum(F.when(F.col("late"), F.col("ad_count"))), F.lit(0)).alias("late_ads")
