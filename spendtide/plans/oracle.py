@@ -570,7 +570,9 @@ SELECT source_id, CASE WHEN n % 11000 <> 0 THEN n END AS impression_lower, 'kept
 UNION ALL SELECT source_id, NULL, CASE WHEN n % 7000 = 0 THEN 'document' ELSE 'value' END FROM d WHERE n % 7000 = 0 OR n % 11000 = 0"""
 
 SQL["snapshot_changes"] = f"""WITH {FACTS}, b AS (
-  SELECT *, brand = 'building' AND week_key BETWEEN '1997-W10' AND '1997-W20' AS replaced FROM facts)
+  SELECT *, brand = 'building' AND week_key BETWEEN '1997-W10' AND '1997-W20'
+    -- a replacement stands for the groups that it holds rows of
+    AND bool_or(channel <> 'ctv') OVER (PARTITION BY brand, week_key) AS replaced FROM facts)
 SELECT brand, week_key, channel, region, CASE WHEN week_key < '1998-W01' THEN spend_midpoint END AS spend_prev,
   CASE WHEN replaced AND channel = 'ctv' THEN NULL WHEN replaced THEN spend_midpoint + 100 ELSE spend_midpoint END AS spend_cur,
   CASE WHEN week_key >= '1998-W01' THEN 'added' WHEN channel = 'ctv' THEN 'removed' ELSE 'changed' END AS state
