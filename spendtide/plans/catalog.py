@@ -475,7 +475,7 @@ def snapshot_changes(spark, sf):
 @query
 def scan_text_files(spark, sf):
     path = shared_dir(spark, "tree")
-    smuggled(spark, sf).select("doc_id", "text").write.partitionBy("doc_id").text(path)
+    textfiles.write_texts(smuggled(spark, sf), path, "doc_id", "text")
     hits = textfiles.scan_text_files(spark, path)
     return hits.withColumn("doc_id", F.regexp_extract("file", "doc_id=([0-9]+)", 1).cast("bigint")).drop("file")
 

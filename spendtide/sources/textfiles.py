@@ -6,10 +6,12 @@ dealt over the cluster by path and read there, in parts. Neither names nor conte
 through the driver.
 """
 
+import itertools
 import os
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,9 @@ IGNORED_DIRS = [
 #: Bytes read at a time.
 PART = 1 << 20
 
+#: Folders that `write_texts` deals its files to.
+FOLDERS = 512
+
 ENTRY = "path string, kind string, error string"
 HIT = "file string, line bigint, col bigint, code_point string, error string"
 
@@ -40,31 +45,35 @@ def _wanted(path: str) -> bool:
 
 def _lister(root: str):
     """A row per entry of each folder: kind dir, file, or error where it could not be listed."""
+    def entries(fs: pafs.FileSystem, folder: str) -> Iterator[tuple]:
+        local = isinstance(fs, pafs.LocalFileSystem)
+        try:
+            found = fs.get_file_info(pafs.FileSelector(folder))
+        except OSError as e:
+            yield folder, "error", str(e)[:500]
+            return
+        for i in found:
+            is_dir = i.type == pafs.FileType.Directory
+            # A folder that is a link would be walked again, or for ever.
+            if is_dir and i.base_name not in IGNORED_DIRS and not (local and os.path.islink(i.path)):
+                yield i.path, "dir", None
+            elif not is_dir and _wanted(i.path):
+                yield i.path, "file", None
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, _ = open_store(root)
-        local = isinstance(fs, pafs.LocalFileSystem)
-        for b in batches:
-            for folder in b["path"]:
-                try:
-                    entries = fs.get_file_info(pafs.FileSelector(folder))
-                except OSError as e:
-                    yield pd.DataFrame([(folder, "error", str(e)[:500])], columns=["path", "kind", "error"])
-                    continue
-                for at in range(0, len(entries), 1000):
-                    out = []
-                    for i in entries[at : at + 1000]:
-                        is_dir = i.type == pafs.FileType.Directory
-                        # A folder that is a link would be walked again, or for ever.
-                        if is_dir and i.base_name not in IGNORED_DIRS and not (local and os.path.islink(i.path)):
-                            out.append((i.path, "dir", None))
-                        elif not is_dir and _wanted(i.path):
-                            out.append((i.path, "file", None))
-                    if out:
-                        yield pd.DataFrame(out, columns=["path", "kind", "error"])
+        rows = (row for b in batches for folder in b["path"] for row in entries(fs, folder))
+        yield from _frames(rows, ["path", "kind", "error"])
 
     return run
 
 
+def _frames(rows: Iterator[tuple], names: list[str]) -> Iterator[pd.DataFrame]:
+    """Frames of many rows: one per file or folder would cost more than its scan."""
+    while some := list(itertools.islice(rows, 10_000)):
+        yield pd.DataFrame(some, columns=names)
+
+
 def _scanner(root: str, found: str):
     """Hits of each file, read in parts; a file that cannot be read or decoded gives an error row."""
     import codecs
@@ -72,35 +81,68 @@ def _scanner(root: str, found: str):
 
     pattern = re.compile(found)
 
+    def hits(fs: pafs.FileSystem, path: str, name: str) -> Iterator[tuple]:
+        line, col, after_cr = 1, 0, False
+        try:
+            decode = codecs.getincrementaldecoder("utf-8")()
+            with fs.open_input_stream(path) as f:
+                while True:
+                    data = f.read(PART)
+                    text = decode.decode(data, final=not data)
+                    if after_cr and text:
+                        text, after_cr = text.removeprefix("\n"), False
+                    after_cr = after_cr or text.endswith("\r")
+                    # An editor ends a line at CR, LF or both.
+                    parts = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+                    for k, part in enumerate(parts):
+                        if k:
+                            line, col = line + 1, 0
+                        for m in pattern.finditer(part):
+                            yield name, line, col + m.start() + 1, f"U+{ord(m[0]):04X}", None
+                        col += len(part)
+                    if not data:
+                        break
+        except (OSError, UnicodeDecodeError) as e:
+            yield name, None, None, None, f"{type(e).__name__}: {e}"[:500]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = open_store(root)
         base = base.rstrip("/")
-        for b in batches:
-            for path in b["path"]:
-                name, rows = os.path.relpath(path, base), []
-                line, col, after_cr = 1, 0, False
-                try:
-                    decode = codecs.getincrementaldecoder("utf-8")()
-                    with fs.open_input_stream(path) as f:
-                        while True:
-                            data = f.read(PART)
-                            text = decode.decode(data, final=not data)
-                            if after_cr and text:
-                                text, after_cr = text.removeprefix("\n"), False
-                            after_cr = after_cr or text.endswith("\r")
-                            # An editor ends a line at CR, LF or both.
-                            parts = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
-                            for k, part in enumerate(parts):
-                                if k:
-                                    line, col = line + 1, 0
-                                rows += [(name, line, col + m.start() + 1, f"U+{ord(m[0]):04X}", None) for m in pattern.finditer(part)]
-                                col += len(part)
-                            if not data:
-                                break
-                except (OSError, UnicodeDecodeError) as e:
-                    rows.append((name, None, None, None, f"{type(e).__name__}: {e}"[:500]))
-                for at in range(0, len(rows), 10_000):
-                    yield pd.DataFrame(rows[at : at + 10_000], columns=["file", "line", "col", "code_point", "error"])
+        rows = (row for b in batches for path in b["path"] for row in hits(fs, path, os.path.relpath(path, base)))
+        yield from _frames(rows, ["file", "line", "col", "code_point", "error"])
+
+    return run
+
+
+def write_texts(texts: DataFrame, root: str, key: str, text: str) -> None:
+    """A tree of text files, `<folder>/<key>=<value>-<task>.txt`: one per value and task, a line end behind every text.
+
+    A table partitioned by the key would be a folder per value, all of them committed by the driver one by one.
+    Here tasks write the files where they belong, below FOLDERS folders; a task that runs again replaces its own.
+    """
+    rows = texts.select(
+        F.pmod(F.xxhash64(key), F.lit(FOLDERS)).alias("folder"), F.col(key).cast("string").alias("value"),
+        F.col(text).cast("binary").alias("text"), F.spark_partition_id().alias("task"),
+    )
+    rows.sortWithinPartitions("folder", "value").mapInArrow(_writer(root, key), "files bigint").write.format("noop").mode("overwrite").save()
+
+
+def _writer(root: str, key: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = open_store(root)
+        fs.create_dir(base, recursive=True)
+        rows = (row for b in batches for row in zip(*[c.to_pylist() for c in b.columns]))
+        last, n = None, 0
+        for (folder, value, task), same in itertools.groupby(rows, key=lambda r: (r[0], r[1], r[3])):
+            at = f"{base.rstrip('/')}/{folder}"
+            if folder != last:
+                fs.create_dir(at)
+                last = folder
+            with fs.open_output_stream(f"{at}/{key}={value}-{task}.txt") as f:
+                for row in same:
+                    f.write((row[2] or b"") + b"\n")
+            n += 1
+        yield pa.RecordBatch.from_pydict({"files": pa.array([n], pa.int64())})
 
     return run
 
