@@ -16,7 +16,7 @@ from spendtide.operators import anomaly, brief, clean, dedup, forecast, report,
 from spendtide.plans.briefs import saved_briefs as briefs_of_snapshot
 from spendtide.plans.starschema import CHANNEL, creatives, table
 from spendtide.plans.weekly_run import weekly_run
-from spendtide.session import shared_dir, staged
+from spendtide.session import children, shared_dir, staged
 from spendtide.sources import archive, loads, pagewalk, snapshots, tables, textfiles
 from spendtide.sources import creatives as docs
 from spendtide.streaming import feeds
@@ -1055,18 +1055,32 @@ def broken_writer(prompt: str, role: str) -> str:
 # ---- streams --------------------------------------------------------------------------
 
 
-def arrivals(df: DataFrame, key: str, n: int = 4) -> str:
-    """The rows as `n` files in an order that has nothing to do with their dates."""
-    path = shared_dir(df.sparkSession, "arrivals")
-    df.withColumn("_k", F.pmod(F.xxhash64(key), F.lit(n))).repartition(n, "_k").drop("_k").write.parquet(path)
-    return path
+def land(batches: list[DataFrame]) -> tuple[str, int]:
+    """(folder, files a batch): the batches landed one after the other, so that a stream of that many files a batch takes them as they are.
+
+    Tasks write the parts that they read: no batch passes one task, and its files grow in number with the table. A part
+    without rows of a batch writes no file, so the batch gets an empty one instead.
+    """
+    spark = batches[0].sparkSession
+    path = shared_dir(spark, "arrivals")
+    n = max(1, *[b.rdd.getNumPartitions() for b in batches])
+    for k, batch in enumerate(batches, 1):
+        batch.write.mode("append").parquet(path)
+        for _ in range(k * n - len(children(spark, path, "part-*"))):
+            spark.createDataFrame([], batch.schema).coalesce(1).write.mode("append").parquet(path)
+    return path, n
+
+
+def arrivals(df: DataFrame, key: str, n: int = 4) -> tuple[str, int]:
+    """The rows as `n` batches in an order that has nothing to do with their dates; a key's rows are in one."""
+    return land([df.filter(F.pmod(F.xxhash64(key), F.lit(n)) == k) for k in range(n)])
 
 
 def creative_stream(spark: SparkSession, sf: str, part: Column | None = None) -> DataFrame:
     """Order lines arriving in several micro-batches, shuffled; or the lines that `part` picks."""
     lines = table(spark, sf, "lineitem")
-    path = arrivals(lines if part is None else lines.filter(part), "l_orderkey")
-    return creatives(spark, sf, feeds.landed(spark, path, lines.schema, 1))
+    path, files = arrivals(lines if part is None else lines.filter(part), "l_orderkey")
+    return creatives(spark, sf, feeds.landed(spark, path, lines.schema, files))
 
 
 @query
@@ -1082,20 +1096,18 @@ def stream_dedup(spark, sf):
     events = table(spark, sf, "events")
     path, mark = shared_dir(spark, "dedup"), shared_dir(spark, "dedup-mark")
     twice = events.unionAll(events).withColumn("_n", F.monotonically_increasing_id())
-    stream = feeds.landed(spark, arrivals(twice, "_n"), events.schema, 1)
+    path_in, files = arrivals(twice, "_n")
+    stream = feeds.landed(spark, path_in, events.schema, files)
     once = feeds.stream_dedup(stream, keys=["event_id", "event_type"])
     feeds.to_changelog(once, path, mark, mode="append").awaitTermination()
     return spark.read.parquet(path).select("event_id", "event_type", "user_id", "value")
 
 
-def in_order(batches: DataFrame, number: str) -> str:
-    """One file per number, landed in that order, so that a stream of one file a batch takes them as they are numbered."""
-    spark = batches.sparkSession
-    path = shared_dir(spark, "arrivals")
+def in_order(batches: DataFrame, number: str) -> tuple[str, int]:
+    """A batch per number, landed in that order (`land`)."""
     rows = staged(batches, "numbered")
-    for (k,) in rows.select(number).distinct().orderBy(number).collect():
-        rows.filter(F.col(number) == k).drop(number).coalesce(1).write.mode("append").parquet(path)
-    return path
+    numbers = [k for (k,) in rows.select(number).distinct().orderBy(number).collect()]
+    return land([rows.filter(F.col(number) == k).drop(number) for k in numbers])
 
 
 # Days that an arrival slot spans, and how far behind the newest row a window or key is given up.
@@ -1122,7 +1134,8 @@ def stream_dedup_within(spark, sf):
     """Ten micro-batches and a delay that bites: what passes, once or again, and what is lost as late."""
     path, mark = shared_dir(spark, "dedup"), shared_dir(spark, "dedup-mark")
     events = resent_events(spark, sf)
-    stream = feeds.landed(spark, in_order(events, "batch"), events.drop("batch").schema, 1)
+    path_in, files = in_order(events, "batch")
+    stream = feeds.landed(spark, path_in, events.drop("batch").schema, files)
     once = feeds.stream_dedup(stream, "ts", f"{EVENT_DELAY} days", ["event_id"])
     feeds.to_changelog(once, path, mark, mode="append").awaitTermination()
     return spark.read.parquet(path).select("event_id", F.col("time").cast("bigint").alias("time"))
@@ -1136,7 +1149,8 @@ def late_creatives(spark: SparkSession, sf: str) -> DataFrame:
     numbered = lines.join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(
         *lines.columns, (F.floor(days / ORDER_SLOT) + lag).alias("batch")
     )
-    return creatives(spark, sf, feeds.landed(spark, in_order(numbered, "batch"), lines.schema, 1))
+    path, files = in_order(numbered, "batch")
+    return creatives(spark, sf, feeds.landed(spark, path, lines.schema, files))
 
 
 @query
