@@ -63,14 +63,14 @@ def creatives(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None)
         F.col("p_brand").alias("platform"),
         F.split("p_name", " ").alias("creative_themes"),
     )
-    joined = (
-        lines
-        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(customers, F.col("o_custkey") == F.col("c_custkey"))
-        .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    # Dimensions meet on the orders, so the lines, the widest side, move for two joins and not for one more with customers.
+    placed = customers.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(
+        table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")
     )
+    ordered = orders.join(placed, F.col("o_custkey") == F.col("c_custkey")).select(
+        "o_orderkey", "channel", "started_running", "week_key", "brand", "brand_display", "r_name"
+    )
+    joined = lines.join(ordered, F.col("l_orderkey") == F.col("o_orderkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
     lower = (F.col("l_quantity") * 1000).cast("bigint")
     return joined.select(
         F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("source_id"),

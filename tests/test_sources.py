@@ -2,19 +2,23 @@
 
 import datetime as dt
 import json
+import os
 import random
 
 import pytest
-from conftest import plan, weeks
+from conftest import SF, plan, weeks
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from spendtide.functions import labels
 from spendtide.operators import dedup, weekly
+from spendtide.plans import catalog, starschema
 from spendtide.plans.weekly_run import weekly_run
 from spendtide.schemas import RAW_CREATIVES, WEEKLY_SIGNALS
-from spendtide.session import shared_dir
+from spendtide.session import shared_dir, staged
 from spendtide.sources import archive, loads, snapshots, tables, textfiles
 from spendtide.sources import creatives as docs
+from spendtide.streaming import feeds
 
 
 def stamps():
@@ -452,3 +456,67 @@ def test_run_cut_short_is_mended(spark, creatives, monkeypatch):
             weekly_run(batch, raw, facts)
     assert weekly_run(batch, raw, facts) == dict(docs_read=3, raw_rows=0, signal_rows=3)
     assert tables.read_table(spark, facts, weekly.weekly_signals(batch).schema).count() == 3
+
+
+# ---- inputs that grow -----------------------------------------------------------------
+
+
+def test_texts_become_files_of_few_folders(spark):
+    mark = "​"
+    texts = [(i, f"a\nb{mark}{i}") for i in range(2000)] + [(7, f"{mark}c"), (2000, None)]
+    path = shared_dir(spark, "tree")
+    textfiles.write_texts(spark.createDataFrame(texts, "doc_id bigint, text string").coalesce(1), path, "doc_id", "text")
+    assert len(os.listdir(path)) <= textfiles.FOLDERS
+    got = sorted((int(r.file.split("doc_id=")[1].split("-")[0]), r.line, r.col) for r in textfiles.scan_all_text(spark, path).collect())
+    assert got == sorted([(i, 2, 2) for i in range(2000)] + [(7, 3, 1)])
+
+
+def test_batches_land_in_order_and_no_task_has_a_whole_one(spark):
+    rows = staged(spark.range(0, 4000, 1, 4).withColumn("batch", F.when(F.col("id") < 5, 0).otherwise(1 + F.col("id") % 2)))
+    path, files = catalog.land([rows.filter(F.col("batch") == k) for k in range(3)])
+    names = [f for f in os.listdir(path) if f.startswith("part-")]
+    assert files > 1 and len(names) == 3 * files
+    log = shared_dir(spark, "log")
+    stream = feeds.landed(spark, path, rows.schema, files)
+    feeds.to_changelog(stream, log, shared_dir(spark, "mark"), mode="append").awaitTermination()
+    got = spark.read.parquet(log).filter("id is not null").groupBy("batch_id").agg(F.collect_set("batch").alias("b"), F.count("*").alias("n"))
+    assert sorted((r.batch_id, r.b, r.n) for r in got.collect()) == [(0, [0], 5), (1, [1], 1997), (2, [2], 1998)]
+
+
+def test_only_keys_of_new_rows_move(spark, creatives):
+    batch = staged(creatives([dict(source_id=str(i % 50), ad_text=f"{i:02d}") for i in range(60)] + [dict(source_id=None)]))
+    held = creatives([dict(source_id=str(i)) for i in (3, 30)]).select(*dedup.KEY)
+    new = dedup.new_rows(batch, held)
+    assert sorted(int(r.ad_text) for r in new.collect()) == [i for i in range(50) if i not in (3, 30)]
+    once = dedup.new_rows(batch.filter("cast(ad_text as int) >= 10"), held)
+    assert once.count() == 48 and "ad_text" not in "".join(x for x in plan(once).split("\n") if "Exchange" in x)
+    assert dedup.new_rows(batch, batch.select(*dedup.KEY)).count() == 0
+
+
+def test_landings_are_packed(spark):
+    for name in ("read_pages", "scan_all"):
+        files = entry.queries()[name](spark, SF).inputFiles()
+        assert files and all(f.endswith(".json.gz") for f in files)
+
+
+def moves_of(text, column):
+    """Exchanges above the scan that has the column."""
+    lines = text.split("\n")
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    at = next(i for i, x in enumerate(lines) if "FileScan" in x and column in x)
+    n = 0
+    for i in range(at, -1, -1):
+        if depth[i] < depth[at]:
+            at, n = i, n + ("Exchange" in lines[i])
+    return n
+
+
+def test_lines_move_for_two_joins(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines, pages = plan(starschema.creatives(spark, SF)), plan(catalog.ad_pages(spark, SF))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert moves_of(lines, "l_partkey") == 2 and moves_of(pages, "l_partkey") == 1
+    assert "from_json" not in pages
