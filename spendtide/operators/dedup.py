@@ -8,6 +8,8 @@ per key however many copies it holds.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spendtide.session import Stages, staged
+
 # The natural key of a creative.
 KEY = ["source_id", "source"]
 
@@ -45,13 +47,36 @@ def new_keys(batch: DataFrame, target: DataFrame, keys: list[str] = KEY) -> Data
     return asked.join(known, keys, "left_anti")
 
 
-def new_rows(batch: DataFrame, target: DataFrame, keys: list[str] = KEY) -> DataFrame:
+#: What a batch's key is to a target: held already, new and in one row of the batch, new and in several.
+OLD, ONCE, OFTEN = "old", "once", "often"
+
+
+def new_rows(batch: DataFrame, target: DataFrame, keys: list[str] = KEY, stages: Stages | None = None) -> DataFrame:
     """Rows of `batch`, first per key, whose key the target does not hold.
 
-    Only rows of such keys are ranked. A row without its whole key is not among them: it
-    would be new each time. `batch` is read twice, so pass a written table.
+    A row without its whole key is not among them: it would be new each time. Keys alone are counted and compared, and
+    written by their state. Rows are then picked by the fewer keys, those that bring a row or those that bring none: where they
+    are few, the planner sends them to the rows and no row moves. Only rows of new keys that the batch holds several of are
+    ranked. `batch` is read up to three times, so pass a written table.
     """
-    return first_per_key(batch.join(new_keys(batch, target, keys), keys, "left_semi").select(*batch.columns), keys)
+    whole = batch.filter(complete(keys))
+    asked = whole.groupBy(*keys).agg(F.count("*").alias("_n"))
+    known = target.select(*keys).withColumn("_held", F.lit(True))
+    state = F.when(F.col("_held"), OLD).when(F.col("_n") == 1, ONCE).otherwise(OFTEN).alias("_state")
+    states = (stages.write if stages else staged)(asked.join(known, keys, "left").select(*keys, state), "keys", "_state")
+    count = dict(states.groupBy("_state").count().collect())
+
+    def of(*some: str) -> DataFrame:
+        return states.filter(F.col("_state").isin(*some)).select(*keys)
+
+    if count.get(ONCE, 0) <= count.get(OLD, 0) + count.get(OFTEN, 0):
+        out = whole.join(of(ONCE), keys, "left_semi") if ONCE in count else whole.filter(F.lit(False))
+    else:
+        out = whole.join(of(OLD, OFTEN), keys, "left_anti") if len(count) > 1 else whole
+    out = out.select(*batch.columns)
+    if OFTEN in count:
+        out = out.unionByName(first_per_key(whole.join(of(OFTEN), keys, "left_semi").select(*batch.columns), keys))
+    return out
 
 
 def upsert_counts(batch: DataFrame, target: DataFrame, by: list[str] | None = None, keys: list[str] = KEY) -> DataFrame:

@@ -333,7 +333,7 @@ def insert_only_rerun(spark, sf):
     path = shared_dir(spark, "raw")
     batch = staged(with_keyless(spark, sf).drop("week_key").withColumn("week_key", F.lit("2001-W01")))
     for _ in range(2):
-        loads.insert_only(batch, path)
+        loads.insert_only(batch, path, written=True)
     return tables.read_table(spark, path, batch.schema).groupBy("source").agg(F.count("*").alias("stored"))
 
 

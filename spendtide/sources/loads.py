@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from spendtide.operators.dedup import KEY, complete, new_rows
 from spendtide.operators.weekly import added_up, merged_signals, partial_signals
-from spendtide.session import Stages, children, path_exists, remove, rename, touch
+from spendtide.session import PACKED, Stages, children, path_exists, remove, rename, touch
 from spendtide.sources.tables import LAYOUTS, only_partitions, stored_schema, with_layout
 
 #: Buckets of the key index. A table keeps the number that it was made with.
@@ -46,7 +46,7 @@ def bucket_of(keys: list[str] = KEY) -> Column:
 def _publish(df: DataFrame, path: str, at: str, by: list[str]) -> None:
     """Rows below the hidden name first, then all at once in their place."""
     spark, hidden = df.sparkSession, f"{path}/_writing-{uuid.uuid4().hex}"
-    df.hint("rebalance", *[F.col(c) for c in by]).write.partitionBy(*by).parquet(hidden)
+    df.hint("rebalance", *[F.col(c) for c in by]).write.option("compression", PACKED).partitionBy(*by).parquet(hidden)
     remove(spark, at)
     rename(spark, hidden, at)
 
@@ -116,8 +116,9 @@ def store(batch: DataFrame, raw: str, load: Load, buckets: list[int], keys: list
     if left:
         _index(read_loads(spark, raw, batch.schema, left), raw, keys, partials)
     known = stored_keys(spark, raw, keys, buckets, but=load)
-    added = new_rows(batch.filter(complete(keys)), known, keys)
-    _publish(with_layout(added), raw, home(raw, *load), LAYOUTS["year"])
+    with Stages(spark) as stages:
+        added = new_rows(batch, known, keys, stages)
+        _publish(with_layout(added), raw, home(raw, *load), LAYOUTS["year"])
     _index(read_loads(spark, raw, batch.schema, {load}), raw, keys, partials)
     return left | {load}
 
@@ -175,8 +176,10 @@ def finish(spark: SparkSession, raw: str, loads: set[Load]) -> None:
         touch(spark, home(f"{raw}_done", *load))
 
 
-def insert_only(df: DataFrame, raw: str, load: Load | None = None, keys: list[str] = KEY, stages: Stages | None = None) -> DataFrame:
-    """Add the rows whose key the table lacks, first per key; returns them, as written.
+def insert_only(
+    df: DataFrame, raw: str, load: Load | None = None, keys: list[str] = KEY, stages: Stages | None = None, written: bool = False
+) -> DataFrame:
+    """Add the rows whose key the table lacks, first per key; returns them, as written. A `written` table is not written again.
 
     A second load of the same rows adds nothing. A row without its whole key cannot be recognised when it comes
     again, so it is not stored: see `tables.rejects`.
@@ -184,7 +187,7 @@ def insert_only(df: DataFrame, raw: str, load: Load | None = None, keys: list[st
     spark = df.sparkSession
     load = load or run_load()
     with Stages(spark) as own:
-        batch = (stages or own).write(df, "batch")
+        batch = df if written else (stages or own).write(df, "batch")
         finish(spark, raw, store(batch, raw, load, buckets_in(batch, keys), keys, partials=False))
     return read_loads(spark, raw, df.schema, {load}).select(*df.columns)
 
