@@ -180,7 +180,7 @@ def load_creatives(spark, sf):
 @query
 def scan_all(spark, sf):
     path = shared_dir(spark, "landing")
-    documents(spark, sf).write.json(path)
+    documents(spark, sf).write.json(path, compression="gzip")
     return shown(docs.scan_all(spark, path))
 
 
@@ -204,7 +204,7 @@ def told(good: DataFrame, bad: DataFrame) -> DataFrame:
 def quarantine(spark, sf):
     """Documents of a landing folder with unreadable lines, and the lines."""
     path = shared_dir(spark, "landing")
-    cut_lines(spark, sf).write.text(path)
+    cut_lines(spark, sf).write.text(path, compression="gzip")
     return told(*docs.scan_documents(spark, path))
 
 

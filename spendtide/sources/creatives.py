@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 from spendtide.functions.labels import SEARCH_CHANNELS, brand_slug, search_platform
 from spendtide.schemas import RAW_CREATIVES, conform
-from spendtide.session import shared_dir, staged
+from spendtide.session import PACKED, shared_dir, staged
 
 
 def nullable(schema: T.StructType) -> T.StructType:
@@ -37,7 +37,7 @@ def scan_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     rows = spark.read.schema(schema).option("columnNameOfCorruptRecord", UNREADABLE).json(path)
     rows = rows.withColumns({"file": F.col("_metadata.file_path"), "reason": _reason(fields.names, F.col(UNREADABLE))})
     at = shared_dir(spark, "scanned")
-    rows.write.partitionBy("reason").parquet(at)
+    rows.write.option("compression", PACKED).partitionBy("reason").parquet(at)
     written = spark.read.schema(rows.schema).parquet(at)
     bad = written.filter(F.col("reason") != "none")
     return written.filter(F.col("reason") != "document").select(*fields.names), bad.select("file", F.col(UNREADABLE).alias("text"), "reason")
