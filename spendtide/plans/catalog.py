@@ -104,14 +104,11 @@ def smuggled(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", t.alias("text"))
 
 
-def ads(spark: SparkSession, sf: str) -> DataFrame:
-    """One archive ad per order line, as JSON, with the gaps and bad dates such ads have."""
+def ad_structs(spark: SparkSession, sf: str) -> DataFrame:
+    """One archive ad per order line, with the gaps and bad dates such ads have."""
     part = F.col("l_partkey")
-    lines = (
-        table(spark, sf, "lineitem")
-        .join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    )
+    orders = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    lines = table(spark, sf, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     lower = (F.col("l_quantity") * 1000).cast("bigint")
     ad = F.struct(
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"),
@@ -120,7 +117,8 @@ def ads(spark: SparkSession, sf: str) -> DataFrame:
         .alias("ad_delivery_start_time"),
         F.when(F.col("l_linestatus") == "F", day_text(F.col("l_shipdate"))).alias("ad_delivery_stop_time"),
         F.when(part % 13 != 0, F.struct(
-            lower.cast("string").alias("lower_bound"), (lower + 500).cast("string").alias("upper_bound")
+            lower.cast("string").alias("lower_bound"), (lower + 500).cast("string").alias("upper_bound"),
+            F.lit(None).cast("string").alias("currency"),
         )).alias("impressions"),
         F.when(part % 17 != 0, F.struct(
             F.col("l_quantity").cast("string").alias("lower_bound"),
@@ -136,10 +134,15 @@ def ads(spark: SparkSession, sf: str) -> DataFrame:
     return lines.select(
         F.concat(F.initcap("c_mktsegment"), F.lit(" co-op")).alias("brand"),
         ((F.col("l_linenumber") - 1) * 3).cast("bigint").alias("page_index"),
-        F.to_json(ad).alias("json"),
+        ad.cast(archive.ARCHIVE_AD).alias("ad"),
     )
 
 
+def ads(spark: SparkSession, sf: str) -> DataFrame:
+    """The same ads as JSON."""
+    return ad_structs(spark, sf).withColumn("json", F.to_json("ad")).drop("ad")
+
+
 def normalised(spark: SparkSession, sf: str) -> DataFrame:
     return archive.normalise_ads(
         archive.parse_ads(ads(spark, sf), "json"), F.lit(AS_OF).cast("date"), F.lit(BATCH_TS).cast("timestamp")
@@ -228,14 +231,8 @@ def normalise_ads(spark, sf):
 
 def ad_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Every ad twice, in a page of its own."""
-    pages = ads(spark, sf).select(
-        "brand", "page_index",
-        F.from_json(
-            F.concat(F.lit('{"data":['), "json", F.lit(","), "json", F.lit('],"paging":{"next":null}}')),
-            archive.ARCHIVE_PAGE,
-        ).alias("page"),
-    ).select("brand", "page_index", "page.data", "page.paging")
-    return pages
+    paging = F.struct(F.lit(None).cast("string").alias("next"))
+    return ad_structs(spark, sf).select("brand", "page_index", F.array("ad", "ad").alias("data"), paging.alias("paging"))
 
 
 def ads_of(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
@@ -256,9 +253,9 @@ def explode_first_pages(spark, sf):
 
 @query
 def read_pages(spark, sf):
-    """Landed as JSON files, one envelope per line, and read back."""
+    """Landed as packed JSON files, one envelope per line, and read back."""
     path = shared_dir(spark, "pages")
-    ad_pages(spark, sf).write.json(path)
+    ad_pages(spark, sf).write.json(path, compression="gzip")
     return ads_of(archive.read_pages(spark, path))
 
 
