@@ -377,7 +377,7 @@ def new_docs_since(spark, sf):
 
 @query
 def append_raw(spark, sf):
-    c = creatives(spark, sf)
+    c = staged(creatives(spark, sf))
     path = shared_dir(spark, "raw")
     tables.append_rows(old(c), path)
     tables.append_rows(new(c), path)

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from spendtide.functions.calendar import week_year
 from spendtide.operators.dedup import KEY, complete
-from spendtide.session import Stages, path_exists
+from spendtide.session import PACKED, Stages, path_exists
 
 # Partition columns of the two layouts.
 LAYOUTS = {"year": ["brand", "yr"], "week": ["brand", "week_key"]}
@@ -28,7 +28,7 @@ def _write(df: DataFrame, path: str, by: str, mode: str, **options) -> None:
     execution splits a partition that holds a large part of all rows."""
     cols = LAYOUTS[by]
     df = with_layout(df, by)
-    df.hint("rebalance", *[F.col(c) for c in cols]).write.mode(mode).options(**options).partitionBy(*cols).parquet(path)
+    df.hint("rebalance", *[F.col(c) for c in cols]).write.mode(mode).options(compression=PACKED, **options).partitionBy(*cols).parquet(path)
 
 
 def stored_schema(schema: T.StructType, by: str = "year") -> T.StructType:
