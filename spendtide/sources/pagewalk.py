@@ -43,37 +43,53 @@ def ordered_pages(pages: DataFrame, next_cursor: Column, walk: str = "brand", cu
     A null walk is a walk like others. A page without cursor, or with an empty one, is a first page. Pages that were landed
     twice are copies, however many. No pages, no rows. Both frames read a written table.
     """
-    spark = pages.sparkSession
-    with Stages(spark) as stages:
-        nodes = stages.write(_numbered(pages, walk, cursor, next_cursor), "nodes")
-        first = nodes.groupBy("walk_", "cursor_").agg(F.min(F.struct("content_", "id_", "next_")).alias("m"))
-        first = stages.write(first.select("walk_", "cursor_", F.col("m.id_").alias("id_"), F.col("m.next_").alias("next_")), "first")
-        names = first.select(F.col("walk_").alias("w"), F.col("cursor_").alias("next_"), F.col("id_").alias("to_"))
-        jump = first.join(names, F.col("walk_").eqNullSafe(F.col("w")) & (first["next_"] == names["next_"])).select("id_", "to_")
-        jump = stages.write(jump, "jump")
-        reached = stages.write(first.filter("cursor_ = ''").select("id_", F.lit(0).cast("bigint").alias("at_")), "reached")
-        total, size = reached.count(), 1
-        while total:
-            hop = jump.select("id_", "to_")
-            ahead = reached.join(hop, "id_").select(F.col("to_").alias("id_"), (F.col("at_") + size).alias("at_"))
-            # A page met again is met by a cycle: its first place counts.
-            reached = stages.write(reached.unionByName(ahead).groupBy("id_").agg(F.min("at_").alias("at_")), "reached")
-            now = reached.count()
-            if now == total:
-                break
-            further = jump.select(F.col("id_").alias("to_"), F.col("to_").alias("beyond_"))
-            jump = stages.write(hop.join(further, "to_").select("id_", F.col("beyond_").alias("to_")), "jump")
-            total, size = now, 2 * size
-        places = first.select("id_").join(reached, "id_", "left").withColumn("first_", F.lit(True))
-        state = F.when(F.col("first_").isNull(), COPY).when(F.col("at_").isNull(), UNREACHED).otherwise(WALKED)
-        placed = nodes.join(places, "id_", "left").select(
-            *[F.col(f"page_.`{c}`").alias(c) for c in pages.columns if c not in ("page_index", "state")],
-            F.col("at_").alias("page_index"), state.alias("state"),
-        )
-        out = staged(placed, "ordered")
+    with Stages(pages.sparkSession) as stages:
+        nodes, first, names, reached = _reached(pages, next_cursor, walk, cursor, stages)
+        out = staged(_placed(pages, nodes, first, reached), "ordered")
         return out, staged(_ends(nodes, first.join(reached, "id_", "left"), names), "walks")
 
 
+def _reached(
+    pages: DataFrame, next_cursor: Column, walk: str, cursor: str, stages: Stages, most: int | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Numbered pages, the one that counts per cursor, the names of those, and the places of all pages that are reached, or of the `most` first.
+
+    After k rounds the pages of the first 2^k places are found, each with its least place; so rounds end with `most`.
+    """
+    nodes = stages.write(_numbered(pages, walk, cursor, next_cursor), "nodes")
+    first = nodes.groupBy("walk_", "cursor_").agg(F.min(F.struct("content_", "id_", "next_")).alias("m"))
+    first = stages.write(first.select("walk_", "cursor_", F.col("m.id_").alias("id_"), F.col("m.next_").alias("next_")), "first")
+    names = first.select(F.col("walk_").alias("w"), F.col("cursor_").alias("next_"), F.col("id_").alias("to_"))
+    jump = first.join(names, F.col("walk_").eqNullSafe(F.col("w")) & (first["next_"] == names["next_"])).select("id_", "to_")
+    jump = stages.write(jump, "jump")
+    reached = stages.write(first.filter("cursor_ = ''").select("id_", F.lit(0).cast("bigint").alias("at_")), "reached")
+    total, size = reached.count(), 1
+    while total and (most is None or size < most):
+        hop = jump.select("id_", "to_")
+        ahead = reached.join(hop, "id_").select(F.col("to_").alias("id_"), (F.col("at_") + size).alias("at_"))
+        # A page met again is met by a cycle: its first place counts.
+        reached = stages.write(reached.unionByName(ahead).groupBy("id_").agg(F.min("at_").alias("at_")), "reached")
+        now = reached.count()
+        if now == total:
+            break
+        further = jump.select(F.col("id_").alias("to_"), F.col("to_").alias("beyond_"))
+        jump = stages.write(hop.join(further, "to_").select("id_", F.col("beyond_").alias("to_")), "jump")
+        total, size = now, 2 * size
+    return nodes, first, names, reached
+
+
+def _placed(pages: DataFrame, nodes: DataFrame, first: DataFrame, reached: DataFrame) -> DataFrame:
+    places = first.select("id_").join(reached, "id_", "left").withColumn("first_", F.lit(True))
+    state = F.when(F.col("first_").isNull(), COPY).when(F.col("at_").isNull(), UNREACHED).otherwise(WALKED)
+    return nodes.join(places, "id_", "left").select(
+        *_own(pages), F.col("at_").alias("page_index"), state.alias("state"),
+    )
+
+
+def _own(pages: DataFrame) -> list[Column]:
+    return [F.col(f"page_.`{c}`").alias(c) for c in pages.columns if c not in ("page_index", "state")]
+
+
 def _ends(nodes: DataFrame, first: DataFrame, names: DataFrame) -> DataFrame:
     walks = nodes.groupBy("walk_").agg(F.count("*").alias("n_pages"))
     last = first.groupBy("walk_").agg(F.count("at_").alias("n_walked"), F.max_by("next_", "at_").alias("next_"))
@@ -92,6 +108,10 @@ def _ends(nodes: DataFrame, first: DataFrame, names: DataFrame) -> DataFrame:
 
 def walked_pages(pages: DataFrame, max_pages: int | None = None, walk: str = "brand", cursor: str = "cursor") -> DataFrame:
     """The pages of every walk with their page_index, or the first `max_pages` of each; what is off the walks is left out."""
-    ordered, _ = ordered_pages(pages, F.col("paging")["next"], walk, cursor)
-    out = ordered.filter(F.col("state") == WALKED).drop("state")
-    return out if max_pages is None else out.filter(F.col("page_index") < max_pages)
+    if max_pages is None:
+        ordered, _ = ordered_pages(pages, F.col("paging")["next"], walk, cursor)
+        return ordered.filter(F.col("state") == WALKED).drop("state")
+    with Stages(pages.sparkSession) as stages:
+        nodes, _, _, reached = _reached(pages, F.col("paging")["next"], walk, cursor, stages, max_pages)
+        some = nodes.join(reached.filter(F.col("at_") < max_pages), "id_")
+        return staged(some.select(*_own(pages), F.col("at_").alias("page_index")), "walked")

@@ -77,3 +77,18 @@ def test_ads_of_landed_files_follow_the_cursors(spark, tmp_path):
         return [r.ad.id for r in archive.explode_ad_pages(pagewalk.walked_pages(pages, n)).orderBy("page_index", "ad.id").collect()]
 
     assert ids(None) == ["a", "b", "b2", "c"] and ids(2) == ["a", "b", "b2"]
+
+
+def test_rounds_end_with_the_pages_asked_for(spark, monkeypatch):
+    rows = [("a", None if i == 0 else f"c{i}", f"c{i + 1}" if i < 63 else None) for i in range(64)]
+    rows += [("loop", None, "l1"), ("loop", "l1", "l2"), ("loop", "l2", "l1"), ("loop", "l2", "l1")]
+    pages = spark.createDataFrame(rows, "brand string, cursor string, next string").withColumn("paging", F.struct("next")).drop("next")
+    whole = {(r.brand, r.page_index) for r in pagewalk.walked_pages(pages).collect()}
+    written = []
+    write = pagewalk.Stages.write
+    monkeypatch.setattr(pagewalk.Stages, "write", lambda self, df, name="stage", by=None: written.append(name) or write(self, df, name, by))
+    for n in (1, 3, 5):
+        written.clear()
+        got = [(r.brand, r.page_index) for r in pagewalk.walked_pages(pages, n).collect()]
+        assert len(got) == len(set(got)) and set(got) == {w for w in whole if w[1] < n}
+        assert written.count("reached") == {1: 1, 3: 3, 5: 4}[n]
