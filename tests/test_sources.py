@@ -493,6 +493,32 @@ def test_only_keys_of_new_rows_move(spark, creatives):
     assert dedup.new_rows(batch, batch.select(*dedup.KEY)).count() == 0
 
 
+@pytest.mark.parametrize("bits", [1 << 28, 64])
+def test_rows_of_many_keys_are_sieved(spark, creatives, monkeypatch, bits):
+    """Few or most bits shared; whatever part of the keys is held; a held key listed twice."""
+    monkeypatch.setattr(dedup, "SIEVED", 5)
+    monkeypatch.setattr(dedup, "MOST_BITS", bits)
+    monkeypatch.setattr(dedup, "PAGE", 1)
+    rows = [dict(source_id=str(i % 90), ad_text=f"{i:03d}") for i in range(120)] + [dict(source_id=None), dict(source_id="")]
+    batch = staged(creatives(rows))
+    for held in ([], range(20, 23), range(25, 75), range(80), range(90)):
+        known = creatives([dict(source_id=str(i)) for i in [*held, *held] or [999]]).select(*dedup.KEY)
+        new = dedup.new_rows(batch, known)
+        assert sorted(r.ad_text for r in new.collect()) == [f"{i:03d}" for i in range(90) if i not in held]
+
+
+def test_rows_that_a_sieve_lets_pass_do_not_move(spark, creatives, monkeypatch):
+    monkeypatch.setattr(dedup, "SIEVED", 5)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        batch = staged(creatives([dict(source_id=str(i % 90), ad_text=f"{i:03d}") for i in range(120)]))
+        p = plan(dedup.new_rows(batch, creatives([dict(source_id="x")]).select(*dedup.KEY)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert moves_of(p, "ad_text") == 0
+
+
 def test_landings_are_packed(spark):
     for name in ("read_pages", "scan_all"):
         files = entry.queries()[name](spark, SF).inputFiles()
