@@ -4,12 +4,14 @@ import datetime as dt
 import json
 import os
 import random
+import time
 
 import pytest
 from conftest import SF, plan, weeks
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from spendtide import session
 from spendtide.functions import labels
 from spendtide.operators import dedup, weekly
 from spendtide.plans import catalog, starschema
@@ -519,6 +521,30 @@ def test_rows_that_a_sieve_lets_pass_do_not_move(spark, creatives, monkeypatch):
     assert moves_of(p, "ad_text") == 0
 
 
+def shuffle_files(spark):
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {n for n in (found.apply(i).getName() for i in range(found.size())) if n.startswith("shuffle_")}
+
+
+def gone(spark, before):
+    """Whether files that are new since then go, without a garbage collection."""
+    for _ in range(50):
+        if shuffle_files(spark) <= before:
+            return True
+        time.sleep(0.1)
+    return False
+
+
+def test_shuffle_files_go_with_the_step_that_made_them(spark, creatives):
+    before, set_ = shuffle_files(spark), spark.conf.get(session.FREED, None)
+    rows = staged(creatives([dict() for _ in range(20)]).repartition(3, "source_id"))
+    assert gone(spark, before)
+    stream = feeds.landed(spark, rows.inputFiles()[0].rsplit("/", 1)[0], rows.schema).repartition(3, "source_id")
+    before = shuffle_files(spark)
+    feeds.upsert_to_tables(stream, *(shared_dir(spark, n) for n in ("raw", "facts", "mark"))).awaitTermination()
+    assert gone(spark, before) and spark.conf.get(session.FREED, None) == set_
+
+
 def test_landings_are_packed(spark):
     for name in ("read_pages", "scan_all"):
         files = entry.queries()[name](spark, SF).inputFiles()
