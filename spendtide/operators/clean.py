@@ -14,12 +14,12 @@ UNKNOWN = "unknown"
 
 
 def cast_dates(df: DataFrame) -> DataFrame:
-    """Text dates to date and timestamp. A bad text becomes null; its row stays."""
-    return df.withColumns({
-        "started_running": F.try_to_date(F.col("started_running").cast("string")),
-        "stopped_running": F.try_to_date(F.col("stopped_running").cast("string")),
-        "ingested_at": F.try_to_timestamp(F.col("ingested_at").cast("string")),
-    })
+    """Text dates to date and timestamp. A bad text becomes null; its row stays. What is a date or timestamp already is not read again."""
+    types = dict(df.dtypes)
+    casts = {c: F.try_to_date(F.col(c).cast("string")) for c in ("started_running", "stopped_running") if types[c] != "date"}
+    if types["ingested_at"] != "timestamp":
+        casts["ingested_at"] = F.try_to_timestamp(F.col("ingested_at").cast("string"))
+    return df.withColumns(casts) if casts else df
 
 
 def bad_dates(df: DataFrame) -> DataFrame:
@@ -51,13 +51,13 @@ def add_spend_midpoint(df: DataFrame) -> DataFrame:
 def sanitize_texts(df: DataFrame) -> DataFrame:
     """Remove invisible code points from ad text, call to action and themes.
 
-    A call to action of which nothing is left is none.
+    A call to action of which nothing is left is none. Themes that are all ASCII are not taken one by one.
     """
-    cta = sanitize(F.col("cta"))
+    cta, themes = sanitize(F.col("cta")), F.array_join("creative_themes", "")
     return df.withColumns({
         "ad_text": sanitize(F.col("ad_text")),
         "cta": F.when(F.trim(cta) != "", cta),
-        "creative_themes": F.transform("creative_themes", sanitize),
+        "creative_themes": F.when(F.octet_length(themes) == F.length(themes), F.col("creative_themes")).otherwise(F.transform("creative_themes", sanitize)),
     })
 
 

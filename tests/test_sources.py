@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from spendtide import session
 from spendtide.functions import labels
-from spendtide.operators import dedup, weekly
+from spendtide.operators import clean, dedup, weekly
 from spendtide.plans import catalog, starschema
 from spendtide.plans.weekly_run import weekly_run
 from spendtide.schemas import RAW_CREATIVES, WEEKLY_SIGNALS
@@ -545,6 +545,15 @@ def test_shuffle_files_go_with_the_step_that_made_them(spark, creatives):
     assert gone(spark, before) and spark.conf.get(session.FREED, None) == set_
 
 
+def test_dates_are_not_read_again_and_ascii_themes_not_taken_apart(spark, creatives):
+    rows = creatives([dict(creative_themes=["a\u200b", None, "b"]), dict(creative_themes=["c", None]), dict(creative_themes=None)])
+    typed = rows.withColumns({"started_running": F.lit("2024-01-01").cast("date"), "ingested_at": F.lit("2024-01-01 00:00:00").cast("timestamp")})
+    assert [r.creative_themes for r in clean.sanitize_texts(typed).orderBy("source_id").collect()] == [["a", None, "b"], ["c", None], None]
+    cast = clean.cast_dates(typed).orderBy("source_id")
+    assert cast.select("started_running", "ingested_at").collect() == typed.select("started_running", "ingested_at").collect()
+    assert "cast(ingested_at" not in str(cast._jdf.queryExecution().analyzed()) and "cast(stopped_running" in str(cast._jdf.queryExecution().analyzed().toString())
+
+
 def test_landings_are_packed(spark):
     for name in ("read_pages", "scan_all"):
         files = entry.queries()[name](spark, SF).inputFiles()
